@@ -206,6 +206,11 @@ def _first_balanced(text: Column) -> Column:
     return F.when(tail != "", F.aggregate(closed, state, grow)["found"])
 
 
+def _null_fails(rule: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """An element that yields null is as invalid as one that yields false."""
+    return lambda element: F.coalesce(rule(element), F.lit(False))
+
+
 def _is_valid(parsed: Column, spec: ResponseSpec) -> Column:
     ok = parsed.isNotNull()
     for name in spec.required:
@@ -217,9 +222,8 @@ def _is_valid(parsed: Column, spec: ResponseSpec) -> Column:
     for name, cap in spec.max_items.items():
         ok = ok & (F.size(parsed[name]) <= cap)
     for name, rule in spec.element_rules.items():
-        # An element that yields null is as invalid as one that yields false.
-        ok = ok & F.forall(F.coalesce(parsed[name], F.array().cast(spec.schema[name].dataType)),
-                           lambda e, rule=rule: F.coalesce(rule(e), F.lit(False)))
+        elements = F.coalesce(parsed[name], F.array().cast(spec.schema[name].dataType))
+        ok = ok & F.forall(elements, _null_fails(rule))
     return F.coalesce(ok, F.lit(False))
 
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import normalize
@@ -139,7 +139,7 @@ def block_join(
     pivots = _pivots(corpus, plan)
     if pivots is None or len(pivots) < 2:
         lefts = left.withColumn("home", F.lit(0)).withColumn("cell", F.lit(0))
-        rights = corpus.withColumn("cell", F.lit(0))
+        rights = _renewed(corpus).withColumn("cell", F.lit(0))
     else:
         placed = materialize(_with_home(corpus, pivots))
         count = len(pivots)
@@ -150,7 +150,7 @@ def block_join(
         seekers = placed if mirrored else _with_home(left, pivots)
         visiting = materialize(_visits(seekers.drop("reach"), pivots, low, high, radius, mirrored))
         lefts = visiting.withColumn("cell", F.explode("cells")).drop("cells")
-        rights = placed.withColumn("cell", F.col("home")).drop("home", "reach")
+        rights = _renewed(placed).withColumn("cell", F.col("home")).drop("home", "reach")
 
     # One row per cell, so the size table is bounded by the number of pivots.
     chunks = lambda side, name: side.groupBy("cell").agg(
@@ -178,6 +178,11 @@ def block_join(
     )
 
 
+def _renewed(df: DataFrame) -> DataFrame:
+    """Same columns under new identities, so that a table can be grouped with itself."""
+    return df.select(*[F.col(name).alias(name) for name in df.columns])
+
+
 def meets_once(lpdf: pd.DataFrame, rpdf: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Keeps, of the candidate index pairs of a self join, each unordered pair once."""
     same_cell = lpdf["home"].to_numpy()[i] == rpdf["cell"].to_numpy()[j]
@@ -237,8 +242,6 @@ def top_matches(
 
     schema = f"query_id {_type_of(queries, 'id')}, match_id {_type_of(corpus, 'id')}, similarity double"
     found = block_join(queries, corpus, min_similarity, block, schema, plan)
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "match_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

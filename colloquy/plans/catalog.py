@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from colloquy.plans import queries_claims, queries_discussion  # noqa: F401
+from colloquy.plans import queries_claims, queries_discussion, queries_semantic  # noqa: F401
 from colloquy.plans.registry import ORACLES, QUERIES  # noqa: F401
