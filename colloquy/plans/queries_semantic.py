@@ -126,7 +126,7 @@ def g06(spark, d):
     return found.select("claim_id", "related_id", "relationship", "group_rank")
 
 
-_BRANCH = """(SELECT x.claim_id, t.claim_id AS related_id, {sim} AS similarity, '{rel}' AS relationship, {no} AS branch FROM u x,
+_BRANCH = """(SELECT x.claim_id, t.claim_id AS related_id, CAST({sim} AS DOUBLE) AS similarity, '{rel}' AS relationship, {no} AS branch FROM u x,
   LATERAL (SELECT claim_id FROM u WHERE u.{col} = x.{col} AND u.claim_id <> x.claim_id AND is_canonical ORDER BY claim_id LIMIT 10) t)"""
 
 
