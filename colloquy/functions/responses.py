@@ -264,7 +264,9 @@ def summaries_with_fallback(df: DataFrame, text: str) -> DataFrame:
 
 def claims_from_responses(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One row per extracted claim: defaults applied, verification derived from confidence."""
-    rows = parse_responses(df, text, CLAIMS).select(*keep, F.posexplode("response.claims").alias("claim_pos", "c"))
+    # The outer form keeps the optimizer from testing the parsed array again below the explode.
+    rows = parse_responses(df, text, CLAIMS).select(*keep, F.posexplode_outer("response.claims").alias("claim_pos", "c"))
+    rows = rows.where(F.col("c").isNotNull())
     confidence = F.coalesce("c.confidence", F.lit(0.5))
     return rows.select(
         *keep, "claim_pos", "c.subject", "c.predicate", "c.object", confidence.alias("confidence"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,14 +17,26 @@ def _bitmask(flags: list[Column]) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), bits).cast("bigint")
 
 
-def keyword_mask(text: Column) -> Column:
-    """Bit i is set when controversy keyword i occurs; `bit_or` unites the texts of a post."""
-    lowered = F.lower(text)
+def keyword_mask(lowered: Column) -> Column:
+    """Bit i is set when controversy keyword i occurs; `bit_or` unites the texts of a post.
+
+    Takes lowered text: lowering belongs in its own projection, once per row.
+    """
     return _bitmask([F.contains(lowered, F.lit(k)) for k in vocab.CONTROVERSY_KEYWORDS])
 
 
-def camp_mask(text: Column) -> Column:
-    return _bitmask([text.rlike("(?i)" + pattern) for pattern, _ in vocab.CAMP_PATTERNS])
+def _camp_word(pattern: str) -> str:
+    """The literal a camp pattern starts with."""
+    return re.match(r"[a-z]+", pattern)[0].removesuffix("s" if "s?" in pattern else "\0")
+
+
+def camp_mask(text: Column, lowered: Column) -> Column:
+    """Bit i is set when camp pattern i matches; the regex runs only where its word occurs."""
+    flags = [
+        F.contains(lowered, F.lit(_camp_word(pattern))) & text.rlike("(?i)" + pattern)
+        for pattern, _ in vocab.CAMP_PATTERNS
+    ]
+    return _bitmask(flags)
 
 
 def mask_names(mask: Column, names: list[str]) -> Column:
@@ -40,13 +53,13 @@ def camp_names(mask: Column) -> Column:
     return mask_names(mask, [camp for _, camp in vocab.CAMP_PATTERNS])
 
 
-def is_positive(text: Column) -> Column:
-    return contains_any(F.lower(text), vocab.POSITIVE_WORDS)
+def is_positive(lowered: Column) -> Column:
+    return contains_any(lowered, vocab.POSITIVE_WORDS)
 
 
-def is_negative(text: Column) -> Column:
-    return contains_any(F.lower(text), vocab.NEGATIVE_WORDS)
+def is_negative(lowered: Column) -> Column:
+    return contains_any(lowered, vocab.NEGATIVE_WORDS)
 
 
-def has_controversial_words(text: Column) -> Column:
-    return contains_any(F.lower(text), vocab.COMMENT_FLAG_KEYWORDS)
+def has_controversial_words(lowered: Column) -> Column:
+    return contains_any(lowered, vocab.COMMENT_FLAG_KEYWORDS)

@@ -13,17 +13,25 @@ def comment_signals(comments: DataFrame) -> DataFrame:
     """One combinable aggregate per post; masks unite by bit-or, so no text is collected.
 
     Each body gets the space that would follow it in the joined text, so a keyword that ends in a
-    space also matches at the end of a body.
+    space also matches at the end of a body. The text tests are projected before the aggregation:
+    inside it they would make one generated method too large to be compiled.
     """
-    text = F.concat("body", F.lit(" "))
-    return comments.groupBy("post_id").agg(
+    rows = comments.select("post_id", "score", F.concat("body", F.lit(" ")).alias("text")).withColumn(
+        "lowered", F.lower("text")
+    )
+    text, lowered = F.col("text"), F.col("lowered")
+    told = rows.select(
+        "post_id", "score", S.keyword_mask(lowered).alias("keywords"), S.camp_mask(text, lowered).alias("camps"),
+        S.is_positive(lowered).alias("positive"), S.is_negative(lowered).alias("negative"),
+    )
+    return told.groupBy("post_id").agg(
         F.count(F.lit(1)).alias("comment_count"),
         F.stddev_pop("score").alias("score_stddev"),
         F.avg(F.when(F.col("score") < 0, 1.0).otherwise(0.0)).alias("negative_ratio"),
-        F.bit_or(S.keyword_mask(text)).alias("keyword_mask"),
-        F.bit_or(S.camp_mask(text)).alias("camp_mask"),
-        F.count_if(S.is_positive(F.col("body"))).alias("positive_comments"),
-        F.count_if(S.is_negative(F.col("body"))).alias("negative_comments"),
+        F.bit_or("keywords").alias("keyword_mask"),
+        F.bit_or("camps").alias("camp_mask"),
+        F.count_if("positive").alias("positive_comments"),
+        F.count_if("negative").alias("negative_comments"),
     )
 
 
@@ -34,17 +42,20 @@ def reply_depths(forest: DataFrame) -> DataFrame:
 def detect_controversy(posts: DataFrame, comments: DataFrame, forest: DataFrame) -> DataFrame:
     """Signals, score (0..1) and flag per post; posts without comments score on their own text."""
     joined = posts.join(comment_signals(comments), "post_id", "left").join(reply_depths(forest), "post_id", "left")
-    own = F.concat("title", F.lit(" "), F.coalesce("content", F.lit("")), F.lit(" "))
-    keyword_mask = F.coalesce("keyword_mask", F.lit(0)).bitwiseOR(S.keyword_mask(own))
-    camp_mask = F.coalesce("camp_mask", F.lit(0)).bitwiseOR(S.camp_mask(own))
+    joined = joined.withColumn("own", F.concat("title", F.lit(" "), F.coalesce("content", F.lit("")), F.lit(" ")))
+    joined = joined.withColumn("own_lowered", F.lower("own"))
+    own, lowered = F.col("own"), F.col("own_lowered")
+    keyword_mask = F.coalesce("keyword_mask", F.lit(0)).bitwiseOR(S.keyword_mask(lowered))
+    camp_mask = F.coalesce("camp_mask", F.lit(0)).bitwiseOR(S.camp_mask(own, lowered))
+    joined = joined.withColumn("all_keywords", keyword_mask).withColumn("all_camps", camp_mask)
     signals = joined.select(
         "post_id",
         F.coalesce("score_stddev", F.lit(0.0)).alias("score_stddev"),
         F.coalesce("negative_ratio", F.lit(0.0)).alias("negative_ratio"),
         F.coalesce("reply_depth", F.lit(0)).alias("reply_depth"),
         F.coalesce("comment_count", F.lit(0)).alias("comment_count"),
-        S.keyword_names(keyword_mask).alias("keyword_hits"),
-        S.camp_names(camp_mask).alias("camps"),
+        S.keyword_names(F.col("all_keywords")).alias("keyword_hits"),
+        S.camp_names(F.col("all_camps")).alias("camps"),
         F.coalesce((F.col("positive_comments") >= 2) & (F.col("negative_comments") >= 2), F.lit(False)).alias("sentiment_mix"),
     )
     score = controversy_score()
@@ -119,11 +130,11 @@ def daily_gates(summaries: DataFrame, threads: DataFrame) -> DataFrame:
 
 
 def comment_diversity(comments: DataFrame) -> DataFrame:
-    return comments.groupBy("post_id").agg(
+    return comments.withColumn("lowered", F.lower("body")).groupBy("post_id").agg(
         F.count(F.lit(1)).alias("total_comments"),
         F.min("score").alias("min_score"),
         F.max("score").alias("max_score"),
         F.stddev_pop("score").alias("score_stddev"),
-        F.count_if(S.has_controversial_words(F.col("body"))).alias("controversial_count"),
+        F.count_if(S.has_controversial_words(F.col("lowered"))).alias("controversial_count"),
         F.avg(F.length("body")).alias("avg_body_length"),
     )

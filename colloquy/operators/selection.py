@@ -59,11 +59,11 @@ def diverse_comments(
     n_replied = math.ceil(count * replied_weight)
     n_controversial = math.ceil(count * controversial_weight)
 
-    rows = reply_counts(comments).select(
+    rows = reply_counts(comments.withColumn("lowered", F.lower("body"))).select(
         "post_id", "comment_id", "score", "created_at", "replies",
         F.length("body").alias("length"),
         substantive(min_length).alias("good"),
-        S.has_controversial_words(F.col("body")).alias("debated"),
+        S.has_controversial_words(F.col("lowered")).alias("debated"),
     )
     stats = rows.groupBy("post_id").agg(
         F.count_if("good").alias("n_good"), F.avg(F.when(F.col("good"), F.col("score"))).alias("avg_score")

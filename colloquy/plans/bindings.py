@@ -69,8 +69,12 @@ def stances(spark: SparkSession, base: str) -> DataFrame:
 
 
 def claim_vectors(spark: SparkSession, base: str) -> DataFrame:
+    return claim_columns(read_table(spark, base, "embeddings"))
+
+
+def claim_columns(embeddings: DataFrame) -> DataFrame:
     v = F.col("vec_id")
-    return read_table(spark, base, "embeddings").select(
+    return embeddings.select(
         v.alias("claim_id"),
         F.concat(F.lit("S"), (v % 5).cast("string")).alias("subject"),
         _pick(VECTOR_PREDICATES, _div(v, 5) % 6).alias("predicate"),

@@ -1,4 +1,10 @@
 """Imports every query module so that the registry is complete."""
 
-from colloquy.plans import queries_claims, queries_discussion, queries_documents, queries_semantic  # noqa: F401
+from colloquy.plans import (  # noqa: F401
+    queries_claims,
+    queries_discussion,
+    queries_documents,
+    queries_semantic,
+    queries_streams,
+)
 from colloquy.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -133,8 +133,8 @@ SELECT comment_id, ({_FLAG}) AS debated, ({_POS}) AS is_positive, ({_NEG}) AS is
 def k07(spark, d):
     from colloquy.functions import signals
 
-    body = F.col("body")
-    return B.comments(spark, d).select(
+    body = F.col("lowered")
+    return B.comments(spark, d).withColumn("lowered", F.lower("body")).select(
         "comment_id", signals.has_controversial_words(body).alias("debated"),
         signals.is_positive(body).alias("is_positive"), signals.is_negative(body).alias("is_negative"),
     )

@@ -32,6 +32,10 @@ def _article(html: pd.Series, domain: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"title": titles, "content": contents})
 
 
+# A filter on a deterministic function's result would be pushed below it and parse every page twice.
+_article = _article.asNondeterministic()
+
+
 def with_article(pages: DataFrame, domain: Column | None = None) -> DataFrame:
     """Adds title, content and a 300-character excerpt; domain rules apply where a domain is given."""
     host = domain if domain is not None else F.lit("")
@@ -149,6 +153,9 @@ def _thread_page(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows)
 
 
+_thread_page = _thread_page.asNondeterministic()
+
+
 def parse_thread_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored thread pages (permalink, html) to post rows and comment rows.
 
