@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,9 +43,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts the lineage and survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes the rows to a table in the shared checkpoint folder and reads them back.
+
+    The lineage ends there, so iterations survive the loss of executors. A plain `checkpoint()`
+    keeps the constraints of the plan it came from, which makes planning time grow exponentially
+    over the rounds of an iterative job; a table carries none.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:

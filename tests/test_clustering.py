@@ -7,7 +7,7 @@ from test_similarity import vectors
 from colloquy.operators import clustering as H
 from colloquy.operators.similarity import DEFAULT_PLAN, BlockPlan
 
-PLANS = [DEFAULT_PLAN, BlockPlan(block_rows=12, cell_rows=20)]
+PLANS = [DEFAULT_PLAN, BlockPlan(block_rows=12, cell_rows=12)]
 
 
 def claims(spark, rows):
@@ -43,7 +43,7 @@ def naive_linkage(rows, t, kind):
 @pytest.mark.parametrize("plan", PLANS)
 @pytest.mark.parametrize("kind,run", [("single", H.single_linkage), ("average", H.average_linkage), ("complete", H.complete_linkage)])
 def test_linkage(spark, plan, kind, run):
-    rows = vectors(7, n=48)
+    rows = vectors(7, n=30)
     assert groups(run(claims(spark, rows), 0.8, plan)) == naive_linkage(rows, 0.8, kind)
 
 
