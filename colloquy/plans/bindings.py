@@ -124,7 +124,7 @@ def posts(spark: SparkSession, base: str) -> DataFrame:
 
 def comments(spark: SparkSession, base: str) -> DataFrame:
     docs = read_table(spark, base, "documents").select("doc_id", "text")
-    events = _events(spark, base).withColumn("doc_id", _div(F.col("event_id"), 10))
+    events = read_table(spark, base, "events", spread=True).withColumn("doc_id", _div(F.col("event_id"), 10))
     e = F.col("event_id")
     post_no = _div(e, POST_SIZE)
     rank = e % POST_SIZE
@@ -185,7 +185,7 @@ def requests(spark: SparkSession, base: str) -> DataFrame:
 
 def responses(spark: SparkSession, base: str) -> DataFrame:
     """Documents wrapped as model responses in five ways by document number."""
-    docs = read_table(spark, base, "documents")
+    docs = read_table(spark, base, "documents", spread=True)
     d = F.col("doc_id")
     body = F.to_json(F.struct(
         F.col("text").alias("summary"),
@@ -204,7 +204,7 @@ def responses(spark: SparkSession, base: str) -> DataFrame:
 
 def links(spark: SparkSession, base: str) -> DataFrame:
     """Link posts over stored pages; some urls point at blocked or internal hosts."""
-    pages = read_table(spark, base, "pages")
+    pages = read_table(spark, base, "pages", spread=True)
     n = F.col("page_id")
     url = (
         F.when(n % 10 == 1, F.concat(F.lit("https://www.twitter.com/t/"), n.cast("string")))

@@ -62,12 +62,21 @@ def j04(spark, d):
     return J.thread_stats(_forest(spark, d)).withColumn("avg_depth", F.round("avg_depth", 6))
 
 
-@query("j05_rendered_threads")
+@query("j05_rendered_threads", with_tables("tree", """RECURSIVE
+place AS (SELECT c.*, t.depth, t.root_id, row_number() OVER (PARTITION BY c.parent_id ORDER BY c.score DESC, c.comment_id) AS k FROM comment c JOIN tree t USING (comment_id) WHERE t.depth > 0),
+kept AS (SELECT c.comment_id, c.post_id, c.comment_id AS root_id, 0 AS depth, c.author, c.score, c.body, CAST([] AS BIGINT[]) AS ranks FROM comment c JOIN tree t USING (comment_id) WHERE t.depth = 0
+  UNION ALL SELECT p.comment_id, p.post_id, k.root_id, k.depth + 1, p.author, p.score, p.body, list_append(k.ranks, p.k) FROM place p JOIN kept k ON 't1_' || k.comment_id = p.parent_id
+  WHERE p.k <= 3 AND k.depth < 4)
+SELECT post_id, root_id, string_agg(repeat('  ', depth) || CASE WHEN depth = 0 THEN '[Parent]' ELSE '[Reply]' END || ' u/' || author || ' (' || CASE WHEN score >= 0 THEN '+' ELSE '' END || score
+  || '): "' || substr(body, 1, 300) || CASE WHEN length(body) > 300 THEN '...' ELSE '' END || '"', chr(10) ORDER BY ranks) AS thread_text, count(*) AS lines FROM kept GROUP BY 1, 2"""))
 def j05(spark, d):
     return J.rendered_threads(_forest(spark, d))
 
 
-@query("j06_flattened_threads")
+@query("j06_flattened_threads", with_tables("tree", """RECURSIVE
+walk AS (SELECT c.comment_id, c.post_id, t.root_id, 0 AS depth, CAST([] AS VARCHAR[]) AS steps FROM comment c JOIN tree t USING (comment_id) WHERE t.depth = 0
+  UNION ALL SELECT c.comment_id, c.post_id, w.root_id, w.depth + 1, list_append(w.steps, strftime(c.created_at, '%Y%m%d%H%M%S%f') || c.comment_id) FROM comment c JOIN walk w ON c.parent_id = 't1_' || w.comment_id)
+SELECT post_id, root_id, comment_id, depth, row_number() OVER (PARTITION BY root_id ORDER BY steps) - 1 AS position FROM walk"""))
 def j06(spark, d):
     return J.flattened(_forest(spark, d))
 

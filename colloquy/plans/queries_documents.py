@@ -82,12 +82,12 @@ _DECODED = "replace(replace(replace(replace(replace({}, '&lt;','<'),'&gt;','>'),
 @query("k08_page_titles", f"""
 SELECT page_id, trim({_DECODED.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title FROM pages""")
 def k08(spark, d):
-    return pages.with_article(B.read_table(spark, d, "pages")).select("page_id", "title")
+    return pages.with_article(B.read_table(spark, d, "pages", spread=True)).select("page_id", "title")
 
 
 @query("k11_articles")
 def k11(spark, d):
-    return pages.with_article(B.read_table(spark, d, "pages")).select("page_id", "title", "content", "excerpt")
+    return pages.with_article(B.read_table(spark, d, "pages", spread=True)).select("page_id", "title", "content", "excerpt")
 
 
 @query("k12_link_policy", with_tables("link", """

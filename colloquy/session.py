@@ -56,8 +56,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(base, f"{name}.parquet"))
+def read_table(spark: SparkSession, base: str, name: str, spread: bool = False) -> DataFrame:
+    """Scan of a table; `spread` is for work that is heavy per row.
+
+    A table stored in fewer pieces than there are cores would keep the others idle, so such a scan
+    is redistributed. A table of many files is left alone.
+    """
+    table = spark.read.parquet(os.path.join(base, f"{name}.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    if spread and table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores)
+    return table
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
