@@ -106,6 +106,6 @@ def with_tables(names: str, body: str) -> str:
     for name in names.split():
         add(name)
     recursive = "RECURSIVE " if "tree" in wanted or "RECURSIVE" in body else ""
-    body = body.replace("RECURSIVE ", "", 1).strip()
+    body = body.replace("RECURSIVE", "", 1).strip()
     joiner = "" if body.upper().startswith("SELECT") else ","
     return f"WITH {recursive}" + ",".join(CTES[n].strip() for n in wanted) + joiner + "\n" + body

@@ -24,10 +24,9 @@ def write_digests(fragments: DataFrame, path: str) -> None:
     """One folder per date whose files, read in name order, are the document.
 
     Fragments are range-partitioned and sorted, so a date of any size is written by as many tasks
-    as it needs and nothing is collected.
+    as it needs and nothing is collected. The line end of a fragment is left to the text sink.
     """
     keys = ["digest_date", *ORDER]
     ordered = fragments.repartitionByRange(shuffle_partitions(fragments.sparkSession), *keys).sortWithinPartitions(*keys)
-    ordered.select("digest_date", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy(
-        "digest_date"
-    ).option("lineSep", "").text(path)
+    line = F.regexp_replace("markdown", r"\n\z", "")
+    ordered.select("digest_date", line.alias("value")).write.mode("overwrite").partitionBy("digest_date").text(path)
