@@ -7,7 +7,8 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -234,15 +235,11 @@ def complete_linkage(claims: DataFrame, min_similarity: float = 0.5, plan: Block
 def mean_vectors(members: DataFrame) -> DataFrame:
     """Mean vector per cluster of (cluster, vec): (cluster, mean, size).
 
-    Components are averaged as rows, so a cluster of any size is combined map-side.
+    The summarizer combines map-side, so a cluster of any size sends one vector per task.
     """
-    parts = members.select("cluster", F.posexplode("vec").alias("place", "x"))
-    averaged = parts.groupBy("cluster", "place").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    # One row per dimension and cluster remains, so the array below is bounded by the dimension.
-    return averaged.groupBy("cluster").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda r: r["x"]).alias("mean"),
-        F.max("n").alias("size"),
-    )
+    return members.groupBy("cluster").agg(
+        Summarizer.mean(array_to_vector("vec")).alias("_mean"), F.count(F.lit(1)).alias("size")
+    ).select("cluster", vector_to_array("_mean").alias("mean"), "size")
 
 
 def centroids(claims: DataFrame, clusters: DataFrame) -> DataFrame:
