@@ -27,6 +27,13 @@ def _div(column: Column, n: int) -> Column:
     return F.floor(column / n)
 
 
+def _claim_id() -> Column:
+    """Order and line repeat in the data; part, supplier and price make the id unique."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    parts = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")] + [cents]
+    return F.concat(F.lit("claim:"), F.concat_ws("_", *[p.cast("string") for p in parts]))
+
+
 def claims(spark: SparkSession, base: str) -> DataFrame:
     part = read_table(spark, base, "part").select("p_partkey", "p_brand")
     items = read_table(spark, base, "lineitem")
@@ -34,10 +41,7 @@ def claims(spark: SparkSession, base: str) -> DataFrame:
     five = F.col("l_partkey") % 5
     prefix = F.when(five == 0, "has ").when(five == 1, "lacks ").otherwise("")
     return joined.select(
-        F.concat(
-            F.lit("claim:"), F.concat_ws("_", *[F.col(c).cast("string") for c in
-                                               ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
-        ).alias("claim_id"),
+        _claim_id().alias("claim_id"),
         F.col("p_brand").alias("subject"),
         _pick(PREDICATES, (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3 + F.col("l_suppkey")) % 12).alias("predicate"),
         F.concat(prefix, F.lit("Brand#"), (F.lit(1) + F.col("l_suppkey") % 25).cast("string")).alias("object"),
@@ -53,10 +57,7 @@ def claims(spark: SparkSession, base: str) -> DataFrame:
 def stances(spark: SparkSession, base: str) -> DataFrame:
     items = read_table(spark, base, "lineitem").where("l_returnflag <> 'N'")
     return items.select(
-        F.concat(
-            F.lit("claim:"), F.concat_ws("_", *[F.col(c).cast("string") for c in
-                                               ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
-        ).alias("claim_id"),
+        _claim_id().alias("claim_id"),
         F.when(F.col("l_tax") > 0.02, "agrees").alias("content_author_stance"),
         F.round(F.col("l_tax") * 100, 2).alias("commenter_agree_pct"),
         F.round(F.col("l_discount") * 100, 2).alias("commenter_disagree_pct"),

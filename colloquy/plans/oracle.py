@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_ID = "'claim:' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey"
+_ID = "'claim:' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '_' || CAST(round(l_extendedprice*100) AS BIGINT)"
 
 CTES: dict[str, str] = {
     "claim": f"""
