@@ -124,7 +124,7 @@ def posts(spark: SparkSession, base: str) -> DataFrame:
 
 
 def comments(spark: SparkSession, base: str) -> DataFrame:
-    docs = read_table(spark, base, "documents").select("doc_id", "text")
+    docs = read_table(spark, base, "documents", spread=True).select("doc_id", "text")
     events = read_table(spark, base, "events", spread=True).withColumn("doc_id", _div(F.col("event_id"), 10))
     e = F.col("event_id")
     post_no = _div(e, POST_SIZE)
