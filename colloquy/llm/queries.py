@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import fingerprints, token_counts
+from colloquy.llm import fingerprints, near_dedup, token_counts
 from colloquy.session import read_table
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,31 @@ def op2_fingerprints(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+_OP4_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ')
+    ELSE array_to_string(w[i:i+2], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+e AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2) p
+  JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * p.c >= 85 * (na.n + nb.n - p.c)),
+r AS (
+  SELECT doc_id, doc_id AS m FROM d
+  UNION
+  SELECT CASE WHEN r.doc_id = e.a THEN e.b ELSE e.a END, r.m FROM r JOIN e ON r.doc_id = e.a OR r.doc_id = e.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.m AS component_id, d.doc_id = c.m AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(m) AS m FROM r GROUP BY 1) c USING (doc_id)"""
+
+
+@query("op4_near_duplicates", _OP4_SQL)
+def op4_near_duplicates(spark: SparkSession, base: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, base, "documents"), words=3, percent=85)
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, base: str) -> DataFrame:
     import public_tokenizers
