@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import fingerprints, near_dedup, token_counts
+from colloquy.llm import fingerprints, near_dedup, quality, token_counts
 from colloquy.session import read_table
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,13 @@ def op10_token_counts(spark: SparkSession, base: str) -> DataFrame:
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens",
         (F.col("n_tokens") > 2048).alias("over_limit"),
     )
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, base: str) -> DataFrame:
+    docs = read_table(spark, base, "documents", spread=True)
+    model = quality.train(docs, read_table(spark, base, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
