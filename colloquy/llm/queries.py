@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import fingerprints, near_dedup, quality, token_counts
+from colloquy.llm import fingerprints, license_scan, near_dedup, quality, token_counts
 from colloquy.session import read_table
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,18 @@ def op5_quality(spark: SparkSession, base: str) -> DataFrame:
     return scored.select(
         "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, base: str) -> DataFrame:
+    docs = read_table(spark, base, "documents", spread=True).select("doc_id", "text")
+    found = license_scan.license_scan(docs)
+    starts = F.col("places.start")
+    base_labels = F.array_sort(F.array_distinct("places.label"))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(base_labels, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("places.label", "notices.label")), ",").alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("notices.containment"), F.lit(0.0))).alias("score"),
+    )
