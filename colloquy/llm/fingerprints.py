@@ -24,8 +24,8 @@ from colloquy.session import materialize
 WINDOW = 16
 MIN_CHUNK, USUAL_CHUNK, MAX_CHUNK = 24, 64, 256
 STRICT_BITS, LOOSE_BITS = 7, 5
-DIGEST_BYTES, LENGTH_BYTES = 6, 2
-ENTRY = DIGEST_BYTES + LENGTH_BYTES
+#: A fingerprint has 6 bytes of digest per chunk and one for its length less 1.
+DIGEST_BYTES = 6
 
 #: One random 32-bit number per byte value, from a fixed rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=2024) for b in range(256)], dtype=np.uint32)
@@ -87,7 +87,7 @@ def fingerprints(texts: list[bytes]) -> list[dict[bytes, int]]:
 
 
 def pack(chunk_set: dict[bytes, int]) -> bytes:
-    return b"".join(d + n.to_bytes(LENGTH_BYTES, "big") for d, n in sorted(chunk_set.items()))
+    return b"".join(d + bytes([n - 1]) for d, n in sorted(chunk_set.items()))
 
 
 def containment(a: dict[bytes, int], b: dict[bytes, int]) -> float:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import fingerprints, license_scan, near_dedup, quality, token_counts
+from colloquy.llm import fingerprints, license_scan, mixing, mixing_sql, near_dedup, quality, token_counts
 from colloquy.session import read_table
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,9 @@ def op3_license_scan(spark: SparkSession, base: str) -> DataFrame:
         F.array_join(F.array_sort(F.array_union("places.label", "notices.label")), ",").alias("labels"),
         F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("notices.containment"), F.lit(0.0))).alias("score"),
     )
+
+
+@query("op6_mix_sources", mixing_sql.MIX)
+def op6_mix_sources(spark: SparkSession, base: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, base, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
