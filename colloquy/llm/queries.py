@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import fingerprints, license_scan, mixing, mixing_sql, near_dedup, quality, token_counts
-from colloquy.session import read_table
+from colloquy.llm import decontaminate, fingerprints, license_scan, mixing, mixing_sql, near_dedup, quality, token_counts
+from colloquy.llm.common import small_side
+from colloquy.session import materialize, read_table
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 
@@ -101,3 +102,12 @@ def op3_license_scan(spark: SparkSession, base: str) -> DataFrame:
 def op6_mix_sources(spark: SparkSession, base: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, base, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op7_decontaminate", decontaminate.SQL)
+def op7_decontaminate(spark: SparkSession, base: str) -> DataFrame:
+    docs = read_table(spark, base, "documents", spread=True)
+    found = materialize(decontaminate.find_items(docs, read_table(spark, base, "benchmark")))
+    keys = small_side(found.select("text_key").distinct())
+    named = docs.select("doc_id", decontaminate.text_key(F.col("text")).alias("text_key")).join(keys, "text_key", "left_semi")
+    return named.join(found, "text_key").select("doc_id", "item_id", "n_item", "n_shared")
