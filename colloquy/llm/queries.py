@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontaminate, fingerprints, license_scan, mixing, mixing_sql, near_dedup, quality, token_counts
+from colloquy.llm import decontaminate, fingerprints, license_scan, mixing, mixing_sql, near_dedup, pii, quality, token_counts
 from colloquy.llm.common import small_side
 from colloquy.session import materialize, read_table
 
@@ -111,3 +111,8 @@ def op7_decontaminate(spark: SparkSession, base: str) -> DataFrame:
     keys = small_side(found.select("text_key").distinct())
     named = docs.select("doc_id", decontaminate.text_key(F.col("text")).alias("text_key")).join(keys, "text_key", "left_semi")
     return named.join(found, "text_key").select("doc_id", "item_id", "n_item", "n_shared")
+
+
+@query("op8_private_data")
+def op8_private_data(spark: SparkSession, base: str) -> DataFrame:
+    return pii.replace_entities(read_table(spark, base, "documents", spread=True).select("doc_id", "text"))
