@@ -5,10 +5,10 @@ the signature, so two permutations make all coordinates. Bands of ROWS coordinat
 are confirmed on full shingle sets; components join the links.
 
 Sizes: texts with the same shingle set are folded first, so a group of copies is one node. A bucket
-compares every member with its smallest member (its hub): one row per member and bucket, never all
-pairs. Members that the hub does not confirm are then compared with the members that may still be
-within reach: Jaccard distance is a metric, so two sets within 1-s of each other differ by at most
-1-s in their distance from the hub.
+compares every member with one of them (its hub): one row per member and bucket, never all pairs.
+Members that the hub does not confirm are then compared with those members that no bound excludes:
+Jaccard distance is a metric, so two sets within 1-s of each other differ by at most 1-s in their
+distance from the hub, and they cannot share shingles that only one of them has.
 """
 
 from __future__ import annotations
@@ -94,6 +94,60 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return with_a.mapInPandas(run, "a long, b long, linked boolean, ratio double")
 
 
+def _solo_counts(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """How many shingles of each node no other of these nodes has: (member, solo)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            data = [utf8(t) for t in batch["text"]]
+            for i, j in chunks([len(t) for t in data]):
+                sets, _ = shingle_sets(data[i:j], words)
+                yield pd.DataFrame({
+                    "member": np.repeat(batch["doc_id"].iloc[i:j].to_numpy(), [len(s) for s in sets]),
+                    "shingle": np.concatenate(sets).view(np.int64),
+                })
+
+    own = texts.join(nodes.select(F.col("member").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
+    seen = own.mapInPandas(run, "member long, shingle long")
+    once = seen.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("member")).where("n = 1")
+    return once.groupBy("member").agg(F.count(F.lit(1)).alias("solo"))
+
+
+def _within_reach(compared: DataFrame, linked: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket that its hub has not settled and that may still be linked.
+
+    One of the two is out of the hub's reach, no links join them yet, and none of these bounds rules
+    them out: sizes; the metric; and shingles that nobody else has, since what two sets share is at most
+    what either of them has in common with anyone.
+    """
+    strays = compared.where("not linked").select("bucket").distinct()
+    open_rows = compared.join(strays, "bucket")
+    members = open_rows.select("member").distinct()
+    joined = connected_components(members.select(F.col("member").alias("id")), linked)
+    facts = materialize(
+        members.join(joined.select(F.col("id").alias("member"), "component"), "member")
+        .join(_solo_counts(members, texts, words), "member", "left")
+        .select("member", "component", F.coalesce("solo", F.lit(0)).alias("solo"))
+    )
+    rows = materialize(open_rows.join(facts, "member").withColumn("common", F.col("size") - F.col("solo")))
+    a = rows.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("member", "size", "linked", "d", "component", "common")])
+    b = rows.where("not linked").select(
+        "bucket", *[F.col(c).alias(f"{c}_b") for c in ("member", "size", "d", "component", "common")]
+    )
+    shared = F.least("common_a", "common_b")
+    return (
+        b.join(a, "bucket")
+        .where(
+            (F.col("linked_a") | (F.col("member_a") < F.col("member_b")))
+            & (F.col("component_a") != F.col("component_b"))
+            & (F.abs(F.col("d_a") - F.col("d_b")) <= 1 - percent / 100 + 1e-9)
+            & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+            & (100 * shared >= percent * (F.col("size_a") + F.col("size_b") - shared))
+        )
+        .select(F.col("member_a").alias("a"), F.col("member_b").alias("b")).distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -129,10 +183,16 @@ def near_duplicates(
         )
     )
     keyed = classes.select(F.col("node").alias("member"), "size", F.explode("bands").alias("bucket"))
+    crowds = materialize(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    crowded = materialize(keyed.join(crowds, "bucket"))
+    # The hub of a bucket is the member with most company over all its buckets: an original has more
+    # copies around it than any of its copies has.
+    company = crowded.groupBy("member").agg(F.sum("members").alias("company"))
     hubs = materialize(
-        keyed.groupBy("bucket").agg(F.min("member").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
+        crowded.join(company, "member").groupBy("bucket")
+        .agg(F.max_by("member", F.struct("company", -F.col("member"))).alias("hub"))
     )
-    placed = materialize(keyed.join(hubs.select("bucket", "hub"), "bucket"))
+    placed = materialize(crowded.join(hubs, "bucket").select("member", "size", "bucket", "hub"))
     pairs = placed.where("member <> hub").select(F.col("hub").alias("a"), F.col("member").alias("b")).distinct()
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # Texts of the compared sets only; one row per node even where rows repeat an id.
@@ -141,32 +201,14 @@ def near_duplicates(
     )
     tested = materialize(_verify(pairs, texts, words, percent))
 
-    # Members out of their hub's reach, against members of the same bucket that may be within theirs.
-    far = 1 - percent / 100 + 1e-9
-    distances = placed.where("member <> hub").join(
+    linked = tested.where("linked").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    compared = placed.where("member <> hub").join(
         tested.select(F.col("a").alias("hub"), F.col("b").alias("member"), "linked", (1 - F.col("ratio")).alias("d")),
         ["hub", "member"],
     )
-    distances = materialize(distances.select("bucket", "member", "size", "linked", "d"))
-    strays = distances.where("not linked").select(
-        "bucket", F.col("member").alias("b"), F.col("size").alias("size_b"), F.col("d").alias("d_b")
-    )
-    others = distances.select(
-        "bucket", F.col("member").alias("a"), F.col("size").alias("size_a"), F.col("d").alias("d_a"), "linked"
-    )
-    reach = (
-        strays.join(others, "bucket")
-        .where(
-            ((F.col("a") < F.col("b")) | (F.col("linked") & (F.col("a") != F.col("b"))))
-            & (F.abs(F.col("d_a") - F.col("d_b")) <= far)
-            & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-        )
-        .select("a", "b").distinct()
-    )
-    more = materialize(_verify(reach, texts, words, percent))
-    links = tested.where("linked").select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).unionByName(
-        more.where("linked").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
-    )
+    compared = materialize(compared.select("bucket", "member", "size", "linked", "d"))
+    more = materialize(_verify(_within_reach(compared, linked, texts, words, percent), texts, words, percent))
+    links = linked.unionByName(more.where("linked").select(F.col("a").alias("id_a"), F.col("b").alias("id_b")))
     labels = connected_components(classes.select(F.col("node").alias("id")), links)
     found = (
         signed.where("doc_id is not null and set_key is not null")

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontaminate, fingerprints, license_scan, mixing, mixing_sql, near_dedup, pii, quality, token_counts
+from colloquy.llm import (
+    decontaminate, fingerprints, html_extract, license_scan, mixing, mixing_sql, near_dedup, pii, quality, token_counts,
+)
 from colloquy.llm.common import small_side
 from colloquy.session import materialize, read_table
 
@@ -116,3 +118,9 @@ def op7_decontaminate(spark: SparkSession, base: str) -> DataFrame:
 @query("op8_private_data")
 def op8_private_data(spark: SparkSession, base: str) -> DataFrame:
     return pii.replace_entities(read_table(spark, base, "documents", spread=True).select("doc_id", "text"))
+
+
+@query("op1_main_text")
+def op1_main_text(spark: SparkSession, base: str) -> DataFrame:
+    pages = read_table(spark, base, "pages", spread=True).select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
