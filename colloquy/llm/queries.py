@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import (
-    decontaminate, fingerprints, html_extract, license_scan, mixing, mixing_sql, near_dedup, pii, quality, token_counts,
+    chat_repair, decontaminate, fingerprints, html_extract, license_scan, mixing, mixing_sql, near_dedup, pii, quality, token_counts,
 )
 from colloquy.llm.common import small_side
 from colloquy.session import materialize, read_table
@@ -124,3 +124,9 @@ def op8_private_data(spark: SparkSession, base: str) -> DataFrame:
 def op1_main_text(spark: SparkSession, base: str) -> DataFrame:
     pages = read_table(spark, base, "pages", spread=True).select("page_id", "url", "html")
     return html_extract.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op9_chat_format")
+def op9_chat_format(spark: SparkSession, base: str) -> DataFrame:
+    turns = chat_repair.repair(read_table(spark, base, "conversations"))
+    return turns.select("conv_id", "turn", "role", "pos", "new_role", "action", "inserted", "conversation_cost", "fragment")
