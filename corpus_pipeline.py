@@ -1,13 +1,87 @@
-"""The corpus pipeline: stages over `documents`, each written and read again before the next."""
+"""The corpus pipeline: stages over `documents`, each written and read again before the next.
+
+Every stage takes (spark, docs, sf_dir) and returns the columns of docs, but the last, which adds what
+the mix takes. Null and empty texts, repeated rows, rows without an id and empty tables pass through as
+the operators define it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from colloquy.llm import decontaminate, mixing, near_dedup, pii, quality
+from colloquy.llm.common import small_side
 from colloquy.session import materialize, read_table
 
-STAGES: list = []
+#: Documents that score below are rejected.
+LEAST_QUALITY = 0.3
+MIX_KEY = "mix"
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the quality classifier scores below LEAST_QUALITY."""
+    model = quality.train(docs, read_table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, name="_quality")
+    return scored.where(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates.
+
+    Of rows that repeat an id one stays, that of the smallest text hash; rows without an id stay.
+    """
+    columns = docs.columns
+    gone = small_side(near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    repeated = small_side(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    left = docs.join(gone, "doc_id", "left_anti")
+    single = left.join(repeated, "doc_id", "left_anti").select(*columns)
+    one_each = (
+        left.join(repeated, "doc_id", "left_semi").withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+        .groupBy("doc_id").agg(F.min_by(F.struct(*columns), "_hash").alias("_row"))
+    )
+    return single.unionByName(one_each.select("_row.*").select(*columns))
+
+
+def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    clean = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    return clean.select(*docs.columns)
+
+
+def hide_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by surrogates; n_chars follows the text."""
+    hidden = pii.replace_entities(docs)
+    if "n_chars" in docs.columns:
+        hidden = hidden.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return hidden.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with size, source_size, target and taken (words, repeats counted).
+
+    Rows that agree in id and text share the words taken from them evenly.
+    """
+    added = ["size", "source_size", "target", "taken"]
+    mixed = mixing.mix(docs, key=MIX_KEY).groupBy("shuffle_place").agg(
+        F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
+        F.floor(F.sum("taken") / F.count(F.lit(1))).alias("taken"),
+    )
+    plain = docs.select(*[c for c in docs.columns if c not in added]).withColumn(
+        "shuffle_place", mixing.shuffle_place(F.col("doc_id"), F.col("text").cast("string"), MIX_KEY)
+    )
+    return plain.join(mixed.where("taken > 0"), "shuffle_place").drop("shuffle_place")
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("near-duplicates", keep_distinct),
+    ("benchmark decontamination", drop_test_items),
+    ("private data", hide_private_data),
+    ("source mix", mix_sources),
+]
 
+# Training and hashing have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
