@@ -123,7 +123,8 @@ def block_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, in
                     if not vocabulary.isdisjoint(line):
                         for _, block in _blocks(line):
                             total.update(vocabulary.intersection(block))
-        yield pd.DataFrame({"word": [w.decode() for w in total], "n": list(total.values())}, columns=["word", "n"])
+        if total:
+            yield pd.DataFrame({"word": [w.decode() for w in total], "n": list(total.values())})
 
     found = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(run, "word string, n long")
     return {r["word"].encode(): r["n"] for r in found.groupBy("word").agg(F.sum("n").alias("n")).collect()}
@@ -151,10 +152,12 @@ def license_scan(
     quick = re.compile(b"license|cc +by")
     label_of = {p.encode(): label for p, label in PHRASES.items()}
 
-    @F.pandas_udf(
-        "n_words long, places array<struct<label:string,start:long>>, "
-        "notices array<struct<label:string,containment:double,start:long>>"
+    kinds = (
+        "n_words long, place_labels array<string>, place_starts array<long>, "
+        "labels array<string>, shares array<double>, starts array<long>"
     )
+
+    @F.pandas_udf(kinds)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -166,10 +169,7 @@ def license_scan(
                     if not rare.isdisjoint(words):
                         for start, block in _blocks(words):
                             if not rare.isdisjoint(block):
-                                notices += [
-                                    {"label": index.labels[t], "containment": share, "start": at + start}
-                                    for t, share in index.matches(block)
-                                ]
+                                notices += [(index.labels[t], share, at + start) for t, share in index.matches(block)]
                     at += len(words)
                 places = []
                 flat = data.replace(b"\n", b" ")
@@ -178,11 +178,19 @@ def license_scan(
                     for found in phrase.finditer(flat):
                         counted += len(flat[done:found.start()].split())
                         done = found.start()
-                        places.append({"label": label_of[b" ".join(found.group().split())], "start": counted})
-                rows.append((at, places, notices))
-            yield pd.DataFrame(rows, columns=["n_words", "places", "notices"])
+                        places.append((label_of[b" ".join(found.group().split())], counted))
+                rows.append((
+                    at, [p[0] for p in places], [p[1] for p in places],
+                    [n[0] for n in notices], [n[1] for n in notices], [n[2] for n in notices],
+                ))
+            yield pd.DataFrame(rows, columns=[k.split()[0] for k in kinds.split(", ")])
 
     scanned = docs.withColumn("_scan", scan(F.col("text").cast("string")))
-    for name in ("n_words", "places", "notices"):
-        scanned = scanned.withColumn(name, F.col(f"_scan.{name}"))
-    return scanned.drop("_scan")
+    places = F.arrays_zip(F.col("_scan.place_labels").alias("label"), F.col("_scan.place_starts").alias("start"))
+    notices = F.arrays_zip(
+        F.col("_scan.labels").alias("label"), F.col("_scan.shares").alias("containment"), F.col("_scan.starts").alias("start")
+    )
+    return (
+        scanned.withColumn("n_words", F.col("_scan.n_words")).withColumn("places", places).withColumn("notices", notices)
+        .drop("_scan")
+    )

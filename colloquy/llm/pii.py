@@ -39,7 +39,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity; this one cheap test passes over most texts.
-HINT = rf"[0-9@]|(?:{FEMALE}|{MALE})\.? "
+HINT = rf"[0-9@]|AKIA|ASIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-]|(?:{FEMALE}|{MALE})\.? "
 
 GIVEN = {
     ("latin", "m"): "Adam Bruno Carl David Emil Felix Hugo Ivan Jonas Leo Marco Nils Oscar Paul Simon Victor".split(),
