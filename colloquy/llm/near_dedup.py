@@ -25,7 +25,8 @@ from colloquy.llm.shingles import at_least, digest, shingle_sets
 from colloquy.operators.graph import connected_components
 from colloquy.session import materialize
 
-BANDS, ROWS = 36, 7
+#: For the usual threshold of 0.8; higher thresholds can take more rows per band.
+BANDS, ROWS = 42, 6
 
 #: Multipliers of the second permutation of [0, 2^32): multiply, shift, multiply are bijections.
 _P1, _P2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
@@ -73,7 +74,11 @@ def _signed(words: int, bands: int, rows: int):
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Adds whether both sides of each pair (a, b) are similar on their full sets, and how much."""
+    """Adds whether both sides of each pair (a, b) are similar on their full sets, and how much.
+
+    Also size_a, and for pairs that are not far apart what b lacks of a's shingles.
+    """
+    near = max(0.0, 2 * percent / 100 - 1) - 0.05
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -86,12 +91,17 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                 yield pd.DataFrame({
                     "a": part["a"].to_numpy(), "b": part["b"].to_numpy(),
                     "linked": [f[0] for f in found], "ratio": [f[1] for f in found],
+                    "size_a": [len(both[k]) for k in range(n)],
+                    "missing": [
+                        np.setdiff1d(both[k], both[n + k], assume_unique=True).view(np.int64) if f[1] >= near else None
+                        for k, f in enumerate(found)
+                    ],
                 })
 
     # The side with many pairs per text (the hub's) is joined last, so its text is not carried twice.
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     with_a = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_a.mapInPandas(run, "a long, b long, linked boolean, ratio double")
+    return with_a.mapInPandas(run, "a long, b long, linked boolean, ratio double, size_a long, missing array<long>")
 
 
 def _solo_counts(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -116,13 +126,14 @@ def _solo_counts(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 def _within_reach(compared: DataFrame, linked: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of a bucket that its hub has not settled and that may still be linked.
 
-    One of the two is out of the hub's reach, no links join them yet, and none of these bounds rules
-    them out: sizes; the metric; and shingles that nobody else has, since what two sets share is at most
-    what either of them has in common with anyone.
+    One of the two is out of the hub's reach, no links join them yet, and no bound rules them out: sizes;
+    the metric; and what they can share. Of the hub's shingles they share those that neither lacks; of
+    others at most those that each has in common with anyone. If one is far from the hub, they share at
+    most what either has in common with anyone.
     """
     strays = compared.where("not linked").select("bucket").distinct()
     open_rows = compared.join(strays, "bucket")
-    members = open_rows.select("member").distinct()
+    members = open_rows.select(F.explode(F.array("member", "hub")).alias("member")).distinct()
     joined = connected_components(members.select(F.col("member").alias("id")), linked)
     facts = materialize(
         members.join(joined.select(F.col("id").alias("member"), "component"), "member")
@@ -130,11 +141,14 @@ def _within_reach(compared: DataFrame, linked: DataFrame, texts: DataFrame, word
         .select("member", "component", F.coalesce("solo", F.lit(0)).alias("solo"))
     )
     rows = materialize(open_rows.join(facts, "member").withColumn("common", F.col("size") - F.col("solo")))
-    a = rows.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("member", "size", "linked", "d", "component", "common")])
-    b = rows.where("not linked").select(
-        "bucket", *[F.col(c).alias(f"{c}_b") for c in ("member", "size", "d", "component", "common")]
-    )
-    shared = F.least("common_a", "common_b")
+    facts_of = ("member", "size", "d", "component", "common", "missing", "linked")
+    a = rows.select("bucket", "hub_size", *[F.col(c).alias(f"{c}_a") for c in facts_of])
+    b = rows.where("not linked").select("bucket", *[F.col(c).alias(f"{c}_b") for c in facts_of])
+    lacking = F.size("missing_a") + F.size("missing_b") - F.size(F.array_intersect("missing_a", "missing_b"))
+    others = [F.col(f"common_{x}") - (F.col("hub_size") - F.size(f"missing_{x}")) for x in "ab"]
+    shared = F.when(
+        F.col("missing_a").isNotNull() & F.col("missing_b").isNotNull(), F.col("hub_size") - lacking + F.least(*others)
+    ).otherwise(F.least("common_a", "common_b"))
     return (
         b.join(a, "bucket")
         .where(
@@ -142,7 +156,7 @@ def _within_reach(compared: DataFrame, linked: DataFrame, texts: DataFrame, word
             & (F.col("component_a") != F.col("component_b"))
             & (F.abs(F.col("d_a") - F.col("d_b")) <= 1 - percent / 100 + 1e-9)
             & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-            & (100 * shared >= percent * (F.col("size_a") + F.col("size_b") - shared))
+            & ((100 + percent) * shared >= percent * (F.col("size_a") + F.col("size_b")))
         )
         .select(F.col("member_a").alias("a"), F.col("member_b").alias("b")).distinct()
     )
@@ -160,7 +174,8 @@ def near_duplicates(
     hash stands for all of them. A row without a doc_id has component null and is kept. An empty table gives no rows. Only doc_id and text
     are read, so other columns may have any name.
 
-    With 36 bands of 7, a pair at similarity 0.85 is missed with probability 1e-6, at 0.8 with 1.5e-4.
+    A pair at similarity s is missed with probability (1 - s^rows)^bands: 3e-6 at 0.8 with 42 bands of
+    6, 1e-6 at 0.85 with 36 bands of 7.
     """
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
@@ -203,10 +218,13 @@ def near_duplicates(
 
     linked = tested.where("linked").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
     compared = placed.where("member <> hub").join(
-        tested.select(F.col("a").alias("hub"), F.col("b").alias("member"), "linked", (1 - F.col("ratio")).alias("d")),
+        tested.select(
+            F.col("a").alias("hub"), F.col("b").alias("member"), "linked", (1 - F.col("ratio")).alias("d"),
+            F.col("size_a").alias("hub_size"), "missing",
+        ),
         ["hub", "member"],
     )
-    compared = materialize(compared.select("bucket", "member", "size", "linked", "d"))
+    compared = materialize(compared.select("bucket", "hub", "member", "size", "linked", "d", "hub_size", "missing"))
     more = materialize(_verify(_within_reach(compared, linked, texts, words, percent), texts, words, percent))
     links = linked.unionByName(more.where("linked").select(F.col("a").alias("id_a"), F.col("b").alias("id_b")))
     labels = connected_components(classes.select(F.col("node").alias("id")), links)
