@@ -21,8 +21,8 @@ from colloquy.operators.similarity import (
 )
 from colloquy.session import materialize
 
-# Every clustering returns (id, cluster); cluster is null for noise.
-MAX_ROUNDS = 500
+# Every clustering returns (id, cluster); cluster is null for noise. Iterations end when a round
+# changes nothing.
 
 
 def _ready(claims: DataFrame) -> DataFrame:
@@ -124,17 +124,12 @@ def average_linkage(claims: DataFrame, min_similarity: float = 0.5, plan: BlockP
     product of their mean unit vectors, so the state is one vector per cluster, never a pair table.
 
     Each round merges all reciprocal best pairs, which for this linkage equals merging the best
-    pair one at a time. Once one block's worth of clusters remains, a single task finishes.
+    pair one at a time; a round without such pairs is the last, at any size.
     """
     reps, copies = fold_copies(materialize(_ready(claims)))
     clusters = materialize(reps.select("id", "vec", F.col("copies").alias("size")))
     member_of = materialize(copies.select("id", F.col("rep_id").alias("cluster")))
-    for _ in range(MAX_ROUNDS):
-        if clusters.count() <= plan.block_rows:
-            merges = _finish_average(clusters, min_similarity)
-            return member_of.join(merges.withColumnRenamed("id", "cluster"), "cluster").select(
-                "id", F.col("into").alias("cluster")
-            )
+    while True:
         seekers = clusters.select("id", "vec", F.array("id").alias("exclude"))
         targets = clusters.select("id", "vec", F.array("id").alias("tags"))
         best = top_matches(seekers, targets, 1, min_similarity, plan).select(
@@ -145,7 +140,6 @@ def average_linkage(claims: DataFrame, min_similarity: float = 0.5, plan: BlockP
             return member_of
         clusters = materialize(_merge_means(clusters, merges))
         member_of = materialize(_renamed(member_of, merges))
-    raise RuntimeError("average linkage did not settle")
 
 
 def _renamed(member_of: DataFrame, merges: DataFrame) -> DataFrame:
@@ -168,36 +162,6 @@ def _merge_means(clusters: DataFrame, merges: DataFrame) -> DataFrame:
     )
 
 
-def _finish_average(clusters: DataFrame, min_similarity: float) -> DataFrame:
-    """Best-pair merging of at most one block of clusters inside one task."""
-    kind = clusters.schema["id"].dataType.simpleString()
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        ids = pdf["id"].to_numpy()
-        means = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
-        sizes = pdf["size"].to_numpy().astype(float)
-        into = np.arange(len(ids))
-        dots = means @ means.T
-        np.fill_diagonal(dots, -np.inf)
-        while len(ids) > 1:
-            a, b = divmod(int(dots.argmax()), len(ids))
-            if dots[a, b] < min_similarity:
-                break
-            a, b = min(a, b), max(a, b)
-            means[a] = (means[a] * sizes[a] + means[b] * sizes[b]) / (sizes[a] + sizes[b])
-            sizes[a] += sizes[b]
-            into[into == b] = a
-            row = means @ means[a]
-            dots[a], dots[:, a] = row, row
-            dots[b], dots[:, b] = -np.inf, -np.inf
-            gone = np.setdiff1d(np.arange(len(ids)), np.unique(into))
-            dots[a, gone], dots[gone, a], dots[a, a] = -np.inf, -np.inf, -np.inf
-        return pd.DataFrame({"id": ids, "into": ids[into]})
-
-    return clusters.groupBy(F.lit(0).alias("one")).applyInPandas(finish, schema=f"id {kind}, into {kind}")
-
-
 def complete_linkage(claims: DataFrame, min_similarity: float = 0.5, plan: BlockPlan = DEFAULT_PLAN) -> DataFrame:
     """Complete linkage over the pairs at or above the threshold: two clusters may merge only while
     every pair across them is such a pair, so no other pair is ever needed.
@@ -208,7 +172,7 @@ def complete_linkage(claims: DataFrame, min_similarity: float = 0.5, plan: Block
     reps, copies = fold_copies(materialize(_ready(claims)))
     pairs = materialize(similar_pairs(materialize(reps.select("id", "vec")), min_similarity, plan))
     member_of = materialize(copies.select("id", F.col("rep_id").alias("cluster")))
-    for _ in range(MAX_ROUNDS):
+    while True:
         merges = materialize(_mutual(_best_partner(pairs)))
         if merges.count() == 0:
             return member_of
@@ -226,7 +190,6 @@ def complete_linkage(claims: DataFrame, min_similarity: float = 0.5, plan: Block
             F.least(new_a, new_b).alias("id_a"), F.greatest(new_a, new_b).alias("id_b")
         ).agg(F.min("similarity").alias("similarity"), F.count(F.lit(1)).alias("_have"), F.max(needed).alias("_need"))
         pairs = materialize(moved.where(F.col("_have") == F.col("_need")).drop("_have", "_need"))
-    raise RuntimeError("complete linkage did not settle")
 
 
 # -- centroids, scores, quality --------------------------------------------------------------------------------
@@ -272,7 +235,8 @@ def silhouette(claims: DataFrame, clusters: DataFrame, plan: BlockPlan = DEFAULT
     own = own.select("id", "cluster", (1 - inside).alias("a"))
     targets = means.select(F.col("cluster").alias("id"), F.col("mean").alias("vec"), F.array("cluster").alias("tags"))
     seekers = rows.select("id", "vec", F.array("cluster").alias("exclude"))
-    other = top_matches(seekers, targets, 1, -1.0, plan).select(F.col("query_id").alias("id"), (1 - F.col("similarity")).alias("b"))
+    # Rounding can put opposite vectors below -1, so no threshold applies here.
+    other = top_matches(seekers, targets, 1, -2.0, plan).select(F.col("query_id").alias("id"), (1 - F.col("similarity")).alias("b"))
     scored = own.join(other, "id").withColumn("top", F.greatest("a", "b"))
     s = F.when(F.col("top") == 0, 0.0).otherwise((F.col("b") - F.col("a")) / F.col("top"))
     return scored.agg(F.coalesce(F.avg(s), F.lit(0.0)).alias("silhouette"), F.count(F.lit(1)).alias("points"))

@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import cosine
 from colloquy.operators.ordered import first_rows
-from colloquy.operators.similarity import DEFAULT_PLAN, BlockPlan, block_join, unit_vectors
+from colloquy.operators.similarity import DEFAULT_PLAN, BlockPlan, block_join, copy_code, unit_vectors
 from colloquy.session import materialize
 
-MAX_ROUNDS = 200
-
 
 def _near(left: DataFrame, right: DataFrame, threshold: float, plan: BlockPlan) -> DataFrame:
     """Ids of left rows with an earlier right row at or above the threshold."""
@@ -27,37 +25,17 @@ def _near(left: DataFrame, right: DataFrame, threshold: float, plan: BlockPlan)
     return block_join(left, right, threshold, block, f"id {kind}", plan).distinct()
 
 
-def _settle_block(rows: DataFrame, threshold: float) -> DataFrame:
-    """Decides at most one block of rows in order, within one task of bounded size."""
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        vectors = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
-        leaders = np.zeros(len(pdf), dtype=bool)
-        for i in range(len(pdf)):
-            leaders[i] = not (vectors[leaders] @ vectors[i] >= threshold).any()
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "is_leader": leaders})
-
-    return rows.groupBy(F.lit(0).alias("one")).applyInPandas(settle, schema=f"id {kind}, is_leader boolean")
-
-
 def choose_canonical(rows: DataFrame, threshold: float, plan: BlockPlan = DEFAULT_PLAN) -> DataFrame:
     """Which rows (id, vec, ord) stay canonical when processed in order: (id, is_leader).
 
     A row becomes canonical unless an earlier canonical row is at least `threshold` similar. Per
     round, rows near a fresh canonical row drop out, and rows without an earlier open neighbour
     become canonical; this yields exactly the sequential outcome. Blocks emit at most one flag per
-    row, never the similar pairs. Once one block's worth is open, a single task finishes it.
+    row, never the similar pairs. It ends when no row is open; the first open row always settles.
     """
     open_rows = materialize(rows.select("id", "vec", "ord"))
     decided: list[DataFrame] = []
-    for _ in range(MAX_ROUNDS):
-        count = open_rows.count()
-        if count <= plan.block_rows:
-            if count:
-                decided.append(_settle_block(open_rows, threshold))
-            break
+    while not open_rows.isEmpty():
         blocked = materialize(_near(open_rows, open_rows, threshold, plan))
         fresh = materialize(open_rows.join(blocked, "id", "left_anti"))
         waiting = open_rows.join(blocked, "id", "left_semi")
@@ -65,8 +43,8 @@ def choose_canonical(rows: DataFrame, threshold: float, plan: BlockPlan = DEFAUL
         decided.append(fresh.select("id", F.lit(True).alias("is_leader")))
         decided.append(gone.select("id", F.lit(False).alias("is_leader")))
         open_rows = materialize(waiting.join(gone, "id", "left_anti"))
-    else:
-        raise RuntimeError("deduplication did not settle")
+    if not decided:
+        return open_rows.select("id", F.lit(True).alias("is_leader"))
     result = decided[0]
     for part in decided[1:]:
         result = result.unionByName(part)
@@ -102,7 +80,7 @@ def deduplicate_claims(
     stored = materialize(stored)
 
     # Copies of one vector: the first in order speaks for the rest.
-    hashed = batch.withColumn("code", F.sha2(F.to_json("vec"), 256))
+    hashed = batch.withColumn("code", copy_code(F.col("vec"), F.col("id")))
     first = hashed.groupBy("code").agg(F.min_by("id", "ord").alias("rep_id"))
     copies = hashed.select("id", "code").join(first, "code").select("id", "rep_id")
     speakers = materialize(batch.join(first.select(F.col("rep_id").alias("id")), "id", "left_semi"))

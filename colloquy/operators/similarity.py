@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import normalize
@@ -198,16 +198,15 @@ def _type_of(df: DataFrame, name: str) -> str:
 
 
 def _excluded(lpdf: pd.DataFrame, rpdf: pd.DataFrame, dots: np.ndarray) -> np.ndarray:
+    """Takes out the pairs whose tag lists share a value, by one join of the listed values."""
     if "exclude" not in lpdf or "tags" not in rpdf:
         return dots
-    where: dict[object, list[int]] = {}
-    for j, tags in enumerate(rpdf["tags"]):
-        for tag in tags if tags is not None else ():
-            where.setdefault(tag, []).append(j)
-    for i, tags in enumerate(lpdf["exclude"]):
-        for tag in tags if tags is not None else ():
-            if tag in where:
-                dots[i, where[tag]] = -np.inf
+    listed = [
+        pd.DataFrame({side: np.arange(len(column)), "tag": column.to_numpy()}).explode("tag").dropna()
+        for side, column in (("i", lpdf["exclude"]), ("j", rpdf["tags"]))
+    ]
+    shared = listed[0].merge(listed[1], on="tag")
+    dots[shared["i"].to_numpy(dtype=int), shared["j"].to_numpy(dtype=int)] = -np.inf
     return dots
 
 
@@ -266,13 +265,20 @@ def similar_pairs(vectors: DataFrame, threshold: float, plan: BlockPlan = DEFAUL
     return block_join(vectors, None, threshold, block, f"id_a {kind}, id_b {kind}, similarity double", plan)
 
 
+def copy_code(vec: Column, own: Column) -> Column:
+    """Equal for equal vectors; zero vectors get one of their own each."""
+    zero = ~F.exists(vec, lambda x: x != 0)
+    return F.when(zero, F.concat(F.lit("zero:"), own.cast("string"))).otherwise(F.sha2(F.to_json(vec), 256))
+
+
 def fold_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Representatives of equal vectors and the copy table (id, rep_id).
 
     The smallest id represents its group, so a vector shared by a third of all rows costs one row
-    in every similarity join; the copy table keeps the result whole.
+    in every similarity join; the copy table keeps the result whole. Zero vectors are similar to
+    nothing, themselves included, so each of them stands alone.
     """
-    hashed = vectors.select("id", "vec").withColumn("code", F.hex(F.sha2(F.to_json("vec"), 256)))
+    hashed = vectors.select("id", "vec").withColumn("code", copy_code(F.col("vec"), F.col("id")))
     reps = hashed.groupBy("code").agg(F.min("id").alias("rep_id"), F.count(F.lit(1)).alias("copies"))
     copies = hashed.select("id", "code").join(reps.select("code", "rep_id"), "code").select("id", "rep_id")
     payload = vectors.join(reps.select(F.col("rep_id").alias("id"), "copies"), "id")
@@ -280,17 +286,35 @@ def fold_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def duplicate_pairs(vectors: DataFrame, threshold: float, plan: BlockPlan = DEFAULT_PLAN) -> DataFrame:
-    """Pairs of similar claims, with copies linked to their representative.
+    """Similar pairs in whole: (id_a, id_b, similarity, kind), linear in the copies of a vector.
 
-    Representatives are compared with each other; every further copy of a vector adds one row
-    (representative, copy, 1.0) instead of one row per pair of copies.
+    Kind `similar` pairs representatives (the smallest id of equal vectors); kind `copy` ties every
+    further copy (id_b) to its representative (id_a). Together they stand for all pairs of similar
+    rows: any two members of two similar groups, and any two of one group; `expand_pairs` writes
+    them out.
     """
     vectors = materialize(vectors.select("id", "vec"))
     reps, copies = fold_copies(vectors)
     links = copies.where(F.col("id") != F.col("rep_id")).select(
-        F.col("rep_id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity")
+        F.col("rep_id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"), F.lit("copy").alias("kind")
+    )
+    near = similar_pairs(reps.select("id", "vec"), threshold, plan).withColumn("kind", F.lit("similar"))
+    return near.unionByName(links)
+
+
+def expand_pairs(pairs: DataFrame) -> DataFrame:
+    """All pairs (id_a < id_b) of a `duplicate_pairs` result; quadratic in the copies, for small groups."""
+    copies = pairs.where("kind = 'copy'").select(F.col("id_a").alias("rep"), F.col("id_b").alias("id"))
+    members = copies.unionByName(copies.select("rep", F.col("rep").alias("id"))).distinct()
+    lone = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct().join(members, "id", "left_anti")
+    members = members.unionByName(lone.select(F.col("id").alias("rep"), "id"))
+    left, right = (members.select(F.col("rep").alias(f"id_{x}"), F.col("id").alias(f"member_{x}")) for x in "ab")
+    near = pairs.where("kind = 'similar'").join(left, "id_a").join(right, "id_b").select("member_a", "member_b", "similarity")
+    inside = left.join(right.withColumnRenamed("id_b", "id_a"), "id_a").where("member_a < member_b").select(
+        "member_a", "member_b", F.lit(1.0).alias("similarity")
     )
-    return similar_pairs(reps.select("id", "vec"), threshold, plan).unionByName(links)
+    a, b = F.least("member_a", "member_b"), F.greatest("member_a", "member_b")
+    return near.unionByName(inside).select(a.alias("id_a"), b.alias("id_b"), "similarity")
 
 
 # -- aggregates over the threshold graph, without its edges -------------------------------------------------

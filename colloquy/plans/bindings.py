@@ -89,6 +89,17 @@ def claim_columns(embeddings: DataFrame) -> DataFrame:
     )
 
 
+def copied_vectors(spark: SparkSession, base: str) -> DataFrame:
+    """Claim vectors with zero vectors, one vector shared by a quarter of all rows, and exact copies."""
+    claims = claim_vectors(spark, base)
+    c, v = F.col("claim_id"), F.col("embedding").cast("array<double>")
+    axis = F.transform(v, lambda x, i: F.when(i == 0, 1.0).otherwise(0.0))
+    changed = claims.withColumn(
+        "embedding", F.when(c % 50 == 7, F.transform(v, lambda x: F.lit(0.0))).when(c % 4 == 1, axis).otherwise(v)
+    )
+    return changed.unionByName(changed.where(c % 7 == 0).withColumn("claim_id", c + 1_000_000))
+
+
 def _events(spark: SparkSession, base: str) -> DataFrame:
     return read_table(spark, base, "events")
 
@@ -175,12 +186,16 @@ def llm_usage(spark: SparkSession, base: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, base: str) -> DataFrame:
-    """Search requests per user for the rate audit; time runs 2000 times faster than the events."""
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return _events(spark, base).select(
-        F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("client"),
+    """Search requests per user for the rate audit; time runs 40,000 times faster than the events."""
+    return request_columns(_events(spark, base))
+
+
+def request_columns(events: DataFrame) -> DataFrame:
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000
+    return events.select(
+        F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("client"),
         F.col("event_id").alias("request_id"),
-        F.floor((seconds - 1704067200) / 2).cast("bigint").alias("at_ms"),
+        F.floor(micros / 40_000_000).cast("bigint").alias("at_ms"),
     )
 
 

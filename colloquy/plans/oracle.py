@@ -31,6 +31,13 @@ vec AS (
     CAST(embedding AS DOUBLE[]) AS v, vec_id % 50 <> 49 AS is_canonical,
     CASE WHEN vec_id % 50 = 49 THEN vec_id - 1 END AS canonical_claim, label
   FROM embeddings)""",
+    # `nz` tells vectors that are similar to anything at all.
+    "cvec": """
+cvec AS (
+  SELECT *, list_dot_product(v, v) > 0 AS nz FROM (
+    WITH m AS (SELECT claim_id, CASE WHEN claim_id % 50 = 7 THEN list_transform(v, lambda x: 0.0::DOUBLE)
+      WHEN claim_id % 4 = 1 THEN list_transform(v, lambda x, i: CASE WHEN i = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) ELSE v END AS v FROM vec)
+    SELECT * FROM m UNION ALL SELECT claim_id + 1000000, v FROM m WHERE claim_id % 7 = 0))""",
     "post": """
 post AS (
   SELECT post_no, 'p' || post_no AS post_id, source AS subreddit,
@@ -90,7 +97,7 @@ subtree AS (
   JOIN comment c ON c.comment_id = a.comment_id JOIN tree t ON t.comment_id = a.comment_id GROUP BY 1)""",
 }
 
-_NEEDS = {"summary": ["post"], "tree": ["comment"], "subtree": ["comment", "tree"]}
+_NEEDS = {"cvec": ["vec"], "summary": ["post"], "tree": ["comment"], "subtree": ["comment", "tree"]}
 
 
 def with_tables(names: str, body: str) -> str:

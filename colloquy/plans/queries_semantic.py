@@ -78,12 +78,23 @@ def g01(spark, d):
 
 
 @query("g02_similar_pairs", with_tables("vec", f"""{_CANON}
-SELECT a.claim_id AS id_a, b.claim_id AS id_b, round({_SIM}, 6) AS similarity FROM canon a JOIN canon b ON a.claim_id < b.claim_id AND {_SIM} >= {DUPLICATE}"""))
+SELECT a.claim_id AS id_a, b.claim_id AS id_b, round({_SIM}, 6) AS similarity, 'similar' AS kind
+FROM canon a JOIN canon b ON a.claim_id < b.claim_id AND {_SIM} >= {DUPLICATE}"""))
 def g02(spark, d):
     rows = unit_vectors(C.canonical_embedded(B.claim_vectors(spark, d)).withColumn("id", F.col("claim_id")))
     return duplicate_pairs(rows, DUPLICATE).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("g02_pairs_with_copies", with_tables("cvec", f"""
+rep AS (SELECT v, min(claim_id) AS claim_id FROM cvec WHERE nz GROUP BY 1)
+SELECT a.claim_id AS id_a, b.claim_id AS id_b, round({_SIM}, 6) AS similarity, 'similar' AS kind
+FROM rep a JOIN rep b ON a.claim_id < b.claim_id AND {_SIM} >= {DUPLICATE}
+UNION ALL SELECT rep.claim_id, c.claim_id, 1.0, 'copy' FROM rep JOIN cvec c ON c.v = rep.v AND c.claim_id > rep.claim_id"""))
+def g02_copies(spark, d):
+    rows = unit_vectors(B.copied_vectors(spark, d).withColumn("id", F.col("claim_id")))
+    return duplicate_pairs(rows, DUPLICATE).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("g03_filtered_search", with_tables("vec", f"""{_CANON}
 SELECT query_id, claim_id, subject, predicate, object, round(similarity, 6) AS similarity, rank FROM (
   SELECT a.claim_id AS query_id, b.*, {_SIM} AS similarity, row_number() OVER (PARTITION BY a.claim_id ORDER BY {_SIM} DESC, b.claim_id) AS rank
@@ -168,13 +179,33 @@ def g09(spark, d):
 # -- deduplication -----------------------------------------------------------------------------------------------
 
 
-@query("g10_incremental_dedup")
+#: One-by-one processing of the odd claims against the even ones, as a recursion over their order.
+DEDUP_SQL = f"""
+pre AS (SELECT a.claim_id AS a, b.claim_id AS b, {_SIM} AS sim FROM vec a JOIN vec b ON a.claim_id <> b.claim_id
+  AND {_SIM} >= {RELATED} AND a.claim_id % 2 = 1 AND (b.claim_id % 2 = 0 OR b.claim_id < a.claim_id)),
+seq AS (SELECT claim_id, row_number() OVER (ORDER BY claim_id) AS n FROM vec WHERE claim_id % 2 = 1),
+nb AS (SELECT n, claim_id, coalesce(list(b) FILTER (b IS NOT NULL), []) AS near FROM seq LEFT JOIN pre ON a = claim_id AND sim >= {DUPLICATE} GROUP BY 1, 2),
+st AS (SELECT 0::BIGINT AS n, (SELECT list(claim_id) FROM vec WHERE claim_id % 2 = 0) AS canon UNION ALL
+  SELECT nb.n, CASE WHEN list_has_any(canon, near) THEN canon ELSE list_append(canon, nb.claim_id) END FROM st JOIN nb ON nb.n = st.n + 1),
+fin AS (SELECT unnest(canon) AS claim_id FROM (SELECT canon FROM st ORDER BY n DESC LIMIT 1)),
+best AS (SELECT a, arg_max(b, (sim, -b)) AS b, max(sim) AS sim FROM pre JOIN fin ON fin.claim_id = b WHERE sim >= {DUPLICATE} GROUP BY 1),
+rel AS (SELECT a, list(b ORDER BY rank) AS related FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank
+  FROM pre JOIN fin ON fin.claim_id = b WHERE sim < {DUPLICATE} AND a IN (SELECT claim_id FROM fin)) WHERE rank <= 10 GROUP BY 1),
+outcome AS (SELECT seq.claim_id, fin.claim_id IS NOT NULL AS is_canonical, CASE WHEN fin.claim_id IS NULL THEN b END AS canonical_claim,
+  CASE WHEN fin.claim_id IS NULL THEN sim END AS similarity, coalesce(related, []) AS related
+  FROM seq LEFT JOIN fin USING (claim_id) LEFT JOIN best ON best.a = seq.claim_id LEFT JOIN rel ON rel.a = seq.claim_id)"""
+
+
+@query("g10_incremental_dedup", with_tables("vec", "RECURSIVE " + DEDUP_SQL + """
+SELECT claim_id, is_canonical, canonical_claim, round(similarity, 6) AS similarity, related FROM outcome"""))
 def g10(spark, d):
     """The first half of the claims is known, the second half arrives in order."""
     claims = B.claim_vectors(spark, d)
     is_new = F.col("claim_id") % 2 == 1
     known = claims.where(~is_new).withColumn("is_canonical", F.lit(True))
-    return D.deduplicate_claims(claims.where(is_new), known, DUPLICATE, RELATED)
+    found = D.deduplicate_claims(claims.where(is_new), known, DUPLICATE, RELATED)
+    related = F.coalesce(F.col("related.claim_id"), F.array().cast("array<bigint>"))
+    return found.select("claim_id", "is_canonical", "canonical_claim", F.round("similarity", 6).alias("similarity"), related.alias("related"))
 
 
 @query("g12_merge_duplicates", with_tables("vec", """
@@ -348,6 +379,29 @@ def h02(spark, d):
     return H.dbscan_clusters(B.claim_vectors(spark, d), EPSILON, 3)
 
 
+_CGRAPH = f"""
+adj AS (SELECT a.claim_id AS u, b.claim_id AS w FROM cvec a JOIN cvec b ON a.claim_id <> b.claim_id AND a.nz AND b.nz AND list_cosine_similarity(a.v, b.v) >= {{sim}}),
+"""
+
+
+@query("h02_dbscan_copies", with_tables("cvec", "RECURSIVE " + _CGRAPH.format(sim=1 - EPSILON) + """
+deg AS (SELECT u, count(*) AS n FROM adj GROUP BY 1), nodes AS (SELECT u AS id FROM deg WHERE n >= 3),
+links AS (SELECT u, w FROM adj WHERE u IN (SELECT id FROM nodes) AND w IN (SELECT id FROM nodes)),
+""" + _REACH + """,
+border AS (SELECT u AS id, min(cluster) AS cluster FROM adj JOIN comp ON comp.id = w WHERE u NOT IN (SELECT id FROM nodes) GROUP BY 1)
+SELECT claim_id AS id, coalesce(comp.cluster, border.cluster) AS cluster, comp.id IS NOT NULL AS is_core
+FROM cvec LEFT JOIN comp ON comp.id = claim_id LEFT JOIN border ON border.id = claim_id"""))
+def h02_copies(spark, d):
+    return H.dbscan_clusters(B.copied_vectors(spark, d), EPSILON, 3)
+
+
+@query("h03_single_copies", with_tables("cvec", "RECURSIVE " + _CGRAPH.format(sim=LINKAGE) + """
+nodes AS (SELECT claim_id AS id FROM cvec), links AS (SELECT * FROM adj),
+""" + _REACH + " SELECT id, cluster FROM comp"))
+def h03_copies(spark, d):
+    return H.single_linkage(B.copied_vectors(spark, d), LINKAGE)
+
+
 @query("h03_single_linkage", with_tables("vec", "RECURSIVE " + _GRAPH.format(sim=LINKAGE) + """
 nodes AS (SELECT claim_id AS id FROM vec), links AS (SELECT * FROM adj),
 """ + _REACH + " SELECT id, cluster FROM comp"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from colloquy.operators.rate_limit import rate_limit_audit
 from colloquy.plans import bindings as B
 from colloquy.plans.oracle import with_tables
+from colloquy.plans.queries_semantic import DEDUP_SQL
 from colloquy.plans.registry import query
 from colloquy.session import ensure_checkpoint_dir
 from colloquy.streaming import jobs
@@ -34,23 +35,32 @@ def n04_stream(spark, d):
     usage = _event_stream(spark, d).select(
         "ts", F.ceil(F.col("value") * 400).alias("input_tokens"), F.ceil(F.col("value") * 20).alias("output_tokens")
     )
-    totals = jobs.daily_usage(usage)
-    jobs.start(totals, jobs.write_totals(f"{folder}/totals"), f"{folder}/state", "update").awaitTermination()
-    return spark.read.parquet(f"{folder}/totals").withColumn("cost_usd", F.round("cost_usd", 6))
+    jobs.start(usage, jobs.write_totals(f"{folder}/totals"), f"{folder}/state").awaitTermination()
+    return jobs.read_totals(spark, f"{folder}/totals").withColumn("cost_usd", F.round("cost_usd", 6))
 
 
-@query("n05_rate_audit")
+_RATE = """
+WITH RECURSIVE req AS (
+  SELECT *, row_number() OVER (PARTITION BY client ORDER BY at_ms, request_id) AS n FROM (
+    SELECT 's' || user_id AS client, event_id AS request_id,
+      CAST(floor((epoch_us(ts) - 1704067200000000)/40000000) AS BIGINT) AS at_ms FROM events)),
+st AS (
+  SELECT client, 0::BIGINT AS n, []::BIGINT[] AS recent, 0::BIGINT AS request_id, 0::BIGINT AS at_ms, true AS admitted FROM req WHERE n = 1
+  UNION ALL
+  SELECT client, n, CASE WHEN len(f) < 30 THEN list_append(f, at_ms) ELSE f END, request_id, at_ms, len(f) < 30 FROM (
+    SELECT r.*, list_filter(st.recent, lambda x: r.at_ms - x < 60000) AS f FROM st JOIN req r ON r.client = st.client AND r.n = st.n + 1))
+SELECT client, request_id, at_ms, admitted FROM st WHERE n > 0"""
+
+
+@query("n05_rate_audit", _RATE)
 def n05(spark, d):
     return rate_limit_audit(B.requests(spark, d))
 
 
-@query("n05_rate_audit_stream")
+@query("n05_rate_audit_stream", _RATE)
 def n05_stream(spark, d):
     folder = _work_folder(spark)
-    requests = _event_stream(spark, d).select(
-        F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("client"), F.col("event_id").alias("request_id"),
-        F.floor((F.unix_micros("ts") / 1e6 - 1704067200) / 2).cast("bigint").alias("at_ms"),
-    )
+    requests = B.request_columns(_event_stream(spark, d))
     audited = jobs.rate_limit_stream(requests)
     handle = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/audit/batch={n}")
     jobs.start(audited, handle, f"{folder}/state").awaitTermination()
@@ -67,13 +77,14 @@ def n06(spark, d):
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("author_id"), F.col("event_type").alias("kind"),
         F.floor("value").alias("score"), F.to_date("ts").alias("day"), "ts", "event_id",
     )
-    seen = jobs.fresh_rows(rows, ["event_id"], "ts", "40 days").withColumn("version", F.struct("ts", "event_id"))
+    seen = rows.withColumn("version", F.struct("ts", "event_id"))
     handle = jobs.upsert_by_day(f"{folder}/rows", ["author_id", "kind", "day"], ["score", "version", "ts", "event_id"], "version")
     jobs.start(seen, handle, f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/rows").select("author_id", "kind", "score", "day")
 
 
-@query("n07_claim_stream")
+@query("n07_claim_stream", with_tables("vec", "RECURSIVE " + DEDUP_SQL + """
+SELECT claim_id, is_canonical, canonical_claim, round(similarity, 6) AS similarity FROM outcome"""))
 def n07(spark, d):
     """The second half of the claim vectors arrives as a stream against the first half."""
     folder = _work_folder(spark)
@@ -83,4 +94,5 @@ def n07(spark, d):
     known = lambda session: B.claim_vectors(session, d).where(F.col("claim_id") % 2 == 0).withColumn("is_canonical", F.lit(True))
     handle = jobs.process_claims(known, folder, duplicate=0.40, related=0.30, near=0.30, contradict=0.10)
     jobs.start(arriving, handle, f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/outcome").select("claim_id", "is_canonical", "canonical_claim", "similarity")
+    found = spark.read.parquet(f"{folder}/outcome")
+    return found.select("claim_id", "is_canonical", "canonical_claim", F.round("similarity", 6).alias("similarity"))

@@ -36,25 +36,31 @@ def start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoin
     )
 
 
-def daily_usage(usage: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Tumbling one-day totals of (ts, input_tokens, output_tokens)."""
-    return usage.withWatermark("ts", delay).groupBy(F.window("ts", "1 day")).agg(
+def daily_usage(usage: DataFrame) -> DataFrame:
+    """Totals per day of (ts, input_tokens, output_tokens)."""
+    return usage.groupBy(F.to_date("ts").alias("run_date")).agg(
         F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
         F.count(F.lit(1)).alias("requests"),
-    ).select(
-        F.to_date("window.start").alias("run_date"), "input_tokens", "output_tokens", "requests",
-        cost_usd("input_tokens", "output_tokens").alias("cost_usd"),
     )
 
 
 def write_totals(path: str) -> Callable[[DataFrame, int], None]:
-    """Keeps the table of running totals current: only changed days are rewritten."""
-    def handle(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
+    """Keeps the totals of each micro-batch; `read_totals` adds them up.
+
+    However late a row comes, it counts in its day. A repeated batch overwrites its own totals.
+    """
+    def handle(batch: DataFrame, number: int) -> None:
+        daily_usage(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return handle
 
 
+def read_totals(spark: SparkSession, path: str) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "requests")]
+    totals = spark.read.parquet(path).groupBy("run_date").agg(*sums)
+    return totals.withColumn("cost_usd", cost_usd("input_tokens", "output_tokens"))
+
+
 def rate_limit_stream(requests: DataFrame, limit: int = MAX_REQUESTS, window_ms: int = WINDOW_MS) -> DataFrame:
     """Admission per request of a stream (client, request_id, at_ms) with at most `limit` stamps of state."""
     def audit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,16 +77,11 @@ def rate_limit_stream(requests: DataFrame, limit: int = MAX_REQUESTS, window_ms:
     )
 
 
-def fresh_rows(stream: DataFrame, keys: list[str], event_time: str, delay: str = "1 day") -> DataFrame:
-    """Drops repeats of the same key within the watermark; rows later than that are dropped by Spark."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
-
-
 def upsert_by_day(path: str, key: list[str], update: list[str], order: str, day: str = "day") -> Callable[[DataFrame, int], None]:
     """Upserts each micro-batch into a table partitioned by day, rewriting only the days it touches.
 
     A row keeps its day, so its earlier version lies in the same partition. Repeating a batch after
-    a failure gives the same table.
+    a failure gives the same table, and so does a repeated or late row: the newest version stays.
     """
     def handle(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
@@ -88,9 +89,8 @@ def upsert_by_day(path: str, key: list[str], update: list[str], order: str, day:
         existing = read_or_none(spark, path)
         if existing is None:
             existing = batch.where(F.lit(False))
-        # The days of a micro-batch are a handful of values.
-        days = [r[0] for r in batch.select(day).distinct().collect()]
-        merged = upsert(existing.where(F.col(day).isin(days)).select(*batch.columns), batch, key, update, order)
+        touched = existing.join(batch.select(day).distinct(), day, "left_semi").select(*batch.columns)
+        merged = upsert(touched, batch, key, update, order)
         materialize(merged.select(*batch.columns)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy(day).parquet(path)
@@ -104,15 +104,24 @@ def process_claims(
 ) -> Callable[[DataFrame, int], None]:
     """Per micro-batch of embedded claims: dedup outcome, related claims and contradictions.
 
-    `store` reads the canonical claims known so far. Outputs go to one folder per batch number, so
-    a repeated batch overwrites its own results.
+    `store` reads the canonical claims known before the stream began; what earlier batches found
+    canonical is known to later ones. Outputs go to one folder per batch number, so a repeated batch
+    overwrites its own results.
     """
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         claims = materialize(batch)
         known = store(spark)
-        outcome = deduplicate_claims(claims, known, duplicate, related)
+        earlier = read_or_none(spark, f"{path}/canonical")
+        if earlier is not None:
+            known = known.unionByName(earlier.where(F.col("batch") < number).select(*known.columns))
+        known = materialize(known)
+        outcome = materialize(deduplicate_claims(claims, known, duplicate, related))
         outcome.write.mode("overwrite").parquet(f"{path}/outcome/batch={number}")
+        canonical = claims.join(outcome.where("is_canonical").select("claim_id"), "claim_id", "left_semi")
+        canonical.withColumn("is_canonical", F.lit(True)).select(*known.columns).write.mode("overwrite").parquet(
+            f"{path}/canonical/batch={number}"
+        )
         related_for_new_claims(claims, known, 2, near).write.mode("overwrite").parquet(f"{path}/related/batch={number}")
         every = known.unionByName(claims.select(*known.columns))
         found = I.contradictions_of(every, claims, contradict)
