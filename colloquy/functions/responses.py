@@ -30,6 +30,8 @@ class ResponseSpec:
     ranges: dict[str, tuple[float, float]] = field(default_factory=dict)
     defaults: dict[str, object] = field(default_factory=dict)
     max_items: dict[str, int] = field(default_factory=dict)
+    # Fields whose content is free.
+    loose: tuple[str, ...] = ()
     # Per-element rule of an array field; one failing element rejects the response.
     element_rules: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
 
@@ -80,6 +82,7 @@ CLAIMS = ResponseSpec(
         ),
     ),
     defaults=dict(claims=[]),
+    loose=("notable_camps",),
     element_rules={
         "claims": lambda c: c["subject"].isNotNull() & c["predicate"].isNotNull() & c["object"].isNotNull()
         & F.coalesce(c["confidence"], F.lit(0.5)).between(0, 1)
@@ -189,21 +192,47 @@ def json_object(text: Column) -> Column:
 
 
 def _first_balanced(text: Column) -> Column:
-    """Shortest valid object that starts at the first opening brace.
+    """The balanced object that starts at the first opening brace, if it is valid.
 
-    A balanced object is the only prefix of the text that both ends in `}` and parses, so growing
-    the prefix brace by brace finds it; once found the fold only carries the answer along.
+    Escaped characters are masked, the text is cut into strings, braces and the rest, and one fold
+    over these tokens counts the depth; the object is parsed once.
     """
     tail = F.regexp_extract(text, r"\{[\s\S]*", 0)
-    parts = F.split(tail, r"\}")
-    state = F.struct(F.lit("").alias("seen"), F.lit(None).cast("string").alias("found"))
+    masked = F.regexp_replace(tail, r"\\[\s\S]", "__")
+    tokens = F.regexp_extract_all(masked, F.lit(r'"[^"]*+"?|[{}]|[^"{}]++'), F.lit(0))
+    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
-    def grow(acc: Column, part: Column) -> Column:
-        seen = F.when(acc["found"].isNull(), F.concat(acc["seen"], part, F.lit("}"))).otherwise("")
-        return F.struct(seen.alias("seen"), F.coalesce(acc["found"], _strict_object(seen)).alias("found"))
+    def count(acc: Column, token: Column) -> Column:
+        depth = acc["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        at = acc["at"] + F.length(token)
+        end = F.when((acc["end"] == 0) & (depth == 0), at).otherwise(acc["end"])
+        return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
 
-    closed = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.when(tail != "", F.aggregate(closed, state, grow)["found"])
+    end = F.aggregate(tokens, state, count)["end"]
+    return F.when(end > 0, _strict_object(F.substring(tail, F.lit(1), end)))
+
+
+def _has_type(value: Column, kind: T.DataType, loose: tuple[str, ...]) -> Column:
+    """Whether a variant is of the type, elements and fields included; numbers may be whole.
+
+    A field may be missing, but where it stands it must be of its type: an explicit null is none.
+    """
+    name = F.schema_of_variant(value)
+    if isinstance(kind, T.ArrayType):
+        inside = F.forall(value.cast("array<variant>"), lambda e: F.coalesce(_has_type(e, kind.elementType, loose), F.lit(False)))
+        return F.when(name.startswith("ARRAY"), inside).otherwise(False)
+    if isinstance(kind, T.StructType):
+        ok = name.startswith("OBJECT")
+        for f in kind.fields:
+            part = F.try_variant_get(value, f"$.{f.name}", "variant")
+            if f.name not in loose:
+                ok = ok & (part.isNull() | F.coalesce(_has_type(part, f.dataType, loose), F.lit(False)))
+        return ok
+    if isinstance(kind, T.BooleanType):
+        return name == "BOOLEAN"
+    if isinstance(kind, T.StringType):
+        return name == "STRING"
+    return name.rlike("^(?:BIGINT|DOUBLE|DECIMAL)")
 
 
 def _null_fails(rule: Callable[[Column], Column]) -> Callable[[Column], Column]:
@@ -230,12 +259,14 @@ def _is_valid(parsed: Column, spec: ResponseSpec) -> Column:
 def parse_responses(df: DataFrame, text: str, spec: ResponseSpec, into: str = "response") -> DataFrame:
     """Adds a struct of the spec's fields plus `parse_ok`; all fields null when unreadable.
 
+    A value of another type than the spec's makes a response unreadable, as does an explicit null.
     The steps are separate projections so that the text is searched and parsed once per row.
     """
     parsed = df.withColumn("_json", json_object(F.col(text))).withColumn(
         "_parsed", F.from_json("_json", spec.schema, {"allowSingleQuotes": "false"})
     )
-    parsed = parsed.withColumn("_valid", _is_valid(F.col("_parsed"), spec))
+    typed = F.coalesce(_has_type(F.try_parse_json("_json"), spec.schema, spec.loose), F.lit(False))
+    parsed = parsed.withColumn("_valid", _is_valid(F.col("_parsed"), spec) & typed)
     columns = []
     for f in spec.schema.fields:
         value = F.col("_parsed")[f.name]

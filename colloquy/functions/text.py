@@ -238,7 +238,7 @@ def url_domain(url: ColumnLike) -> Column:
 
 def first_integer(text: ColumnLike) -> Column:
     digits = F.regexp_extract(_c(text), r"\d+", 0)
-    return F.coalesce(F.try_to_number(F.when(digits != "", digits), F.lit("9" * 18)).cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def is_internal_host(host: ColumnLike) -> Column:

@@ -1,7 +1,9 @@
-"""Contradictions between claims: structural equi-joins first, similarity on the survivors."""
+"""Contradictions between claims: joins on structural keys, similarity within a key."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,8 +12,7 @@ from pyspark.sql import functions as F
 from colloquy import vocab
 from colloquy.functions import predicates as P
 from colloquy.functions.text import claim_sentence
-from colloquy.functions.vectors import dot
-from colloquy.operators.similarity import DEFAULT_PLAN, BlockPlan, block_join, unit_vectors
+from colloquy.operators.similarity import DEFAULT_PLAN, BlockPlan, keyed_block_join, same_key, unit_vectors
 from colloquy.session import materialize
 
 TRIPLE = ["subject", "predicate", "object"]
@@ -77,53 +78,84 @@ def negation_counts(claims: DataFrame) -> DataFrame:
     return p.join(n, key).withColumn("pairs", F.col("positive") * F.col("negative"))
 
 
-def similar_negations(claims: DataFrame, min_similarity: float, plan: BlockPlan = DEFAULT_PLAN) -> DataFrame:
-    """Negation pairs at or above the similarity: ids and similarity only.
+def _keyed_sides(claims: DataFrame) -> DataFrame:
+    """Every claim under the structural keys it may contradict others by: (id, vec, key, side, kind).
 
-    A (subject, predicate) may hold millions of positive and negative objects, so this is a block
-    similarity join of the positive with the negative side in which a block keeps the pairs that
-    agree on subject, predicate and pattern.
+    Two claims contradict each other exactly if they stand under one key on opposite sides: for direct
+    pairs the key holds subject, object and the two opposite predicates, for comparative ones the
+    predicate and both ends, for negations subject, predicate and pattern.
     """
-    positive, negative = _negation_sides(claims)
-    key = F.xxhash64("subject", "predicate", "pattern")
-    shape = lambda side: unit_vectors(side.withColumn("id", F.col("claim_id"))).select("id", "vec", key.alias("key"))
-    kind = claims.schema["claim_id"].dataType.simpleString()
+    rows = unit_vectors(claims.withColumn("id", F.col("claim_id"))).select("id", "vec", *TRIPLE)
+
+    def under(kind: str, frame: DataFrame, key: list[Column], side: Column) -> DataFrame:
+        return frame.select("id", "vec", F.to_json(F.array(F.lit(kind), *key)).alias("key"), side.alias("side"), F.lit(kind).alias("kind"))
+
+    subject, predicate, object_ = (F.col(c) for c in TRIPLE)
+    opposed = rows.withColumn("_want", F.explode(P.opposites_of(predicate)))
+    low, high = F.least(predicate, "_want"), F.greatest(predicate, "_want")
+    direct = under("direct", opposed, [subject, object_, low, high], (predicate == high).cast("int"))
+    compared = rows.where(P.is_comparative(predicate))
+    ends = [predicate, F.least(subject, object_), F.greatest(subject, object_)]
+    # A claim about one thing alone stands on both sides.
+    sides = F.when(subject == object_, F.array(F.lit(0), F.lit(1))).otherwise(F.array((subject > object_).cast("int")))
+    compared = compared.withColumn("_side", F.explode(sides))
+    comparative = under("comparative", compared, ends, F.col("_side"))
+    positive, negative = _negation_sides(rows)
+    parts = [direct, comparative]
+    for side, frame in enumerate((positive, negative)):
+        parts.append(under("negation", frame, [subject, predicate, F.col("pattern").cast("string")], F.lit(side)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _meet(left: DataFrame, right: DataFrame, min_similarity: float, plan: BlockPlan) -> DataFrame:
+    """Similar pairs of equal keys: (id_l, id_r, similarity, kind), each once."""
+    id_kind = left.schema["id"].dataType.simpleString()
 
     def block(lpdf: pd.DataFrame, rpdf: pd.DataFrame, dots: np.ndarray) -> pd.DataFrame:
-        same = lpdf["key"].to_numpy()[:, None] == rpdf["key"].to_numpy()[None, :]
-        i, j = np.nonzero(same & (dots >= min_similarity))
-        a, b = lpdf["id"].to_numpy()[i], rpdf["id"].to_numpy()[j]
-        swap = a > b
+        i, j = np.nonzero(same_key(lpdf, rpdf) & (dots >= min_similarity))
         return pd.DataFrame({
-            "claim_id_1": np.where(swap, b, a), "claim_id_2": np.where(swap, a, b), "similarity": dots[i, j],
+            "id_l": lpdf["id"].to_numpy()[i], "id_r": rpdf["id"].to_numpy()[j], "similarity": dots[i, j],
+            "kind": lpdf["kind"].to_numpy()[i],
         })
 
-    schema = f"claim_id_1 {kind}, claim_id_2 {kind}, similarity double"
-    found = block_join(shape(positive), shape(negative), min_similarity, block, schema, plan)
-    return found.dropDuplicates(["claim_id_1", "claim_id_2"])
+    schema = f"id_l {id_kind}, id_r {id_kind}, similarity double, kind string"
+    found = keyed_block_join(left, right, block, schema, plan)
+    # A pair may stand under several patterns, or on both sides of a key.
+    return found.where("id_l <> id_r").dropDuplicates(["id_l", "id_r", "kind"])
+
+
+def _confident(pairs: DataFrame) -> DataFrame:
+    value = F.lit(None).cast("double")
+    for kind, confidence in vocab.CONTRADICTION_CONFIDENCE.items():
+        value = F.when(F.col("contradiction_type") == kind, F.lit(confidence)).otherwise(value)
+    return pairs.withColumn("confidence", value)
 
 
 def structural_contradictions(
     claims: DataFrame, min_similarity: float = 0.7, plan: BlockPlan = DEFAULT_PLAN
 ) -> DataFrame:
-    """All structural contradictions whose claims are similar enough.
+    """All structural contradictions whose claims are similar enough; triples may repeat.
 
     The three types exclude each other: direct needs differing predicates, comparative swapped
-    ends, negation equal subjects with objects of opposite sign.
+    ends, negation equal subjects with objects of opposite sign. All of them are one join on the
+    structural key, in which crowded keys are cut into blocks.
     """
-    claims = claims.select("claim_id", *TRIPLE, "embedding")
-    columns = ["claim_id_1", "claim_id_2", "similarity", "contradiction_type", "confidence"]
-    parts = []
-    for pairs in (direct_pairs, comparative_pairs):
-        # Vectors join the few structural survivors; they do not travel through the joins above.
-        found = pairs(claims.drop("embedding")).select("claim_id_1", "claim_id_2", "contradiction_type", "confidence")
-        for side in ("1", "2"):
-            vectors = unit_vectors(claims).select(F.col("claim_id").alias(f"claim_id_{side}"), F.col("vec").alias(f"vec_{side}"))
-            found = found.join(vectors, f"claim_id_{side}")
-        found = found.withColumn("similarity", dot(F.col("vec_1"), F.col("vec_2")))
-        parts.append(found.where(F.col("similarity") >= min_similarity).select(*columns))
-    negated = _typed(similar_negations(claims, min_similarity, plan), "negation").select(*columns)
-    return parts[0].unionByName(parts[1]).unionByName(negated)
+    sides = materialize(_keyed_sides(claims.select("claim_id", *TRIPLE, "embedding")))
+    met = _meet(sides.where("side = 0"), sides.where("side = 1"), min_similarity, plan)
+    pairs = met.select(
+        F.least("id_l", "id_r").alias("claim_id_1"), F.greatest("id_l", "id_r").alias("claim_id_2"), "similarity",
+        F.col("kind").alias("contradiction_type"),
+    )
+    return _confident(pairs.dropDuplicates(["claim_id_1", "claim_id_2", "contradiction_type"]))
+
+
+def similar_negations(claims: DataFrame, min_similarity: float, plan: BlockPlan = DEFAULT_PLAN) -> DataFrame:
+    """Negation pairs at or above the similarity: ids and similarity only."""
+    sides = materialize(_keyed_sides(claims.select("claim_id", *TRIPLE, "embedding")).where("kind = 'negation'"))
+    met = _meet(sides.where("side = 0"), sides.where("side = 1"), min_similarity, plan)
+    return met.select(
+        F.least("id_l", "id_r").alias("claim_id_1"), F.greatest("id_l", "id_r").alias("claim_id_2"), "similarity"
+    ).dropDuplicates(["claim_id_1", "claim_id_2"])
 
 
 def with_claim_text(pairs: DataFrame, claims: DataFrame) -> DataFrame:
@@ -147,16 +179,22 @@ def detect_contradictions(
 def contradictions_of(
     claims: DataFrame, sources: DataFrame, min_similarity: float = 0.7, limit: int = 10, plan: BlockPlan = DEFAULT_PLAN
 ) -> DataFrame:
-    """Contradictions seen from each source claim, the most similar first."""
+    """Contradictions seen from each source claim, the most similar first.
+
+    Only sources stand on the left of the join, each against the other side of its keys.
+    """
     from colloquy.operators.ordered import first_rows
 
-    found = materialize(structural_contradictions(claims, min_similarity, plan))
-    views = [
-        found.select(F.col(f"claim_id_{a}").alias("claim_id"), F.col(f"claim_id_{b}").alias("other_id"),
-                     "similarity", "contradiction_type", "confidence")
-        for a, b in (("1", "2"), ("2", "1"))
-    ]
-    seen = views[0].unionByName(views[1]).join(sources.select("claim_id"), "claim_id", "left_semi")
+    columns = ["claim_id", *TRIPLE, "embedding"]
+    asked = claims.select(*columns).join(sources.select("claim_id").distinct(), "claim_id", "left_semi")
+    facing = lambda df, side: _keyed_sides(df).withColumn("key", F.concat(side.cast("string"), "key"))
+    left = materialize(facing(asked, F.col("side")))
+    right = materialize(facing(claims.select(*columns), 1 - F.col("side")))
+    seen = _confident(
+        _meet(left, right, min_similarity, plan).dropDuplicates(["id_l", "id_r"]).select(
+            F.col("id_l").alias("claim_id"), F.col("id_r").alias("other_id"), "similarity", F.col("kind").alias("contradiction_type")
+        )
+    )
     return first_rows(seen, ["claim_id"], [F.desc("similarity"), F.asc("other_id")], limit, "rank")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,8 +12,7 @@ from colloquy.functions import signals as S
 from colloquy.functions.text import half_up, impact_line, priority
 from colloquy.operators.ordered import first_rows, row_numbers
 from colloquy.operators.threads import parent_key
-
-SALTS = 32
+from colloquy.session import materialize
 
 
 def recent_posts(posts: DataFrame, reference: Column, lookback_hours: int) -> DataFrame:
@@ -51,9 +51,7 @@ def diverse_comments(
     """Up to `count` comments per post that spread over viewpoints: (post_id, pick_no, comment_id, category).
 
     No order needs more than its first `count` rows, because at most that many were taken before.
-    Those rows are found in two steps, within salted shares of a post and then across the shares,
-    so a post with a third of all comments is ranked by many tasks. The sequential picking happens
-    on the remaining handful of ids with array functions.
+    The sequential picking happens on these few ids with array functions.
     """
     n_top = math.ceil(count * top_weight)
     n_replied = math.ceil(count * replied_weight)
@@ -82,12 +80,10 @@ def diverse_comments(
         "by_length": (F.col("contrarian"), [F.desc("length")]),
         "by_feed": (F.col("good") | (F.col("n_good") == 0), [F.asc("created_at")]),
     }
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("comment_id"), F.lit(SALTS)))
-    near = _ranked(salted, ["post_id", "_salt"], orders, last, count)
-    final = _ranked(near, ["post_id"], orders, last, count)
-    lists = final.groupBy("post_id", "n_good").agg(*[
+    ranked = _first_of_each(materialize(rows), orders, last, count)
+    lists = ranked.groupBy("post_id").agg(F.first("n_good").alias("n_good"), *[
         F.transform(
-            F.array_sort(F.collect_list(F.when(F.col(name) <= count, F.struct(name, "comment_id")))), lambda r: r["comment_id"]
+            F.array_sort(F.collect_list(F.when(F.col("order") == name, F.struct("place", "comment_id")))), lambda r: r["comment_id"]
         ).alias(name)
         for name in orders
     ])
@@ -117,14 +113,17 @@ def diverse_comments(
     )
 
 
-def _ranked(rows: DataFrame, keys: list[str], orders: dict, last: Column, count: int) -> DataFrame:
-    """Ranks rows by every order (null when not eligible) and keeps rows any order needs."""
-    keep = F.lit(False)
+def _first_of_each(rows: DataFrame, orders: dict, last: Column, count: int) -> DataFrame:
+    """The first `count` eligible rows of a post in every order: (post_id, n_good, comment_id, order, place).
+
+    Each order is a branch of its own, cut right after its ranking, so each map task passes on at most
+    `count` rows of a post, however many it has.
+    """
+    branches = []
     for name, (eligible, by) in orders.items():
-        window = Window.partitionBy(*keys).orderBy(F.desc(eligible), *by, last)
-        rows = rows.withColumn(name, F.when(eligible, F.row_number().over(window)))
-        keep = keep | F.coalesce(F.col(name) <= count, F.lit(False))
-    return rows.where(keep)
+        first = first_rows(rows.where(eligible), ["post_id"], [*by, last], count, "place")
+        branches.append(first.select("post_id", "n_good", "comment_id", F.lit(name).alias("order"), "place"))
+    return reduce(DataFrame.unionByName, branches)
 
 
 # -- importance ----------------------------------------------------------------------------------------

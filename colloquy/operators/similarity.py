@@ -153,10 +153,34 @@ def block_join(
         rights = _renewed(placed).withColumn("cell", F.col("home")).drop("home", "reach")
 
     # One row per cell, so the size table is bounded by the number of pivots.
+    return _in_chunks(lefts, rights, block, schema, plan)
+
+
+def keyed_block_join(
+    left: DataFrame, right: DataFrame, block: BlockFunction, schema: str, plan: BlockPlan = DEFAULT_PLAN
+) -> DataFrame:
+    """Applies `block` to all blocks in which rows of equal `key` (a string) can meet.
+
+    Keys are hashed into cells of about half a block, so that many small keys share a task, and a key
+    with more rows than a block is cut into chunks on both sides. `same_key` tells pairs of one key.
+    """
+    cells = max(1, math.ceil(2 * right.count() / plan.block_rows))
+    cell = F.pmod(F.xxhash64("key"), F.lit(cells)).cast("int")
+    return _in_chunks(left.withColumn("cell", cell), _renewed(right).withColumn("cell", cell), block, schema, plan)
+
+
+def same_key(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> np.ndarray:
+    """Matrix of pairs whose keys are equal, by the keys themselves."""
+    codes = pd.factorize(np.concatenate([lpdf["key"].to_numpy(), rpdf["key"].to_numpy()]))[0]
+    return codes[: len(lpdf), None] == codes[None, len(lpdf):]
+
+
+def _in_chunks(lefts: DataFrame, rights: DataFrame, block: BlockFunction, schema: str, plan: BlockPlan) -> DataFrame:
+    """Cuts crowded cells into chunks on both sides and applies `block` to every pair of chunks."""
     chunks = lambda side, name: side.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / plan.block_rows).cast("int").alias(name)
     )
-    sizes = F.broadcast(chunks(lefts, "n_l").join(chunks(rights, "n_r"), "cell"))
+    sizes = chunks(lefts, "n_l").join(chunks(rights, "n_r"), "cell")
     number = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keys = ["cell", "l_chunk", "r_chunk"]

@@ -14,8 +14,6 @@ from colloquy.functions.text import excerpt
 from colloquy.operators.ordered import first_rows
 from colloquy.session import materialize
 
-MAX_DOUBLINGS = 40
-
 
 def parent_key(parent_id: Column) -> Column:
     return F.regexp_replace(parent_id, "^t[13]_", "")
@@ -38,7 +36,8 @@ def build_forest(comments: DataFrame) -> DataFrame:
     `total_score` and `reply_count` cover the whole subtree; `height` counts its levels. Comments
     on a parent cycle belong to no thread and are left out.
     """
-    nodes = _linked(comments)
+    # Written once: the state, and every reader of the forest, start from it.
+    nodes = materialize(_linked(comments))
     state = materialize(nodes.select(
         F.col("comment_id").alias("id"),
         F.coalesce("parent", "comment_id").alias("up"),
@@ -48,7 +47,7 @@ def build_forest(comments: DataFrame) -> DataFrame:
         F.lit(1).cast("bigint").alias("height"),
     ))
     reach = 1
-    for _ in range(MAX_DOUBLINGS):
+    while True:
         # Rows whose pointer spans the full distance pass their totals to that ancestor.
         passed = state.where(F.col("hops") == reach).groupBy(F.col("up").alias("id")).agg(
             F.sum("total_score").alias("_score"),

@@ -105,6 +105,7 @@ def _events(spark: SparkSession, base: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, base: str) -> DataFrame:
+    """One post per document, titled by its first line; the events are comments of the first posts."""
     grouped = (
         _events(spark, base)
         .groupBy(_div(F.col("event_id"), POST_SIZE).alias("post_no"))
@@ -118,18 +119,20 @@ def posts(spark: SparkSession, base: str) -> DataFrame:
         F.col("doc_id").alias("post_no"), "text", F.col("source").alias("subreddit")
     )
     pages = read_table(spark, base, "pages").select(F.col("page_id").alias("post_no"), "url")
-    joined = grouped.join(docs, "post_no").join(pages, "post_no", "left")
+    joined = docs.join(grouped, "post_no", "left").join(pages, "post_no", "left")
+    since = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(post_no % 720 as int))")
+    cents = F.coalesce("cents", F.col("post_no") * 37)
     return joined.select(
         "post_no",
         F.concat(F.lit("p"), F.col("post_no").cast("string")).alias("post_id"),
         "subreddit",
-        F.substring(F.regexp_replace("text", "[\r\n]+", " "), 1, 60).alias("title"),
+        F.regexp_extract("text", r"^[^\r\n]*", 0).alias("title"),
         F.when(F.col("post_no") % 5 == 0, "").otherwise(F.col("text")).alias("content"),
         F.concat(F.lit("u"), (F.col("post_no") % 97).cast("string")).alias("author"),
         F.coalesce("url", F.lit("")).alias("url"),
-        _div(F.col("cents") % 20000, 100).alias("score"),
-        "num_comments",
-        "created_at",
+        _div(cents % 20000, 100).alias("score"),
+        F.coalesce("num_comments", F.lit(0)).alias("num_comments"),
+        F.coalesce(F.col("created_at").cast("timestamp_ntz"), since).alias("created_at"),
         F.col("post_no").alias("feed_pos"),
     )
 
@@ -200,7 +203,7 @@ def request_columns(events: DataFrame) -> DataFrame:
 
 
 def responses(spark: SparkSession, base: str) -> DataFrame:
-    """Documents wrapped as model responses in five ways by document number."""
+    """Documents wrapped as model responses in five ways by document number, some with wrong types."""
     docs = read_table(spark, base, "documents", spread=True)
     d = F.col("doc_id")
     body = F.to_json(F.struct(
@@ -208,8 +211,12 @@ def responses(spark: SparkSession, base: str) -> DataFrame:
         _pick(["positive", "negative", "mixed", "neutral"], d % 4).alias("sentiment"),
         F.array(F.col("lang"), F.col("source")).alias("key_topics"),
     ))
+    wrong_number = F.to_json(F.struct(F.col("text").alias("summary"), F.lit("high").alias("confidence")))
+    wrong_list = F.to_json(F.struct(F.col("text").alias("summary"), F.col("lang").alias("key_topics")))
     wrapped = (
-        F.when(d % 5 == 0, body)
+        F.when(d % 15 == 5, wrong_number)
+        .when(d % 15 == 10, wrong_list)
+        .when(d % 5 == 0, body)
         .when(d % 5 == 1, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone.")))
         .when(d % 5 == 2, F.concat(F.lit("Sure. "), body, F.lit(" Hope this helps.")))
         .when(d % 5 == 3, F.concat(F.lit("Result "), body, F.lit(" and a stray } brace")))

@@ -41,12 +41,14 @@ cvec AS (
     "post": """
 post AS (
   SELECT post_no, 'p' || post_no AS post_id, source AS subreddit,
-    substr(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), 1, 60) AS title,
+    regexp_extract(text, '^[^\\r\\n]*') AS title,
     CASE WHEN post_no % 5 = 0 THEN '' ELSE text END AS content, 'u' || (post_no % 97) AS author,
-    coalesce(url, '') AS url, (cents % 20000) // 100 AS score, num_comments, created_at, post_no AS feed_pos
-  FROM (SELECT event_id // 64 AS post_no, sum(CAST(round(value*100) AS BIGINT))::BIGINT AS cents, count(*) AS num_comments,
-               min(ts) AS created_at FROM events GROUP BY 1) g
-  JOIN documents ON doc_id = post_no LEFT JOIN pages ON page_id = post_no)""",
+    coalesce(url, '') AS url, (coalesce(cents, post_no*37) % 20000) // 100 AS score, coalesce(num_comments, 0) AS num_comments,
+    coalesce(created_at, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(post_no % 720 AS INT))) AS created_at, post_no AS feed_pos
+  FROM (SELECT doc_id AS post_no, * FROM documents) LEFT JOIN (
+    SELECT event_id // 64 AS post_no, sum(CAST(round(value*100) AS BIGINT))::BIGINT AS cents, count(*) AS num_comments,
+           min(ts) AS created_at FROM events GROUP BY 1) g USING (post_no)
+  LEFT JOIN pages ON page_id = post_no)""",
     "comment": """
 comment AS (
   SELECT 'c' || event_id AS comment_id, 'p' || (event_id // 64) AS post_id,

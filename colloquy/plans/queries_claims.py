@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from colloquy import vocab
@@ -339,6 +340,16 @@ def e08_new(spark, d):
     return C.new_predicates(registry).select("name", "first_seen", "usage_count")
 
 
+@query("e08_predicate_ranks", with_tables("claim", f"""
+SELECT coalesce(name, predicate) AS name, coalesce(n, 0) AS usage_count, row_number() OVER (ORDER BY coalesce(n, 0) DESC, coalesce(name, predicate)) AS place
+FROM {_SEED_SQL} FULL JOIN (SELECT predicate, count(*) AS n FROM claim GROUP BY 1) u ON name = predicate"""))
+def e08_ranks(spark, d):
+    ordered = C.predicates_by_use(C.count_predicate_use(C.seed_predicates(spark), B.claims(spark, d)))
+    # One row per predicate name: a handful of rows, numbered in their order.
+    place = F.row_number().over(Window.orderBy(F.desc("usage_count"), "name"))
+    return ordered.select("name", "usage_count", place.alias("place"))
+
+
 @query("g11_triple_upsert", with_tables("claim", """
 SELECT subject, predicate, object, max(confidence) AS confidence, min(extracted_at) AS extracted_at, min(claim_id) AS claim_id FROM claim GROUP BY 1,2,3"""))
 def g11(spark, d):
@@ -359,6 +370,19 @@ def l01(spark, d):
     return U.upsert_comments(existing.where(number % 2 == 1), incoming)
 
 
+@query("l01_post_upsert", with_tables("post", """
+SELECT post_id, title, author, CASE WHEN post_no % 3 = 0 THEN score + 7 ELSE score END AS score, num_comments,
+  CASE WHEN post_no % 3 = 0 THEN created_at + INTERVAL 2 HOUR ELSE created_at END AS fetched_at FROM post"""))
+def l01_posts(spark, d):
+    """Two of three posts are known, every third arrives twice, the later fetch with a new score."""
+    posts = B.posts(spark, d).withColumn("fetched_at", F.col("created_at"))
+    columns = ["post_id", "title", "author", "score", "num_comments", "fetched_at"]
+    third = F.col("post_no") % 3 == 0
+    later = posts.where(third).withColumn("score", F.col("score") + 7).withColumn("fetched_at", F.col("fetched_at") + F.expr("INTERVAL 2 HOURS"))
+    feed = posts.where(third).select(*columns).unionByName(later.select(*columns))
+    return U.upsert_posts(posts.where(F.col("post_no") % 3 != 1).select(*columns), feed.unionByName(posts.where(F.col("post_no") % 3 == 1).select(*columns)))
+
+
 @query("l02_author_stance_upsert", with_tables("claim stance", """
 SELECT claim_id, coalesce(source_stance, content_author_stance) AS content_author_stance, coalesce(commenter_agree_pct, 0) AS commenter_agree_pct,
   coalesce(commenter_disagree_pct, 0) AS commenter_disagree_pct, user_stance, user_note
@@ -367,15 +391,18 @@ def l02(spark, d):
     return U.upsert_author_stances(B.stances(spark, d), B.claims(spark, d))
 
 
-@query("l03_stance_events", with_tables("claim", """
+@query("l03_stance_events", with_tables("claim stance", """
 ev AS (SELECT event_id, ts, (['Brand#1','Brand#2','Go','Rust'])[1 + event_id % 4] AS s, (['supports','uses','has'])[1 + event_id % 3] AS p,
-   'Brand#' || (event_id % 25) AS o, (['agrees','disagrees','neutral','uncertain'])[1 + user_id % 4] AS st FROM events),
-last AS (SELECT s, p, o, arg_max(st, (ts, st)) AS user_stance FROM ev GROUP BY 1,2,3),
-known AS (SELECT subject, predicate, object FROM claim GROUP BY 1,2,3)
-SELECT s AS subject, p AS predicate, o AS object, user_stance, k.subject IS NULL AS is_new_claim
-FROM last LEFT JOIN known k ON k.subject = s AND k.predicate = p AND k.object = o"""))
+   'Brand#' || (event_id % 25) AS o, (['agrees','disagrees','neutral','uncertain', NULL])[1 + user_id % 5] AS st FROM events),
+last AS (SELECT s, p, o, arg_max(struct_pack(st := st), (ts, coalesce(st, ''))) AS e FROM ev GROUP BY 1,2,3),
+known AS (SELECT subject, predicate, object, min(claim_id) AS claim_id FROM claim GROUP BY 1,2,3),
+feed AS (SELECT coalesce(claim_id, 'claim:' || substr(sha256(to_json([s, p, o])::VARCHAR), 1, 20)) AS claim_id, e.st AS st, true AS touched
+  FROM last LEFT JOIN known k ON k.subject = s AND k.predicate = p AND k.object = o WHERE k.claim_id IS NOT NULL OR e.st IS NOT NULL)
+SELECT claim_id, coalesce(content_author_stance, 'not-stated') AS content_author_stance, coalesce(commenter_agree_pct, 0) AS commenter_agree_pct,
+  CASE WHEN touched THEN st ELSE user_stance END AS user_stance, CASE WHEN touched THEN NULL ELSE user_note END AS user_note
+FROM (SELECT *, true AS old FROM stance) FULL JOIN feed USING (claim_id) WHERE old OR st IS NOT NULL"""))
 def l03(spark, d):
-    claims = B.claims(spark, d)
+    """Events that add claims, change stored stances and withdraw them, against the whole stance table."""
     e, u = F.col("event_id"), F.col("user_id")
     pick = B._pick
     words = F.concat_ws(
@@ -384,12 +411,10 @@ def l03(spark, d):
     )
     events = B.read_table(spark, d, "events").select(
         F.col("ts").alias("event_at"), words.alias("claim_text"),
-        pick(["Agree", "disagree", "neutral", "uncertain"], u % 4).alias("stance"), F.lit(None).cast("string").alias("note"),
+        pick(["Agree", "disagree", "neutral", "uncertain", "remove"], u % 5).alias("stance"), F.lit(None).cast("string").alias("note"),
     )
-    added, updated = U.apply_stance_events(claims, B.stances(spark, d).where(F.lit(False)), events)
-    triples = C.upsert_triples(claims).select("claim_id", "subject", "predicate", "object", F.lit(False).alias("is_new_claim"))
-    every = triples.unionByName(added.select("claim_id", "subject", "predicate", "object", F.lit(True).alias("is_new_claim")))
-    return updated.join(every, "claim_id").select("subject", "predicate", "object", "user_stance", "is_new_claim")
+    _, updated = U.apply_stance_events(B.claims(spark, d), B.stances(spark, d), events)
+    return updated.select("claim_id", "content_author_stance", "commenter_agree_pct", "user_stance", "user_note")
 
 
 @query("l04_digest_records", with_tables("summary claim", """

@@ -104,13 +104,14 @@ words AS (SELECT post_id, list_filter([{_KW}], lambda x: x IS NOT NULL) AS keywo
 depths AS (SELECT post_id, max(depth) + 1 AS reply_depth FROM tree GROUP BY 1),
 moods AS (SELECT post_id, count(*) AS comment_count, stddev_pop(score) AS score_stddev, avg(CASE WHEN score < 0 THEN 1.0::DOUBLE ELSE 0 END) AS negative_ratio,
   count(*) FILTER ({_POS}) >= 2 AND count(*) FILTER ({_NEG}) >= 2 AS sentiment_mix FROM comment GROUP BY 1),
-detected AS (SELECT post_id, score_stddev, negative_ratio, reply_depth, comment_count, keyword_hits, camps, sentiment_mix,
+detected AS (SELECT post_id, coalesce(score_stddev, 0) AS score_stddev, coalesce(negative_ratio, 0) AS negative_ratio, coalesce(reply_depth, 0) AS reply_depth,
+  coalesce(comment_count, 0) AS comment_count, keyword_hits, camps, coalesce(sentiment_mix, false) AS sentiment_mix,
   round(least(1.0::DOUBLE, CASE WHEN score_stddev > 100 THEN 0.3 WHEN score_stddev > 50 THEN 0.15 ELSE 0 END
    + CASE WHEN negative_ratio > 0.2 THEN 0.2 WHEN negative_ratio > 0.1 THEN 0.1 ELSE 0 END
    + CASE WHEN reply_depth >= 5 THEN 0.2 WHEN reply_depth >= 3 THEN 0.1 ELSE 0 END
    + CASE WHEN len(keyword_hits) >= 5 THEN 0.2 WHEN len(keyword_hits) >= 2 THEN 0.1 ELSE 0 END
    + CASE WHEN sentiment_mix THEN 0.15 ELSE 0 END + CASE WHEN len(camps) >= 2 THEN 0.15 ELSE 0 END), 4)::DOUBLE AS controversy_score
-  FROM post JOIN words USING (post_id) JOIN depths USING (post_id) JOIN moods USING (post_id))"""
+  FROM post JOIN words USING (post_id) LEFT JOIN depths USING (post_id) LEFT JOIN moods USING (post_id))"""
 
 
 def _detected(spark, d):
@@ -152,9 +153,9 @@ def k07(spark, d):
 @query("c12_summary_routes", with_tables("post subtree", _DETECT + """,
 st AS (SELECT t.post_id, max(height) AS max_depth, (SELECT count(DISTINCT author) FROM comment c WHERE c.post_id = t.post_id) AS people
   FROM subtree s JOIN tree t USING (comment_id) WHERE t.depth = 0 GROUP BY 1)
-SELECT post_id, controversy_score, comment_count >= 20 AND (max_depth >= 3 OR people >= 10) AS use_hierarchical,
-  CASE WHEN controversy_score >= 0.5 THEN 'cot' WHEN comment_count >= 20 AND (max_depth >= 3 OR people >= 10) THEN 'hierarchical' ELSE 'standard' END AS route
-FROM detected JOIN st USING (post_id)"""))
+SELECT post_id, controversy_score, use_hierarchical,
+  CASE WHEN controversy_score >= 0.5 THEN 'cot' WHEN use_hierarchical THEN 'hierarchical' ELSE 'standard' END AS route
+FROM (SELECT *, coalesce(comment_count >= 20 AND (max_depth >= 3 OR people >= 10), false) AS use_hierarchical FROM detected LEFT JOIN st USING (post_id))"""))
 def c12(spark, d):
     detected, forest = _detected(spark, d)
     return K.summary_route(detected, J.thread_stats(forest))

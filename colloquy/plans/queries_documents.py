@@ -42,10 +42,16 @@ def a02(spark, d):
 
 
 @query("a04_valid_subreddits", """
-SELECT doc_id, w AS name, regexp_matches(w, '^[a-zA-Z0-9][a-zA-Z0-9_]{2,20}$') AS is_valid FROM (SELECT doc_id, string_split(text, ' ')[1] AS w FROM documents)""")
+SELECT doc_id, count(*) AS n_words, count(*) FILTER (ok) AS n_valid, min(w) FILTER (ok) AS first_valid, max(w) FILTER (NOT ok) AS last_invalid
+FROM (SELECT doc_id, w, regexp_matches(w, '^[a-zA-Z0-9][a-zA-Z0-9_]{2,20}$') AS ok FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents)) GROUP BY 1""")
 def a04(spark, d):
-    docs = B.read_table(spark, d, "documents").select("doc_id", F.split("text", " ")[0].alias("name"))
-    return docs.withColumn("is_valid", feeds.valid_subreddit(F.col("name")))
+    """Every word of every text as a name."""
+    words = B.read_table(spark, d, "documents", spread=True).select("doc_id", F.explode(F.split("text", " ")).alias("name"))
+    ok, name = feeds.valid_subreddit(F.col("name")), F.col("name")
+    return words.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_words"), F.count_if(ok).alias("n_valid"),
+        F.min(F.when(ok, name)).alias("first_valid"), F.max(F.when(~ok, name)).alias("last_invalid"),
+    )
 
 
 @query("a03_thread_pages", """
@@ -137,7 +143,7 @@ def a08(spark, d):
 
 @query("b21_claim_prompts", with_tables("summary", f"""
 SELECT post_id, prompt, CAST(ceil(length(prompt)/4) AS BIGINT) AS input_tokens FROM (SELECT post_id,
- 'Extract knowledge claims from this content:' || chr(10) || chr(10) || 'Title: ' || title || chr(10) || 'Summary: ' || summary || chr(10) || 'Key Topics: ' || array_to_string(key_topics, ', ')
+ 'Find the claims made in the text below.' || chr(10) || chr(10) || 'Title: ' || title || chr(10) || 'Summary: ' || summary || chr(10) || 'Key Topics: ' || array_to_string(key_topics, ', ')
  || chr(10) || 'Sentiment: ' || sentiment || chr(10) || chr(10) || 'Notable Comments:' || chr(10) || chr(10) || chr(10) || '{PR.CLAIMS_REQUEST}' AS prompt FROM summary)"""))
 def b21_claims(spark, d):
     rows = B.summaries(spark, d).withColumn("notable_comments", F.lit(None).cast("array<string>"))
@@ -156,14 +162,18 @@ def b21(spark, d):
 
 
 @query("b22_parsed_responses", """
-SELECT doc_id, doc_id % 5 <> 4 AS parse_ok, CASE WHEN doc_id % 5 <> 4 THEN text ELSE '{ broken ' || text END AS summary,
-  CASE WHEN doc_id % 5 <> 4 THEN (['positive','negative','mixed','neutral'])[1 + doc_id % 4] ELSE 'neutral' END AS sentiment,
-  CASE WHEN doc_id % 5 <> 4 THEN [lang, source] ELSE [] END AS key_topics, CASE WHEN doc_id % 5 <> 4 THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence,
-  'none' AS controversy_level, 'moderate' AS information_density FROM documents""")
+SELECT doc_id, ok AS parse_ok, NOT ok AS kept_text, CASE WHEN ok THEN text END AS summary,
+  CASE WHEN ok THEN (['positive','negative','mixed','neutral'])[1 + doc_id % 4] ELSE 'neutral' END AS sentiment,
+  CASE WHEN ok THEN [lang, source] ELSE [] END AS key_topics, CASE WHEN ok THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence,
+  'none' AS controversy_level, 'moderate' AS information_density
+FROM (SELECT *, doc_id % 5 <> 4 AND doc_id % 15 NOT IN (5, 10) AS ok FROM documents)""")
 def b22(spark, d):
+    """Unreadable responses, and those with values of wrong types, become their own summaries."""
     parsed = R.summaries_with_fallback(B.responses(spark, d).select("doc_id", "response_text"), "response_text")
     return parsed.select(
-        "doc_id", "parse_ok", "summary", "sentiment", "key_topics", "confidence", "controversy_level", "information_density"
+        "doc_id", "parse_ok", (F.col("summary") == F.col("response_text")).alias("kept_text"),
+        F.when(F.col("parse_ok"), F.col("summary")).alias("summary"),
+        "sentiment", "key_topics", "confidence", "controversy_level", "information_density",
     )
 
 
@@ -201,12 +211,11 @@ def b25(spark, d):
         "theme_synthesis": F.struct(F.array(F.struct(text.alias("trend"), F.array("lang").alias("evidence"), F.lit(0.5).alias("confidence"))).alias("emerging_trends")),
         "controversy_summary": F.struct(text.alias("summary"), F.struct(text.alias("main_claim"), text.alias("balanced_summary")).alias("controversy_analysis")),
     }
-    result = None
-    for kind, body in bodies.items():
-        rows = docs.select("doc_id", F.to_json(body).alias("response_text"))
-        part = R.parse_responses(rows, "response_text", R.SPECS[kind]).select("doc_id", F.lit(kind).alias("kind"), F.col("response.parse_ok").alias("parse_ok"))
-        result = part if result is None else result.unionByName(part)
-    return result
+    rows = docs.select("doc_id", *[F.to_json(body).alias(f"{kind}_text") for kind, body in bodies.items()])
+    for kind in bodies:
+        rows = R.parse_responses(rows, f"{kind}_text", R.SPECS[kind], into=kind)
+    told = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}.parse_ok").alias("parse_ok")) for kind in bodies])
+    return rows.select("doc_id", F.explode(told).alias("t")).select("doc_id", "t.kind", "t.parse_ok")
 
 
 # -- rendered responses -----------------------------------------------------------------------------------------------
@@ -326,3 +335,15 @@ LEFT JOIN summary ON digest_date = CAST(r.d AS DATE) GROUP BY 1"""))
 def a06(spark, d):
     days = SD.digest_range(spark, dt.date(2024, 1, 5), dt.date(2024, 2, 3))
     return days.join(B.summaries(spark, d), "digest_date", "left").groupBy("digest_date").agg(F.count("post_id").alias("posts"))
+
+
+# -- entities ---------------------------------------------------------------------------------------------------------
+
+
+@query("b19_entities", "SELECT doc_id, text FROM documents")
+def b19(spark, d):
+    """Every text with its marks written as entities of all three forms, and read back."""
+    coded = F.col("text")
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&#62;"), ("|", "&#x7C;"), ("%", "&#37;")):
+        coded = F.replace(coded, F.lit(mark), F.lit(entity))
+    return B.read_table(spark, d, "documents", spread=True).select("doc_id", X.decode_entities(coded).alias("text"))

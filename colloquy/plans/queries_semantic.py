@@ -208,13 +208,14 @@ def g10(spark, d):
     return found.select("claim_id", "is_canonical", "canonical_claim", F.round("similarity", 6).alias("similarity"), related.alias("related"))
 
 
-@query("g12_merge_duplicates", with_tables("vec", """
+_MERGES = """
 m AS (SELECT claim_id AS dup_id, claim_id - 1 AS canon_id FROM vec WHERE claim_id % 5 = 4),
 s AS (SELECT claim_id, CASE WHEN claim_id % 3 = 0 THEN 'agrees' END AS user_stance FROM vec WHERE claim_id % 2 = 0 OR claim_id % 3 = 0),
 x AS (SELECT m.*, d.claim_id IS NOT NULL AS dup_row, d.user_stance AS ds, coalesce(c.user_stance IS NOT NULL, false) AS canon_rated FROM m
-  LEFT JOIN s d ON d.claim_id = dup_id LEFT JOIN s c ON c.claim_id = canon_id)
-SELECT dup_id, canon_id, CAST(dup_row AND (NOT canon_rated OR ds IS NULL) AS BIGINT) AS stances_moved, CAST(canon_rated AND ds IS NOT NULL AS BIGINT) AS stance_conflicts FROM x"""))
-def g12(spark, d):
+  LEFT JOIN s d ON d.claim_id = dup_id LEFT JOIN s c ON c.claim_id = canon_id)"""
+
+
+def _merged(spark, d):
     claims = B.claim_vectors(spark, d)
     merges = claims.where(F.col("claim_id") % 5 == 4).select(
         F.col("claim_id").alias("dup_id"), (F.col("claim_id") - 1).alias("canon_id")
@@ -222,7 +223,28 @@ def g12(spark, d):
     stances = claims.where((F.col("claim_id") % 2 == 0) | (F.col("claim_id") % 3 == 0)).select(
         "claim_id", F.when(F.col("claim_id") % 3 == 0, "agrees").alias("user_stance")
     )
-    return D.merge_duplicates(merges, claims, stances)[2]
+    return D.merge_duplicates(merges, claims, stances)
+
+
+@query("g12_merge_duplicates", with_tables("vec", _MERGES + """
+SELECT dup_id, canon_id, CAST(dup_row AND (NOT canon_rated OR ds IS NULL) AS BIGINT) AS stances_moved, CAST(canon_rated AND ds IS NOT NULL AS BIGINT) AS stance_conflicts FROM x"""))
+def g12(spark, d):
+    return _merged(spark, d)[2]
+
+
+@query("g12_merge_edges", with_tables("vec", _MERGES + f"""
+SELECT dup_id AS src_id, canon_id AS dst_id, round({_SIM}, 6) AS similarity, 'duplicate' AS relationship
+FROM m JOIN vec a ON a.claim_id = dup_id JOIN vec b ON b.claim_id = canon_id"""))
+def g12_edges(spark, d):
+    return _merged(spark, d)[0].withColumn("similarity", F.round("similarity", 6))
+
+
+@query("g12_merged_stances", with_tables("vec", _MERGES + """,
+go AS (SELECT * FROM x WHERE dup_row AND (NOT canon_rated OR ds IS NULL)),
+rows AS (SELECT claim_id, user_stance, 0 AS guest FROM s WHERE claim_id NOT IN (SELECT dup_id FROM go) UNION ALL SELECT canon_id, ds, 1 FROM go)
+SELECT claim_id, arg_min(user_stance, guest) AS user_stance FROM rows GROUP BY 1"""))
+def g12_stances(spark, d):
+    return _merged(spark, d)[1]
 
 
 # -- contradictions --------------------------------------------------------------------------------------------------

@@ -24,8 +24,7 @@ def test_ingest_in_two_runs(spark, tmp_path):
         df.withColumn("day", F.to_date("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         handle = jobs.upsert_by_day(str(tmp_path / "table"), ["comment_id"], ["score", "at"], "at")
-        fresh = jobs.fresh_rows(stream, ["comment_id", "score"], "at")
-        jobs.start(fresh, handle, str(tmp_path / "state")).awaitTermination()
+        jobs.start(stream, handle, str(tmp_path / "state")).awaitTermination()
         return {r["comment_id"]: r["score"] for r in spark.read.parquet(str(tmp_path / "table")).collect()}
 
     assert arrive([("a", 1, 10), ("b", 2, 20), ("a", 5, 30)]) == {"a": 5, "b": 2}
