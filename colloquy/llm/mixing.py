@@ -8,6 +8,8 @@ after pass, and cut into blocks of one slot's tokens: the k-th slot of a source
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,6 @@ from colloquy.session import materialize
 
 #: Number of slots of a schedule; a slot has as many tokens as the mix then needs.
 SLOTS = 200_000
-#: Slots and documents per bucket of the running totals.
-BUCKET_ROWS = 2048
 #: 2^32 divided by the golden ratio: slot i stands at i * GOLDEN mod 2^32.
 GOLDEN, CIRCLE = 2654435769, 1 << 32
 
@@ -91,7 +91,7 @@ def schedule(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
     taken = (
         points.join(small_side(arcs), "cell")
         .where("point >= low and point < high and slot < slots")
-        .select("slot", "place", "tokens", F.floor(F.col("slot") / BUCKET_ROWS).alias("bucket"), F.lit(1).cast("long").alias("one"))
+        .select("slot", "place", "tokens", F.floor(F.col("slot") / math.isqrt(slots)).alias("bucket"), F.lit(1).cast("long").alias("one"))
     )
     ranked = running_total(taken, ["place"], "bucket", [F.col("slot")], "one", "rank")
     return materialize(ranked.select("slot", "place", "rank", "tokens"))
@@ -129,7 +129,8 @@ def mix(
     )
     targets = small_side(target_sizes(counted.select("source", "source_size"), weights, share_percent, most))
     rows = counted.agg(F.sum("n").alias("n")).head()["n"] or 0
-    bucket = F.floor(F.col("shuffle_place") / -(-(1 << 60) // max(1, -(-rows // BUCKET_ROWS))))
+    # As many buckets as a bucket may have rows: both steps of the running total stay small.
+    bucket = F.floor(F.col("shuffle_place") / -(-(1 << 60) // (math.isqrt(rows) + 1)))
     known = (
         sized.withColumnRenamed("source", "own").join(targets, F.col("own").eqNullSafe(F.col("source"))).drop("own")
         .withColumn("bucket", bucket)
