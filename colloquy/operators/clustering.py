@@ -19,7 +19,7 @@ from colloquy.operators.similarity import (
     DEFAULT_PLAN, BlockPlan, block_join, fold_copies, neighbour_counts, similar_pairs,
     spanning_edges, top_matches, unit_vectors,
 )
-from colloquy.session import materialize
+from colloquy.session import discard, materialize
 
 # Every clustering returns (id, cluster); cluster is null for noise. Iterations end when a round
 # changes nothing.
@@ -138,8 +138,10 @@ def average_linkage(claims: DataFrame, min_similarity: float = 0.5, plan: BlockP
         merges = materialize(_mutual(materialize(best)))
         if merges.count() == 0:
             return member_of
+        past = clusters, member_of
         clusters = materialize(_merge_means(clusters, merges))
         member_of = materialize(_renamed(member_of, merges))
+        discard(*past, merges)
 
 
 def _renamed(member_of: DataFrame, merges: DataFrame) -> DataFrame:
@@ -189,7 +191,9 @@ def complete_linkage(claims: DataFrame, min_similarity: float = 0.5, plan: Block
         moved = moved.where(new_a != new_b).groupBy(
             F.least(new_a, new_b).alias("id_a"), F.greatest(new_a, new_b).alias("id_b")
         ).agg(F.min("similarity").alias("similarity"), F.count(F.lit(1)).alias("_have"), F.max(needed).alias("_need"))
+        past = pairs
         pairs = materialize(moved.where(F.col("_have") == F.col("_need")).drop("_have", "_need"))
+        discard(past, merges)
 
 
 # -- centroids, scores, quality --------------------------------------------------------------------------------

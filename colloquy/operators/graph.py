@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.session import materialize
+from colloquy.session import discard, materialize
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -20,8 +20,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     before = _signature(pairs)
     while True:
-        pairs = materialize(_small_star(_large_star(pairs)))
+        earlier, (large, smallest) = pairs, _large_star(pairs)
+        pairs = materialize(_small_star(large))
         after = _signature(pairs)
+        discard(earlier, smallest)
         if after == before:
             break
         before = after
@@ -39,15 +41,18 @@ def _signature(pairs: DataFrame) -> tuple[int, int]:
     return row["n"], row["h"]
 
 
-def _large_star(pairs: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is tied to the smallest node of the neighbourhood."""
+def _large_star(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every larger neighbour of a node is tied to the smallest node of the neighbourhood.
+
+    Also returns the written table of smallest nodes, to be discarded after use.
+    """
     both = pairs.select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(
         pairs.select(F.col("high").alias("u"), F.col("low").alias("v"))
     )
     # Written first: a join of two plain scans lets the engine split the neighbours of a hub.
     smallest = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     joined = both.join(smallest, "u").where("v > u")
-    return joined.select(F.col("m").alias("low"), F.col("v").alias("high")).where("low <> high").distinct()
+    return joined.select(F.col("m").alias("low"), F.col("v").alias("high")).where("low <> high").distinct(), smallest
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:

@@ -53,7 +53,19 @@ def materialize(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `materialize` that nothing will read any more, such as those of past rounds."""
+    for table in tables:
+        path = getattr(table, "_written_to", None)
+        if path is not None:
+            jvm, context = table.sparkSession._jvm, table.sparkSession._jsc
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context.hadoopConfiguration()).delete(target, True)
 
 
 def read_table(spark: SparkSession, base: str, name: str, spread: bool = False) -> DataFrame:

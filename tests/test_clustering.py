@@ -89,3 +89,32 @@ def test_silhouette_of_coincident_points_and_single_cluster(spark):
     assert H.silhouette(claims(spark, rows), clusters).head()["silhouette"] == pytest.approx(1.0)
     one = spark.createDataFrame([(i, "a") for i in range(4)], "id long, cluster string")
     assert H.silhouette(claims(spark, rows), one).head()["silhouette"] == 0
+
+
+def test_zero_vectors_stay_alone(spark):
+    rows = [[0.0, 0.0]] * 4 + [[1.0, 0.0]] * 3 + [[0.0, 1.0]]
+    claims = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "claim_id long, embedding array<double>")
+    for clusters in (H.single_linkage(claims, 0.5), H.average_linkage(claims, 0.5), H.complete_linkage(claims, 0.5)):
+        assert {r["id"]: r["cluster"] for r in clusters.collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 4, 7: 7}
+    found = {r["id"]: r["cluster"] for r in H.dbscan_clusters(claims, 0.3, 2).collect()}
+    assert found == {0: None, 1: None, 2: None, 3: None, 4: 4, 5: 4, 6: 4, 7: None}
+
+
+def test_average_linkage_does_not_depend_on_block_size(spark):
+    import numpy as np
+
+    from colloquy.operators.similarity import BlockPlan
+
+    rows = np.random.default_rng(3).normal(size=(60, 4))
+    claims = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "claim_id long, embedding array<double>")
+    a, b = (sorted(map(tuple, H.average_linkage(claims, 0.6, plan).collect())) for plan in (BlockPlan(12, 10**6), BlockPlan()))
+    assert a == b
+
+
+def test_silhouette_of_opposite_points(spark):
+    x = [0.1 * k for k in (3, 7, 1, 9)]
+    rows = [(0, x), (1, x), (2, [-v for v in x])]
+    claims = spark.createDataFrame(rows, "claim_id long, embedding array<double>")
+    clusters = spark.createDataFrame([(0, "a"), (1, "a"), (2, "b")], "id long, cluster string")
+    row = H.silhouette(claims, clusters).head()
+    assert row["points"] == 2 and abs(row["silhouette"] - 1) < 1e-9

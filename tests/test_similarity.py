@@ -107,3 +107,26 @@ def test_components_of_a_long_chain(spark):
     nodes = spark.range(300)
     edges = spark.range(299).select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b"))
     assert connected_components(nodes, edges).select("component").distinct().count() == 1
+
+
+def test_copies_expand_to_all_pairs(spark):
+    """Copies, a hot group of copies and zero vectors: the folded result stands for every similar pair."""
+    base = vectors(7, n=12)
+    rows = np.vstack([base, base[:4], np.tile(base[5], (9, 1)), np.zeros((3, base.shape[1]))])
+    dots = rows @ rows.T
+    for plan in PLANS:
+        pairs = S.duplicate_pairs(frame(spark, rows), 0.6, plan)
+        got = {(r["id_a"], r["id_b"]) for r in S.expand_pairs(pairs).collect()}
+        expected = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if dots[i, j] >= 0.6 - 1e-12}
+        assert got == expected
+        assert pairs.where("kind = 'copy'").count() == 4 + 9
+
+
+def test_exclusions_by_tags(spark):
+    rows = vectors(8, n=20)
+    df = frame(spark, rows)
+    asked = df.withColumn("exclude", F.array("id", F.lit(3)))
+    told = df.withColumn("tags", F.array("id"))
+    found = S.top_matches(asked, told, 30, -2.0).select("query_id", "match_id").collect()
+    assert all(r["match_id"] not in (r["query_id"], 3) for r in found)
+    assert len(found) == sum(len({0, *range(20)} - {i, 3}) for i in range(20))
