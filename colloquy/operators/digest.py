@@ -10,6 +10,7 @@ from colloquy.functions.text import claim_sentence, impact_line, verification
 from colloquy.operators.ordered import row_numbers
 from colloquy.operators.selection import top_claims_per_post, what_matters
 from colloquy.operators.topics import digest_counts
+from colloquy.session import materialize
 
 HEADER, MATTERS, THEMES, CONTRADICTIONS, BREAK, DISCUSSIONS, BY_SUBREDDIT, LOW = range(8)
 HEAD, BODY, TAIL = 0, 1, 2
@@ -64,6 +65,8 @@ def digest_fragments(
     listed = listed.withColumn("claims", F.coalesce("claims", empty_claims)).withColumn(
         "threads", F.coalesce("threads", F.array().cast("array<struct<type:string,insight:string>>"))
     )
+    # Written once; a dozen kinds of fragments are read off it.
+    ranked = listed = materialize(listed)
     col, none = F.col, F.lit("")
     counts = digest_counts(ranked, claims)
     out = [_fragments(counts, HEADER, none, F.lit(0), BODY, M.digest_header(
