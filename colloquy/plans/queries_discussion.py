@@ -236,7 +236,7 @@ def _stage(src: str, taken: str, upto: int) -> str:
     return f"list_slice({_UNPICKED.format(src=src, taken=taken)}, 1, greatest({upto} - len({taken}), 0))"
 
 
-@query("f04_diverse_comments", with_tables("comment", f"""
+PICKS = f"""
 g AS (SELECT c.*, coalesce(n, 0) AS replies, length(body) >= 50 AND author <> '[deleted]' AS good FROM comment c
   LEFT JOIN (SELECT regexp_replace(parent_id, '^t[13]_', '') AS pid, count(*) AS n FROM comment GROUP BY 1) r ON pid = comment_id),
 m AS (SELECT post_id, count(*) FILTER (good) AS n_good, avg(score) FILTER (good) AS a FROM g GROUP BY 1),
@@ -255,9 +255,12 @@ s5 AS (SELECT *, {_stage('s', '(p1 || p2 || p3 || p4)', 10)} AS p5 FROM s4),
 z AS (SELECT post_id, CASE WHEN n_good <= 10 THEN list_transform(list_slice(f,1,10), lambda i: {{'c': i, 'k': 'all'}}) ELSE
   list_transform(p1, lambda i: {{'c': i, 'k': 'top'}}) || list_transform(p2, lambda i: {{'c': i, 'k': 'replied'}}) ||
   list_transform(p3, lambda i: {{'c': i, 'k': 'controversial'}}) || list_transform(p4, lambda i: {{'c': i, 'k': 'contrarian'}}) ||
-  list_transform(p5, lambda i: {{'c': i, 'k': 'fill'}}) END AS picks FROM s5)
-SELECT post_id, pick_no, picks[pick_no].c AS comment_id, picks[pick_no].k AS category
-FROM (SELECT post_id, picks, unnest(range(1, len(picks) + 1)) AS pick_no FROM z)"""))
+  list_transform(p5, lambda i: {{'c': i, 'k': 'fill'}}) END AS picks FROM s5),
+picked AS (SELECT post_id, pick_no, picks[pick_no].c AS comment_id, picks[pick_no].k AS category
+  FROM (SELECT post_id, picks, unnest(range(1, len(picks) + 1)) AS pick_no FROM z))"""
+
+
+@query("f04_diverse_comments", with_tables("comment", PICKS + " SELECT * FROM picked"))
 def f04(spark, d):
     return S.diverse_comments(B.comments(spark, d), 10)
 

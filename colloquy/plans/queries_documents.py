@@ -91,7 +91,16 @@ def k08(spark, d):
     return pages.with_article(B.read_table(spark, d, "pages", spread=True)).select("page_id", "title")
 
 
-@query("k11_articles")
+_PLAIN = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+#: Title and article text of the given pages, whose content is always one `article` element.
+_ARTICLE = """
+art AS (SELECT page_id, trim(""" + _PLAIN.format("regexp_extract(html, '<title>([^<]*)</title>', 1)") + """) AS title,
+  trim(regexp_replace(""" + _PLAIN.format("regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<[^>]*>', '', 'g')") + """, '\\s+', ' ', 'g')) AS content
+  FROM pages)"""
+
+
+@query("k11_articles", "WITH " + _ARTICLE + """
+SELECT page_id, title, content, trim(substr(content, 1, 300)) || CASE WHEN length(content) > 300 THEN '...' ELSE '' END AS excerpt FROM art""")
 def k11(spark, d):
     return pages.with_article(B.read_table(spark, d, "pages", spread=True)).select("page_id", "title", "content", "excerpt")
 
@@ -104,13 +113,26 @@ def k12(spark, d):
     return pages.link_contents(B.links(spark, d)).select("post_id", "domain", "error")
 
 
-@query("b23_link_prompts")
+_LINKED = _ARTICLE.strip() + """,
+hosts AS (SELECT *, regexp_replace(h, '^www\\.', '') AS domain FROM (SELECT *, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS h FROM link)),
+linked AS (SELECT post_id, page_id, domain, CASE WHEN h LIKE '169.254.%' OR h LIKE '10.0.0.%' THEN 'Blocked: private or internal host'
+  WHEN contains(domain,'twitter.com') OR contains(domain,'x.com') THEN 'Domain ' || domain || ' is blocked' END AS error FROM hosts),
+read AS (SELECT linked.*, title, CASE WHEN length(content) > 5000 THEN substr(content, 1, 5000) || '...' ELSE content END AS content, length(content) > 5000 AS truncated
+  FROM linked JOIN art USING (page_id))"""
+
+
+@query("b23_link_prompts", with_tables("link", _LINKED + """
+SELECT post_id, CASE WHEN error IS NOT NULL THEN '(Link post - ' || error || ')'
+  WHEN length(content) < 50 THEN '(Link post to ' || domain || ' - content extraction failed)'
+  ELSE CASE WHEN title <> '' THEN 'Linked Article: "' || title || '"' || chr(10) ELSE '' END || 'Source: ' || domain || chr(10) || chr(10)
+    || CASE WHEN length(content) > 1500 THEN substr(content, 1, 1500) || '...' ELSE content END END AS link_text FROM read"""))
 def b23(spark, d):
     found = pages.link_contents(B.links(spark, d))
     return found.select("post_id", X.link_prompt("title", "content", "domain", "error", 1500).alias("link_text"))
 
 
-@query("k12_link_contents")
+@query("k12_link_contents", with_tables("link", _LINKED + """
+SELECT post_id, title, content, truncated FROM read WHERE error IS NULL"""))
 def k12_contents(spark, d):
     return pages.link_contents(B.links(spark, d)).where("error is null").select("post_id", "title", "content", "truncated")
 
@@ -150,7 +172,26 @@ def b21_claims(spark, d):
     return PR.claim_prompts(rows)
 
 
-@query("b21_summary_prompts")
+_SUMMARY_PROMPT = """,
+lines AS (SELECT c.post_id, string_agg('- u/' || author || ' (' || score || ' pts): ' || substr(body, 1, 500), chr(10) ORDER BY pick_no) AS told, count(*) AS shown
+  FROM picked JOIN comment c USING (comment_id) GROUP BY 1),
+linked AS (SELECT post_id, CASE WHEN length(art.content) < 50 THEN '(Link post to ' || domain || ' - content extraction failed)' ELSE
+  CASE WHEN art.title <> '' THEN 'Linked Article: "' || art.title || '"' || chr(10) ELSE '' END || 'Source: ' || domain || chr(10) || chr(10)
+  || CASE WHEN length(art.content) > 1500 THEN substr(art.content, 1, 1500) || '...' ELSE art.content END END AS link_text
+  FROM (SELECT *, regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\\.', '') AS domain FROM post
+        WHERE length(trim(content, ' ' || chr(9) || chr(10) || chr(13))) < 50 AND regexp_matches(url, '^https?://')) p
+  JOIN pages USING (url) JOIN art USING (page_id)),
+told AS (SELECT post_id, 'Write a summary of the discussion below.' || chr(10) || chr(10) || 'Title: ' || title || chr(10) || 'Author: u/' || author || chr(10)
+  || 'Score: ' || score || ' upvotes' || chr(10) || 'URL: ' || url || chr(10) || chr(10) || 'Content:' || chr(10)
+  || coalesce(nullif(content, ''), nullif(link_text, ''), '(Link post - no text content)') || chr(10) || chr(10)
+  || 'Comments (' || coalesce(shown, 0) || ' of ' || comment_count || ', chosen for different views):' || chr(10) || coalesce(told, '')
+  || CASE WHEN controversy_score >= 0.4 THEN chr(10) || chr(10) || 'Opinions differ here (controversy ' || CAST(round(controversy_score*100) AS BIGINT)
+     || '%): give every side its share.' ELSE '' END || chr(10) || chr(10) || '""" + PR.SUMMARY_REQUEST + """' AS prompt
+  FROM post JOIN detected USING (post_id) LEFT JOIN lines USING (post_id) LEFT JOIN linked USING (post_id))
+SELECT post_id, prompt, CAST(ceil(length(prompt)/4) AS BIGINT) AS input_tokens FROM told"""
+
+
+@query("b21_summary_prompts", with_tables("post tree", QD._DETECT + "," + QD.PICKS + "," + _ARTICLE + _SUMMARY_PROMPT))
 def b21(spark, d):
     posts, comments = B.posts(spark, d), B.comments(spark, d)
     detected, _ = QD._detected(spark, d)

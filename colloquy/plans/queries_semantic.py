@@ -488,6 +488,23 @@ def h05(spark, d):
     return themes.select("theme_id", "name", "description", "keywords", "claim_count")
 
 
+_OWN = _LABEL.replace(
+    "k AS (SELECT *, label::VARCHAR AS c FROM vec WHERE label < 9)",
+    """k AS (SELECT vec.*, cluster::VARCHAR AS c FROM vec JOIN comp ON comp.id = claim_id
+  WHERE cluster IN (SELECT cluster FROM comp GROUP BY 1 HAVING count(*) >= 3))""",
+)
+
+
+@query("h05_own_themes", with_tables("vec", "RECURSIVE " + _GRAPH.format(sim=LINKAGE) + "nodes AS (SELECT claim_id AS id FROM vec), links AS (SELECT * FROM adj),\n"
+    + _REACH + "," + _OWN + " SELECT theme_id, name, description, keywords, claim_count FROM theme"))
+def h05_own(spark, d):
+    """Themes of the clusters that single linkage finds, not of given labels."""
+    claims = B.claim_vectors(spark, d)
+    clusters = H.single_linkage(claims, LINKAGE).withColumn("cluster", F.col("cluster").cast("string"))
+    _, themes, _, _ = (claims, *H.build_themes(claims, clusters, "run1", F.col("claim_id"), 3))
+    return themes.select("theme_id", "name", "description", "keywords", "claim_count")
+
+
 @query("h05_memberships", with_tables("vec", _LABEL + " SELECT claim_id, theme_id, round(membership_score, 6) AS membership_score FROM member"))
 def h05_members(spark, d):
     return _themes(spark, d)[2].withColumn("membership_score", F.round("membership_score", 6))
