@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.common import bound_batches
 from colloquy.llm.labelled_pages import labelled_pages
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +36,10 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 SECTIONS = set("article aside body div footer form header main nav section table".split())
 
 
+#: Weight of the features of blocks that are no sections.
+BLOCK_WEIGHT = 0.5
+
+
 @dataclass
 class Node:
     tag: str
@@ -139,11 +144,21 @@ def _features(nodes: list[Node]) -> list[list[str]]:
             linked[p] += linked[i]
             stops[p] += stops[i]
     out = []
+    above: list[tuple[str, ...]] = []
     for i, node in enumerate(nodes):
         size = text[i]
         share = linked[i] / size if size else 0.0
         found = [f"tag={node.tag}"]
         found += [f"word={w}" for w in dict.fromkeys(node.words)]
+        # Attribute words of the nearest three elements above that have any.
+        parent = nodes[node.parent] if node.parent >= 0 else None
+        kept = above[node.parent] if parent is not None else ()
+        above.append((" ".join(parent.words), *kept)[:3] if parent is not None and parent.words else kept)
+        if _edge(node) == "inline":
+            # What an inline element is, its surroundings tell; a link is all link wherever it stands.
+            out.append(found)
+            continue
+        found += [f"above={w}" for w in dict.fromkeys(" ".join(above[i]).split())]
         found.append(f"size={min(int(math.log2(size + 1)), 10) // 2}")
         found.append(f"links={0 if share < 0.1 else 1 if share < 0.4 else 2 if share < 0.8 else 3}")
         found.append(f"stops={min(int(40 * stops[i] / (size + 1)), 3)}")
@@ -168,10 +183,12 @@ class PageModel:
         n = len(nodes)
         own = [[0.0, 0.0] for _ in range(n)]
         for i, found in enumerate(_features(nodes)):
+            # The features of a block say much the same; halving their weight leaves more to the edges.
+            weight = BLOCK_WEIGHT if _edge(nodes[i]) == "block" else 1.0
             for f in found:
                 a, b = self.seen.get(f, (0.0, 0.0))
-                own[i][0] += a
-                own[i][1] += b
+                own[i][0] += weight * a
+                own[i][1] += weight * b
         up = [[0.0, 0.0] for _ in range(n)]  # message of element i to its parent, by the parent's state
         gathered = [list(p) for p in own]
         for i in range(n - 1, 0, -1):
@@ -282,6 +299,8 @@ def extract(pages: DataFrame, html: str = "html", name: str = "text", training:
     called `name` is replaced. One page is one row's work, and no row is shuffled.
     """
 
+    bound_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = default_model() if training is None else train(training)

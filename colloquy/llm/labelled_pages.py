@@ -37,6 +37,15 @@ def _body(seed: int, size: int) -> str:
         text = _sentences(seed * 31 + i, 1 + (seed + 5 * i) % 5)
         if kind == 1:
             parts.append(f"<h2>{_sentences(seed + i, 1)[:40]}</h2><p>{text}</p>")
+        elif kind == 2:
+            parts.append(f'<p>{text} Then <a href="/u">{_WORDS[i % 20]}</a>, <a href="/v">{_WORDS[(i + 7) % 20]} {_WORDS[i % 9]}</a>.</p>')
+        elif kind == 4:
+            parts.append(
+                f'<ul><li>{_sentences(i, 1)}</li><li><a href="/z">{_WORDS[i % 20]} {_WORDS[(i + 3) % 20]}</a></li>'
+                f'<li><a href="/w">{_WORDS[(i + 5) % 20]}</a>, {text}</li></ul>'
+            )
+        elif kind == 0 and seed % 2:
+            parts.append(f'<p><a href="/s">{_sentences(i, 1)}</a></p>')
         elif kind == 3:
             parts.append(f"<ul><li>{text}</li><li>{_sentences(i, 1)}</li></ul>")
         elif kind == 5:

@@ -142,9 +142,10 @@ def test_notices_are_exactly_those_that_brute_force_finds(documents):
 
 def test_extraction_on_labelled_pages_held_out():
     pages = html_extract.labelled_pages()
-    model = html_extract.train(pages[::2])
+    # Layouts repeat every 12, 13 and 17 pages: a fifth of the pages has combinations never seen.
+    model = html_extract.train([p for i, p in enumerate(pages) if i % 5])
     right = total = 0
-    for page in pages[1::2]:
+    for page in pages[::5]:
         nodes = html_extract.parse(page)
         states = [0] * len(nodes)
         for i, node in enumerate(nodes):
@@ -165,7 +166,8 @@ def test_marginals_equal_brute_force():
     for states in itertools.product((0, 1), repeat=len(nodes)):
         log = model.root[states[0]]
         for i, s in enumerate(states):
-            log += sum(model.seen.get(f, (0.0, 0.0))[s] for f in features[i])
+            weight = html_extract.BLOCK_WEIGHT if html_extract._edge(nodes[i]) == "block" else 1.0
+            log += weight * sum(model.seen.get(f, (0.0, 0.0))[s] for f in features[i])
             if i:
                 log += model.edges[html_extract._edge(nodes[i]), states[nodes[i].parent], s]
         weights.append((states, math.exp(log + 100)))
