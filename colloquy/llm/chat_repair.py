@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.common import bound_batches
 from colloquy.session import materialize
 
 ROLES = ("system", "user", "assistant")
@@ -168,6 +169,7 @@ def repair(turns: DataFrame, partitions: int | None = None) -> DataFrame:
     conv_id, turn, role and text are read. An empty table gives no rows.
     """
     spark = turns.sparkSession
+    bound_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.asc_nulls_last("conv_id"), F.asc_nulls_last("turn"), F.asc("role"), F.asc("text"), F.asc("copy")]
     rows = materialize(

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import chunks, utf8
+from colloquy.llm.common import bound_batches, chunks, utf8
 from colloquy.session import materialize
 
 WINDOW = 16
@@ -167,6 +167,7 @@ def edit_fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFra
     of partitions, two a partition, are matched in a second small step.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.desc_nulls_last("doc_id"), F.asc("tie"), F.asc("seq")]
     sorted_rows = (

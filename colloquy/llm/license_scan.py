@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import utf8
+from colloquy.llm.common import bound_batches, utf8
 
 WINDOW, STEP = 128, 64
 THRESHOLD = 0.8
@@ -140,6 +140,7 @@ def license_scan(
     empty table gives none. Existing columns of these names are replaced, all others stay. No row is
     shuffled; one row per template word reaches the driver.
     """
+    bound_batches(docs.sparkSession)
     templates = TEMPLATES if templates is None else templates
     if any(len(words_of(text)) > STEP for _, text in templates):
         raise ValueError(f"a template has more than {STEP} words")

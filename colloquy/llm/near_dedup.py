@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import chunks, utf8
+from colloquy.llm.common import bound_batches, chunks, utf8
 from colloquy.llm.shingles import at_least, digest, shingle_sets
 from colloquy.operators.graph import connected_components
 from colloquy.session import materialize
@@ -177,6 +177,7 @@ def near_duplicates(
     A pair at similarity s is missed with probability (1 - s^rows)^bands: 3e-6 at 0.8 with 42 bands of
     6, 1e-6 at 0.85 with 36 bands of 7.
     """
+    bound_batches(docs.sparkSession)
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     ).withColumn("tie", F.xxhash64("text"))

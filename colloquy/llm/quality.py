@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import utf8
+from colloquy.llm.common import bound_batches, utf8
 
 #: Bounds of the training sample, in rows: trusted positives and unlabelled texts.
 MAX_POSITIVES, MAX_UNLABELLED = 4000, 8000
@@ -140,6 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVES, un
     Trusted positives are labelled 1; unlabelled texts are any of docs, their labels unseen. The prior
     is the share of 1 among all labels that are not held out, within [0.05, 0.95].
     """
+    bound_batches(docs.sparkSession)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
     share = usable.agg(F.avg((F.col("quality") == 1).cast("double")).alias("p")).head()["p"]
     prior = min(max(share if share is not None else 0.5, 0.05), 0.95)
@@ -161,6 +162,8 @@ def score(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFram
     stay; an existing column called `name` is replaced. No shuffle.
     """
 
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

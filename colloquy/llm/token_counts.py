@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.common import bound_batches
+
 END = "</w>"
 #: Beyond these characters (or at a dotted capital I) normal forms need care.
 BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
@@ -248,6 +250,8 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", name: str
     of TABLE_ENTRIES words.
     """
 
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = counter(vocabulary)
@@ -265,6 +269,8 @@ def store_prefix_counts(docs: DataFrame, vocabulary: str, text: str = "text", na
     `longest_within` answer questions from the packed column without encoding anything again.
     """
 
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("text string, counts binary")
     def build(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = counter(vocabulary)
