@@ -3,7 +3,8 @@
 The mix is a row of equal-token slots. Slot i stands at the point frac(i * golden ratio), which a table
 of cumulative target weights maps to a source; any stretch of slots holds each source in proportion.
 Slots are ranked per source, the documents of a source are laid end to end in keyed random order, pass
-after pass, and cut into blocks of one slot's tokens: the k-th slot of a source takes its k-th block.
+after pass, and cut into blocks of one slot's tokens: the k-th slot of a source takes its k-th block. Where
+slots hold several tokens, a source whose target is below FINE of them has FINE smaller slots of its own.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from colloquy.session import materialize
 
 #: Number of slots of a schedule; a slot has as many tokens as the mix then needs.
 SLOTS = 200_000
+#: A source with fewer slots than this would miss its target by a share that counts.
+FINE = 256
 #: 2^32 divided by the golden ratio: slot i stands at i * GOLDEN mod 2^32.
 GOLDEN, CIRCLE = 2654435769, 1 << 32
 
@@ -67,20 +70,29 @@ def schedule(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
     """The slots of the mix: (slot, place, rank, tokens), rank counted from 0 per source.
 
     Each source owns an arc of the circle of points, as wide as its target. Arcs and slots meet in
-    equal cells of the circle, so the lookup is a join on the cell and not on ranges.
+    equal cells of the circle, so the lookup is a join on the cell and not on ranges. Sources below FINE
+    slots of several tokens own no arc: they have about FINE slots of fewer tokens, spread evenly, each
+    beside the slot whose number it has.
     """
     spark = targets.sparkSession
     cells = 4096
     width = CIRCLE // cells
     order = Window.orderBy("place")
+    through = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sized = materialize(
+        targets.withColumn("all", F.sum("target").over(every))
+        .where("all > 0")
+        .withColumn("tokens", F.greatest(F.ceil(F.col("all") / slots).cast("long"), F.lit(1).cast("long")))
+        .withColumn("fine", (F.col("tokens") > 1) & (F.col("target") < F.col("tokens") * FINE))
+        .withColumn("upto", F.sum(F.when(F.col("fine"), 0.0).otherwise(F.col("target"))).over(through))
+        .withColumn("total", F.max("upto").over(every))
+        .withColumn("slots", F.ceil(F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("all")) / F.col("tokens")).cast("long"))
+    )
     arcs = (
-        targets.withColumn("upto", F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .withColumn("total", F.max("upto").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        .where("total > 0")
+        sized.where("total > 0")
         .withColumn("high", F.floor(F.col("upto") / F.col("total") * F.lit(CIRCLE)).cast("long"))
         .withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(0).cast("long")))
-        .withColumn("tokens", F.greatest(F.ceil(F.col("total") / slots).cast("long"), F.lit(1).cast("long")))
-        .withColumn("slots", F.ceil(F.col("total") / F.col("tokens")).cast("long"))
         .where("high > low")
         .withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
         .select("place", "low", "high", "tokens", "slots", "cell")
@@ -94,7 +106,14 @@ def schedule(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
         .select("slot", "place", "tokens", F.floor(F.col("slot") / math.isqrt(slots)).alias("bucket"), F.lit(1).cast("long").alias("one"))
     )
     ranked = running_total(taken, ["place"], "bucket", [F.col("slot")], "one", "rank")
-    return materialize(ranked.select("slot", "place", "rank", "tokens"))
+    fine = (
+        sized.where("fine and target > 0").withColumn("tokens", F.ceil(F.col("target") / FINE).cast("long"))
+        .withColumn("n", F.round(F.col("target") / F.col("tokens")).cast("long")).where("n > 0")
+        .withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        .withColumn("part", (F.col("rank") + F.expr(f"pmod(place * {GOLDEN}L, {CIRCLE}L)") / CIRCLE) / F.col("n"))
+        .select(F.floor(F.col("part") * F.col("slots")).alias("slot"), "place", "rank", "tokens")
+    )
+    return materialize(ranked.select("slot", "place", "rank", "tokens").unionByName(fine))
 
 
 def shuffle_place(doc_id: Column, text: Column, key: str) -> Column:
@@ -111,7 +130,7 @@ def mix(
 
     size counts words of the whole text (null: 0), target is the source's, taken the words that the mix
     takes from the document, repeats counted. A source's taken words differ from its target by a few
-    slots at most, and no document exceeds `most` times its size. The null source is one of its own,
+    of its slots at most, and no document exceeds `most` times its size. The null source is one of its own,
     placed last; sources without words have target 0. Reruns agree: the order is a digest of key, doc_id
     and text; repeated rows stand side by side. An empty table gives no rows. Only doc_id, text and
     source are read, so other columns may have any name.
@@ -150,12 +169,13 @@ def pieces(laid: DataFrame, slots: DataFrame, most: int) -> DataFrame:
     `laid` has row, place, start, size, source_size. There are at most `most` pieces per document and
     one more per block edge. Blocks past `most` passes of a source are cut off.
     """
-    tokens = slots.agg(F.first("tokens").alias("tokens")).head()["tokens"] or 1
+    tokens = F.col("tokens")
+    blocks = small_side(slots.select("place", "tokens").distinct())
     passes = laid.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     spans = passes.select(
         "row", "place", (F.col("start") + F.col("source_size") * F.col("pass")).alias("begin"), "size"
     ).withColumn("end", F.col("begin") + F.col("size"))
-    cut = spans.withColumn(
+    cut = spans.join(blocks, "place").withColumn(
         "rank", F.explode(F.sequence(F.floor(F.col("begin") / tokens), F.floor((F.col("end") - 1) / tokens)))
     )
     return cut.join(small_side(slots.select("slot", "place", "rank")), ["place", "rank"]).select(

@@ -166,6 +166,29 @@ def test_slots_follow_the_targets_everywhere(spark):
             assert abs(sum(s < upto for s, _ in own) - share * upto) < 4
 
 
+def test_small_sources_reach_their_targets_beside_large_ones(documents):
+    rows = [(i, "w " * 4000, "large") for i in range(120)] + [(200 + i, "w " * 30, "small") for i in range(10)]
+    rows += [(300, "one two three", "tiny"), (301, "", "blank"), (302, None, None)]
+    found = {}
+    mixed = mixing.mix(documents(rows), slots=1000).collect()
+    for r in mixed:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        found.setdefault((r["source"], r["target"]), []).append(r["taken"])
+    for (source, target), words in found.items():
+        # A slot of this mix has more words than the small source.
+        assert abs(sum(words) - target) <= (3 * 730 if source == "large" else 2 + target / 100)
+    assert all(r["taken"] > 0 for r in mixed if r["source"] in ("small", "tiny"))
+
+
+def test_fine_slots_are_spread_and_ranked(spark):
+    targets = spark.createDataFrame([("a", 0, 900000, 900000.0), ("b", 1, 300, 600.0)], "source string, place int, source_size long, target double")
+    slots = mixing.schedule(targets, slots=1000).collect()
+    own = sorted((r["rank"], r["slot"], r["tokens"]) for r in slots if r["place"] == 1)
+    assert [k for k, _, _ in own] == list(range(200)) and {t for _, _, t in own} == {3}
+    assert all(abs(s - 5 * k) <= 5 for k, s, _ in own)
+    assert len({r["slot"] for r in slots if r["place"] == 0}) == 1000 - 1
+
+
 def _plain_find(docs, items, words=5, percent=80):
     def grams(text):
         tokens = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
