@@ -4,15 +4,17 @@ Template words are ordered by how many blocks of the whole corpus hold them, rar
 holds at least `threshold` of a template's distinct words must hold one of its rarest few (prefix
 filter), must be long enough (length filter), and from the first shared word on both sides must have
 enough words left (positional filter). What passes is verified on the full sets, so the join is exact.
-Blocks are the lines of a text; longer lines are cut into windows of WINDOW words every STEP words, so
-that every run of STEP words lies within one block.
+Blocks are the lines of a text and, where it has several, windows over the words of all lines, so that
+wrapped notices are found; lines and texts are cut into windows of WINDOW words every STEP words. So
+every run of STEP words of the text lies within one block.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -112,8 +114,35 @@ def _lines(text: str | None) -> list[list[bytes]]:
     return [line.split() for line in utf8(text).translate(_TABLE).split(b"\n")]
 
 
+def _across(lines: list[list[bytes]]) -> Iterator[tuple[int, list[bytes]]]:
+    """Blocks over the words of all lines, where more than one line has any."""
+    if sum(map(bool, lines)) > 1:
+        yield from _blocks([word for line in lines for word in line])
+
+
+class _Held:
+    """Which line blocks hold which template, by their first words in ascending order."""
+
+    def __init__(self) -> None:
+        self.starts: dict[int, list[int]] = defaultdict(list)
+        self.rest: dict[int, list[tuple[int, float]]] = defaultdict(list)
+
+    def add(self, t: int, start: int, end: int, share: float) -> None:
+        self.starts[t].append(start)
+        self.rest[t].append((end, share))
+
+    def as_much(self, t: int, start: int, end: int, share: float) -> bool:
+        """Whether a line block that meets start to end holds as much of the template."""
+        starts = self.starts.get(t)
+        if not starts:
+            return False
+        # No block is longer than WINDOW, so few of them can meet one.
+        near = self.rest[t][bisect_right(starts, start - WINDOW):bisect_left(starts, end)]
+        return any(upto > start and part >= share for upto, part in near)
+
+
 def block_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """In how many blocks of all texts each vocabulary word stands (one row per word comes back)."""
+    """In how many blocks of the lines of all texts each vocabulary word stands (one row per word comes back)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
@@ -135,7 +164,8 @@ def license_scan(
 ) -> DataFrame:
     """Adds n_words, places (phrase label and first word of each phrase) and notices.
 
-    `notices` lists label, containment and first word of each matching block and template. Words are
+    `notices` lists label, containment and first word of each matching block and template, by first word;
+    a block across lines is left out if a line block that it meets holds as much of the template. Words are
     counted from 0. Null and empty texts have no words and empty lists. Equal rows give equal rows; an
     empty table gives none. Existing columns of these names are replaced, all others stay. No row is
     shuffled; one row per template word reaches the driver.
@@ -164,14 +194,23 @@ def license_scan(
             rows = []
             for text in batch:
                 data = utf8(text).translate(_TABLE)
-                at, notices = 0, []
-                for line in data.split(b"\n"):
-                    words = line.split()
+                lines = [line.split() for line in data.split(b"\n")]
+                at, notices, held, hints = 0, [], _Held(), False
+                for words in lines:
                     if not rare.isdisjoint(words):
+                        hints = True
                         for start, block in _blocks(words):
                             if not rare.isdisjoint(block):
-                                notices += [(index.labels[t], share, at + start) for t, share in index.matches(block)]
+                                for t, share in index.matches(block):
+                                    notices.append((index.labels[t], share, at + start))
+                                    held.add(t, at + start, at + start + len(block), share)
                     at += len(words)
+                for start, block in _across(lines) if hints else ():
+                    if not rare.isdisjoint(block):
+                        for t, share in index.matches(block):
+                            if not held.as_much(t, start, start + len(block), share):
+                                notices.append((index.labels[t], share, start))
+                notices.sort(key=lambda n: n[2])
                 places = []
                 flat = data.replace(b"\n", b" ")
                 if quick.search(flat):

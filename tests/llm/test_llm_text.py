@@ -140,6 +140,27 @@ def test_notices_are_exactly_those_that_brute_force_finds(documents):
     assert license_scan.license_scan(documents([])).collect() == []
 
 
+def test_wrapped_notices_are_found(documents):
+    import textwrap
+
+    rows, expected = [], {}
+    for label, template in license_scan.TEMPLATES:
+        for mark in ("", " * ", "# "):
+            for around in ("", "filler words stand here\n" * 60):
+                wrapped = "\n".join(mark + line for line in textwrap.wrap(template, 72 - len(mark)))
+                expected[len(rows)] = label
+                rows.append((len(rows), around + wrapped + "\n" + around, "a"))
+    longest = {t: max(len(set(license_scan.words_of(x)) & set(license_scan.words_of(t))) for x in textwrap.wrap(t, 72)) for _, t in license_scan.TEMPLATES}
+    assert any(n < 0.8 * len(set(license_scan.words_of(t))) for t, n in longest.items())
+    for row in license_scan.license_scan(documents(rows)).collect():
+        found = {n["label"]: n["containment"] for n in row["notices"] if n["containment"] == 1}
+        assert expected[row["doc_id"]] in found
+        words = license_scan.words_of(row["text"])
+        for n in row["notices"]:
+            near = set(words[n["start"]:n["start"] + 128])
+            assert any(len(near & own) >= 0.8 * len(own) for own in (set(license_scan.words_of(t)) for k, t in license_scan.TEMPLATES if k == n["label"]))
+
+
 def test_extraction_on_labelled_pages_held_out():
     pages = html_extract.labelled_pages()
     # Layouts repeat every 12, 13 and 17 pages: a fifth of the pages has combinations never seen.
