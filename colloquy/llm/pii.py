@@ -6,6 +6,7 @@ per type keep a replacement valid (check digits, reserved addresses and domains,
 that the title tells). What an entity is does not depend on separators or the case of an address, so
 two spellings of one number get the same digits (coreference). A table of all distinct entities is
 checked: where two would meet, or one would meet a real entity, they are drawn again (distinctness).
+Names are found by their titles; every other mention of a found name in its document is replaced too.
 """
 
 from __future__ import annotations
@@ -21,25 +22,35 @@ from colloquy.session import materialize
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин"
 #: Key words that announce a secret, up to the secret itself.
-LEAD = r"(?i:password|passwd|pwd|secret|api[_\-]?key|access[_\-]?key|token)[ ]{0,2}[=:][ ]{0,2}[\"']?"
+KEY_WORD = r"(?i:password|passwd|pwd|secret|api[_\-]?key|access[_\-]?key|token)[ ]{0,2}"
+LEAD = rf"{KEY_WORD}[=:][ ]{{0,2}}[\"']?"
+_VALUE = r"[^\s\"',;|<>]"
+#: A secret without digits has four letters and no bracket, and = or a quote before it, or is all that follows "password:".
+_WORDY = rf"(?!{_VALUE}*[(\[{{$])(?=(?:[^\p{{L}}\s\"',;|<>]*+\p{{L}}){{4}}){_VALUE}{{6,}}+"
+_CLEAR = (
+    rf"{KEY_WORD}(?:=[ ]{{0,2}}[\"']?|:[ ]{{0,2}}[\"']){_WORDY}"
+    rf"|(?i:password|passwd|pwd)[ ]{{0,2}}:[ ]{{0,2}}{_WORDY}(?=[ \t]*(?:[\r\n,;|]|\z))"
+)
+#: A word of a name: inner hyphens and apostrophes belong to it, a possessive 's does not.
+_NAME = r"\p{Lu}(?=\p{L}|['’]\p{L}{2}|-\p{L})\p{L}*+(?:(?:['’](?=\p{L}{2})|-)\p{L}++)*+"
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Where two could match at one place the first wins. Cuts of a longer run of digits never match.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]*[A-Za-z0-9])+",
     "ip": rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
-    "assigned": rf"(?<![0-9A-Za-z]){LEAD}(?=[^\s\"',;|<>]*[0-9])[^\s\"',;|<>]{{6,}}",
+    "assigned": rf"(?<![0-9A-Za-z])(?:{LEAD}(?={_VALUE}*[0-9]){_VALUE}{{6,}}|{_CLEAR})",
     "secret": r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-][0-9A-Za-z_\-]{16,})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ \-](?:[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{1,7}|[0-9]{6}[ \-][0-9]{5})|[0-9]{13,19})(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}"
              r"|\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-][0-9]{3,4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?",
+    "name": rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? {_NAME}(?: {_NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity; this one cheap test passes over most texts.
-HINT = rf"[0-9@]|AKIA|ASIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-]|(?:{FEMALE}|{MALE})\.? "
+HINT = rf"[0-9@]|AKIA|ASIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-]|(?:{FEMALE}|{MALE})\.? |{KEY_WORD}[=:]"
 
 GIVEN = {
     ("latin", "m"): "Adam Bruno Carl David Emil Felix Hugo Ivan Jonas Leo Marco Nils Oscar Paul Simon Victor".split(),
@@ -88,26 +99,59 @@ def identity(kind: Column, entity: Column) -> Column:
     )
 
 
-def _described(entity: Column) -> Column:
-    """A match with what its form tells: entity, kind, identity, lead, and the parts of a name."""
+def _described(entity: Column, people: Column | None = None) -> Column:
+    """A match with what its form tells: entity, kind, identity, lead, and the parts of a name.
+
+    `people` are the names of the text (see `people_of`); a match that is one of their words is a mention.
+    """
+    def mention(e: Column, of: str) -> Column:
+        return F.lit(False) if people is None else F.array_contains(people[of], e)
+
     def kinds(e: Column) -> Column:
-        return F.struct(e.alias("entity"), kind_of(e).alias("kind"))
+        kind = kind_of(e)
+        return F.struct(e.alias("entity"), F.when(mention(e, "words"), "name").otherwise(kind).alias("kind"))
 
     def details(s: Column) -> Column:
-        words = F.split(s["entity"], " ")
-        named = s["kind"] == "name"
+        e, words = s["entity"], F.split(s["entity"], " ")
+        titled = (s["kind"] == "name") & (F.size(words) > 1)
+        bare = (s["kind"] == "name") & (F.size(words) == 1)
+        kind = F.when(e.rlike(rf"^(?:{FEMALE})\.? "), F.lit("given_f")).otherwise(F.lit("given_m"))
+        if people is not None:
+            kind = F.when(
+                bare, F.try_element_at(F.filter(people["given"], lambda g: g["word"] == e), F.lit(1))["kind"]
+            ).otherwise(kind)
         return F.struct(
-            s["entity"].alias("entity"), s["kind"].alias("kind"), identity(s["kind"], s["entity"]).alias("identity"),
-            _lead(s["kind"], s["entity"]).alias("lead"), F.element_at(words, 1).alias("title"),
-            F.when(named & (F.size(words) > 2), F.element_at(words, 2)).otherwise(F.lit("")).alias("given"),
-            F.when(named, F.element_at(words, -1)).otherwise(F.lit("")).alias("family"),
-            F.when(s["entity"].rlike(rf"^(?:{FEMALE})\.? "), F.lit("given_f")).otherwise(F.lit("given_m")).alias("given_kind"),
+            e.alias("entity"), s["kind"].alias("kind"), identity(s["kind"], e).alias("identity"),
+            _lead(s["kind"], e).alias("lead"), F.when(titled, F.element_at(words, 1)).alias("title"),
+            F.when(titled & (F.size(words) > 2), F.element_at(words, 2)).when(bare & ~mention(e, "family"), e)
+            .otherwise(F.lit("")).alias("given"),
+            F.when(titled, F.element_at(words, -1)).when(bare & mention(e, "family"), e).otherwise(F.lit("")).alias("family"),
+            kind.alias("given_kind"),
         )
 
     # Lambda variables hold each step, so that no expression is written out for every use.
     return F.transform(F.transform(entity, kinds), details)
 
 
+def people_of(titled: Column) -> Column:
+    """The names among described matches: family and given names (word, kind), and all their words, longest first."""
+    named = F.filter(titled, lambda s: s["kind"] == "name")
+    family = F.array_distinct(F.transform(named, lambda s: s["family"]))
+    given = F.array_distinct(F.transform(
+        F.filter(named, lambda s: s["given"] != ""), lambda s: F.struct(s["given"].alias("word"), s["given_kind"].alias("kind"))
+    ))
+    every = F.array_union(family, F.transform(given, lambda g: g["word"]))
+    ordered = F.array_sort(F.transform(every, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("word"))))
+    return F.struct(family.alias("family"), given.alias("given"), F.transform(ordered, lambda w: w["word"]).alias("words"))
+
+
+def pattern_of(people: Column) -> Column:
+    """What to replace in a text with these people: entities, and mentions of the names as whole words."""
+    # Names have letters, hyphens and apostrophes only, so nothing is to be quoted.
+    mentions = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(people["words"], "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    return F.when(F.size(people["words"]) > 0, mentions).otherwise(F.lit(ANY))
+
+
 def parts_of(s: Column) -> Column:
     """The things of a described match that need a surrogate each: array of (kind, identity)."""
     def part(kind: Column, ident: Column) -> Column:
@@ -227,9 +271,9 @@ def surrogate_of(s: Column, draws: Column, key: str) -> Column:
     def person(kind: Column, word: Column) -> Column:
         return drawn(kind, F.lower(word), lambda seed, n: _person(kind, word, seed, n))
 
-    last = person(F.lit("family"), s["family"])
-    name = F.when(s["given"] == "", F.concat_ws(" ", s["title"], last)).otherwise(
-        F.concat_ws(" ", s["title"], person(s["given_kind"], s["given"]), last)
+    name = F.concat_ws(
+        " ", s["title"], F.when(s["given"] != "", person(s["given_kind"], s["given"])),
+        F.when(s["family"] != "", person(F.lit("family"), s["family"])),
     )
     plain = drawn(s["kind"], s["identity"], lambda seed, n: _plain(s["kind"], s["entity"], s["lead"], key, seed))
     return F.when(s["kind"] == "name", name).otherwise(plain)
@@ -250,7 +294,7 @@ def _shown(kind: Column, ident: Column, key: str, draw: Column) -> Column:
 
 
 def matches(text: Column) -> Column:
-    """All entities of a text, described, in order."""
+    """All entities of a text, described, in order; names by their titles only."""
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     return _described(found)
 
@@ -280,7 +324,9 @@ def redraws(found: DataFrame, key: str) -> DataFrame:
 def replace_entities(docs: DataFrame, key: str = "surrogates", text: str = "text") -> DataFrame:
     """The documents with surrogates in place of entities, all columns kept, and `n_entities` added.
 
-    Null texts stay null (0 entities); texts without entities stay as they are to the byte. Repeated
+    Null texts stay null (0 entities); texts without entities stay as they are to the byte.
+    A word of a name that stands with a title anywhere in a text is replaced wherever it stands in it as a
+    whole word of the same case; where it is a given and a family name there, as a family name. Repeated
     rows and equal texts give equal results, and so do reruns with the same key. An empty table gives
     no rows. A column n_entities of the input is replaced; all others may have any name.
     """
@@ -299,11 +345,18 @@ def replace_entities(docs: DataFrame, key: str = "surrogates", text: str = "text
     draws = F.coalesce("_draws", F.create_map().cast("map<string,int>"))
 
     def rebuilt(hits: Column) -> Column:
-        gaps = F.split(source, ANY, -1)
+        gaps = F.split(source, F.col("_pattern"), -1)
         put = F.transform(hits, lambda s: surrogate_of(s, draws, key))
         return F.array_join(F.zip_with(gaps, put, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
 
-    matched = joined.withColumn("_hits", matches(source))
+    # Mentions have no parts of their own: they are those of the names that stand with a title.
+    matched = (
+        joined.withColumn("_titled", matches(source)).withColumn("_people", people_of(F.col("_titled")))
+        .withColumn("_pattern", pattern_of(F.col("_people")))
+        .withColumn("_hits", F.when(
+            F.size("_people.words") > 0, _described(F.regexp_extract_all(source, F.col("_pattern"), F.lit(0)), F.col("_people"))
+        ).otherwise(F.col("_titled")))
+    )
     return matched.withColumn(text, F.when(F.size("_hits") > 0, rebuilt(F.col("_hits"))).otherwise(source)).withColumn(
         "n_entities", F.coalesce(F.size("_hits"), F.lit(0)).cast("long")
-    ).drop("_hits", "_draws", "_text_key")
+    ).drop("_hits", "_titled", "_people", "_pattern", "_draws", "_text_key")

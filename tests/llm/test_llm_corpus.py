@@ -284,6 +284,32 @@ def test_surrogates_are_distinct_even_where_forms_are_few(documents):
     assert len(set(new)) == len(texts) and not set(new) & set(texts)
 
 
+def test_later_mentions_of_a_found_name_get_its_surrogate(documents):
+    texts = [
+        "Mrs. Jane Smith came. Smith said so, and Jane's sister (SMITHSON) knew: Jane left.",
+        "Smith and Jane are nobody here.",
+        "Before Mr. O'Neil-Park, O'Neil-Park wrote; Mrs. Smith's Smith. Frau Smith-Jones and Smith-Jones; Smith@mail.example.com",
+    ]
+    rows = {r["doc_id"]: r for r in pii.replace_entities(documents([(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    given, family = re.match(r"Mrs\. (\S+) (\S+) came", rows[0]["text"]).groups()
+    assert rows[0]["text"] == texts[0].replace("Jane", given).replace("Smith", family) and rows[0]["n_entities"] == 4
+    assert {given, family}.isdisjoint(("Jane", "Smith")) and rows[1]["text"] == texts[1]
+    found = re.fullmatch(r"Before Mr\. (\w+), (\w+) wrote; Mrs\. (\w+)'s (\w+)\. Frau (\w+) and (\w+); \w+@\w+\.example\.org", rows[2]["text"]).groups()
+    assert found[0] == found[1] != found[2] == found[3] == family != found[4] == found[5]
+    assert rows[2]["n_entities"] == 7
+
+
+def test_assigned_secrets_without_digits(documents):
+    hidden = ["password: correcthorse", "pwd=correcthorse and more", 'secret: "correcthorse"', "the token = correct-horse", "Password: correcthorse, user x"]
+    plain = ["token: nobody knows", "secret: keeping them", "password = read_line(x)", "password: ********", "password=********"]
+    texts = hidden + plain
+    rows = pii.replace_entities(documents([(i, t, "a") for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    assert [r["n_entities"] for r in rows] == [1] * len(hidden) + [0] * len(plain)
+    for text, row in zip(texts, rows):
+        assert (row["text"] == text) == (text in plain) and "horse" not in row["text"]
+        assert re.sub("correct.?horse", "", text) == re.sub("[a-z]{7}-[a-z]{5}|[a-z]{12}", "", row["text"])
+
+
 def test_surrogates_of_odd_rows(odd, nothing):
     rows = pii.replace_entities(odd)
     assert set(rows.columns) == {*odd.columns, "n_entities"} and rows.count() == odd.count()
