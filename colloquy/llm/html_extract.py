@@ -25,6 +25,8 @@ from colloquy.llm.labelled_pages import labelled_pages
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is no text of the page.
 HIDDEN = set("script style noscript template iframe object svg math head title select textarea button option datalist canvas audio video map".split())
+#: What may stand in a head; anything else ends it, closed or not.
+HEAD_PARTS = set("base basefont bgsound head link meta noframes noscript script style template title".split())
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -66,9 +68,21 @@ class TreeBuilder(HTMLParser):
             if tag in stop:
                 return
 
+    def _end_head(self, inside: bool) -> None:
+        """Closes the head if it is the innermost open element, or with `inside` whatever is open in it."""
+        for depth in range(len(self.open) - 1, 0, -1):
+            tag = self.nodes[self.open[depth]].tag
+            if tag == "head":
+                del self.open[depth:]
+                return
+            if not inside or tag not in HEAD_PARTS or tag == "template":
+                return
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("html", "body") and len(self.nodes) > 1 and tag == "html":
             return
+        if tag not in HEAD_PARTS:
+            self._end_head(tag == "body")
         if tag in _PARAGRAPH_ENDS:
             self._close({"p"}, SECTIONS | {"li", "td", "th", "blockquote"} if tag != "p" else SECTIONS | {"li", "td", "th", "blockquote"})
         if tag in CLOSES:
@@ -101,6 +115,8 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head(False)
         self.nodes[self.open[-1]].pieces.append(data)
 
 

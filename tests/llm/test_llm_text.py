@@ -207,6 +207,20 @@ def test_main_text_of_the_given_pages(spark, base):
         assert row["n_chars"] == len(row["text"])
 
 
+def test_pages_without_optional_tags(spark, base):
+    model = html_extract.default_model()
+    article = "<article><h1>T</h1><p>a b c, and so on.<p>second, one.</article>"
+    for page in (
+        f"<html><head><title>x</title><body>{article}", f"<head><meta charset=utf-8><title>x</title>{article}",
+        f"<title>x</title>{article}", f"<html><head><title>x</title><noscript><link href=y><body>{article}</body></html>",
+        f"<head><style>p {{}}</style><div>{article}</head></div>", f"<head></head><body>{article}",
+    ):
+        assert html_extract.main_text(page, model) == "T a b c, and so on. second, one."
+    pages = [r["html"] for r in spark.read.parquet(f"{base}/pages.parquet").limit(30).collect()]
+    for page in pages:
+        assert html_extract.main_text(page.replace("</head>", ""), model) == html_extract.main_text(page, model) != ""
+
+
 def test_extraction_of_odd_pages(spark):
     deep = "<div>" * 3000 + "<article><p>deep text, here it is.</p></article>"
     pages = [
