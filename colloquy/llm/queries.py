@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import (
-    chat_repair, decontaminate, fingerprints, html_extract, license_scan, mixing, mixing_sql, near_dedup, pii, quality, token_counts,
+    alignment, chat_repair, decontaminate, fingerprints, html_extract, language_id, license_scan, mixing, mixing_sql, near_dedup, pii,
+    quality, resampling, token_counts,
 )
 from colloquy.llm.common import small_side
 from colloquy.session import materialize, read_table
@@ -130,3 +131,27 @@ def op1_main_text(spark: SparkSession, base: str) -> DataFrame:
 def op9_chat_format(spark: SparkSession, base: str) -> DataFrame:
     turns = chat_repair.repair(read_table(spark, base, "conversations"))
     return turns.select("conv_id", "turn", "role", "pos", "new_role", "action", "inserted", "conversation_cost", "fragment")
+
+
+@query("op11_align_tokens")
+def op11_align_tokens(spark: SparkSession, base: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, base, "documents", spread=True)
+    paths = [str(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align(docs, *paths)
+
+
+@query("op12_language_id")
+def op12_language_id(spark: SparkSession, base: str) -> DataFrame:
+    docs = read_table(spark, base, "documents", spread=True)
+    held_out = language_id.held_out()
+    model = language_id.train(docs, keep=F.col("doc_id").isNotNull() & ~held_out)
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op13_resample", resampling.SQL)
+def op13_resample(spark: SparkSession, base: str) -> DataFrame:
+    docs = read_table(spark, base, "documents", spread=True)
+    return resampling.rank_documents(docs, read_table(spark, base, "benchmark"))
