@@ -12,11 +12,11 @@ shuffle. So what is broadcast is bounded whatever the corpus holds, and most lin
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from collections import Counter
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,11 @@ from colloquy.session import materialize
 TOKEN_BYTES = 1 << 18
 _SHIFT = 32
 
+# Fixed value: what the byte-level pre-tokenizer takes as one word.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A run of white space that its look-ahead may be too deep for; such texts go to the tokenizers library.
+_LONG_GAP = re.compile(r"\s{1000}")
+
 #: Ids of many texts, and the bytes of every id.
 Coder = tuple[Callable[[list[str]], list[list[int]]], list[bytes]]
 
@@ -53,6 +58,7 @@ def byte_level_coder(path: str) -> Coder:
     tokenizer.no_padding()
     tokenizer.encode_special_tokens = True
     alphabet = byte_level_alphabet()
+    quick = _quick_encoding(path, alphabet)
     entries = tokenizer.get_vocab(with_added_tokens=True)
     spelled = [b""] * (max(entries.values()) + 1)
     for entry, i in entries.items():
@@ -62,7 +68,32 @@ def byte_level_coder(path: str) -> Coder:
     def encode(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return encode, spelled
+    def encode_quickly(texts: list[str]) -> list[list[int]]:
+        return [encode([t])[0] if _LONG_GAP.search(t) else quick.encode_ordinary(t) for t in texts]
+
+    return (encode if quick is None else encode_quickly), spelled
+
+
+def _quick_encoding(path: str, alphabet: dict[str, int]):
+    """The vocabulary as ranks for tiktoken, which gives the same ids in a quarter of the time.
+
+    None where the file is more than byte-level merges in the order of their ids.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    model, before = told["model"], told.get("pre_tokenizer") or {}
+    usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if not usual or told.get("normalizer") or model.get("type", "BPE") != "BPE" or model.get("ignore_merges"):
+        return None
+    special = {t["content"] for t in told.get("added_tokens", [])}
+    entries = {e: i for e, i in model["vocab"].items() if e not in special}
+    merged = [entries["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if not all(c in alphabet for e in entries for c in e) or merged != sorted(merged) or len(entries) != len(merged) + 256:
+        return None
+    ranks = {bytes(alphabet[c] for c in e): i for e, i in entries.items()}
+    return tiktoken.Encoding("ranks", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
 
 
 @lru_cache(maxsize=4)
@@ -96,38 +127,45 @@ def link_slice(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int])
 
 
 def align_ids(
-    a: list[int], b: list[int], sizes_a: list[int], sizes_b: list[int]
-) -> tuple[list[tuple[int, int, int, int]], Counter]:
-    """Groups as (from, to) in a and in b, and how often each id pair is linked (a << 32 | b).
+    a: list[int], b: list[int], sizes_a: np.ndarray, sizes_b: np.ndarray
+) -> tuple[list[int], list[int], np.ndarray]:
+    """Where the groups end in a and in b, and the id pairs of all links (a << 32 | b).
 
     `sizes_a`, `sizes_b` give the bytes of every id; both lists spell the same bytes.
     """
-    ends_a = list(accumulate(map(sizes_a.__getitem__, a)))
-    ends_b = list(accumulate(map(sizes_b.__getitem__, b)))
+    of_a, of_b = np.array(a), np.array(b)
+    ends_a, ends_b = np.cumsum(sizes_a[of_a]).tolist(), np.cumsum(sizes_b[of_b]).tolist()
     index_a = dict(zip(ends_a, range(1, len(a) + 1)))
     index_b = dict(zip(ends_b, range(1, len(b) + 1)))
-    groups, links = [], []
-    i = j = 0
-    for end in sorted(index_a.keys() & index_b.keys()):
-        to_a, to_b = index_a[end], index_b[end]
-        groups.append((i, to_a, j, to_b))
-        if to_a - i == 1:
-            first = a[i] << _SHIFT
-            links += [first | y for y in b[j:to_b]]
-        elif to_b - j == 1:
-            links += [x << _SHIFT | b[j] for x in a[i:to_a]]
+    common = sorted(index_a.keys() & index_b.keys())
+    to_a, to_b = list(map(index_a.__getitem__, common)), list(map(index_b.__getitem__, common))
+    # Most slices hold one token of either side: one link each. The others are expanded one by one.
+    last_a, last_b = np.array(to_a), np.array(to_b)
+    single = (np.diff(last_a, prepend=0) == 1) & (np.diff(last_b, prepend=0) == 1)
+    plain = of_a[last_a[single] - 1] << _SHIFT | of_b[last_b[single] - 1]
+    others = []
+    for at in np.flatnonzero(~single).tolist():
+        i, k, j, m = to_a[at - 1] if at else 0, to_a[at], to_b[at - 1] if at else 0, to_b[at]
+        if k - i == 1:
+            others += [a[i] << _SHIFT | y for y in b[j:m]]
+        elif m - j == 1:
+            others += [x << _SHIFT | b[j] for x in a[i:k]]
         else:
-            links += [x << _SHIFT | y for x, y in link_slice(a[i:to_a], b[j:to_b], ends_a[i:to_a], ends_b[j:to_b])]
-        i, j = to_a, to_b
-    return groups, Counter(links)
+            others += [x << _SHIFT | y for x, y in link_slice(a[i:k], b[j:m], ends_a[i:k], ends_b[j:m])]
+    return to_a, to_b, np.concatenate([plain, np.array(others, dtype=np.int64)])
 
 
-def spelled_groups(groups: list[tuple[int, int, int, int]], a: list[str], b: list[str]) -> str:
+def spelled_groups(to_a: list[int], to_b: list[int], a: list[str], b: list[str]) -> str:
     """`a1,a2|b1;a3|b2,b3`: the ids of each group."""
-    return ";".join(
-        f"{a[i]}|{b[j]}" if k - i == 1 and m - j == 1 else f"{','.join(a[i:k])}|{','.join(b[j:m])}"
-        for i, k, j, m in groups
-    )
+    i = j = 0
+    parts = []
+    for k, m in zip(to_a, to_b):
+        if k - i == 1 == m - j:
+            parts.append(f"{a[i]}|{b[j]}")
+        else:
+            parts.append(f"{','.join(a[i:k])}|{','.join(b[j:m])}")
+        i, j = k, m
+    return ";".join(parts)
 
 
 _ALIGNED = pa.schema([
@@ -153,7 +191,7 @@ def alignments(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_a, bytes_a = byte_level_coder(byte_level_path)
         encode_b, bytes_b = piece_coder(piece_path)
-        sizes_a, sizes_b = [len(s) for s in bytes_a], [len(s) for s in bytes_b]
+        sizes_a, sizes_b = np.array([len(s) for s in bytes_a]), np.array([len(s) for s in bytes_b])
         names_a, names_b = [str(i) for i in range(len(bytes_a))], [str(i) for i in range(len(bytes_b))]
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
@@ -164,21 +202,22 @@ def alignments(
                     whole = b" " + t.encode("utf-8")
                     spells = t and whole == b"".join(map(bytes_a.__getitem__, a)) == b"".join(map(bytes_b.__getitem__, b))
                     if spells:
-                        groups, links = align_ids(a, b, sizes_a, sizes_b)
+                        to_a, to_b, links = align_ids(a, b, sizes_a, sizes_b)
                         shown = spelled_groups(
-                            groups, list(map(names_a.__getitem__, a)), list(map(names_b.__getitem__, b))
+                            to_a, to_b, list(map(names_a.__getitem__, a)), list(map(names_b.__getitem__, b))
                         )
                         digest = hashlib.sha256(shown.encode("ascii")).hexdigest()
-                        rows.append((len(a), len(b), len(groups), links.total(), digest, shown if keep_groups else None))
-                        pairs.append(np.fromiter(links.keys(), dtype=np.int64, count=len(links)))
-                        times.append(np.fromiter(links.values(), dtype=np.int32, count=len(links)))
+                        rows.append((len(a), len(b), len(to_a), len(links), digest, shown if keep_groups else None))
+                        distinct, often = np.unique(links, return_counts=True)
+                        pairs.append(distinct)
+                        times.append(often)
+                        offsets.append(offsets[-1] + len(distinct))
                     else:
-                        links = ()
                         rows.append((0, 0, 0, 0, "", "" if keep_groups else None))
-                    offsets.append(offsets[-1] + len(links))
+                        offsets.append(offsets[-1])
                 columns = list(zip(*rows))
                 flat = np.concatenate([*pairs, np.zeros(0, dtype=np.int64)])
-                often = np.concatenate([*times, np.zeros(0, dtype=np.int32)])
+                often = np.concatenate([*times, np.zeros(0, dtype=np.int64)]).astype(np.int32)
                 cuts = pa.array(offsets, pa.int32())
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start),

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from llm_helpers import ODD_TEXTS
 from pyspark.sql import functions as F
@@ -122,11 +123,30 @@ def test_slices_without_common_ends_are_linked_by_overlap():
         cuts = [sorted(random_.sample(range(1, 30), random_.randrange(1, 9))) + [30] for _ in range(2)]
         sizes = [[e - s for s, e in zip([0, *c], c)] for c in cuts]
         ids = [list(range(len(s))) for s in sizes]
-        groups, links = alignment.align_ids(ids[0], ids[1], sizes[0], sizes[1])
+        to_a, to_b, links = alignment.align_ids(ids[0], ids[1], np.array(sizes[0]), np.array(sizes[1]))
         spans = [list(zip([0, *c], c)) for c in cuts]
         plain = {(x << 32 | y) for x, (s, e) in enumerate(spans[0]) for y, (u, v) in enumerate(spans[1]) if s < v and u < e}
-        assert set(links) == plain and links.total() == len(plain) == len(ids[0]) + len(ids[1]) - len(groups)
-        assert [g[1] for g in groups] == [cuts[0].index(c) + 1 for c in cuts[0] if c in cuts[1]]
+        assert set(links.tolist()) == plain and len(links) == len(plain) == len(ids[0]) + len(ids[1]) - len(to_a)
+        for side, ends in zip(cuts, (to_a, to_b)):
+            assert ends == [side.index(c) + 1 for c in cuts[0] if c in cuts[1]]
+
+
+def test_ids_of_the_first_vocabulary_equal_the_library():
+    """Every code point beside letters, digits, marks and spaces; long runs; contractions."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATHS[0])
+    library.encode_special_tokens = True
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c % 7 == 0)]
+    texts = [f" a{c}b {c}{c}1{c} {c}!{c}  {c}" for c in points]
+    texts += [" " * 300_000 + "x", "\n\t " * 900, "a" * 50_000, "it's I'LL they'd've '' 's", *ODD_TEXTS, "<|endoftext|> x", "👍🏽" * 999]
+    encode, spelled = alignment.byte_level_coder(PATHS[0])
+    assert encode.__name__ == "encode_quickly"
+    for start in range(0, len(texts), 5000):
+        part = texts[start:start + 5000]
+        found = encode(part)
+        assert found == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        assert all(b"".join(spelled[i] for i in ids) == t.encode() for ids, t in zip(found, part))
 
 
 def test_alignment_of_odd_rows(odd, nothing):
