@@ -17,13 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import bound_batches, chunks, utf8
 from colloquy.llm.shingles import at_least, digest, shingle_sets
 from colloquy.operators.graph import connected_components
-from colloquy.session import materialize
+from colloquy.session import discard, materialize
 
 #: For the usual threshold of 0.8; higher thresholds can take more rows per band.
 BANDS, ROWS = 42, 6
@@ -64,7 +64,7 @@ def _signed(words: int, bands: int, rows: int):
                 sets, _ = shingle_sets(texts[a:b], words)
                 yield pd.DataFrame({
                     "doc_id": batch["doc_id"].iloc[a:b].astype("Int64").to_numpy(dtype=object, na_value=None),
-                    "tie": batch["tie"].iloc[a:b].to_numpy(),
+                    "text_key": batch["text_key"].iloc[a:b].to_numpy(),
                     "n_shingles": [len(s) for s in sets],
                     "set_key": [digest(s) if len(s) else None for s in sets],
                     "bands": [band_keys(signature(s, bands * rows), bands, rows) if len(s) else None for s in sets],
@@ -99,8 +99,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                 })
 
     # The side with many pairs per text (the hub's) is joined last, so its text is not carried twice.
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_a = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    with_a = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return with_a.mapInPandas(run, "a long, b long, linked boolean, ratio double, size_a long, missing array<long>")
 
 
@@ -113,11 +113,11 @@ def _solo_counts(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             for i, j in chunks([len(t) for t in data]):
                 sets, _ = shingle_sets(data[i:j], words)
                 yield pd.DataFrame({
-                    "member": np.repeat(batch["doc_id"].iloc[i:j].to_numpy(), [len(s) for s in sets]),
+                    "member": np.repeat(batch["node"].iloc[i:j].to_numpy(), [len(s) for s in sets]),
                     "shingle": np.concatenate(sets).view(np.int64),
                 })
 
-    own = texts.join(nodes.select(F.col("member").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
+    own = texts.join(nodes.select(F.col("member").alias("node")).distinct(), "node").select("node", "text")
     seen = own.mapInPandas(run, "member long, shingle long")
     once = seen.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("member")).where("n = 1")
     return once.groupBy("member").agg(F.count(F.lit(1)).alias("solo"))
@@ -162,17 +162,24 @@ def _within_reach(compared: DataFrame, linked: DataFrame, texts: DataFrame, word
     )
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes that stand for a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """Components of near-duplicate texts: (doc_id, n_shingles, component_id, kept).
+    """Components of near-duplicate texts: (doc_id, text_key, n_shingles, component_id, kept, component).
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets
     (`words` words; a text with fewer has one shingle, all its words). component_id is the smallest
     doc_id that links reach, kept says that it is the own one. A null or empty text has no shingles and
-    is linked with nothing. Rows that repeat a doc_id share its component; the text of the smallest
-    hash stands for all of them. A row without a doc_id has component null and is kept. An empty table gives no rows. Only doc_id and text
-    are read, so other columns may have any name.
+    is linked with nothing. Every row is judged by its own text: rows that repeat a doc_id with texts that are
+    unlike each other are in components of their own, which may then have one component_id; `component`, a
+    number that is unique within a run, tells them apart (null without shingles). A row without a doc_id has
+    component null and is kept. An empty table gives no rows. Only doc_id and text are read, so other columns
+    may have any name.
 
     A pair at similarity s is missed with probability (1 - s^rows)^bands: 3e-6 at 0.8 with 42 bands of
     6, 1e-6 at 0.85 with 36 bands of 7.
@@ -180,23 +187,20 @@ def near_duplicates(
     bound_batches(docs.sparkSession)
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    ).withColumn("tie", F.xxhash64("text"))
+    ).withColumn("text_key", text_key(F.col("text")))
     signed = materialize(
         source.mapInPandas(
             _signed(words, bands, rows),
-            "doc_id long, tie long, n_shingles long, set_key binary, bands array<long>",
+            "doc_id long, text_key binary, n_shingles long, set_key binary, bands array<long>",
         )
     )
-    named = (
-        signed.where("doc_id is not null and set_key is not null").groupBy("doc_id")
-        .agg(F.min_by(F.struct("set_key", "n_shingles", "bands"), "tie").alias("row"))
-        .select("doc_id", "row.*")
-    )
-    # One node per distinct set: the smallest of its ids.
+    # One node per distinct set; the text of one of its rows, the one with the smallest id, stands for it.
+    told = signed.where("doc_id is not null and set_key is not null")
     classes = materialize(
-        named.groupBy("set_key").agg(
-            F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")
-        )
+        told.groupBy("set_key").agg(
+            F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("n_shingles").alias("size"),
+            F.first("bands").alias("bands"),
+        ).select(F.monotonically_increasing_id().alias("node"), "set_key", "first.*", "size", "bands")
     )
     keyed = classes.select(F.col("node").alias("member"), "size", F.explode("bands").alias("bucket"))
     crowds = materialize(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
@@ -210,11 +214,10 @@ def near_duplicates(
     )
     placed = materialize(crowded.join(hubs, "bucket").select("member", "size", "bucket", "hub"))
     pairs = placed.where("member <> hub").select(F.col("hub").alias("a"), F.col("member").alias("b")).distinct()
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # Texts of the compared sets only; one row per node even where rows repeat an id.
-    texts = materialize(
-        source.join(needed, "doc_id").groupBy("doc_id").agg(F.min_by("text", "tie").alias("text"))
-    )
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # Texts of the compared sets only; one row per node even where rows repeat an id and its text.
+    chosen = classes.select("node", "doc_id", "text_key").join(needed, "node")
+    texts = materialize(source.join(chosen, ["doc_id", "text_key"]).groupBy("node").agg(F.first("text").alias("text")))
     tested = materialize(_verify(pairs, texts, words, percent))
 
     linked = tested.where("linked").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
@@ -229,15 +232,18 @@ def near_duplicates(
     more = materialize(_verify(_within_reach(compared, linked, texts, words, percent), texts, words, percent))
     links = linked.unionByName(more.where("linked").select(F.col("a").alias("id_a"), F.col("b").alias("id_b")))
     labels = connected_components(classes.select(F.col("node").alias("id")), links)
-    found = (
-        signed.where("doc_id is not null and set_key is not null")
-        .groupBy("doc_id").agg(F.min_by("set_key", "tie").alias("set_key"))
-        .join(classes.select("set_key", "node"), "set_key")
-        .join(labels.select(F.col("id").alias("node"), "component"), "node")
-        .select("doc_id", "component")
+    labelled = materialize(
+        classes.select(F.col("node").alias("id"), "set_key", "doc_id").join(labels, "id").select("set_key", "doc_id", "component")
+    )
+    discard(crowds, crowded, hubs, placed, texts, tested, compared, more)
+    smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = materialize(labelled.join(smallest, "component").select("set_key", "component", "component_id"))
+    # Rows without shingles meet nothing; they would all be one key of the join.
+    found = told.select("doc_id", "text_key", "n_shingles", "set_key").join(named, "set_key").drop("set_key")
+    alone = signed.where("doc_id is null or set_key is null").select(
+        "doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id")
     )
-    component = F.coalesce("component", "doc_id")
-    return signed.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+    return found.unionByName(alone).select(
+        "doc_id", "text_key", "n_shingles", "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "component",
     )

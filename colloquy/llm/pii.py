@@ -6,6 +6,10 @@ per type keep a replacement valid (check digits, reserved addresses and domains,
 that the title tells). What an entity is does not depend on separators or the case of an address, so
 two spellings of one number get the same digits (coreference). A table of all distinct entities is
 checked: where two would meet, or one would meet a real entity, they are drawn again (distinctness).
+A format that is too full for that (real entities fill it, or all of 10.0.0.0/8) does not settle by drawing;
+after ROUNDS rounds all its entities are replaced by a keyed permutation of the format's own space. That
+keeps them distinct whatever their number, and never leaves one as it was, but a surrogate may then be
+another real entity of the format: with the space full there is no other.
 Names are found by their titles; every other mention of a found name in its document is replaced too.
 """
 
@@ -16,8 +20,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import small_side
-from colloquy.session import materialize
+from colloquy.llm.common import BROADCAST_ROWS, small_side
+from colloquy.session import discard, materialize
+
+#: Rounds of drawing anew; each round settles most of a format that has room.
+ROUNDS = 10
+#: Draw number of entities whose format is permuted instead.
+PERMUTED = -1
+#: Steps of the permutation, and as many back.
+_STEPS = 6
+#: Country codes of E.164: zones 1 and 7, codes of two digits, others of three; separators may stand between digits.
+_GAP = r"[ .()\-]{0,2}"
+_COUNTRY = "(?:[17]|" + "|".join(f"{zone}{_GAP}{second}" for zone, second in [
+    ("2", "[07]"), ("3", "[0-469]"), ("4", "[013-9]"), ("5", "[1-8]"), ("6", "[0-6]"), ("8", "[1246]"), ("9", "[0-58]"),
+]) + f"|[0-9]{_GAP}[0-9]{_GAP}[0-9])"
 
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин"
@@ -80,7 +96,7 @@ def _lead(kind: Column, entity: Column) -> Column:
     """What stays in front of the part that is drawn anew."""
     return (
         F.when(kind == "assigned", F.regexp_extract(entity, f"^{LEAD}", 0))
-        .when(kind == "phone", F.regexp_extract(entity, r"^\+[0-9]{1,3}", 0))
+        .when(kind == "phone", F.regexp_extract(entity, rf"^\+{_COUNTRY}", 0))
         .when(kind == "iban", F.substring(entity, 1, 2)).otherwise(F.lit(""))
     )
 
@@ -93,7 +109,7 @@ def identity(kind: Column, entity: Column) -> Column:
     """The same for all spellings of an entity: no separators, no case where case means nothing."""
     return (
         F.when(kind == "email", F.lower(entity))
-        .when(kind.isin("card", "phone", "ssn", "iban"), F.regexp_replace(entity, "[^0-9A-Z]", ""))
+        .when(kind.isin("card", "phone", "ssn", "iban"), F.regexp_replace(entity, "[^0-9A-Z+]", ""))
         .when(kind == "assigned", _rest(entity, _lead(kind, entity)))
         .otherwise(entity)
     )
@@ -242,7 +258,91 @@ def _person(kind: Column, word: Column, seed: Column, draw: Column) -> Column:
     return F.when(word.rlike(_IS_CYRILLIC), of("cyrillic")).otherwise(of("latin"))
 
 
-def _plain(kind: Column, entity: Column, lead: Column, key: str, seed: Column) -> Column:
+def _permutation(values: Column, radices: Column, seed: Column) -> Column:
+    """Numbers below their radices, permuted without a fixed point: there, one on in the first number, and back.
+
+    Each step adds to every second number what a digest of the others says, so it can be taken back.
+    """
+    def step(state: Column, j: Column) -> Column:
+        back = j >= _STEPS
+        half = F.when(back, 2 * _STEPS - 1 - j).otherwise(j) % 2
+        moved = F.transform(state, lambda v, i: F.when(
+            (j == _STEPS) & (i == 0), (v + 1) % F.element_at(radices, 1)
+        ).otherwise(v))
+
+        def turned(values: Column) -> Column:
+            others = F.array_join(F.filter(values, lambda _, i: i % 2 != half), ",")
+            return _bound(others, lambda o: F.transform(values, lambda v, i: F.when(
+                i % 2 == half,
+                F.pmod(v + F.when(back, -1).otherwise(1) * _draw(F.concat_ws(",", seed, o, F.when(back, 2 * _STEPS - 1 - j).otherwise(j).cast("string")), i, 1 << 20),
+                       F.element_at(radices, i + 1)),
+            ).otherwise(v)))
+
+        return _bound(moved, turned)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(2 * _STEPS - 1)), values, step)
+
+
+def _permuted(text: Column, seed: Column) -> Column:
+    """Digits and letters of a text permuted within their classes; case, separators and other letters stay."""
+    hexed = text.rlike("^[0-9A-Fa-f]{16,}$")
+
+    def of(c: Column) -> Column:
+        low = F.lower(c)
+        cyrillic = F.instr(F.lit(_CYRILLIC), low) - 1
+        value = F.when(c.rlike("^[0-9]$"), c.cast("int")).when(c.rlike("^[A-Za-z]$"), F.ascii(low) - 97).otherwise(cyrillic)
+        radix = (
+            F.when(c.rlike("^[0-9]$"), 10).when(c.rlike("^[A-Za-z]$"), F.when(hexed, 6).otherwise(26))
+            .when(cyrillic >= 0, len(_CYRILLIC)).otherwise(0)
+        )
+        return F.struct(c.alias("c"), value.cast("int").alias("value"), radix.cast("int").alias("radix"))
+
+    def written(c: Column, value: Column) -> Column:
+        letter = F.when(c["radix"] == len(_CYRILLIC), F.substring(F.lit(_CYRILLIC), value + 1, F.lit(1))).otherwise(F.char(value + 97))
+        cased = F.when(c["c"] == F.lower(c["c"]), letter).otherwise(F.upper(letter))
+        return F.when(c["radix"] == 10, value.cast("string")).otherwise(cased)
+
+    def rebuilt(parts: Column) -> Column:
+        open_ = F.filter(parts, lambda p: p["radix"] > 0)
+        new = _bound(F.transform(open_, lambda p: p["radix"]), lambda radices: _permutation(
+            F.transform(open_, lambda p: p["value"]), radices, seed
+        ))
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("k"))
+
+        def put(state: Column, p: Column, values: Column) -> Column:
+            drawn = p["radix"] > 0
+            return F.struct(
+                F.concat(state["out"], F.when(drawn, written(p, F.try_element_at(values, state["k"] + 1))).otherwise(p["c"])).alias("out"),
+                F.when(drawn, state["k"] + 1).otherwise(state["k"]).alias("k"),
+            )
+
+        return _bound(new, lambda values: F.aggregate(parts, start, lambda state, p: put(state, p, values), lambda state: state["out"]))
+
+    return _bound(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), of), rebuilt)
+
+
+def _permuted_plain(kind: Column, entity: Column, lead: Column, key: str) -> Column:
+    """Surrogate of everything but names by the permutation of its format; the same for every entity of a kind."""
+    seed = F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("permutation"), kind), 256)
+    octets = F.transform(F.split(entity, r"\."), lambda o: o.cast("int"))
+    address = F.array_join(_permutation(octets, F.array_repeat(F.lit(256), 4), seed), ".")
+    body = F.substring(entity, F.lit(1), F.length(entity) - 1)
+
+    def card(new: Column) -> Column:
+        # The distance of the last digit from the check digit stays, so valid numbers stay valid.
+        def check(digits: Column) -> Column:
+            return F.pmod(F.lit(10) - _luhn(F.concat(F.regexp_replace(digits, "[^0-9]", ""), F.lit("0"))) % 10, F.lit(10))
+
+        return F.concat(new, F.pmod(F.right(entity, F.lit(1)).cast("int") - check(body) + check(new), F.lit(10)).cast("string"))
+
+    return (
+        F.when(kind == "email", F.concat(_permuted(entity, seed), F.lit(".example.org")))
+        .when(kind == "ip", address).when(kind == "card", _bound(_permuted(body, seed), card))
+        .otherwise(F.concat(lead, _permuted(_rest(entity, lead), seed)))
+    )
+
+
+def _plain(kind: Column, entity: Column, lead: Column, key: str, seed: Column, draw: Column) -> Column:
     """Surrogate of everything but names."""
     def host(e: Column) -> Column:
         named = F.lower(F.substring(e, F.instr(e, "@") + 1, F.length(e)))
@@ -254,7 +354,10 @@ def _plain(kind: Column, entity: Column, lead: Column, key: str, seed: Column) -
         F.when(kind == "card", _card(entity, d))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(d, F.lit(2), F.length(d)))).otherwise(d)
     ))
-    return F.when(kind == "email", email).when(kind == "ip", address).otherwise(drawn)
+    return (
+        F.when(draw == PERMUTED, _permuted_plain(kind, entity, lead, key))
+        .when(kind == "email", email).when(kind == "ip", address).otherwise(drawn)
+    )
 
 
 def _bound(value: Column, use) -> Column:
@@ -275,19 +378,19 @@ def surrogate_of(s: Column, draws: Column, key: str) -> Column:
         " ", s["title"], F.when(s["given"] != "", person(s["given_kind"], s["given"])),
         F.when(s["family"] != "", person(F.lit("family"), s["family"])),
     )
-    plain = drawn(s["kind"], s["identity"], lambda seed, n: _plain(s["kind"], s["entity"], s["lead"], key, seed))
+    plain = drawn(s["kind"], s["identity"], lambda seed, n: _plain(s["kind"], s["entity"], s["lead"], key, seed, n))
     return F.when(s["kind"] == "name", name).otherwise(plain)
 
 
 def _shown(kind: Column, ident: Column, key: str, draw: Column) -> Column:
     """The identity of an entity's surrogate, by which surrogates are compared."""
     named = kind.isin("family", "given_m", "given_f")
-    # The lead of an assignment is no part of its identity, and a leading + none of a number's.
-    spelled = F.when(kind == "phone", F.concat(F.lit("+"), ident)).when(kind == "assigned", F.concat(F.lit("key="), ident)).otherwise(ident)
+    # The lead of an assignment is no part of its identity.
+    spelled = F.when(kind == "assigned", F.concat(F.lit("key="), ident)).otherwise(ident)
 
     def of(seed: Column) -> Column:
         return F.when(named, F.lower(_person(kind, ident, seed, draw))).otherwise(
-            _bound(spelled, lambda e: _bound(_plain(kind, e, _lead(kind, e), key, seed), lambda p: identity(kind, p)))
+            _bound(spelled, lambda e: _bound(_plain(kind, e, _lead(kind, e), key, seed, draw), lambda p: identity(kind, p)))
         )
 
     return _bound(_seed(kind, ident, key, draw), of)
@@ -299,29 +402,59 @@ def matches(text: Column) -> Column:
     return _described(found)
 
 
-def redraws(found: DataFrame, key: str) -> DataFrame:
-    """Draw numbers above 0: (kind, identity, draw), for entities whose surrogates met others.
+def _format(kind: Column, ident: Column) -> Column:
+    """What a permutation keeps of an entity: entities of different formats stay different."""
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(ident, "[0-9]", "0"), r"\p{Lu}", "A"), r"\p{L}", "a")
+    return F.when(kind.isin("email", "ip", "ssn", "card"), F.lit("")).when(
+        kind.isin("phone", "iban"), F.concat(_lead(kind, ident), F.lit(" "), shape)
+    ).otherwise(F.concat(shape, F.when(ident.rlike("^[0-9A-Fa-f]{16,}$"), "h").otherwise("")))
+
+
+def redraws(found: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
+    """Draw numbers other than 0: (kind, identity, draw), for entities whose surrogates met others.
 
     Each round draws again for all but the smallest of those that meet, and for those that meet a real
-    entity, until nothing meets; it works on the entities that still move.
+    entity; it works on the entities that still move. Names, which grow with every draw, go on until nothing
+    meets; formats in which anything still meets after `rounds` rounds are PERMUTED as a whole.
     """
+    named = F.col("kind").isin("family", "given_m", "given_f")
     settled = materialize(found.select("kind", "identity").distinct().withColumn("draw", F.lit(0)))
     real = settled.select("kind", F.col("identity").alias("shown"))
     state = materialize(settled.withColumn("shown", _shown(F.col("kind"), F.col("identity"), key, F.col("draw"))))
+    done = 0
     while True:
-        holders = state.groupBy("kind", "shown").agg(F.min(F.struct("draw", "identity")).alias("first"), F.count(F.lit(1)).alias("n"))
-        met = holders.join(real.withColumn("is_real", F.lit(True)), ["kind", "shown"], "left").where("n > 1 or is_real")
-        moving = small_side(met.select("kind", "shown", "first", F.coalesce("is_real", F.lit(False)).alias("is_real")))
+        holders = state.groupBy("kind", "shown").agg(
+            F.min(F.struct("draw", "identity")).alias("first"), F.max("draw").alias("last"), F.count(F.lit(1)).alias("n")
+        )
+        # What is permuted stays: it is distinct already, and may be real.
+        met = holders.where(F.col("last") != PERMUTED).join(real.withColumn("is_real", F.lit(True)), ["kind", "shown"], "left")
+        moving = small_side(
+            met.where("n > 1 or is_real").select("kind", "shown", "first", F.coalesce("is_real", F.lit(False)).alias("is_real"))
+        )
         if moving.isEmpty():
-            return state.where("draw > 0").select("kind", "identity", "draw")
-        again = F.col("first").isNotNull() & (F.col("is_real") | (F.struct("draw", "identity") != F.col("first")))
-        moved = state.join(moving, ["kind", "shown"], "left").withColumn("draw", F.col("draw") + F.coalesce(again.cast("int"), F.lit(0)))
-        state = materialize(
-            moved.select("kind", "identity", "draw", F.when(again, _shown(F.col("kind"), F.col("identity"), key, F.col("draw"))).otherwise(F.col("shown")).alias("shown"))
+            discard(moving)
+            return state.where("draw <> 0").select("kind", "identity", "draw")
+        again = F.col("first").isNotNull() & (F.col("draw") != PERMUTED) & (
+            F.col("is_real") | (F.struct("draw", "identity") != F.col("first"))
         )
-
-
-def replace_entities(docs: DataFrame, key: str = "surrogates", text: str = "text") -> DataFrame:
+        moved = state.join(moving, ["kind", "shown"], "left").withColumn("again", again)
+        if done < rounds:
+            draw = F.when(F.col("again"), F.col("draw") + 1).otherwise(F.col("draw"))
+        else:
+            full = small_side(
+                moved.where("again").where(~named).select("kind", _format(F.col("kind"), F.col("identity")).alias("format"))
+                .distinct().withColumn("full", F.lit(True))
+            )
+            moved = moved.withColumn("format", _format(F.col("kind"), F.col("identity"))).join(full, ["kind", "format"], "left")
+            draw = F.when(F.col("full"), PERMUTED).when(F.col("again"), F.col("draw") + 1).otherwise(F.col("draw"))
+        before, moved = state, moved.withColumn("next", draw)
+        shown = F.when(F.col("next") != F.col("draw"), _shown(F.col("kind"), F.col("identity"), key, F.col("next")))
+        state = materialize(moved.select("kind", "identity", F.col("next").alias("draw"), F.coalesce(shown, "shown").alias("shown")))
+        discard(before, moving)
+        done += 1
+
+
+def replace_entities(docs: DataFrame, key: str = "surrogates", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """The documents with surrogates in place of entities, all columns kept, and `n_entities` added.
 
     Null texts stay null (0 entities); texts without entities stay as they are to the byte.
@@ -330,33 +463,39 @@ def replace_entities(docs: DataFrame, key: str = "surrogates", text: str = "text
     rows and equal texts give equal results, and so do reruns with the same key. An empty table gives
     no rows. A column n_entities of the input is replaced; all others may have any name.
     """
-    source = F.col(text).cast("string")
+    # Packed, so that names of columns cannot meet those in use here.
+    kept = [c for c in docs.columns if c != "n_entities"]
+    packed = docs.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("source"))
+    text_key = F.md5(F.col("source").cast("binary")).alias("text_key")
     found = materialize(
-        docs.select(F.md5(source.cast("binary")).alias("text_key"), F.explode(matches(source)).alias("match"))
+        packed.select(text_key, F.explode(matches(F.col("source"))).alias("match"))
         .select("text_key", F.explode(parts_of(F.col("match"))).alias("part")).select("text_key", "part.*").distinct()
     )
-    again = redraws(found, key)
-    drawn = small_side(
-        found.join(again, ["kind", "identity"]).groupBy("text_key").agg(
-            F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "identity"), "draw"))).alias("_draws")
-        ).withColumnRenamed("text_key", "_text_key")
+    again = materialize(found.join(redraws(found, key, rounds), ["kind", "identity"]))
+    drawn = again.groupBy("text_key").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "identity"), "draw"))).alias("draws")
     )
-    joined = docs.join(drawn, F.md5(source.cast("binary")) == F.col("_text_key"), "left")
-    draws = F.coalesce("_draws", F.create_map().cast("map<string,int>"))
+    # Counted by entities, as a text may have many of them.
+    if again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        drawn = F.broadcast(materialize(drawn))
+    joined = packed.withColumn("text_key", text_key).join(drawn, "text_key", "left")
+    draws, source = F.coalesce("draws", F.create_map().cast("map<string,int>")), F.col("source")
 
     def rebuilt(hits: Column) -> Column:
-        gaps = F.split(source, F.col("_pattern"), -1)
+        gaps = F.split(source, F.col("pattern"), -1)
         put = F.transform(hits, lambda s: surrogate_of(s, draws, key))
         return F.array_join(F.zip_with(gaps, put, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
 
     # Mentions have no parts of their own: they are those of the names that stand with a title.
     matched = (
-        joined.withColumn("_titled", matches(source)).withColumn("_people", people_of(F.col("_titled")))
-        .withColumn("_pattern", pattern_of(F.col("_people")))
-        .withColumn("_hits", F.when(
-            F.size("_people.words") > 0, _described(F.regexp_extract_all(source, F.col("_pattern"), F.lit(0)), F.col("_people"))
-        ).otherwise(F.col("_titled")))
+        joined.withColumn("titled", matches(source)).withColumn("people", people_of(F.col("titled")))
+        .withColumn("pattern", pattern_of(F.col("people")))
+        .withColumn("hits", F.when(
+            F.size("people.words") > 0, _described(F.regexp_extract_all(source, F.col("pattern"), F.lit(0)), F.col("people"))
+        ).otherwise(F.col("titled")))
+    )
+    new = F.when(F.size("hits") > 0, rebuilt(F.col("hits"))).otherwise(source)
+    return matched.select(
+        *[new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept],
+        F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_entities"),
     )
-    return matched.withColumn(text, F.when(F.size("_hits") > 0, rebuilt(F.col("_hits"))).otherwise(source)).withColumn(
-        "n_entities", F.coalesce(F.size("_hits"), F.lit(0)).cast("long")
-    ).drop("_hits", "_titled", "_people", "_pattern", "_draws", "_text_key")

@@ -61,7 +61,8 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(m) AS m FROM r GROUP
 
 @query("op4_near_duplicates", _OP4_SQL)
 def op4_near_duplicates(spark: SparkSession, base: str) -> DataFrame:
-    return near_dedup.near_duplicates(read_table(spark, base, "documents"), words=3, percent=85, bands=36, rows=7)
+    found = near_dedup.near_duplicates(read_table(spark, base, "documents"), words=3, percent=85, bands=36, rows=7)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op10_token_counts")
