@@ -22,25 +22,37 @@ MIX_KEY = "mix"
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the quality classifier scores below LEAST_QUALITY."""
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, name="_quality")
-    return scored.where(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
+    # Packed, so that no column of docs can have the name of a score.
+    packed = docs.select("text", F.struct("*").alias("row"))
+    scored = quality.score(packed, model, name="quality")
+    return scored.where(F.col("quality") >= LEAST_QUALITY).select("row.*")
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates.
 
-    Of rows that repeat an id one stays, that of the smallest text hash; rows without an id stay.
+    Of rows that agree in id and text one stays, and of rows with one id whose texts are near copies or
+    without words the one with the smallest text key. Rows that repeat an id with different texts are judged
+    each by its own; rows without an id stay.
     """
-    columns = docs.columns
-    gone = small_side(near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct())
-    repeated = small_side(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    left = docs.join(gone, "doc_id", "left_anti")
-    single = left.join(repeated, "doc_id", "left_anti").select(*columns)
-    one_each = (
-        left.join(repeated, "doc_id", "left_semi").withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-        .groupBy("doc_id").agg(F.min_by(F.struct(*columns), "_hash").alias("_row"))
+    texts = materialize(
+        near_dedup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id", "text_key")
+        .agg(F.first("kept").alias("kept"), F.first("component").alias("component"), F.count(F.lit(1)).alias("rows"))
     )
-    return single.unionByName(one_each.select("_row.*").select(*columns))
+    winners = texts.where("kept").groupBy("doc_id", "component").agg(F.min(F.struct("text_key", "rows")).alias("first"))
+    winners = materialize(winners.select("doc_id", "first.*"))
+    gone = small_side(texts.select("doc_id", "text_key").join(winners, ["doc_id", "text_key"], "left_anti"))
+    repeated = small_side(winners.where("rows > 1").select("doc_id", "text_key"))
+    packed = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), near_dedup.text_key(F.col("text")).alias("text_key"),
+        F.struct("*").alias("row"),
+    )
+    left = packed.join(gone, ["doc_id", "text_key"], "left_anti")
+    single = left.join(repeated, ["doc_id", "text_key"], "left_anti").select("row")
+    one_each = left.join(repeated, ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(
+        F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")
+    )
+    return single.unionByName(one_each.select("row")).select("row.*")
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
