@@ -85,18 +85,17 @@ def find_related(
     """Related claims of every source claim that has an embedding.
 
     Left out are the source itself, claims whose canonical claim it is, and claims linked to it by
-    a duplicate edge. The exclusion travels with the excluded claim (which points at few targets),
-    not with the source (which may have any number of duplicates).
+    a duplicate edge. Edges stay rows, so neither end may have too many.
     """
-    corpus = _corpus(claims)
     pointed = F.array_compact(F.array(F.col("id"), F.col("canonical_claim")))
-    if duplicate_edges is not None:
-        edges = duplicate_edges.groupBy(F.col("src_id").alias("id")).agg(F.collect_set("dst_id").alias("_targets"))
-        corpus = corpus.join(edges, "id", "left")
-        pointed = F.when(F.col("_targets").isNotNull(), F.concat(pointed, F.col("_targets"))).otherwise(pointed)
-    corpus = corpus.withColumn("tags", pointed).select("id", "vec", "tags")
+    corpus = _corpus(claims).withColumn("tags", pointed).select("id", "vec", "tags")
     seekers = unit_vectors(sources.withColumn("id", F.col("claim_id"))).withColumn("exclude", F.array("id"))
-    found = top_matches(seekers.select("id", "vec", "exclude"), corpus, limit, min_similarity, plan)
+    excluded = None
+    if duplicate_edges is not None:
+        excluded = duplicate_edges.select(F.col("dst_id").alias("query_id"), F.col("src_id").alias("match_id")).join(
+            sources.select(F.col("claim_id").alias("query_id")), "query_id", "left_semi"
+        )
+    found = top_matches(seekers.select("id", "vec", "exclude"), corpus, limit, min_similarity, plan, excluded)
     return describe_matches(found, sources, claims)
 
 
@@ -157,7 +156,7 @@ def related_for_new_claims(
     plan: BlockPlan = DEFAULT_PLAN,
 ) -> DataFrame:
     """Existing claims near each new claim; a claim with the very same triple does not count."""
-    triple = F.concat_ws("|", *TRIPLE)
+    triple = F.to_json(F.array(*TRIPLE))
     seekers = unit_vectors(new_claims.withColumn("id", F.col("claim_id"))).withColumn("exclude", F.array(triple))
     corpus = _corpus(claims).withColumn("tags", F.array(triple))
     found = top_matches(seekers.select("id", "vec", "exclude"), corpus.select("id", "vec", "tags"), per_claim, min_similarity, plan)

@@ -1,11 +1,13 @@
 """Exact threshold and top-k similarity over vectors, as bounded block joins.
 
 Vectors have length at most 1, so `dot >= t` implies a Euclidean distance of at most
-`sqrt(2 - 2t)`. A few reference vectors (pivots) split the space into cells. The right side lives
-in the cell of its nearest pivot; the left side visits only the cells the triangle inequality
-cannot rule out. Cells that hold many rows are cut into chunks on both sides, so every task sees
-at most two blocks of `block_rows` vectors whatever the skew, multiplies them with NumPy and emits
-only what the caller's block function keeps. Nothing is approximated and no pair is capped.
+`sqrt(2 - 2t)`. A few reference vectors (pivots) split the space into cells; where they would get too
+many, the rows of each cell are split again by pivots of their own. The right side lives in the cell
+of its nearest pivot; the left side visits only the cells the triangle inequality cannot rule out: for
+a threshold all rows with one radius, for the k best each row with its own, which its home cell tells.
+Cells that hold many rows are cut into chunks on both sides, so every task sees at most two blocks of
+`block_rows` vectors whatever the skew, multiplies them with NumPy and emits only what the caller's
+block function keeps. Nothing is approximated and no pair is capped.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import normalize
+from colloquy.operators.ordered import first_rows
 from colloquy.session import materialize
 
 # A block function receives (left rows, right rows, dot products) and returns a frame.
@@ -38,6 +41,8 @@ class BlockPlan:
 
     block_rows: int = BLOCK_ROWS
     cell_rows: int = CELL_ROWS
+    #: Pivots of the first level, and of the second level within one cell of the first.
+    pivots: int = MAX_PIVOTS
 
 
 DEFAULT_PLAN = BlockPlan()
@@ -53,16 +58,29 @@ def stack(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
-def _pivots(right: DataFrame, plan: BlockPlan) -> np.ndarray | None:
+def spread_pivots(sample: np.ndarray, wanted: int) -> np.ndarray:
+    """Rows of a sample that lie apart: each is drawn by its squared distance from those drawn before."""
+    sample = np.unique(sample, axis=0)
+    random = np.random.default_rng(len(sample))
+    chosen = [0]
+    apart = _distances(sample, sample[:1])[:, 0] ** 2
+    while len(chosen) < min(wanted, len(sample)) and apart.max() > 0:
+        chosen.append(int(random.choice(len(sample), p=apart / apart.sum())))
+        apart = np.minimum(apart, _distances(sample, sample[chosen[-1]:chosen[-1] + 1])[:, 0] ** 2)
+        apart[chosen] = 0.0
+    return sample[chosen]
+
+
+def pivots_of(corpus: DataFrame, rows: int, plan: BlockPlan) -> np.ndarray | None:
     """Pivot matrix of a checked size, or None when one cell is enough."""
-    rows = right.count()
-    wanted = min(MAX_PIVOTS, rows // plan.cell_rows)
+    wanted = min(plan.pivots, rows // plan.cell_rows)
     if wanted < 2:
         return None
-    dimension = right.select(F.size("vec").alias("n")).head()["n"]
+    dimension = corpus.select(F.size("vec").alias("n")).head()["n"]
     wanted = min(wanted, max(1, PIVOT_BYTES // (8 * max(dimension, 1))))
-    sample = right.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(wanted)
-    return np.unique(stack(sample.toPandas()["vec"]), axis=0)
+    sample = corpus.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(4 * wanted)
+    points = spread_pivots(stack(sample.toPandas()["vec"]), wanted)
+    return points if len(points) > 1 else None
 
 
 def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -72,51 +90,161 @@ def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0.0))
 
 
-def _with_home(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    broadcast = df.sparkSession.sparkContext.broadcast(pivots)
+def _parts(rows: int, size: int = 1024) -> Iterator[slice]:
+    for start in range(0, rows, size):
+        yield slice(start, start + size)
+
+
+def _nearest(vectors: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest point of each vector, and the distance to it."""
+    place, reach = np.zeros(len(vectors), dtype=np.int64), np.zeros(len(vectors))
+    for part in _parts(len(vectors)):
+        distance = _distances(vectors[part], points)
+        place[part] = distance.argmin(axis=1)
+        reach[part] = distance.min(axis=1)
+    return place, reach
+
+
+def _possible(
+    vectors: np.ndarray, radius: np.ndarray, points: np.ndarray, low: np.ndarray, high: np.ndarray
+) -> list[np.ndarray]:
+    """Per vector the numbers of all points whose cell can hold a row within the vector's radius.
+
+    `low` and `high` bound the distance of a cell's rows from its point.
+    """
+    found: list[np.ndarray] = []
+    for part in _parts(len(vectors)):
+        distance, r = _distances(vectors[part], points), radius[part, None] + _SLACK
+        # A partner y of x in cell j is nearer to point j than to any other point, hence
+        # d(x, j) <= d(x, any) + 2r; and d(y, j) differs from d(x, j) by at most r.
+        keep = distance <= distance.min(axis=1, keepdims=True) + 2 * r
+        keep &= (distance <= high[None, :] + r) & (distance >= low[None, :] - r)
+        found.extend(np.flatnonzero(row) for row in keep)
+    return found
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """A corpus in cells: `rows` with the number of their cell (`home`), and what tells cells apart.
+
+    The pivots of the first level and the least and greatest distance of their rows are of a checked
+    size and travel with the tasks. Those of the second level, (top, n, vec, low, high), stay a table
+    that meets the rows of its first-level cell in slices.
+    """
+
+    plan: BlockPlan
+    top: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    inner: DataFrame | None
+    rows: DataFrame
+
+    def place(self, df: DataFrame, keep_reach: bool = False) -> DataFrame:
+        """Adds `home`, the cell nearest to each row, and on demand `reach`, the distance to its pivot."""
+        placed = _top_placed(df, self.top)
+        if self.inner is None:
+            placed = placed.withColumn("home", F.col("top")).drop("top")
+        else:
+            placed = _inner_placed(placed, self.inner, self.plan)
+        return placed if keep_reach else placed.drop("reach")
+
+    def visits(self, df: DataFrame) -> DataFrame:
+        """One row for each cell that can hold a row within `radius` of a row: adds `cell`."""
+        shared = df.sparkSession.sparkContext.broadcast((self.top, self.low, self.high))
+
+        def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    found = _possible(stack(batch["vec"]), batch["radius"].to_numpy(), *shared.value)
+                    batch["tops"] = [row.tolist() for row in found]
+                    yield batch
+
+        seen = df.mapInPandas(tops, schema=f"{_fields(df)}, tops array<long>")
+        seen = seen.withColumn("top", F.explode("tops")).drop("tops")
+        if self.inner is None:
+            return seen.withColumn("cell", F.col("top")).drop("top")
+
+        columns = [*df.columns, "cells"]
+
+        def cells(batch: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+            if len(batch) == 0 or len(points) == 0:
+                return pd.DataFrame(columns=columns)
+            found = _possible(
+                stack(batch["vec"]), batch["radius"].to_numpy(), stack(points["vec"]),
+                points["low"].to_numpy(), points["high"].to_numpy(),
+            )
+            numbers = points["home"].to_numpy()
+            batch["cells"] = [numbers[row].tolist() for row in found]
+            return batch[columns]
+
+        met = _beside_inner(seen, self.inner, self.plan, cells, f"{_fields(df)}, cells array<long>")
+        return met.withColumn("cell", F.explode("cells")).drop("cells")
+
+
+def _top_placed(df: DataFrame, top: np.ndarray) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(top)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch) == 0:
-                continue
-            distance = _distances(stack(batch["vec"]), broadcast.value)
-            home = distance.argmin(axis=1)
-            batch["home"] = home.astype("int32")
-            batch["reach"] = distance[np.arange(len(batch)), home]
-            yield batch
+            if len(batch):
+                batch["top"], batch["reach"] = _nearest(stack(batch["vec"]), shared.value)
+                yield batch
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(assign, schema=f"{names}, home int, reach double")
+    return df.mapInPandas(assign, schema=f"{_fields(df)}, top long, reach double")
 
 
-def _visits(
-    df: DataFrame, pivots: np.ndarray, low: np.ndarray, high: np.ndarray, radius: float, upper_only: bool
+def _beside_inner(
+    df: DataFrame, inner: DataFrame, plan: BlockPlan, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str
 ) -> DataFrame:
-    """Adds `cells`: every cell that can hold a partner of the row."""
-    context = df.sparkSession.sparkContext
-    shared = context.broadcast((pivots, low, high))
+    """Applies `run` to slices of the rows of a first-level cell and the pivots inside that cell."""
+    slices = df.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / (16 * plan.block_rows)).cast("int").alias("_slices"))
+    rows = df.join(slices, "top").withColumn("_slice", F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int"))
+    points = inner.join(slices, "top").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+    keys = ["top", "_slice"]
+    return rows.drop("_slices").groupBy(*keys).cogroup(points.drop("_slices").groupBy(*keys)).applyInPandas(run, schema=schema)
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points, nearest, farthest = shared.value
-        numbers = np.arange(len(points))
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            distance = _distances(stack(batch["vec"]), points)
-            home = batch["home"].to_numpy()
-            own = distance[np.arange(len(batch)), home]
-            # A partner y of x in cell j is nearer to pivot j than to any other pivot, hence
-            # d(x, j) <= d(x, home) + 2r; and d(y, j) differs from d(x, j) by at most r.
-            keep = distance <= own[:, None] + 2 * radius + _SLACK
-            keep &= distance <= farthest[None, :] + radius + _SLACK
-            keep &= distance >= nearest[None, :] - radius - _SLACK
-            if upper_only:
-                keep &= numbers[None, :] >= home[:, None]
-            batch["cells"] = [numbers[row].astype("int32").tolist() for row in keep]
-            yield batch
-
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(visit, schema=f"{names}, cells array<int>")
+
+def _inner_placed(placed: DataFrame, inner: DataFrame, plan: BlockPlan) -> DataFrame:
+    columns = [c for c in placed.columns if c not in ("top", "reach")]
+
+    def assign(batch: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        if len(batch) == 0 or len(points) == 0:
+            return pd.DataFrame(columns=[*columns, "home", "reach"])
+        place, batch["reach"] = _nearest(stack(batch["vec"]), stack(points["vec"]))
+        batch["home"] = points["home"].to_numpy()[place]
+        return batch[[*columns, "home", "reach"]]
+
+    schema = f"{_fields(placed.select(*columns))}, home long, reach double"
+    return _beside_inner(placed, inner, plan, assign, schema)
+
+
+def cell_index(corpus: DataFrame, plan: BlockPlan = DEFAULT_PLAN) -> CellIndex | None:
+    """The cells of a corpus (id, vec, payload), or None where one cell is enough."""
+    rows = corpus.count()
+    top = pivots_of(corpus, rows, plan)
+    if top is None:
+        return None
+    placed = materialize(_top_placed(corpus, top))
+    low, high = np.full(len(top), np.inf), np.full(len(top), -np.inf)
+    # At most one row per pivot comes back.
+    for row in placed.groupBy("top").agg(F.min("reach").alias("lo"), F.max("reach").alias("hi")).collect():
+        low[row["top"]], high[row["top"]] = row["lo"], row["hi"]
+    if rows // plan.cell_rows <= plan.pivots:
+        return CellIndex(plan, top, low, high, None, placed.withColumn("home", F.col("top")).drop("top", "reach"))
+    wanted = placed.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / plan.cell_rows).alias("wanted"))
+    picked = first_rows(placed.select("top", "id", "vec"), ["top"], [F.xxhash64("id"), F.col("id")], plan.pivots, "n")
+    points = materialize(
+        picked.join(wanted, "top").where("n <= wanted")
+        .select("top", "vec", (F.col("top") * plan.pivots + F.col("n") - 1).alias("home"))
+    )
+    assigned = materialize(_inner_placed(placed, points, plan))
+    reach = assigned.groupBy("home").agg(F.min("reach").alias("low"), F.max("reach").alias("high"))
+    inner = materialize(points.join(reach, "home"))
+    return CellIndex(plan, top, low, high, inner, assigned.drop("reach"))
 
 
 def block_join(
@@ -135,27 +263,23 @@ def block_join(
     """
     mirrored = right is None
     corpus = left if mirrored else right
-    radius = math.sqrt(max(0.0, 2 - 2 * threshold))
-    pivots = _pivots(corpus, plan)
-    if pivots is None or len(pivots) < 2:
+    index = cell_index(corpus, plan)
+    if index is None:
         lefts = left.withColumn("home", F.lit(0)).withColumn("cell", F.lit(0))
         rights = _renewed(corpus).withColumn("cell", F.lit(0))
     else:
-        placed = materialize(_with_home(corpus, pivots))
-        count = len(pivots)
-        low, high = np.full(count, np.inf), np.full(count, -np.inf)
-        # At most one row per pivot comes back.
-        for row in placed.groupBy("home").agg(F.min("reach").alias("lo"), F.max("reach").alias("hi")).collect():
-            low[row["home"]], high[row["home"]] = row["lo"], row["hi"]
-        seekers = placed if mirrored else _with_home(left, pivots)
-        visiting = materialize(_visits(seekers.drop("reach"), pivots, low, high, radius, mirrored))
-        lefts = visiting.withColumn("cell", F.explode("cells")).drop("cells")
-        rights = _renewed(placed).withColumn("cell", F.col("home")).drop("home", "reach")
-
-    # One row per cell, so the size table is bounded by the number of pivots.
+        seekers = index.rows if mirrored else left.withColumn("home", F.lit(-1).cast("long"))
+        visiting = index.visits(seekers.withColumn("radius", F.lit(_radius(threshold)))).drop("radius")
+        # Two cells of one table meet once, from the smaller number.
+        lefts = materialize(visiting.where("cell >= home") if mirrored else visiting)
+        rights = _renewed(index.rows).withColumnRenamed("home", "cell")
     return _in_chunks(lefts, rights, block, schema, plan)
 
 
+def _radius(threshold: float) -> float:
+    return math.sqrt(max(0.0, 2 - 2 * threshold))
+
+
 def keyed_block_join(
     left: DataFrame, right: DataFrame, block: BlockFunction, schema: str, plan: BlockPlan = DEFAULT_PLAN
 ) -> DataFrame:
@@ -175,8 +299,14 @@ def same_key(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> np.ndarray:
     return codes[: len(lpdf), None] == codes[None, len(lpdf):]
 
 
-def _in_chunks(lefts: DataFrame, rights: DataFrame, block: BlockFunction, schema: str, plan: BlockPlan) -> DataFrame:
-    """Cuts crowded cells into chunks on both sides and applies `block` to every pair of chunks."""
+def _in_chunks(
+    lefts: DataFrame, rights: DataFrame, block: BlockFunction, schema: str, plan: BlockPlan, bans: DataFrame | None = None
+) -> DataFrame:
+    """Cuts crowded cells into chunks on both sides and applies `block` to every pair of chunks.
+
+    `bans` (cell, id of a right row, `banned` id of a left row) are pairs that do not count. Each goes to the
+    one task where its rows meet, so neither row has a list that grows.
+    """
     chunks = lambda side, name: side.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / plan.block_rows).cast("int").alias(name)
     )
@@ -187,12 +317,29 @@ def _in_chunks(lefts: DataFrame, rights: DataFrame, block: BlockFunction, schema
     lefts = lefts.join(sizes, "cell").withColumn("l_chunk", number("n_l")).withColumn("r_chunk", spread("n_r"))
     rights = rights.join(sizes, "cell").withColumn("r_chunk", number("n_r")).withColumn("l_chunk", spread("n_l"))
 
+    if bans is not None:
+        kind = f"array<{_type_of(bans, 'banned')}>"
+        met = bans.join(sizes, "cell").select(
+            "id", "cell", F.pmod(F.xxhash64("banned"), F.col("n_l")).cast("int").alias("l_chunk"),
+            number("n_r").alias("r_chunk"), F.array("banned").alias("banned"),
+        )
+        rights = rights.withColumn("banned", F.array().cast(kind)).unionByName(met, allowMissingColumns=True)
+
     empty = [f.split()[0].strip("` ") for f in schema.split(",")]
 
     def run(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        banned = None
+        if "banned" in rpdf:
+            real = rpdf["banned"].map(len) == 0
+            banned, rpdf = rpdf[~real], rpdf[real].reset_index(drop=True)
         if len(lpdf) == 0 or len(rpdf) == 0:
             return pd.DataFrame(columns=empty)
         dots = stack(lpdf["vec"]) @ stack(rpdf["vec"]).T
+        if banned is not None and len(banned):
+            pairs = pd.DataFrame({"left": [b[0] for b in banned["banned"]], "right": banned["id"].to_numpy()})
+            for side, ids in (("left", lpdf["id"]), ("right", rpdf["id"])):
+                pairs = pairs.merge(pd.DataFrame({side: ids.to_numpy(), f"{side}_at": np.arange(len(ids))}), on=side)
+            dots[pairs["left_at"].to_numpy(dtype=int), pairs["right_at"].to_numpy(dtype=int)] = -np.inf
         return block(lpdf, rpdf, dots)
 
     return (
@@ -240,17 +387,20 @@ def top_matches(
     k: int,
     min_similarity: float,
     plan: BlockPlan = DEFAULT_PLAN,
+    excluded: DataFrame | None = None,
 ) -> DataFrame:
     """The k most similar corpus rows of each query: (query_id, match_id, similarity, rank).
 
     Inputs carry `id` and unit `vec`. A corpus row is skipped when its optional `tags` array shares
-    a value with the query's optional `exclude` array. Each block hands on at most k rows per query,
-    so the final ranking sees k rows per query and block, never all pairs.
+    a value with the query's optional `exclude` array, or when `excluded` (query_id, match_id), of any
+    length, lists the pair. Each block hands on at most k rows per query, so the final ranking sees k rows
+    per query and block, never all pairs. A query looks into its home cell first; with k matches there, only
+    cells that can hold a better one are visited.
     """
 
     def block(lpdf: pd.DataFrame, rpdf: pd.DataFrame, dots: np.ndarray) -> pd.DataFrame:
         dots = _excluded(lpdf, rpdf, dots)
-        keep = dots >= min_similarity
+        keep = dots >= lpdf["least"].to_numpy()[:, None]
         if dots.shape[1] > k:
             kth = np.partition(dots, -k, axis=1)[:, -k]
             keep &= dots >= kth[:, None]
@@ -263,10 +413,34 @@ def top_matches(
         found = found.sort_values(["query_id", "similarity", "match_id"], ascending=[True, False, True])
         return found.groupby("query_id", sort=False).head(k)
 
+    def ranked(found: DataFrame) -> DataFrame:
+        return first_rows(found, ["query_id"], [F.desc("similarity"), F.asc("match_id")], k)
+
     schema = f"query_id {_type_of(queries, 'id')}, match_id {_type_of(corpus, 'id')}, similarity double"
-    found = block_join(queries, corpus, min_similarity, block, schema, plan)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "match_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    seekers = queries.withColumn("least", F.lit(float(min_similarity)))
+    index = cell_index(corpus, plan)
+    rights = _renewed(corpus).withColumn("cell", F.lit(0)) if index is None else _renewed(index.rows).withColumnRenamed("home", "cell")
+    bans = None
+    if excluded is not None:
+        pairs = excluded.select(F.col("match_id").alias("id"), F.col("query_id").alias("banned")).distinct()
+        bans = materialize(pairs.join(rights.select("id", "cell"), "id").select("id", "cell", "banned"))
+    if index is None:
+        return ranked(_in_chunks(seekers.withColumn("cell", F.lit(0)), rights, block, schema, plan, bans))
+    placed = materialize(index.place(seekers))
+    at_home = _in_chunks(placed.withColumn("cell", F.col("home")), rights, block, schema, plan, bans)
+    first = materialize(ranked(at_home).drop("rank"))
+    others = materialize(index.visits(narrowed(placed, first, k)).where("cell <> home").drop("home", "radius"))
+    return ranked(first.unionByName(_in_chunks(others, rights, block, schema, plan, bans)))
+
+
+def narrowed(placed: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """Seekers with the least similarity that can still enter their k best, and the radius of that."""
+    full = first.groupBy(F.col("query_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("similarity").alias("_kth")
+    ).where(F.col("_n") >= k).drop("_n")
+    least = F.greatest("least", F.coalesce("_kth", "least"))
+    known = placed.join(full, "id", "left").withColumn("least", least).drop("_kth")
+    return known.withColumn("radius", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("least"))))
 
 
 # -- threshold pairs -----------------------------------------------------------------------------------

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from colloquy.operators import similarity as S
 from colloquy.operators.graph import connected_components
 
-PLANS = [S.DEFAULT_PLAN, S.BlockPlan(block_rows=16, cell_rows=20)]
+#: One cell, cells of one level, and cells of two levels.
+PLANS = [S.DEFAULT_PLAN, S.BlockPlan(block_rows=16, cell_rows=20), S.BlockPlan(block_rows=16, cell_rows=8, pivots=4)]
 
 
 def vectors(seed=0, n=160, dim=8, hot=False):
@@ -122,6 +123,58 @@ def test_copies_expand_to_all_pairs(spark):
         assert pairs.where("kind = 'copy'").count() == 4 + 9
 
 
+def clustered(clusters, each, dim=24, seed=9):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(clusters, dim))
+    rows = np.repeat(centers, each, axis=0) + rng.normal(scale=0.12, size=(clusters * each, dim))
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("plan", [S.BlockPlan(cell_rows=40), S.BlockPlan(cell_rows=10, pivots=40)])
+def test_few_cells_are_visited_for_the_best(spark, plan):
+    """At the thresholds in use, a row's own k-th match rules out nearly all cells of clustered vectors."""
+    rows = clustered(40, 50)
+    df = frame(spark, rows)
+    index = S.cell_index(df, plan)
+    assert (index.inner is not None) == (plan.pivots == 40)
+    cells = index.rows.select("home").distinct().count()
+    placed = index.place(df.withColumn("least", F.lit(0.5)))
+    first = S.top_matches(df, df, 5, 0.5, plan).select("query_id", "match_id", "similarity")
+    visited = index.visits(S.narrowed(placed, first, 5)).where("cell <> home").count()
+    assert visited < 0.1 * len(rows) * cells
+    fixed = index.visits(df.withColumn("radius", F.lit(S._radius(0.5)))).count()
+    assert visited < fixed
+
+
+def test_second_level_splits_crowded_cells(spark):
+    rows = clustered(12, 40, dim=8)
+    index = S.cell_index(frame(spark, rows), S.BlockPlan(cell_rows=10, pivots=8))
+    sizes = [r["count"] for r in index.rows.groupBy("home").count().collect()]
+    assert len(index.top) == 8 and len(sizes) > 24 and sum(sizes) == len(rows)
+
+
+def test_pivots_lie_apart():
+    rows = clustered(30, 20)
+    points = S.spread_pivots(rows, 30)
+    nearest = (points @ rows.T).argmax(axis=1) // 20
+    assert len(points) == 30 and len(set(nearest)) >= 25
+    assert len(S.spread_pivots(np.tile(rows[:1], (50, 1)), 9)) == 1
+
+
+@pytest.mark.parametrize("plan", PLANS)
+def test_listed_pairs_do_not_count(spark, plan):
+    """A third of all pairs excluded, most of them of one row on either side."""
+    rows = vectors(12, n=60)
+    listed = {(0, j) for j in range(0, 60, 2)} | {(i, 7) for i in range(0, 60, 3)} | {(i, i) for i in range(60)} | {(99, 1), (1, 99)}
+    excluded = spark.createDataFrame(sorted(listed) * 2, "query_id long, match_id long")
+    df = frame(spark, rows)
+    found = S.top_matches(df, df, 4, 0.1, plan, excluded).collect()
+    dots = rows @ rows.T
+    for i in range(60):
+        order = sorted((j for j in range(60) if (i, j) not in listed and dots[i, j] >= 0.1), key=lambda j: (-dots[i, j], j))
+        assert [r["match_id"] for r in sorted((r for r in found if r["query_id"] == i), key=lambda r: r["rank"])] == order[:4]
+
+
 def test_exclusions_by_tags(spark):
     rows = vectors(8, n=20)
     df = frame(spark, rows)
