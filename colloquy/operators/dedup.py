@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import cosine
+from colloquy.operators.graph import connected_components
 from colloquy.operators.ordered import first_rows
-from colloquy.operators.similarity import DEFAULT_PLAN, BlockPlan, block_join, copy_code, unit_vectors
-from colloquy.session import materialize
+from colloquy.operators.similarity import DEFAULT_PLAN, BlockPlan, block_join, copy_code, spanning_edges, stack, unit_vectors
+from colloquy.session import Ledger, discard, materialize
+
+#: Rows of a connected group that one task settles in order; it holds at most that many vectors.
+GROUP_ROWS = 8192
 
 
 def _near(left: DataFrame, right: DataFrame, threshold: float, plan: BlockPlan) -> DataFrame:
@@ -25,30 +31,75 @@ def _near(left: DataFrame, right: DataFrame, threshold: float, plan: BlockPlan)
     return block_join(left, right, threshold, block, f"id {kind}", plan).distinct()
 
 
-def choose_canonical(rows: DataFrame, threshold: float, plan: BlockPlan = DEFAULT_PLAN) -> DataFrame:
+def _settled(groups: DataFrame, threshold: float) -> DataFrame:
+    """Outcome (id, is_leader) of groups (component, id, vec, ord) that are whole up to their last row.
+
+    A task reads its groups one after the other, in order, and holds the leaders of one group only.
+    """
+    kind = groups.schema["id"].dataType.simpleString()
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, leaders, held = None, np.zeros((0, 0)), 0
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            vectors, flags = stack(batch["vec"]), np.zeros(len(batch), dtype=bool)
+            for i, component in enumerate(batch["component"]):
+                if component != current:
+                    current, leaders, held = component, np.zeros((4, vectors.shape[1])), 0
+                if held and (leaders[:held] @ vectors[i]).max() >= threshold:
+                    continue
+                if held == len(leaders):
+                    leaders = np.concatenate([leaders, np.zeros_like(leaders)])
+                leaders[held] = vectors[i]
+                held += 1
+                flags[i] = True
+            yield pd.DataFrame({"id": batch["id"], "is_leader": flags})
+
+    ordered = groups.repartition("component").sortWithinPartitions("component", "ord")
+    return ordered.select("component", "id", "vec").mapInPandas(settle, f"id {kind}, is_leader boolean")
+
+
+def choose_canonical(
+    rows: DataFrame, threshold: float, plan: BlockPlan = DEFAULT_PLAN, group_rows: int = GROUP_ROWS
+) -> DataFrame:
     """Which rows (id, vec, ord) stay canonical when processed in order: (id, is_leader).
 
-    A row becomes canonical unless an earlier canonical row is at least `threshold` similar. Per
-    round, rows near a fresh canonical row drop out, and rows without an earlier open neighbour
-    become canonical; this yields exactly the sequential outcome. Blocks emit at most one flag per
-    row, never the similar pairs. It ends when no row is open; the first open row always settles.
+    A row becomes canonical unless an earlier canonical row is at least `threshold` similar. Rows that no
+    similarity connects cannot decide about each other, so every connected group is settled by itself, in
+    order, by one task, as far as its first `group_rows` rows; chains of any kind end there. Of larger
+    groups the canonical rows so found take out their neighbours, rows without an earlier open neighbour
+    settle too, and what is left is grouped again. This yields exactly the sequential outcome. Blocks emit
+    spanning edges or one flag per row, never the similar pairs, and settled rows are written once.
     """
     open_rows = materialize(rows.select("id", "vec", "ord"))
-    decided: list[DataFrame] = []
+    settled = Ledger(rows.sparkSession)
+    settled.add(open_rows.where("false").select("id", F.lit(True).alias("is_leader")))
     while not open_rows.isEmpty():
-        blocked = materialize(_near(open_rows, open_rows, threshold, plan))
-        fresh = materialize(open_rows.join(blocked, "id", "left_anti"))
-        waiting = open_rows.join(blocked, "id", "left_semi")
-        gone = materialize(_near(waiting, fresh, threshold, plan))
-        decided.append(fresh.select("id", F.lit(True).alias("is_leader")))
-        decided.append(gone.select("id", F.lit(False).alias("is_leader")))
-        open_rows = materialize(waiting.join(gone, "id", "left_anti"))
-    if not decided:
-        return open_rows.select("id", F.lit(True).alias("is_leader"))
-    result = decided[0]
-    for part in decided[1:]:
-        result = result.unionByName(part)
-    return result
+        edges = materialize(spanning_edges(open_rows.select("id", "vec"), threshold, plan))
+        linked = edges.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+        settled.add(open_rows.join(linked, "id", "left_anti").select("id", F.lit(True).alias("is_leader")))
+        grouped = materialize(open_rows.join(connected_components(linked, edges), "id"))
+        first = materialize(first_rows(grouped, ["component"], [F.asc("ord")], group_rows, "place").drop("place"))
+        roles = settled.add(_settled(first, threshold))
+        rest = materialize(grouped.join(first.select("id"), "id", "left_anti").select("id", "vec", "ord"))
+        spent = [open_rows, edges, grouped]
+        open_rows = rest
+        if not rest.isEmpty():
+            leaders = first.join(roles.where("is_leader"), "id", "left_semi").select("id", "vec", "ord")
+            gone = materialize(_near(rest, leaders, threshold, plan))
+            settled.add(gone.select("id", F.lit(False).alias("is_leader")))
+            left = materialize(rest.join(gone, "id", "left_anti"))
+            blocked = materialize(_near(left, left, threshold, plan))
+            fresh = materialize(left.join(blocked, "id", "left_anti"))
+            settled.add(fresh.select("id", F.lit(True).alias("is_leader")))
+            waiting = left.join(blocked, "id", "left_semi")
+            beaten = materialize(_near(waiting, fresh, threshold, plan))
+            settled.add(beaten.select("id", F.lit(False).alias("is_leader")))
+            open_rows = materialize(waiting.join(beaten, "id", "left_anti"))
+            spent += [rest, gone, left, blocked, fresh, beaten]
+        discard(*spent, first)
+    return settled.rows()
 
 
 def deduplicate_claims(

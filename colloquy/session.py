@@ -68,6 +68,25 @@ def discard(*tables: DataFrame) -> None:
             target.getFileSystem(context.hadoopConfiguration()).delete(target, True)
 
 
+class Ledger:
+    """A table in the checkpoint folder that rounds of an iteration add to; every row is written once."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        ensure_checkpoint_dir(spark)
+        self.spark, self.path, self.parts = spark, f"{spark.sparkContext.getCheckpointDir()}/ledger-{uuid.uuid4().hex}", 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Writes the rows as the next part and returns that part."""
+        path = f"{self.path}/part={self.parts}"
+        df.write.parquet(path)
+        self.parts += 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def rows(self) -> DataFrame:
+        """All parts (one at least) as one scan."""
+        return self.spark.read.parquet(self.path).drop("part")
+
+
 def read_table(spark: SparkSession, base: str, name: str, spread: bool = False) -> DataFrame:
     """Scan of a table; `spread` is for work that is heavy per row.
 

@@ -52,6 +52,49 @@ def test_equals_sequential(spark, plan, seed):
             assert rows[i] @ rows[got[i]["canonical_claim"]] == pytest.approx(rows[i] @ rows[target], abs=1e-9)
 
 
+def chain(n, step=0.3, dim=4):
+    """Each row is similar to its neighbours in order and to no others; it turns in planes one after the other."""
+    angles = np.arange(n) * step
+    radius = np.sqrt(0.5)
+    return np.stack([radius * np.cos(angles), radius * np.sin(angles), radius * np.cos(angles / 97), radius * np.sin(angles / 97)], axis=1)
+
+
+def greedy(rows, threshold):
+    leaders, flags = [], []
+    for row in rows:
+        flags.append(not leaders or (rows[leaders] @ row).max() < threshold)
+        if flags[-1]:
+            leaders.append(len(flags) - 1)
+    return flags
+
+
+@pytest.mark.parametrize("group_rows", [D.GROUP_ROWS, 400])
+def test_long_chains_need_few_rounds(spark, monkeypatch, group_rows):
+    n, threshold = 5000, 0.95
+    rows = chain(n)
+    df = spark.createDataFrame(
+        [(i, [float(x) for x in r], f"{i:08d}") for i, r in enumerate(rows)], "id long, vec array<double>, ord string"
+    )
+    rounds, real = [], D.spanning_edges
+    monkeypatch.setattr(D, "spanning_edges", lambda *a: rounds.append(1) or real(*a))
+    found = {r["id"]: r["is_leader"] for r in D.choose_canonical(df, threshold, group_rows=group_rows).collect()}
+    assert [found[i] for i in range(n)] == greedy(rows, threshold)
+    assert sum(found.values()) < n and len(rounds) <= 30
+    if group_rows == D.GROUP_ROWS:
+        assert len(rounds) == 1
+
+
+def test_groups_beyond_the_limit_are_settled_in_order(spark):
+    rows = vectors(5, n=150, hot=True)
+    df = spark.createDataFrame(
+        [(i, [float(x) for x in r], f"{i:08d}") for i, r in enumerate(rows)], "id long, vec array<double>, ord string"
+    )
+    for group_rows in (2, 10):
+        for threshold in (0.6, 0.9):
+            found = {r["id"]: r["is_leader"] for r in D.choose_canonical(df, threshold, PLANS[1], group_rows).collect()}
+            assert [found[i] for i in range(150)] == greedy(rows, threshold)
+
+
 def test_confidence_is_raised(spark):
     rows = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
     new = claims(spark, rows, [1, 2], {1: 1, 2: 2})
