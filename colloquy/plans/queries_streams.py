@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from colloquy.operators.claim_store import ClaimStore
 from colloquy.operators.rate_limit import rate_limit_audit
 from colloquy.plans import bindings as B
 from colloquy.plans.oracle import with_tables
@@ -61,9 +62,7 @@ def n05(spark, d):
 def n05_stream(spark, d):
     folder = _work_folder(spark)
     requests = B.request_columns(_event_stream(spark, d))
-    audited = jobs.rate_limit_stream(requests)
-    handle = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/audit/batch={n}")
-    jobs.start(audited, handle, f"{folder}/state").awaitTermination()
+    jobs.start(requests, jobs.audit_requests(folder), f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/audit").drop("batch")
 
 
@@ -91,8 +90,9 @@ def n07(spark, d):
     is_new = F.col("vec_id") % 2 == 1
     schema = B.read_table(spark, d, "embeddings").schema
     arriving = B.claim_columns(spark.readStream.schema(schema).parquet(f"{d}/embeddings*.parquet").where(is_new))
-    known = lambda session: B.claim_vectors(session, d).where(F.col("claim_id") % 2 == 0).withColumn("is_canonical", F.lit(True))
-    handle = jobs.process_claims(known, folder, duplicate=0.40, related=0.30, near=0.30, contradict=0.10)
+    known = B.claim_vectors(spark, d).where(F.col("claim_id") % 2 == 0).withColumn("is_canonical", F.lit(True))
+    store = ClaimStore(f"{folder}/store").create(known)
+    handle = jobs.process_claims(store, folder, duplicate=0.40, related=0.30, near=0.30, contradict=0.10)
     jobs.start(arriving, handle, f"{folder}/state").awaitTermination()
     found = spark.read.parquet(f"{folder}/outcome")
     return found.select("claim_id", "is_canonical", "canonical_claim", F.round("similarity", 6).alias("similarity"))

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from colloquy.functions.text import cost_usd
 from colloquy.operators import contradictions as I
+from colloquy.operators.bucket_table import BucketTable
+from colloquy.operators.claim_store import ClaimStore
 from colloquy.operators.dedup import deduplicate_claims
-from colloquy.operators.rate_limit import MAX_REQUESTS, WINDOW_MS, admit
+from colloquy.operators.rate_limit import MAX_REQUESTS, WINDOW_MS, last_admissions, rate_limit_audit
 from colloquy.operators.related import related_for_new_claims
 from colloquy.operators.upsert import upsert
-from colloquy.session import materialize
+from colloquy.session import discard, materialize
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -61,20 +60,35 @@ def read_totals(spark: SparkSession, path: str) -> DataFrame:
     return totals.withColumn("cost_usd", cost_usd("input_tokens", "output_tokens"))
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = MAX_REQUESTS, window_ms: int = WINDOW_MS) -> DataFrame:
-    """Admission per request of a stream (client, request_id, at_ms) with at most `limit` stamps of state."""
-    def audit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = deque(state.get[0]) if state.exists else deque()
-        # The rows of one client in one micro-batch arrive in any order.
-        rows = pd.concat(list(batches)).sort_values(["at_ms", "request_id"])
-        flags = [admit(recent, at_ms, limit, window_ms) for at_ms in rows["at_ms"]]
-        state.update((list(recent),))
-        yield rows[["client", "request_id", "at_ms"]].assign(admitted=flags)
+def audit_requests(path: str, limit: int = MAX_REQUESTS, window_ms: int = WINDOW_MS) -> Callable[[DataFrame, int], None]:
+    """Per micro-batch of (client, request_id, at_ms): which requests the limiter admits, under `path`/audit.
 
-    return requests.groupBy("client").applyInPandasWithState(
-        audit, "client string, request_id long, at_ms long, admitted boolean", "stamps array<long>", "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    The latest admissions of each client, `limit` at most, are kept in a table by buckets of clients; a
+    batch reads and writes the buckets of its clients. Rows pass through the tasks in time order, so a
+    client with a third of all requests needs no more memory than any other. A request that comes in a
+    later batch than its time is judged by the admissions of its window that are still kept. A repeated
+    batch replaces its own results.
+    """
+    state = BucketTable(f"{path}/admissions", ["client"])
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        requests = materialize(batch.select("client", "request_id", "at_ms"))
+        kept = spark.createDataFrame([], f"client {dict(requests.dtypes)['client']}, stamps array<long>")
+        clients = requests.select("client").distinct()
+
+        def judged(stamps: DataFrame, _: DataFrame) -> DataFrame:
+            earlier = stamps.join(clients, "client", "left_semi").select("client", F.explode("stamps").alias("at_ms"))
+            audited = rate_limit_audit(requests, limit, window_ms, earlier)
+            audited.write.mode("overwrite").parquet(f"{path}/audit/batch={number}")
+            audited = spark.read.schema(audited.schema).parquet(f"{path}/audit/batch={number}")
+            now = last_admissions(earlier.unionByName(audited.where("admitted").select("client", "at_ms")), limit)
+            return stamps.join(clients, "client", "left_anti").unionByName(now)
+
+        state.merge(clients, judged, number + 1, like=kept)
+        discard(requests)
+
+    return handle
 
 
 def upsert_by_day(path: str, key: list[str], update: list[str], order: str, day: str = "day") -> Callable[[DataFrame, int], None]:
@@ -99,32 +113,29 @@ def upsert_by_day(path: str, key: list[str], update: list[str], order: str, day:
 
 
 def process_claims(
-    store: Callable[[SparkSession], DataFrame], path: str, duplicate: float = 0.92, related: float = 0.75,
-    near: float = 0.65, contradict: float = 0.7,
+    store: ClaimStore, path: str, duplicate: float = 0.92, related: float = 0.75, near: float = 0.65, contradict: float = 0.7,
 ) -> Callable[[DataFrame, int], None]:
     """Per micro-batch of embedded claims: dedup outcome, related claims and contradictions.
 
-    `store` reads the canonical claims known before the stream began; what earlier batches found
-    canonical is known to later ones. Outputs go to one folder per batch number, so a repeated batch
-    overwrites its own results.
+    What a batch finds canonical is appended to the store and known to later ones. Of the store only the
+    cells are read that the batch can reach at the least of the similarities, so the work follows the
+    batch, not the store. Duplicates and related claims are looked for in the store and, in order, in the
+    batch; related claims of the batch's claims are claims of the store; contradictions are those with
+    the store or within the batch. Outputs go to one folder per batch number, so a repeated batch overwrites
+    its own results.
     """
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         claims = materialize(batch)
-        known = store(spark)
-        earlier = read_or_none(spark, f"{path}/canonical")
-        if earlier is not None:
-            known = known.unionByName(earlier.where(F.col("batch") < number).select(*known.columns))
-        known = materialize(known)
+        reach = min(duplicate, related, near, contradict)
+        known = materialize(store.near(claims, reach, before=number + 1))
         outcome = materialize(deduplicate_claims(claims, known, duplicate, related))
         outcome.write.mode("overwrite").parquet(f"{path}/outcome/batch={number}")
         canonical = claims.join(outcome.where("is_canonical").select("claim_id"), "claim_id", "left_semi")
-        canonical.withColumn("is_canonical", F.lit(True)).select(*known.columns).write.mode("overwrite").parquet(
-            f"{path}/canonical/batch={number}"
-        )
+        store.append(canonical.withColumn("is_canonical", F.lit(True)).select(*known.columns), number + 1)
         related_for_new_claims(claims, known, 2, near).write.mode("overwrite").parquet(f"{path}/related/batch={number}")
         every = known.unionByName(claims.select(*known.columns))
         found = I.contradictions_of(every, claims, contradict)
         found.write.mode("overwrite").parquet(f"{path}/contradictions/batch={number}")
+        discard(claims, known, outcome)
 
     return handle
