@@ -7,11 +7,11 @@ Subtree totals travel along the same pointers, so no ancestor list is ever built
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import excerpt
-from colloquy.operators.ordered import first_rows
+from colloquy.operators.ordered import first_rows, running_total
 from colloquy.session import materialize
 
 
@@ -169,22 +169,15 @@ def flattened(forest: DataFrame) -> DataFrame:
     """Position of each comment in the pre-order of its thread (root 0), without path arrays.
 
     A node lies one place after its parent plus the subtrees of its earlier siblings. Those
-    offsets are added up along the pointers to the root, again by doubling. Sibling offsets are
-    summed in two steps (hour, then within the hour), so a comment with countless replies does not
-    become one long window.
+    offsets are added up along the pointers to the root, again by doubling. Sibling offsets are running
+    totals over ranges of rows, so a comment with countless replies, even within one hour, is spread out.
     """
-    size = F.col("reply_count") + 1
-    hour = F.date_trunc("hour", F.col("created_at"))
-    replies = forest.where(F.col("parent").isNotNull()).withColumn("_hour", hour)
-    by_hour = replies.groupBy("parent", "_hour").agg(F.sum(size).alias("_size"))
-    before = Window.partitionBy("parent").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    by_hour = by_hour.withColumn("_earlier", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    within = Window.partitionBy("parent", "_hour").orderBy("created_at", "comment_id").rowsBetween(
-        Window.unboundedPreceding, -1
+    replies = forest.where(F.col("parent").isNotNull()).select(
+        "comment_id", "parent", "created_at", (F.col("reply_count") + 1).alias("size")
     )
-    offset = replies.withColumn("_within", F.coalesce(F.sum(size).over(within), F.lit(0))).join(
-        by_hour, ["parent", "_hour"]
-    ).select("comment_id", (F.col("_within") + F.col("_earlier") + 1).alias("offset"))
+    offset = running_total(
+        replies, ["parent"], [F.col("created_at"), F.col("comment_id")], F.col("size"), "earlier"
+    ).select("comment_id", (F.col("earlier") + 1).alias("offset"))
     state = materialize(forest.join(offset, "comment_id", "left").select(
         F.col("comment_id").alias("id"), F.coalesce("parent", "comment_id").alias("up"),
         F.coalesce("offset", F.lit(0)).cast("bigint").alias("position"), "depth",
