@@ -126,46 +126,47 @@ def link_slice(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int])
             return
 
 
+class _Spelled(dict):
+    """`a|b` of id pairs (a << 32 | b), as they are asked for; forgotten beyond a number of pairs."""
+
+    def __missing__(self, pair: int) -> str:
+        if len(self) >= BROADCAST_ROWS:
+            self.clear()
+        self[pair] = shown = f"{pair >> _SHIFT}|{pair & 0xFFFFFFFF}"
+        return shown
+
+
 def align_ids(
-    a: list[int], b: list[int], sizes_a: np.ndarray, sizes_b: np.ndarray
-) -> tuple[list[int], list[int], np.ndarray]:
-    """Where the groups end in a and in b, and the id pairs of all links (a << 32 | b).
+    a: list[int], b: list[int], sizes_a: np.ndarray, sizes_b: np.ndarray, names: dict[int, str]
+) -> tuple[list[str], np.ndarray]:
+    """Groups as `a1,a2|b1`, and the id pairs of all links (a << 32 | b).
 
-    `sizes_a`, `sizes_b` give the bytes of every id; both lists spell the same bytes.
+    `sizes_a`, `sizes_b` give the bytes of every id, `names` spells pairs; both lists spell the same bytes.
     """
     of_a, of_b = np.array(a), np.array(b)
     ends_a, ends_b = np.cumsum(sizes_a[of_a]).tolist(), np.cumsum(sizes_b[of_b]).tolist()
     index_a = dict(zip(ends_a, range(1, len(a) + 1)))
     index_b = dict(zip(ends_b, range(1, len(b) + 1)))
     common = sorted(index_a.keys() & index_b.keys())
-    to_a, to_b = list(map(index_a.__getitem__, common)), list(map(index_b.__getitem__, common))
+    to_a = np.fromiter(map(index_a.__getitem__, common), np.int64, len(common))
+    to_b = np.fromiter(map(index_b.__getitem__, common), np.int64, len(common))
+    from_a, from_b = np.append(0, to_a[:-1]), np.append(0, to_b[:-1])
     # Most slices hold one token of either side: one link each. The others are expanded one by one.
-    last_a, last_b = np.array(to_a), np.array(to_b)
-    single = (np.diff(last_a, prepend=0) == 1) & (np.diff(last_b, prepend=0) == 1)
-    plain = of_a[last_a[single] - 1] << _SHIFT | of_b[last_b[single] - 1]
+    links = of_a[to_a - 1] << _SHIFT | of_b[to_b - 1]
+    groups = list(map(names.__getitem__, links.tolist()))
+    single = (to_a - from_a == 1) & (to_b - from_b == 1)
+    several = np.flatnonzero(~single)
     others = []
-    for at in np.flatnonzero(~single).tolist():
-        i, k, j, m = to_a[at - 1] if at else 0, to_a[at], to_b[at - 1] if at else 0, to_b[at]
+    for at, i, k, j, m in zip(*(x.tolist() for x in (several, from_a[several], to_a[several], from_b[several], to_b[several]))):
+        x, y = a[i:k], b[j:m]
+        groups[at] = f"{','.join(map(str, x))}|{','.join(map(str, y))}"
         if k - i == 1:
-            others += [a[i] << _SHIFT | y for y in b[j:m]]
+            others += [x[0] << _SHIFT | z for z in y]
         elif m - j == 1:
-            others += [x << _SHIFT | b[j] for x in a[i:k]]
-        else:
-            others += [x << _SHIFT | y for x, y in link_slice(a[i:k], b[j:m], ends_a[i:k], ends_b[j:m])]
-    return to_a, to_b, np.concatenate([plain, np.array(others, dtype=np.int64)])
-
-
-def spelled_groups(to_a: list[int], to_b: list[int], a: list[str], b: list[str]) -> str:
-    """`a1,a2|b1;a3|b2,b3`: the ids of each group."""
-    i = j = 0
-    parts = []
-    for k, m in zip(to_a, to_b):
-        if k - i == 1 == m - j:
-            parts.append(f"{a[i]}|{b[j]}")
+            others += [z << _SHIFT | y[0] for z in x]
         else:
-            parts.append(f"{','.join(a[i:k])}|{','.join(b[j:m])}")
-        i, j = k, m
-    return ";".join(parts)
+            others += [z << _SHIFT | w for z, w in link_slice(x, y, ends_a[i:k], ends_b[j:m])]
+    return groups, np.concatenate([links[single], np.array(others, dtype=np.int64)])
 
 
 _ALIGNED = pa.schema([
@@ -192,7 +193,7 @@ def alignments(
         encode_a, bytes_a = byte_level_coder(byte_level_path)
         encode_b, bytes_b = piece_coder(piece_path)
         sizes_a, sizes_b = np.array([len(s) for s in bytes_a]), np.array([len(s) for s in bytes_b])
-        names_a, names_b = [str(i) for i in range(len(bytes_a))], [str(i) for i in range(len(bytes_b))]
+        names = _Spelled()
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for start, stop in chunks([len(t) for t in texts], TOKEN_BYTES):
@@ -202,12 +203,10 @@ def alignments(
                     whole = b" " + t.encode("utf-8")
                     spells = t and whole == b"".join(map(bytes_a.__getitem__, a)) == b"".join(map(bytes_b.__getitem__, b))
                     if spells:
-                        to_a, to_b, links = align_ids(a, b, sizes_a, sizes_b)
-                        shown = spelled_groups(
-                            to_a, to_b, list(map(names_a.__getitem__, a)), list(map(names_b.__getitem__, b))
-                        )
+                        groups, links = align_ids(a, b, sizes_a, sizes_b, names)
+                        shown = ";".join(groups)
                         digest = hashlib.sha256(shown.encode("ascii")).hexdigest()
-                        rows.append((len(a), len(b), len(to_a), len(links), digest, shown if keep_groups else None))
+                        rows.append((len(a), len(b), len(groups), len(links), digest, shown if keep_groups else None))
                         distinct, often = np.unique(links, return_counts=True)
                         pairs.append(distinct)
                         times.append(often)

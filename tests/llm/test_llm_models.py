@@ -123,12 +123,14 @@ def test_slices_without_common_ends_are_linked_by_overlap():
         cuts = [sorted(random_.sample(range(1, 30), random_.randrange(1, 9))) + [30] for _ in range(2)]
         sizes = [[e - s for s, e in zip([0, *c], c)] for c in cuts]
         ids = [list(range(len(s))) for s in sizes]
-        to_a, to_b, links = alignment.align_ids(ids[0], ids[1], np.array(sizes[0]), np.array(sizes[1]))
+        groups, links = alignment.align_ids(ids[0], ids[1], np.array(sizes[0]), np.array(sizes[1]), alignment._Spelled())
         spans = [list(zip([0, *c], c)) for c in cuts]
         plain = {(x << 32 | y) for x, (s, e) in enumerate(spans[0]) for y, (u, v) in enumerate(spans[1]) if s < v and u < e}
-        assert set(links.tolist()) == plain and len(links) == len(plain) == len(ids[0]) + len(ids[1]) - len(to_a)
-        for side, ends in zip(cuts, (to_a, to_b)):
-            assert ends == [side.index(c) + 1 for c in cuts[0] if c in cuts[1]]
+        assert set(links.tolist()) == plain and len(links) == len(plain) == len(ids[0]) + len(ids[1]) - len(groups)
+        for k, side in enumerate(cuts):
+            last = [int(g.split("|")[k].split(",")[-1]) for g in groups]
+            assert last == [side.index(c) for c in cuts[0] if c in cuts[1]]
+            assert [int(i) for g in groups for i in g.split("|")[k].split(",")] == ids[k]
 
 
 def test_ids_of_the_first_vocabulary_equal_the_library():
