@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from colloquy.functions.vectors import dot, normalize
 from colloquy.operators.graph import connected_components
 from colloquy.operators.ordered import first_rows
 from colloquy.operators.similarity import (
-    DEFAULT_PLAN, BlockPlan, block_join, fold_copies, neighbour_counts, similar_pairs,
+    DEFAULT_PLAN, BlockPlan, block_join, cell_index, fold_copies, join_chunks, neighbour_counts,
     spanning_edges, top_matches, unit_vectors,
 )
 from colloquy.session import discard, materialize
@@ -103,14 +104,6 @@ def single_linkage(claims: DataFrame, min_similarity: float = 0.5, plan: BlockPl
     return copies.join(labels.withColumnRenamed("id", "rep_id"), "rep_id").select("id", F.col("component").alias("cluster"))
 
 
-def _best_partner(pairs: DataFrame) -> DataFrame:
-    """Most similar partner per cluster, smallest name on ties: (id, partner)."""
-    both = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("partner"), "similarity").unionByName(
-        pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("partner"), "similarity")
-    )
-    return both.groupBy("id").agg(F.min_by("partner", F.struct(-F.col("similarity"), F.col("partner"))).alias("partner"))
-
-
 def _mutual(best: DataFrame) -> DataFrame:
     """Reciprocal best partners as (gone, into): the smaller name stays."""
     other = best.select(F.col("id").alias("partner"), F.col("partner").alias("back"))
@@ -119,34 +112,60 @@ def _mutual(best: DataFrame) -> DataFrame:
     )
 
 
+def _agglomerate(
+    member_of: DataFrame, state: DataFrame, best_of: Callable[[DataFrame, DataFrame | None], DataFrame],
+    merged: Callable[[DataFrame, DataFrame], DataFrame],
+) -> DataFrame:
+    """Merges all reciprocal best partners per round: (id, cluster), clusters named by their smallest id.
+
+    `best_of(state, asked)` gives the best partner (id, partner) of the asked clusters, of all if None. No
+    cluster that comes from a merge is more similar to a third one than the better of its halves was, so
+    merging reciprocal pairs at once equals merging the best pair one at a time, a cluster keeps its
+    partner until that partner merges, and one without a partner never gets any.
+    """
+    best, is_whole = materialize(best_of(state, None)), True
+    while True:
+        merges = materialize(_mutual(best))
+        if merges.isEmpty():
+            # Only equal similarities, asked for at different times, can leave partners in a circle.
+            if is_whole or best.isEmpty():
+                return member_of
+            best, is_whole = materialize(best_of(state, None)), True
+            continue
+        halves = materialize(merges.select(F.explode(F.array("gone", "into")).alias("id")))
+        past = best, state, member_of, halves, merges
+        state, member_of = materialize(merged(state, merges)), materialize(_renamed(member_of, merges))
+        left = best.join(halves, "id", "left_anti")
+        met = halves.withColumnRenamed("id", "partner")
+        asked = merges.select(F.col("into").alias("id")).unionByName(left.join(met, "partner", "left_semi").select("id"))
+        kept = left.join(met, "partner", "left_anti").select("id", "partner")
+        best, is_whole = materialize(kept.unionByName(best_of(state, materialize(asked)))), False
+        discard(*past)
+
+
 def average_linkage(claims: DataFrame, min_similarity: float = 0.5, plan: BlockPlan = DEFAULT_PLAN) -> DataFrame:
     """Average linkage on cluster means: the mean pairwise cosine of two clusters is the dot
     product of their mean unit vectors, so the state is one vector per cluster, never a pair table.
-
-    Each round merges all reciprocal best pairs, which for this linkage equals merging the best
-    pair one at a time; a round without such pairs is the last, at any size.
     """
     reps, copies = fold_copies(materialize(_ready(claims)))
     clusters = materialize(reps.select("id", "vec", F.col("copies").alias("size")))
-    member_of = materialize(copies.select("id", F.col("rep_id").alias("cluster")))
-    while True:
-        seekers = clusters.select("id", "vec", F.array("id").alias("exclude"))
-        targets = clusters.select("id", "vec", F.array("id").alias("tags"))
-        best = top_matches(seekers, targets, 1, min_similarity, plan).select(
-            F.col("query_id").alias("id"), F.col("match_id").alias("partner")
+
+    def best_of(state: DataFrame, asked: DataFrame | None) -> DataFrame:
+        seekers = state if asked is None else state.join(asked, "id", "left_semi")
+        found = top_matches(
+            seekers.select("id", "vec", F.array("id").alias("exclude")), state.select("id", "vec", F.array("id").alias("tags")),
+            1, min_similarity, plan,
         )
-        merges = materialize(_mutual(materialize(best)))
-        if merges.count() == 0:
-            return member_of
-        past = clusters, member_of
-        clusters = materialize(_merge_means(clusters, merges))
-        member_of = materialize(_renamed(member_of, merges))
-        discard(*past, merges)
+        return found.select(F.col("query_id").alias("id"), F.col("match_id").alias("partner"))
+
+    return _agglomerate(copies.select("id", F.col("rep_id").alias("cluster")), clusters, best_of, _merge_means)
 
 
 def _renamed(member_of: DataFrame, merges: DataFrame) -> DataFrame:
+    """Rows (.., cluster) under the names after the merges."""
+    others = [c for c in member_of.columns if c != "cluster"]
     return member_of.join(merges, F.col("cluster") == F.col("gone"), "left").select(
-        "id", F.coalesce("into", "cluster").alias("cluster")
+        *others, F.coalesce("into", "cluster").alias("cluster")
     )
 
 
@@ -165,35 +184,85 @@ def _merge_means(clusters: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def complete_linkage(claims: DataFrame, min_similarity: float = 0.5, plan: BlockPlan = DEFAULT_PLAN) -> DataFrame:
-    """Complete linkage over the pairs at or above the threshold: two clusters may merge only while
-    every pair across them is such a pair, so no other pair is ever needed.
+    """Complete linkage: the similarity of two clusters is that of their least similar members.
 
-    The state is the cluster pairs that can still merge with their least similarity; a pair
-    survives a merge only when both halves had it.
+    The state is the points with the names of their clusters. Which cluster is nearest is computed from the
+    points each time it is asked, block by block, so no table of pairs is kept, however dense a group is.
     """
     reps, copies = fold_copies(materialize(_ready(claims)))
-    pairs = materialize(similar_pairs(materialize(reps.select("id", "vec")), min_similarity, plan))
-    member_of = materialize(copies.select("id", F.col("rep_id").alias("cluster")))
-    while True:
-        merges = materialize(_mutual(_best_partner(pairs)))
-        if merges.count() == 0:
-            return member_of
-        member_of = materialize(_renamed(member_of, merges))
-        halves = merges.select(F.col("into").alias("name")).unionByName(merges.select(F.col("gone").alias("name")))
-        moved = pairs
-        for end in ("id_a", "id_b"):
-            renamed = merges.select(F.col("gone").alias(end), F.col("into").alias(f"_{end}"))
-            paired = halves.select(F.col("name").alias(end), F.lit(1).alias(f"_half_{end}"))
-            moved = moved.join(renamed, end, "left").join(paired, end, "left")
-        new_a, new_b = F.coalesce("_id_a", "id_a"), F.coalesce("_id_b", "id_b")
-        # A merged end has two halves, so a surviving pair is backed by 1, 2 or 4 old pairs.
-        needed = (F.coalesce("_half_id_a", F.lit(0)) + 1) * (F.coalesce("_half_id_b", F.lit(0)) + 1)
-        moved = moved.where(new_a != new_b).groupBy(
-            F.least(new_a, new_b).alias("id_a"), F.greatest(new_a, new_b).alias("id_b")
-        ).agg(F.min("similarity").alias("similarity"), F.count(F.lit(1)).alias("_have"), F.max(needed).alias("_need"))
-        past = pairs
-        pairs = materialize(moved.where(F.col("_have") == F.col("_need")).drop("_have", "_need"))
-        discard(past, merges)
+    points = materialize(reps.select("id", "vec", F.col("id").alias("cluster")))
+
+    def best_of(state: DataFrame, asked: DataFrame | None) -> DataFrame:
+        return _complete_partners(complete_candidates(state, asked, min_similarity, plan))
+
+    return _agglomerate(copies.select("id", F.col("rep_id").alias("cluster")), points, best_of, _renamed)
+
+
+def complete_candidates(
+    points: DataFrame, asked: DataFrame | None, min_similarity: float, plan: BlockPlan = DEFAULT_PLAN
+) -> DataFrame:
+    """What blocks say of partners under complete linkage: (id, partner, similarity, needed).
+
+    Clusters meet where the points that name them can be similar enough; all their points come along, a
+    cluster whole in one block, or in pieces of half a block. A block names the best whole partner of each
+    whole cluster, and for clusters in pieces every pair of pieces that is similar enough throughout:
+    `needed` pairs of pieces make a pair of clusters.
+    """
+    kind = points.schema["id"].dataType.simpleString()
+    names = materialize(points.where(F.col("id") == F.col("cluster")).select("id", "vec"))
+    half = max(1, plan.block_rows // 2)
+    sizes = points.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("wanted"))
+    piece = F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.col("wanted")).cast("int")
+    cut = materialize(points.join(sizes, "cluster").select("cluster", piece.alias("piece"), "vec"))
+    # Hashing may leave a piece empty; only the others can be waited for.
+    held = cut.select("cluster", "piece").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("pieces"))
+    pieces = materialize(
+        cut.join(held, "cluster")
+        .withColumn("id", F.concat_ws("/", F.col("cluster").cast("string"), F.col("piece").cast("string")))
+    )
+    seekers = names if asked is None else names.join(asked, "id", "left_semi")
+    index = cell_index(names, plan)
+    if index is None:
+        lefts, homes = seekers.select("id", F.lit(0).alias("cell")), names.select("id", F.lit(0).alias("cell"))
+    else:
+        radius = math.sqrt(max(0.0, 2 - 2 * min_similarity))
+        lefts = index.visits(seekers.withColumn("radius", F.lit(radius))).select("id", "cell")
+        homes = index.rows.select("id", F.col("home").alias("cell"))
+    lefts = materialize(lefts.withColumnRenamed("id", "cluster").join(pieces, "cluster"))
+    rights = materialize(homes.withColumnRenamed("id", "cluster").join(pieces.select("*"), "cluster"))
+
+    def block(lpdf: pd.DataFrame, rpdf: pd.DataFrame, dots: np.ndarray) -> pd.DataFrame:
+        (lg, lo, ls), (rg, ro, rs) = _grouped(lpdf), _grouped(rpdf)
+        least = np.minimum.reduceat(np.minimum.reduceat(dots[lo][:, ro], rs, axis=1), ls, axis=0)
+        lc, rc = lg["cluster"].to_numpy(), rg["cluster"].to_numpy()
+        need = lg["pieces"].to_numpy()[:, None] * rg["pieces"].to_numpy()[None, :]
+        keep = (least >= min_similarity) & (lc[:, None] != rc[None, :])
+        # Groups are in the order of their names, so the first of equals has the smallest.
+        whole = np.where(keep & (need == 1), least, -np.inf)
+        best = whole.argmax(axis=1)
+        found = np.flatnonzero(whole[np.arange(len(lc)), best] > -np.inf)
+        i, j = np.nonzero(keep & (need > 1))
+        i, j = np.concatenate([found, i]), np.concatenate([best[found], j])
+        return pd.DataFrame({"id": lc[i], "partner": rc[j], "similarity": least[i, j], "needed": need[i, j]})
+
+    return join_chunks(lefts, rights, block, f"id {kind}, partner {kind}, similarity double, needed long", plan)
+
+
+def _grouped(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """Pieces of clusters in the order of their names, the order of rows by piece, and where each piece starts."""
+    ordered = rows[["cluster", "piece", "pieces"]].reset_index(drop=True).sort_values(["cluster", "piece"], kind="stable")
+    first = ~ordered.duplicated(["cluster", "piece"])
+    return ordered[first], ordered.index.to_numpy(), np.flatnonzero(first.to_numpy())
+
+
+def _complete_partners(found: DataFrame) -> DataFrame:
+    whole = found.where("needed = 1").select("id", "partner", "similarity")
+    pieced = found.where("needed > 1").groupBy("id", "partner").agg(
+        F.min("similarity").alias("similarity"), F.count(F.lit(1)).alias("parts"), F.first("needed").alias("needed")
+    ).where("parts = needed").select("id", "partner", "similarity")
+    return whole.unionByName(pieced).groupBy("id").agg(
+        F.min_by("partner", F.struct(-F.col("similarity"), F.col("partner"))).alias("partner")
+    )
 
 
 # -- centroids, scores, quality --------------------------------------------------------------------------------

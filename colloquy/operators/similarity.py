@@ -273,7 +273,7 @@ def block_join(
         # Two cells of one table meet once, from the smaller number.
         lefts = materialize(visiting.where("cell >= home") if mirrored else visiting)
         rights = _renewed(index.rows).withColumnRenamed("home", "cell")
-    return _in_chunks(lefts, rights, block, schema, plan)
+    return join_chunks(lefts, rights, block, schema, plan)
 
 
 def _radius(threshold: float) -> float:
@@ -290,7 +290,7 @@ def keyed_block_join(
     """
     cells = max(1, math.ceil(2 * right.count() / plan.block_rows))
     cell = F.pmod(F.xxhash64("key"), F.lit(cells)).cast("int")
-    return _in_chunks(left.withColumn("cell", cell), _renewed(right).withColumn("cell", cell), block, schema, plan)
+    return join_chunks(left.withColumn("cell", cell), _renewed(right).withColumn("cell", cell), block, schema, plan)
 
 
 def same_key(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> np.ndarray:
@@ -299,7 +299,7 @@ def same_key(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> np.ndarray:
     return codes[: len(lpdf), None] == codes[None, len(lpdf):]
 
 
-def _in_chunks(
+def join_chunks(
     lefts: DataFrame, rights: DataFrame, block: BlockFunction, schema: str, plan: BlockPlan, bans: DataFrame | None = None
 ) -> DataFrame:
     """Cuts crowded cells into chunks on both sides and applies `block` to every pair of chunks.
@@ -425,12 +425,12 @@ def top_matches(
         pairs = excluded.select(F.col("match_id").alias("id"), F.col("query_id").alias("banned")).distinct()
         bans = materialize(pairs.join(rights.select("id", "cell"), "id").select("id", "cell", "banned"))
     if index is None:
-        return ranked(_in_chunks(seekers.withColumn("cell", F.lit(0)), rights, block, schema, plan, bans))
+        return ranked(join_chunks(seekers.withColumn("cell", F.lit(0)), rights, block, schema, plan, bans))
     placed = materialize(index.place(seekers))
-    at_home = _in_chunks(placed.withColumn("cell", F.col("home")), rights, block, schema, plan, bans)
+    at_home = join_chunks(placed.withColumn("cell", F.col("home")), rights, block, schema, plan, bans)
     first = materialize(ranked(at_home).drop("rank"))
     others = materialize(index.visits(narrowed(placed, first, k)).where("cell <> home").drop("home", "radius"))
-    return ranked(first.unionByName(_in_chunks(others, rights, block, schema, plan, bans)))
+    return ranked(first.unionByName(join_chunks(others, rights, block, schema, plan, bans)))
 
 
 def narrowed(placed: DataFrame, first: DataFrame, k: int) -> DataFrame:

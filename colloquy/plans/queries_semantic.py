@@ -431,12 +431,23 @@ def h03(spark, d):
     return H.single_linkage(B.claim_vectors(spark, d), LINKAGE)
 
 
-@query("h03_average_linkage")
+_LINK = """
+sims AS (SELECT a.claim_id AS i, b.claim_id AS j, list_cosine_similarity(a.v, b.v) AS s FROM vec a JOIN vec b ON a.claim_id < b.claim_id),
+st AS (
+  SELECT claim_id AS id, claim_id AS c, 0 AS n FROM vec
+  UNION ALL
+  SELECT st.id, CASE WHEN st.c = m.b THEN m.a ELSE st.c END, st.n + 1 FROM st, (
+    SELECT least(x.c, y.c) AS a, greatest(x.c, y.c) AS b, {fold}(s) AS v FROM sims JOIN st x ON x.id = i JOIN st y ON y.id = j
+    WHERE x.c <> y.c GROUP BY 1, 2 HAVING {fold}(s) >= {sim} ORDER BY v DESC, a, b LIMIT 1) m)
+SELECT id, c AS cluster FROM st WHERE n = (SELECT max(n) FROM st)"""
+
+
+@query("h03_average_linkage", with_tables("vec", "RECURSIVE " + _LINK.format(fold="avg", sim=LINKAGE)))
 def h03_average(spark, d):
     return H.average_linkage(B.claim_vectors(spark, d), LINKAGE)
 
 
-@query("h03_complete_linkage")
+@query("h03_complete_linkage", with_tables("vec", "RECURSIVE " + _LINK.format(fold="min", sim=LINKAGE)))
 def h03_complete(spark, d):
     return H.complete_linkage(B.claim_vectors(spark, d), LINKAGE)
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_similarity import vectors
 
 from colloquy.operators import clustering as H
@@ -47,6 +48,36 @@ def test_linkage(spark, plan, kind, run):
     assert groups(run(claims(spark, rows), 0.8, plan)) == naive_linkage(rows, 0.8, kind)
 
 
+@pytest.mark.parametrize("plan, threshold", [
+    (BlockPlan(block_rows=4, cell_rows=10**6), 0.2), (BlockPlan(block_rows=10, cell_rows=9, pivots=3), 0.9),
+])
+def test_linkage_of_clusters_beyond_a_block(spark, plan, threshold):
+    """Clusters that must be cut into pieces; named by strings, as claims may be."""
+    rows = vectors(17, n=40, hot=True)
+    df = claims(spark, rows).withColumn("claim_id", F.concat(F.lit("c"), F.col("claim_id") + 100))
+    for run, kind in ((H.complete_linkage, "complete"), (H.average_linkage, "average")):
+        found = {frozenset(int(i[1:]) - 100 for i in g) for g in groups(run(df, threshold, plan))}
+        distinct = {frozenset(g) for g in naive_linkage(rows, threshold, kind)}
+        assert found == distinct
+
+
+def test_complete_linkage_of_a_dense_group_is_linear(spark):
+    """5,000 points that are all similar: 12.5 million pairs, of which blocks hand on at most three per point."""
+    rng = np.random.default_rng(2)
+    rows = np.ones((5000, 6)) + rng.normal(scale=0.05, size=(5000, 6))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    df = claims(spark, rows)
+    points = df.select(F.col("claim_id").alias("id"), F.col("embedding").alias("vec"), F.col("claim_id").alias("cluster"))
+    assert H.complete_candidates(points, None, 0.9).count() <= 3 * 5000
+    found = H.complete_linkage(df.where("claim_id < 800"), 0.98).collect()
+    members = {}
+    for r in found:
+        members.setdefault(r["cluster"], []).append(r["id"])
+    assert sum(map(len, members.values())) == 800 and len(members) < 200
+    for name, ids in members.items():
+        assert name == min(ids) and (rows[ids] @ rows[ids].T).min() >= 0.98 - 1e-12
+
+
 @pytest.mark.parametrize("plan", PLANS)
 def test_dbscan(spark, plan):
     rows = np.vstack([vectors(8, n=60), np.tile(vectors(9, n=1), (6, 1))])
