@@ -13,6 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions.text import claim_sentence
 from colloquy.functions.vectors import dot, normalize
 from colloquy.operators.graph import connected_components
 from colloquy.operators.ordered import first_rows
@@ -22,6 +23,9 @@ from colloquy.operators.similarity import (
 )
 from colloquy.session import discard, materialize
 
+#: Name, description and keywords of a cluster from sentences of its claims; None or an exception if it cannot tell.
+Labeler = Callable[[list[str]], tuple[str, str, list[str]] | None]
+
 # Every clustering returns (id, cluster); cluster is null for noise. Iterations end when a round
 # changes nothing.
 
@@ -344,13 +348,46 @@ def fallback_labels(claims: DataFrame, clusters: DataFrame, position: Column) ->
     )
 
 
+def label_clusters(
+    claims: DataFrame, clusters: DataFrame, position: Column, labeler: Labeler, sample: int = 20
+) -> DataFrame:
+    """Name, description and keywords per cluster by a labeler, and computed ones where it fails.
+
+    The labeler gets the sentences of the first `sample` claims (by position) of one cluster after the other
+    and returns a name, a description and keywords. A cluster for which it raises, or returns None, is
+    labelled like without it.
+    """
+    rows = clusters.where("cluster is not null").join(claims.withColumn("id", F.col("claim_id")), "id").select(
+        "cluster", claim_sentence("subject", "predicate", "object").alias("sentence"), position.alias("position"), "id"
+    )
+    first = first_rows(rows, ["cluster"], [F.asc("position"), F.asc("id")], sample)
+    told = first.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("rank", "sentence"))).alias("told"))
+
+    @F.pandas_udf("struct<name:string,description:string,keywords:array<string>>")
+    def label(samples: pd.Series) -> pd.DataFrame:
+        out = []
+        for sentences in samples:
+            try:
+                out.append(labeler(list(sentences)) or (None, None, None))
+            except Exception:  # noqa: BLE001 - the computed label takes its place
+                out.append((None, None, None))
+        return pd.DataFrame(out, columns=["name", "description", "keywords"])
+
+    labelled = told.select("cluster", label(F.transform("told", lambda t: t["sentence"])).alias("given"))
+    default = fallback_labels(claims, clusters, position)
+    given = F.col("given.name").isNotNull()
+    return default.join(labelled, "cluster").select(
+        "cluster", *[F.when(given, F.col(f"given.{c}")).otherwise(F.col(c)).alias(c) for c in ("name", "description", "keywords")]
+    )
+
+
 def build_themes(
     claims: DataFrame, clusters: DataFrame, run_id: str, position: Column, min_cluster_size: int = 3,
     labels: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Themes, memberships and unclustered claims from a clustering.
 
-    `labels` (cluster, name, description, keywords) may come from any labeler; the default is
+    `labels` (cluster, name, description, keywords) may come from `label_clusters`; the default is
     computed from subjects and predicates. Small clusters dissolve into unclustered claims.
     """
     clusters = materialize(clusters.select("id", "cluster"))

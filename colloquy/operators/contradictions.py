@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -12,11 +13,15 @@ from pyspark.sql import functions as F
 from colloquy import vocab
 from colloquy.functions import predicates as P
 from colloquy.functions.text import claim_sentence
+from colloquy.operators.bucket_table import BucketTable
 from colloquy.operators.similarity import DEFAULT_PLAN, BlockPlan, keyed_block_join, same_key, unit_vectors
 from colloquy.session import materialize
 
 TRIPLE = ["subject", "predicate", "object"]
 
+#: For a list of sentence pairs: whether each is a contradiction, how surely, and why.
+Verifier = Callable[[list[tuple[str, str]]], list[tuple[bool, float, str]]]
+
 
 def _sides(claims: DataFrame, extra: list[str]) -> tuple[DataFrame, DataFrame]:
     cols = ["claim_id", *TRIPLE, *extra]
@@ -228,6 +233,37 @@ def is_structural() -> Column:
     return direct | comparative | negation
 
 
+def verify_candidates(candidates: DataFrame, store: BucketTable, verifier: Verifier) -> DataFrame:
+    """Verdicts on candidate pairs: (claim_id_1, claim_id_2, is_contradiction, confidence, explanation).
+
+    The store keeps every verdict under its pair, and the verifier is asked about unknown pairs only, once
+    each and a batch at a time: a list of sentence pairs in, as many verdicts out. Pairs of a batch for which
+    it raises stay without a verdict and are asked again next time.
+    """
+    spark, pair = candidates.sparkSession, ["claim_id_1", "claim_id_2"]
+    kinds = dict(candidates.dtypes)
+    schema = f"claim_id_1 {kinds['claim_id_1']}, claim_id_2 {kinds['claim_id_2']}, is_contradiction boolean, confidence double, explanation string"
+    known = store.read(spark)
+    known = spark.createDataFrame([], schema) if known is None else known.select(*[c.split()[0] for c in schema.split(", ")])
+    asked = candidates.dropDuplicates(pair).join(known.select(*pair), pair, "left_anti").select(*pair, "claim_1", "claim_2")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            try:
+                told = verifier(list(zip(batch["claim_1"], batch["claim_2"])))
+            except Exception:  # noqa: BLE001 - the pairs are asked again next time
+                continue
+            verdicts = pd.DataFrame(told, columns=["is_contradiction", "confidence", "explanation"])
+            yield pd.concat([batch[pair].reset_index(drop=True), verdicts], axis=1)
+
+    fresh = materialize(asked.mapInPandas(ask, schema))
+    if not fresh.isEmpty():
+        store.merge(fresh, lambda old, feed: old.unionByName(feed))
+    return known.unionByName(fresh).join(candidates.select(*pair).distinct(), pair, "left_semi")
+
+
 def confirmed_by_verdicts(candidates: DataFrame, verdicts: DataFrame, min_confidence: float = 0.7) -> DataFrame:
     """Candidates a verifier confirmed, as edges of type `semantic`."""
     sure = verdicts.where(F.col("is_contradiction") & (F.col("confidence") >= min_confidence))

@@ -281,7 +281,8 @@ def _radius(threshold: float) -> float:
 
 
 def keyed_block_join(
-    left: DataFrame, right: DataFrame, block: BlockFunction, schema: str, plan: BlockPlan = DEFAULT_PLAN
+    left: DataFrame, right: DataFrame, block: BlockFunction, schema: str, plan: BlockPlan = DEFAULT_PLAN,
+    products: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None,
 ) -> DataFrame:
     """Applies `block` to all blocks in which rows of equal `key` (a string) can meet.
 
@@ -290,7 +291,8 @@ def keyed_block_join(
     """
     cells = max(1, math.ceil(2 * right.count() / plan.block_rows))
     cell = F.pmod(F.xxhash64("key"), F.lit(cells)).cast("int")
-    return join_chunks(left.withColumn("cell", cell), _renewed(right).withColumn("cell", cell), block, schema, plan)
+    lefts, rights = left.withColumn("cell", cell), _renewed(right).withColumn("cell", cell)
+    return join_chunks(lefts, rights, block, schema, plan, products=products)
 
 
 def same_key(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> np.ndarray:
@@ -300,12 +302,14 @@ def same_key(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> np.ndarray:
 
 
 def join_chunks(
-    lefts: DataFrame, rights: DataFrame, block: BlockFunction, schema: str, plan: BlockPlan, bans: DataFrame | None = None
+    lefts: DataFrame, rights: DataFrame, block: BlockFunction, schema: str, plan: BlockPlan, bans: DataFrame | None = None,
+    products: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None,
 ) -> DataFrame:
     """Cuts crowded cells into chunks on both sides and applies `block` to every pair of chunks.
 
     `bans` (cell, id of a right row, `banned` id of a left row) are pairs that do not count. Each goes to the
-    one task where its rows meet, so neither row has a list that grows.
+    one task where its rows meet, so neither row has a list that grows. `products` gives the dot products
+    of two blocks that do not carry dense vectors.
     """
     chunks = lambda side, name: side.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / plan.block_rows).cast("int").alias(name)
@@ -334,7 +338,7 @@ def join_chunks(
             banned, rpdf = rpdf[~real], rpdf[real].reset_index(drop=True)
         if len(lpdf) == 0 or len(rpdf) == 0:
             return pd.DataFrame(columns=empty)
-        dots = stack(lpdf["vec"]) @ stack(rpdf["vec"]).T
+        dots = products(lpdf, rpdf) if products else stack(lpdf["vec"]) @ stack(rpdf["vec"]).T
         if banned is not None and len(banned):
             pairs = pd.DataFrame({"left": [b[0] for b in banned["banned"]], "right": banned["id"].to_numpy()})
             for side, ids in (("left", lpdf["id"]), ("right", rpdf["id"])):

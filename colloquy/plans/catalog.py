@@ -4,6 +4,7 @@ from colloquy.plans import (  # noqa: F401
     queries_claims,
     queries_discussion,
     queries_documents,
+    queries_hooks,
     queries_semantic,
     queries_streams,
 )

@@ -320,11 +320,14 @@ def i06(spark, d):
     return found.select("claim_id", "other_id", F.round("similarity", 6).alias("similarity"), "contradiction_type", "rank")
 
 
-@query("i07_semantic_verdicts", with_tables("vec", f"""{_CANON}, {_OPP},
+VERDICT_SQL = f"""{_CANON}, {_OPP},
 old AS (SELECT * FROM canon WHERE claim_id % 3 <> 0),
 near AS (SELECT x.claim_id AS claim_id_1, y.claim_id AS claim_id_2, list_cosine_similarity(x.v, y.v) AS similarity, {_TYPE} AS kind,
     row_number() OVER (PARTITION BY x.claim_id ORDER BY list_cosine_similarity(x.v, y.v) DESC, y.claim_id) AS rank
-  FROM vec x JOIN old y ON list_cosine_similarity(x.v, y.v) >= {RELATED} AND NOT (x.subject = y.subject AND x.predicate = y.predicate AND x.object = y.object) WHERE x.claim_id % 3 = 0)
+  FROM vec x JOIN old y ON list_cosine_similarity(x.v, y.v) >= {RELATED} AND NOT (x.subject = y.subject AND x.predicate = y.predicate AND x.object = y.object) WHERE x.claim_id % 3 = 0)"""
+
+
+@query("i07_semantic_verdicts", with_tables("vec", VERDICT_SQL + """
 SELECT claim_id_1, claim_id_2, round(similarity, 6) AS similarity, 'semantic' AS contradiction_type, round(0.5 + ((claim_id_1 + claim_id_2) % 5)/10, 4) AS confidence,
   'pair ' || claim_id_1 || '/' || claim_id_2 AS explanation
 FROM near WHERE rank <= 5 AND kind IS NULL AND (claim_id_1 + claim_id_2) % 2 = 0 AND round(0.5 + ((claim_id_1 + claim_id_2) % 5)/10, 4) >= 0.7"""))
@@ -371,7 +374,7 @@ def e05(spark, d):
 # -- clustering and themes ----------------------------------------------------------------------------------------------
 
 
-def _by_label(spark, d):
+def by_label(spark, d):
     """The given labels as a clustering; the last label counts as noise."""
     return B.claim_vectors(spark, d).select(
         F.col("claim_id").alias("id"), F.when(F.col("label") < 9, F.col("label").cast("string")).alias("cluster")
@@ -459,7 +462,7 @@ pd AS (SELECT a.claim_id, a.c AS own, b.c AS other, avg(1 - list_cosine_similari
 ab AS (SELECT claim_id, max(d) FILTER (own = other) AS a, min(d) FILTER (own <> other) AS b FROM pd GROUP BY 1)
 SELECT round(avg((b - a)/greatest(a, b)), 6) AS silhouette, count(*) AS points FROM ab WHERE a IS NOT NULL AND b IS NOT NULL"""))
 def h04(spark, d):
-    return H.silhouette(B.claim_vectors(spark, d), _by_label(spark, d)).withColumn("silhouette", F.round("silhouette", 6))
+    return H.silhouette(B.claim_vectors(spark, d), by_label(spark, d)).withColumn("silhouette", F.round("silhouette", 6))
 
 
 _CENTER = """
@@ -472,7 +475,7 @@ ctr AS (SELECT c, list(m ORDER BY pos) AS mean FROM x GROUP BY 1)"""
 SELECT c AS cluster, round(mean[1]/sqrt(list_dot_product(mean, mean)), 6) AS first_component, round(mean[64]/sqrt(list_dot_product(mean, mean)), 6) AS last_component,
   (SELECT count(*) FROM k WHERE k.c = ctr.c) AS claim_count FROM ctr"""))
 def e14(spark, d):
-    centers = H.centroids(B.claim_vectors(spark, d), _by_label(spark, d))
+    centers = H.centroids(B.claim_vectors(spark, d), by_label(spark, d))
     return centers.select(
         "cluster", F.round(F.element_at("centroid", 1), 6).alias("first_component"),
         F.round(F.element_at("centroid", -1), 6).alias("last_component"), "claim_count",
@@ -481,10 +484,10 @@ def e14(spark, d):
 
 def _themes(spark, d):
     claims = B.claim_vectors(spark, d)
-    return (claims, *H.build_themes(claims, _by_label(spark, d), "run1", F.col("claim_id"), 3))
+    return (claims, *H.build_themes(claims, by_label(spark, d), "run1", F.col("claim_id"), 3))
 
 
-_LABEL = _CENTER + """,
+LABEL_SQL = _CENTER + """,
 s AS (SELECT c, subject, count(*) AS n, min(claim_id) AS f FROM k GROUP BY 1, 2), p AS (SELECT c, predicate, count(*) AS n, min(claim_id) AS f FROM k GROUP BY 1, 2),
 lab AS (SELECT c, arg_min(subject, (-n, f)) AS subject, list_slice(list(subject ORDER BY f), 1, 5) AS keywords FROM s GROUP BY 1),
 pre AS (SELECT c, arg_min(predicate, (-n, f)) AS predicate FROM p GROUP BY 1),
@@ -493,13 +496,13 @@ theme AS (SELECT 'theme:run1_' || c AS theme_id, subject || ' Topics' AS name, '
 member AS (SELECT claim_id, 'theme:run1_' || k.c AS theme_id, list_cosine_similarity(v, mean) AS membership_score FROM k JOIN ctr ON ctr.c = k.c)"""
 
 
-@query("h05_themes", with_tables("vec", _LABEL + " SELECT theme_id, name, description, keywords, claim_count FROM theme"))
+@query("h05_themes", with_tables("vec", LABEL_SQL + " SELECT theme_id, name, description, keywords, claim_count FROM theme"))
 def h05(spark, d):
     _, themes, _, _ = _themes(spark, d)
     return themes.select("theme_id", "name", "description", "keywords", "claim_count")
 
 
-_OWN = _LABEL.replace(
+_OWN = LABEL_SQL.replace(
     "k AS (SELECT *, label::VARCHAR AS c FROM vec WHERE label < 9)",
     """k AS (SELECT vec.*, cluster::VARCHAR AS c FROM vec JOIN comp ON comp.id = claim_id
   WHERE cluster IN (SELECT cluster FROM comp GROUP BY 1 HAVING count(*) >= 3))""",
@@ -516,7 +519,7 @@ def h05_own(spark, d):
     return themes.select("theme_id", "name", "description", "keywords", "claim_count")
 
 
-@query("h05_memberships", with_tables("vec", _LABEL + " SELECT claim_id, theme_id, round(membership_score, 6) AS membership_score FROM member"))
+@query("h05_memberships", with_tables("vec", LABEL_SQL + " SELECT claim_id, theme_id, round(membership_score, 6) AS membership_score FROM member"))
 def h05_members(spark, d):
     return _themes(spark, d)[2].withColumn("membership_score", F.round("membership_score", 6))
 
@@ -526,13 +529,13 @@ def h05_unclustered(spark, d):
     return _themes(spark, d)[3]
 
 
-@query("h08_theme_list", with_tables("vec", _LABEL + " SELECT theme_id, name, claim_count FROM theme ORDER BY claim_count DESC, theme_id"))
+@query("h08_theme_list", with_tables("vec", LABEL_SQL + " SELECT theme_id, name, claim_count FROM theme ORDER BY claim_count DESC, theme_id"))
 def h08(spark, d):
     _, themes, _, _ = _themes(spark, d)
     return H.theme_list(themes).select("theme_id", "name", "claim_count")
 
 
-@query("h07_published_themes", with_tables("vec", _LABEL + """
+@query("h07_published_themes", with_tables("vec", LABEL_SQL + """
 SELECT theme_id, is_active FROM (SELECT theme_id, true AS is_active FROM theme UNION ALL SELECT replace(theme_id, 'run1', 'run0'), false FROM theme)"""))
 def h07(spark, d):
     _, themes, _, _ = _themes(spark, d)
@@ -540,7 +543,7 @@ def h07(spark, d):
     return H.publish_themes(earlier, themes).select("theme_id", "is_active")
 
 
-@query("d06_theme_members", with_tables("vec", _LABEL + """
+@query("d06_theme_members", with_tables("vec", LABEL_SQL + """
 SELECT claim_id, theme_id, round(membership_score, 6) AS membership_score, subject, predicate, object FROM
  (SELECT * FROM member WHERE theme_id = 'theme:run1_3' ORDER BY membership_score DESC, claim_id LIMIT 20 OFFSET 5) JOIN vec USING (claim_id)"""))
 def d06(spark, d):
@@ -549,11 +552,11 @@ def d06(spark, d):
     return page.withColumn("membership_score", F.round("membership_score", 6))
 
 
-_EVERY = _LABEL + """,
+_EVERY = LABEL_SQL + """,
 every AS (SELECT claim_id, 'theme:run1_' || ctr.c AS theme_id, list_cosine_similarity(v, mean) AS score FROM vec, ctr)"""
 
 
-@query("d07_best_theme", with_tables("vec", _LABEL + """
+@query("d07_best_theme", with_tables("vec", LABEL_SQL + """
 SELECT claim_id, theme_id, name, round(membership_score, 6) AS membership_score FROM member JOIN theme USING (theme_id)"""))
 def d07(spark, d):
     _, themes, members, _ = _themes(spark, d)
@@ -568,7 +571,7 @@ def g13(spark, d):
     return G.search_themes(themes, _queries(claims), 3, 0.2).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("e06_theme_stats", with_tables("vec", _LABEL + """
+@query("e06_theme_stats", with_tables("vec", LABEL_SQL + """
 SELECT count(*) AS themes, sum(claim_count)::BIGINT AS clustered_claims, round(avg(claim_count), 6) AS avg_claims, arg_min(name, (-claim_count, theme_id)) AS largest_theme FROM theme"""))
 def e06(spark, d):
     _, themes, _, _ = _themes(spark, d)
