@@ -35,11 +35,16 @@ BLOCKS = set(
 _PARAGRAPH_ENDS = BLOCKS - {"body", "html"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 SECTIONS = set("article aside body div footer form header main nav section table".split())
 
 
+#: Characters of a run of text that may be a sentence, and what is too unlikely to be content on any page.
+SENTENCE, IMPOSSIBLE = 40, 0.02
 #: Weight of the features of blocks that are no sections.
 BLOCK_WEIGHT = 0.5
+#: Weight of the words of the heading that a section begins with.
+HEAD_WEIGHT = 3.0
 
 
 @dataclass
@@ -79,12 +84,12 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("html", "body") and len(self.nodes) > 1 and tag == "html":
+        if tag == "html" and len(self.nodes) > 1:
             return
         if tag not in HEAD_PARTS:
             self._end_head(tag == "body")
         if tag in _PARAGRAPH_ENDS:
-            self._close({"p"}, SECTIONS | {"li", "td", "th", "blockquote"} if tag != "p" else SECTIONS | {"li", "td", "th", "blockquote"})
+            self._close({"p"}, SECTIONS | {"li", "td", "th", "blockquote"})
         if tag in CLOSES:
             self._close(CLOSES[tag], SCOPES.get(tag, set()))
         words, label = [], None
@@ -143,8 +148,19 @@ def parse(html: str | None) -> list[Node]:
 def _features(nodes: list[Node]) -> list[list[str]]:
     """Discrete features of every element, from its subtree in one pass from the leaves."""
     text, linked, stops, children = ([0] * len(nodes) for _ in range(4))
+    heads: list[str | None] = [None] * len(nodes)  # the heading that an element begins with; "" if it begins otherwise
     for i in range(len(nodes) - 1, -1, -1):
         node = nodes[i]
+        for piece in node.pieces if node.tag not in HIDDEN else ():
+            if isinstance(piece, str):
+                if piece.strip():
+                    heads[i] = piece.strip()[:40] if node.tag in HEADINGS else ""
+            else:
+                heads[i] = heads[piece]
+            if heads[i] is not None:
+                break
+        if node.tag in HEADINGS and heads[i] == "":
+            heads[i] = None
         if node.tag not in HIDDEN:
             for piece in node.pieces:
                 if isinstance(piece, str):
@@ -175,6 +191,8 @@ def _features(nodes: list[Node]) -> list[list[str]]:
             out.append(found)
             continue
         found += [f"above={w}" for w in dict.fromkeys(" ".join(above[i]).split())]
+        if node.tag in SECTIONS and heads[i]:
+            found += [f"head={w}" for w in dict.fromkeys(heads[i].lower().split()[:3])]
         found.append(f"size={min(int(math.log2(size + 1)), 10) // 2}")
         found.append(f"links={0 if share < 0.1 else 1 if share < 0.4 else 2 if share < 0.8 else 3}")
         found.append(f"stops={min(int(40 * stops[i] / (size + 1)), 3)}")
@@ -186,6 +204,11 @@ def _edge(child: Node) -> str:
     return child.tag if child.tag in SECTIONS else "block" if child.tag in BLOCKS else "inline"
 
 
+def feature_weight(feature: str, node: Node) -> float:
+    """The features of a block say much the same; halving their weight leaves more to the edges. Headings tell most."""
+    return HEAD_WEIGHT if feature.startswith("head=") else BLOCK_WEIGHT if _edge(node) == "block" else 1.0
+
+
 @dataclass(frozen=True)
 class PageModel:
     """Log potentials: prior of the root, of features by state, and of (edge kind, parent, child)."""
@@ -199,10 +222,9 @@ class PageModel:
         n = len(nodes)
         own = [[0.0, 0.0] for _ in range(n)]
         for i, found in enumerate(_features(nodes)):
-            # The features of a block say much the same; halving their weight leaves more to the edges.
-            weight = BLOCK_WEIGHT if _edge(nodes[i]) == "block" else 1.0
             for f in found:
                 a, b = self.seen.get(f, (0.0, 0.0))
+                weight = feature_weight(f, nodes[i])
                 own[i][0] += weight * a
                 own[i][1] += weight * b
         up = [[0.0, 0.0] for _ in range(n)]  # message of element i to its parent, by the parent's state
@@ -267,9 +289,18 @@ def train(pages: list[str], weight: float = 1.0) -> PageModel:
 
 
 def main_text(html: str | None, model: PageModel) -> str:
-    """Text of the content elements, blocks in page order."""
+    """Text of the content elements, blocks in page order.
+
+    Content is what is likelier content than not; on a page where nothing is, but something holds a sentence,
+    what is about as likely as the likeliest sentence, unless that is next to impossible.
+    """
     nodes = parse(html)
     marginal = model.marginals(nodes)
+    least = 0.5
+    shown = [(marginal[i], max((len(p.strip()) for p in node.pieces if isinstance(p, str)), default=0))
+             for i, node in enumerate(nodes) if node.tag not in HIDDEN]
+    if not any(size and m > 0.5 for m, size in shown):
+        least = min(max([m / 2 for m, size in shown if size >= SENTENCE] + [IMPOSSIBLE]), 0.5)
     blocks: list[list[str]] = [[]]
     # An explicit stack: pages may be nested very deep.
     stack: list[tuple[int, Iterator]] = [(0, iter(nodes[0].pieces))]
@@ -277,7 +308,7 @@ def main_text(html: str | None, model: PageModel) -> str:
         i, pieces = stack[-1]
         for piece in pieces:
             if isinstance(piece, str):
-                if marginal[i] > 0.5:
+                if marginal[i] > least:
                     blocks[-1].append(piece)
                 continue
             node = nodes[piece]

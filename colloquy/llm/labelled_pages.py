@@ -95,8 +95,88 @@ def _piece(kind: tuple[str, str, str], seed: int) -> str:
     return f'<{tag} {marks} data-content="0">{filled}</{tag}>'
 
 
-def labelled_pages(count: int = 240) -> list[str]:
-    """`count` pages; each boilerplate kind stands before, within or after main text in turn."""
+#: What authors name elements in other languages; the first is main text, the others are not.
+_FOREIGN = [
+    ("inhalt artikel beitrag haupttext", "kopfzeile navigation fusszeile seitenleiste werbung kommentare impressum"),
+    ("contenu texte corps billet", "entete barre pied publicite commentaires liens"),
+    ("contenido texto cuerpo articulo", "cabecera barra pie publicidad comentarios enlaces"),
+    ("contenuto testo articolo corpo", "intestazione barra piede pubblicita commenti"),
+    ("статья текст запись", "шапка меню подвал реклама комментарии"),
+]
+#: Headings of what is no main text, without any mark on the element.
+_ASIDES = ["Comments", "Leave a reply", "Related articles", "Newsletter", "Share this", "Most read", "Kommentare", "Commentaires", "Comentarios"]
+#: Words that mark boilerplate elsewhere, in names of parts of main text.
+_MISLEADING = ["notice-boards", "menu-planning", "header-files", "footer-notes", "share-holders", "ad-hoc", "banner-history", "comment-culture"]
+
+
+def _bare(seed: int, place: int) -> str:
+    """Boilerplate that only its tags, links and words tell."""
+    w, links = _WORDS[seed % len(_WORDS)].capitalize(), _links(seed, 4 + seed % 5, "span")
+    before = [f"<div>{links}</div>", f"<ul>{_links(seed, 4 + seed % 4)}</ul>", f"<p>{links}</p>", f"<div><a href='/'>{w}</a></div><div><ul>{_links(seed, 5)}</ul></div>",
+              f"<table><tr><td>{links}</td></tr></table>"]
+    after = [f"<p>&copy; 20{10 + seed % 15} {w}. All rights reserved.</p>", f"<div><small>Copyright {w} | <a href='/i'>Imprint</a> | <a href='/p'>Privacy</a></small></div>",
+             f"<address>{w} {seed % 90}, <a href='/m'>Contact</a></address>", f"<div>{links}</div>", f"<hr><font size=1>&copy; {w}</font>",
+             f"<div><h3>{_ASIDES[seed % len(_ASIDES)]}</h3><ul>{_links(seed, 4)}</ul></div>"]
+    kinds = after if place else before
+    marked = kinds[seed % len(kinds)]
+    cut = 3 if marked.startswith("<hr") else 0
+    end = marked.index(">", cut + (1 if cut else 0)) if not cut else marked.index(">", 4)
+    return marked[:end] + ' data-content="0"' + marked[end:]
+
+
+def _hashed(seed: int) -> str:
+    return "".join(chr(97 + (seed * 7919 >> k) % 26) for k in range(6)) + "-" + "".join(chr(97 + (seed * 104729 >> k) % 26) for k in range(5))
+
+
+def _strip(inner: str) -> str:
+    """Main text without a first heading, for layouts that have none."""
+    return inner[inner.find("</h1>") + 5:]
+
+
+def layout_families(each: int = 40) -> dict[str, list[str]]:
+    """Pages of layouts that class names and article elements do not tell, by family."""
+    pages: dict[str, list[str]] = {}
+
+    def add(family: str, body: str, content: int = 0) -> None:
+        pages.setdefault(family, []).append(f'<html><head><title>t</title></head><body data-content="{content}">{body}</body></html>')
+
+    for n in range(each):
+        inner, other = _body(n + 500, 2 + (5 * n) % 11), _body(n + 900, 2 + (3 * n) % 7)
+        top, end = _bare(n, 0) if n % 4 else "", _bare(n + 3, 1) if n % 3 else ""
+        plain = _strip(inner) if n % 2 else inner
+        # Nested elements without any name.
+        depth = n % 4
+        add("bare", top + (f'<div data-content="1">{"<div>" * depth}{plain}{"</div>" * depth}</div>' if n % 5 else plain) + end, 0 if n % 5 else 1)
+        # Several sections, all of them main text, and sometimes one that is not.
+        aside = f'<section data-content="0"><h2>{_ASIDES[n % len(_ASIDES)]}</h2><p>{_sentences(n, 2)}</p><p>{_sentences(n + 1, 1)}</p></section>'
+        parts = "".join(f'<section data-content="1"><h2>{_sentences(n + k, 1)[:30]}</h2>{_strip(_body(n + 40 * k, 2 + k))}</section>' for k in range(1 + n % 4))
+        add("sections", (top if n % 2 else f'<header data-content="0"><p>{_sentences(n, 1)[:30]}</p>{_links(n, 4, "span")}</header>') + parts + (aside if n % 2 else "") + end)
+        # Pages of long ago.
+        text = "<br><br>".join(_sentences(n * 13 + k, 2 + k % 3) for k in range(2 + n % 5))
+        add("old", top + f'<center data-content="1"><font face="Arial" size="2">{f"<b>{_WORDS[n % 20]}</b><p>" if n % 2 else ""}{text if n % 3 else plain}</font></center>' + end)
+        add("old", f'<table width="100%"><tr><td width="150" data-content="0">{_links(n, 6, "p")}</td><td data-content="1">{"<font>" + text + "</font>" if n % 2 else plain}</td></tr></table>' + end)
+        # Names that no lexicon holds: hashed ones, and those of other languages.
+        add("hashed", f'<div class="{_hashed(n)}" data-content="0"><ul>{_links(n, 5)}</ul></div><div class="{_hashed(n + 50)}"><div class="{_hashed(n + 99)}" data-content="1">{plain}</div></div>'
+            f'<div class="{_hashed(n + 150)}" data-content="0"><p>&copy; {_WORDS[n % 20]}</p>{_links(n, 3, "span")}</div>')
+        mine, others = (x.split() for x in _FOREIGN[n % len(_FOREIGN)])
+        add("foreign", f'<div id="{others[0]}" data-content="0"><p>{_sentences(n, 1)}</p>{_links(n, 4, "span")}</div><div class="{mine[n % len(mine)]}" data-content="1">{plain}</div>'
+            f'<div class="{others[n % len(others)]}" data-content="0"><p>{_sentences(n + 5, 1 + n % 2)}</p></div>')
+        # Forms: one around the whole page, and small ones within main text.
+        small = f'<form data-content="0"><label>{_WORDS[n % 20]}</label><select><option>a</option></select><input><button>Send</button></form>'
+        cut = plain.find("</p>") + 4
+        held = plain[:cut] + small + plain[cut:]
+        tag = ["article", "div", "main"][n % 3]
+        add("forms", f'<form id="f" action="/a">{top}<div><{tag} data-content="1">{plain}</{tag}></div><input type="hidden">{end}</form>' if n % 2
+            else f'{top}<{tag} data-content="1">{held}</{tag}>{end}')
+        # Parts of an article whose names mislead.
+        name = _MISLEADING[n % len(_MISLEADING)]
+        add("misleading", f'<article data-content="1">{plain}<div class="section {name}"><p>{_sentences(n + 7, 3)}</p></div>{_strip(other)}</article>'
+            f'<div class="{name.split("-")[0]}" data-content="0"><p>{_sentences(n + 2, 1)}</p></div>')
+    return pages
+
+
+def labelled_pages(count: int = 240, families: bool = True) -> list[str]:
+    """`count` pages, and those of `layout_families`; each boilerplate kind stands before, within or after main text in turn."""
     pages = []
     for n in range(count):
         tag, marks = _HOLDERS[n % len(_HOLDERS)]
@@ -120,4 +200,6 @@ def labelled_pages(count: int = 240) -> list[str]:
             # Now and then the text stands in the body itself.
             + (f'<body data-content="1">{before}{inner}{after}</body></html>' if n % 13 == 6 else f'<body data-content="0">{before}{main}{after}</body></html>')
         )
+    if families:
+        pages += [page for family in layout_families().values() for page in family]
     return pages

@@ -9,6 +9,7 @@ from llm_helpers import ODD_TEXTS
 from pyspark.sql import functions as F
 
 from colloquy.llm import chat_repair, fingerprints, html_extract, license_scan, token_counts
+from colloquy.llm.labelled_pages import labelled_pages, layout_families
 from colloquy.llm.queries import QUERIES
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -187,8 +188,7 @@ def test_marginals_equal_brute_force():
     for states in itertools.product((0, 1), repeat=len(nodes)):
         log = model.root[states[0]]
         for i, s in enumerate(states):
-            weight = html_extract.BLOCK_WEIGHT if html_extract._edge(nodes[i]) == "block" else 1.0
-            log += weight * sum(model.seen.get(f, (0.0, 0.0))[s] for f in features[i])
+            log += sum(html_extract.feature_weight(f, nodes[i]) * model.seen.get(f, (0.0, 0.0))[s] for f in features[i])
             if i:
                 log += model.edges[html_extract._edge(nodes[i]), states[nodes[i].parent], s]
         weights.append((states, math.exp(log + 100)))
@@ -197,6 +197,48 @@ def test_marginals_equal_brute_force():
         assert p == pytest.approx(sum(w for s, w in weights if s[i]) / total, abs=1e-9)
 
 
+_FOX = "The quick brown fox jumps over the lazy dog, and then it rests. "
+_LAYOUTS = [
+    ("<body><div><div>{p}{p}</div></div></body>", 2, ""), ("<body>{p}{p}</body>", 2, ""),
+    ("<body><section><h2>One</h2>{p}</section><section><h2>Two</h2>{p}</section></body>", 2, ""),
+    ("<body><section><h2>Story</h2>{p}{p}</section><section><h2>Comments</h2><p>Nice post, thanks.</p></section></body>", 2, "Nice"),
+    ("<body><center><font size=2>{t}<br><br>{t}</font></center></body>", 2, ""),
+    ('<body><div class="inhalt">{p}{p}</div><div class="fusszeile"><p>Impressum und Datenschutz.</p></div></body>', 2, "Impressum"),
+    ('<body><article><h1>T</h1>{p}<div class="section notice-boards">{p}</div>{p}</article></body>', 3, ""),
+    ("<body><article><h1>T</h1>{p}<form><select><option>one</option></select><button>Go</button></form>{p}</article></body>", 2, "Go"),
+    ("<body><form action=x><div><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></div><div>{p}{p}</div><input></form></body>", 2, "Home"),
+    ("<body><nav><a href=/>Home</a></nav><main>{p}</main><footer>(c) x</footer></body>", 1, "Home"),
+    ("<body><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></body>", 0, "Home"),
+    ("<body><table><tr><td><a href=/a>Home</a><br><a href=/b>News</a></td><td>{p}{p}</td></tr></table></body>", 2, "Home"),
+]
+
+
+@pytest.mark.parametrize("page, parts, dropped", _LAYOUTS)
+def test_ordinary_layouts(page, parts, dropped):
+    """Layouts without an article element or telling names; none of these pages is in the training."""
+    text = html_extract.main_text(page.format(t=_FOX * 3, p=f"<p>{_FOX * 3}</p>"), html_extract.default_model())
+    assert text.count("quick") == 3 * parts and (not dropped or dropped not in text)
+
+
+def test_layout_families_held_out():
+    """Each family is read by a model that has never seen it."""
+    families = layout_families()
+    for family, pages in families.items():
+        others = [p for f, q in families.items() if f != family for p in q]
+        model = html_extract.train(labelled_pages(families=False) + others)
+        right = total = 0
+        for page in pages:
+            nodes = html_extract.parse(page)
+            states = [0] * len(nodes)
+            for i, node in enumerate(nodes):
+                states[i] = node.label if node.label is not None else states[node.parent] if i else 0
+            shown = [any(isinstance(p, str) and p.strip() for p in n.pieces) for n in nodes]
+            told = [(m > 0.5) == bool(s) for m, s, x in zip(model.marginals(nodes), states, shown) if x]
+            right, total = right + sum(told), total + len(told)
+            assert html_extract.main_text(page, model)
+        assert right / total > 0.93, family
+
+
 def test_main_text_of_the_given_pages(spark, base):
     import html as entities
 
