@@ -154,7 +154,8 @@ def layout_families(each: int = 40) -> dict[str, list[str]]:
         # Pages of long ago.
         text = "<br><br>".join(_sentences(n * 13 + k, 2 + k % 3) for k in range(2 + n % 5))
         add("old", top + f'<center data-content="1"><font face="Arial" size="2">{f"<b>{_WORDS[n % 20]}</b><p>" if n % 2 else ""}{text if n % 3 else plain}</font></center>' + end)
-        add("old", f'<table width="100%"><tr><td width="150" data-content="0">{_links(n, 6, "p")}</td><td data-content="1">{"<font>" + text + "</font>" if n % 2 else plain}</td></tr></table>' + end)
+        side = _links(n, 6, "p") if n % 2 else "<br>".join(f'<a href="/c{k}">{_WORDS[(n + k) % 20].capitalize()}</a>' for k in range(2 + n % 6))
+        add("old", f'<table width="100%"><tr><td width="150" data-content="0">{side}</td><td data-content="1">{"<font>" + text + "</font>" if n % 2 else plain}</td></tr></table>' + end)
         # Names that no lexicon holds: hashed ones, and those of other languages.
         add("hashed", f'<div class="{_hashed(n)}" data-content="0"><ul>{_links(n, 5)}</ul></div><div class="{_hashed(n + 50)}"><div class="{_hashed(n + 99)}" data-content="1">{plain}</div></div>'
             f'<div class="{_hashed(n + 150)}" data-content="0"><p>&copy; {_WORDS[n % 20]}</p>{_links(n, 3, "span")}</div>')
