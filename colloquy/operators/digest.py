@@ -16,22 +16,17 @@ HEADER, MATTERS, THEMES, CONTRADICTIONS, BREAK, DISCUSSIONS, BY_SUBREDDIT, LOW =
 HEAD, BODY, TAIL = 0, 1, 2
 
 
-def _fragments(rows: DataFrame, section: int, grp: Column, order: Column, part: int, text: Column) -> DataFrame:
-    return rows.select(
-        "digest_date", F.lit(section).alias("section"), grp.alias("grp"), order.cast("bigint").alias("ord"),
+def _fragment(section: int, grp: Column, order: Column, part: int, text: Column) -> Column:
+    return F.struct(
+        F.lit(section).alias("section"), grp.alias("grp"), order.cast("bigint").alias("ord"),
         F.lit(part).alias("part"), text.alias("markdown"),
     )
 
 
-def _frame(dates: DataFrame, section: int, head: Column | None, tail: Column | None) -> list[DataFrame]:
-    """Opening and closing of a section, for the dates that have it."""
-    out = []
-    if head is not None:
-        out.append(_fragments(dates, section, F.lit(""), F.lit(-1), HEAD, head))
-    if tail is not None:
-        # Behind every group and place of the section.
-        out.append(_fragments(dates, section, F.lit("\U0010ffff"), F.lit(2**62), TAIL, tail))
-    return out
+def _exploded(rows: DataFrame, *fragments: Column) -> DataFrame:
+    """The fragments of each row that are not null, in one pass."""
+    found = F.explode(F.array_compact(F.array(*fragments))).alias("f")
+    return rows.select("digest_date", found).select("digest_date", "f.*")
 
 
 def claim_lists(claims: DataFrame) -> DataFrame:
@@ -65,47 +60,48 @@ def digest_fragments(
     listed = listed.withColumn("claims", F.coalesce("claims", empty_claims)).withColumn(
         "threads", F.coalesce("threads", F.array().cast("array<struct<type:string,insight:string>>"))
     )
-    # Written once; a dozen kinds of fragments are read off it.
-    ranked = listed = materialize(listed)
+    # Written once, and read once for all fragments of posts.
+    listed = materialize(listed)
     col, none = F.col, F.lit("")
-    counts = digest_counts(ranked, claims)
-    out = [_fragments(counts, HEADER, none, F.lit(0), BODY, M.digest_header(
-        title, col("digest_date"), col("post_count"), col("subreddit_count"), col("claim_count")))]
-
-    matters = what_matters(ranked)
-    busy = matters.select("digest_date").distinct()
-    out += _frame(busy, MATTERS, F.lit(M.WHAT_MATTERS_HEAD), F.lit(M.WHAT_MATTERS_TAIL))
-    out.append(_fragments(matters, MATTERS, none, col("place"), BODY, M.what_matters_row(
+    low, active = col("is_low_activity"), ~col("is_low_activity")
+    is_top = active & (col("importance_rank") <= top_discussions)
+    unsure = F.when(col("confidence") < 0.75, F.lit("Low confidence"))
+    posts = _exploded(
+        listed,
+        F.when(is_top, _fragment(DISCUSSIONS, none, col("importance_rank"), BODY, F.concat(
+            M.discussion_header(col("title"), col("url"), col("subreddit"), col("score"), col("confidence"), col("controversy_level")),
+            M.story_block(col("story_narrative")), M.threads_block(col("threads")), M.claims_block(col("claims")), F.lit("---\n\n"),
+        ))),
+        F.when(active, _fragment(BY_SUBREDDIT, col("subreddit"), col("importance_rank"), BODY, M.post_section(
+            col("title"), col("url"), col("score"), col("num_comments"), col("confidence"), col("controversy_level"),
+            col("story_narrative"), col("story_hook"), col("summary"), col("missing_context"), col("threads"), col("claims")))),
+        F.when(low, _fragment(LOW, none, col("importance_rank"), BODY, M.low_activity_row(
+            col("title"), col("url"), col("subreddit"), col("score"), unsure, impact_line("summary")))),
+    )
+    matters = _exploded(what_matters(listed), _fragment(MATTERS, none, col("place"), BODY, M.what_matters_row(
         col("priority"), col("title"), col("impact"), col("sentiment"))))
+    groups = _exploded(listed.where(active).select("digest_date", "subreddit").distinct(), _fragment(
+        BY_SUBREDDIT, col("subreddit"), F.lit(-1), HEAD, F.concat(F.lit("## r/"), M.escape_markdown("subreddit"), F.lit("\n\n"))))
+    # Openings and closings of the sections that a date has; a closing lies behind every group and place.
+    seen = listed.groupBy("digest_date").agg(
+        F.count_if(active).alias("busy"), F.count_if(is_top).alias("top"), F.count_if(low).alias("low")
+    )
+    first, last, behind = F.lit(-1), F.lit(2**62), F.lit("\U0010ffff")
+    dates = _exploded(
+        digest_counts(listed, claims).join(seen, "digest_date"),
+        _fragment(HEADER, none, F.lit(0), BODY, M.digest_header(
+            title, col("digest_date"), col("post_count"), col("subreddit_count"), col("claim_count"))),
+        F.when(col("busy") > 0, _fragment(MATTERS, none, first, HEAD, F.lit(M.WHAT_MATTERS_HEAD))),
+        F.when(col("busy") > 0, _fragment(MATTERS, behind, last, TAIL, F.lit(M.WHAT_MATTERS_TAIL))),
+        _fragment(BREAK, none, F.lit(0), BODY, F.lit("---\n\n")),
+        F.when(col("top") > 0, _fragment(DISCUSSIONS, none, first, HEAD, F.lit("## Top Discussions\n\n"))),
+        F.when(col("low") > 0, _fragment(LOW, none, first, HEAD, M.low_activity_head(col("low")))),
+        F.when(col("low") > 0, _fragment(LOW, behind, last, TAIL, F.lit(M.LOW_ACTIVITY_TAIL))),
+    )
+    result = dates.unionByName(matters).unionByName(groups).unionByName(posts)
     for section, table in ((THEMES, themes), (CONTRADICTIONS, contradictions)):
         if table is not None:
-            out.append(_fragments(table, section, none, F.lit(0), BODY, col("markdown")))
-    dates = counts.select("digest_date")
-    out.append(_fragments(dates, BREAK, none, F.lit(0), BODY, F.lit("---\n\n")))
-
-    active = listed.where(~col("is_low_activity"))
-    top = active.where(col("importance_rank") <= top_discussions)
-    out += _frame(top.select("digest_date").distinct(), DISCUSSIONS, F.lit("## Top Discussions\n\n"), None)
-    out.append(_fragments(top, DISCUSSIONS, none, col("importance_rank"), BODY, F.concat(
-        M.discussion_header(col("title"), col("url"), col("subreddit"), col("score"), col("confidence"), col("controversy_level")),
-        M.story_block(col("story_narrative")), M.threads_block(col("threads")), M.claims_block(col("claims")), F.lit("---\n\n"),
-    )))
-    groups = active.select("digest_date", "subreddit").distinct()
-    out.append(_fragments(groups, BY_SUBREDDIT, col("subreddit"), F.lit(-1), HEAD, F.concat(
-        F.lit("## r/"), M.escape_markdown("subreddit"), F.lit("\n\n"))))
-    out.append(_fragments(active, BY_SUBREDDIT, col("subreddit"), col("importance_rank"), BODY, M.post_section(
-        col("title"), col("url"), col("score"), col("num_comments"), col("confidence"), col("controversy_level"),
-        col("story_narrative"), col("story_hook"), col("summary"), col("missing_context"), col("threads"), col("claims"))))
-
-    low = listed.where(col("is_low_activity"))
-    quiet = low.groupBy("digest_date").agg(F.count(F.lit(1)).alias("n"))
-    out += _frame(quiet, LOW, M.low_activity_head(col("n")), F.lit(M.LOW_ACTIVITY_TAIL))
-    unsure = F.when(col("confidence") < 0.75, F.lit("Low confidence"))
-    out.append(_fragments(low, LOW, none, col("importance_rank"), BODY, M.low_activity_row(
-        col("title"), col("url"), col("subreddit"), col("score"), unsure, impact_line("summary"))))
-    result = out[0]
-    for part in out[1:]:
-        result = result.unionByName(part)
+            result = result.unionByName(_exploded(table, _fragment(section, none, F.lit(0), BODY, col("markdown"))))
     return result
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from colloquy.plans.registry import query
 from colloquy.sources import digests as SD
 from colloquy.sources import embeddings as E
 from colloquy.sources import feeds, pages
+from colloquy.session import ensure_checkpoint_dir, materialize
 
 # -- feeds and stored pages -----------------------------------------------------------------------------------
 
@@ -364,10 +366,94 @@ def m02(spark, d):
     return DG.row_numbers(fragments, ["digest_date"], order, "place").select("digest_date", "place", "section")
 
 
-@query("m02_digest_documents")
+_TOLD = """
+told AS (SELECT *, CASE WHEN post_no % 4 = 1 THEN '  Told in [' || title || '] ' END AS narrative, CASE WHEN post_no % 8 = 1 THEN subreddit || ' <hook>' END AS hook,
+  post_no % 5 = 2 AS talked FROM full_rows),
+blocks AS (SELECT *, """ + _ESC.format("trim(narrative)") + """ AS safe_told, """ + _ESC.format("narrative") + """ AS safe_narrative, """ + _ESC.format("hook") + """ AS safe_hook,
+  CASE WHEN talked THEN '**Notable Threads:**' || chr(10) || '- ⚔️ On ' || safe_title || chr(10) || '- • ' || """ + _ESC.format("subreddit") + """ || chr(10) || chr(10) ELSE '' END AS thread_block,
+  regexp_replace(CASE WHEN regexp_extract(summary,'^[^.!?]+[.!?]') <> '' THEN regexp_extract(summary,'^[^.!?]+[.!?]')
+   ELSE string_split_regex(summary,'[.!?]')[1] END, '^\\s+|\\s+$', '', 'g') AS sentence FROM told),
+texts AS (SELECT *, """ + _ESC.format("CASE WHEN length(sentence) <= 80 THEN sentence ELSE substr(sentence,1,77) || '...' END") + """ AS impact,
+  row_number() OVER (PARTITION BY digest_date, is_low_activity ORDER BY importance_rank, post_id) AS place FROM blocks),
+counts AS (SELECT digest_date, count(*) AS posts, count(DISTINCT subreddit) AS subs, sum(coalesce(n, 0)) AS claims, count(*) FILTER (is_low_activity) AS low,
+  count(*) FILTER (NOT is_low_activity) AS busy, count(*) FILTER (NOT is_low_activity AND importance_rank <= 6) AS top
+  FROM texts LEFT JOIN (SELECT post_id, count(*) AS n FROM claim GROUP BY 1) USING (post_id) GROUP BY 1),
+f AS (
+  SELECT digest_date, 0 AS section, '' AS grp, 0 AS ord, 1 AS part, '# Daily Digest - ' || digest_date || chr(10) || chr(10) || '*' || dayname(digest_date) || ', ' || monthname(digest_date) || ' '
+    || day(digest_date) || ', ' || year(digest_date) || ' • ' || posts || ' posts • ' || subs || ' subreddits • ' || claims || ' claims extracted*' || chr(10) || chr(10) AS markdown FROM counts
+  UNION ALL SELECT digest_date, 1, '', -1, 0, '## What Matters' || chr(10) || chr(10) || '| Topic | Impact | Status |' || chr(10) || '|-------|--------|--------|' || chr(10) FROM counts WHERE busy > 0
+  UNION ALL SELECT digest_date, 1, '', place, 1, '| ' || CASE WHEN importance_score >= 70 OR controversy_level = 'high' OR sentiment = 'negative' THEN '🔴'
+    WHEN importance_score >= 45 OR controversy_level = 'medium' OR sentiment = 'mixed' THEN '🟡' ELSE '🟢' END || ' **' || safe_title || '** | ' || impact || ' | ' || sentiment || ' |' || chr(10)
+    FROM texts WHERE NOT is_low_activity AND place <= 6
+  UNION ALL SELECT digest_date, 1, chr(1114111), 4611686018427387904, 2, chr(10) || '**Note:** 🔴 Urgent • 🟡 Developing • 🟢 Informational' || chr(10) || chr(10) || '---' || chr(10) || chr(10) FROM counts WHERE busy > 0
+  UNION ALL SELECT digest_date, 2, '', 0, 1, '## Today''s Themes' || chr(10) || chr(10) || '### ' || """ + _ESC.format("subreddit") + """ || chr(10) || chr(10) || """ + _ESC.format("summary") + """ || chr(10) || chr(10)
+    || '**Discussed in:**' || chr(10) || '- ' || safe_title || chr(10) || chr(10) FROM texts WHERE importance_rank = 1
+  UNION ALL SELECT digest_date, 3, '', 0, 1, '## Contradictions' || chr(10) || chr(10) || string_agg('- ' || safe_title || chr(10), '' ORDER BY importance_rank) || chr(10)
+    FROM texts WHERE importance_rank <= 5 AND controversy_level = 'high' GROUP BY 1
+  UNION ALL SELECT digest_date, 4, '', 0, 1, '---' || chr(10) || chr(10) FROM counts
+  UNION ALL SELECT digest_date, 5, '', -1, 0, '## Top Discussions' || chr(10) || chr(10) FROM counts WHERE top > 0
+  UNION ALL SELECT digest_date, 5, '', importance_rank, 1, '### [' || safe_title || '](' || url || ') • r/' || """ + _ESC.format("subreddit") + """ || chr(10) || '**Score: ' || score || ' • Confidence: ' || pct || '%**'
+    || CASE controversy_level WHEN 'high' THEN ' • Controversy: High' WHEN 'medium' THEN ' • Controversy: Medium' WHEN 'low' THEN ' • Controversy: Low' ELSE '' END || chr(10) || chr(10)
+    || coalesce('**The Story:**' || chr(10) || safe_told || chr(10) || chr(10), '') || thread_block || block || '---' || chr(10) || chr(10) FROM texts WHERE NOT is_low_activity AND importance_rank <= 6
+  UNION ALL SELECT DISTINCT digest_date, 6, subreddit, -1, 0, '## r/' || """ + _ESC.format("subreddit") + """ || chr(10) || chr(10) FROM texts WHERE NOT is_low_activity
+  UNION ALL SELECT digest_date, 6, subreddit, importance_rank, 1, '### [' || safe_title || '](' || url || ') {#' || substr(regexp_replace(regexp_replace(lower(title),'[^a-z0-9]+','-','g'),'(^-|-$)','','g'),1,50)
+    || '}' || chr(10) || chr(10) || '**' || score || '↑** • ' || num_comments || ' comments • ' || pct || '% confidence'
+    || CASE controversy_level WHEN 'high' THEN ' • ⚠️ **Controversial**' WHEN 'medium' THEN ' • ⚡ Debate' ELSE '' END || chr(10) || chr(10)
+    || CASE WHEN narrative IS NULL THEN '' WHEN hook IS NOT NULL THEN '**The Story:** *' || safe_hook || '*' || chr(10) || chr(10) || safe_narrative || chr(10) || chr(10)
+       ELSE '**The Story:** ' || safe_narrative || chr(10) || chr(10) END
+    || """ + _ESC.format("summary") + """ || chr(10) || chr(10)
+    || CASE WHEN confidence < 0.75 THEN '> ⚠️ **Missing context:** ' || missing_context[1] || ', dates &lt;unclear&gt;' || chr(10) || chr(10) ELSE '' END
+    || thread_block || block || '---' || chr(10) || chr(10) FROM texts WHERE NOT is_low_activity
+  UNION ALL SELECT digest_date, 7, '', -1, 0, '## Low-Activity Posts' || chr(10) || chr(10) || '<details>' || chr(10) || '<summary>'
+    || CASE WHEN low = 1 THEN '1 post' ELSE low || ' posts' END || ' with limited discussion</summary>' || chr(10) || chr(10) FROM counts WHERE low > 0
+  UNION ALL SELECT digest_date, 7, '', importance_rank, 1, '### [' || safe_title || '](' || url || ') • r/' || """ + _ESC.format("subreddit") + """ || ' • Score: ' || score
+    || CASE WHEN confidence < 0.75 THEN ' • ⚠️ Low confidence' ELSE '' END || chr(10) || CASE WHEN impact <> '' THEN impact || chr(10) ELSE '' END || chr(10) FROM texts WHERE is_low_activity
+  UNION ALL SELECT digest_date, 7, chr(1114111), 4611686018427387904, 2, '</details>' || chr(10) || chr(10) FROM counts WHERE low > 0),
+doc AS (SELECT digest_date, row_number() OVER (PARTITION BY digest_date ORDER BY section, grp, ord, part) AS place, section, markdown FROM f)"""
+
+
+def _whole_digests(spark, d):
+    """Fragments of digests that have every section, and posts with stories and threads."""
+    n, title = F.col("post_no"), F.col("title")
+    kind = "array<struct<type:string,insight:string>>"
+    thread = lambda of, insight: F.struct(F.lit(of).alias("type"), insight.alias("insight"))
+    ranked = _ranked(spark, d).withColumns({
+        "story_narrative": F.when(n % 4 == 1, F.concat(F.lit("  Told in ["), title, F.lit("] "))),
+        "story_hook": F.when(n % 8 == 1, F.concat("subreddit", F.lit(" <hook>"))),
+        "threads": F.when(n % 5 == 2, F.array(thread("debate", F.concat(F.lit("On "), title)), thread("other", F.col("subreddit")))).cast(kind),
+    })
+    theme = F.array(F.struct(F.col("subreddit").alias("theme"), F.array("title").alias("posts"), F.col("summary").alias("summary")))
+    none = F.array().cast("array<struct<topic:string,viewpoint_a:struct<position:string,sources:array<string>>,viewpoint_b:struct<position:string,sources:array<string>>>>")
+    trends = F.array().cast("array<struct<trend:string,evidence:array<string>,confidence:double>>")
+    themes = ranked.where("importance_rank = 1").select(
+        "digest_date", F.concat(M.theme_synthesis(theme, none, trends), F.lit("\n")).alias("markdown")
+    )
+    # Five rows per date at most.
+    heated = ranked.where("importance_rank <= 5 and controversy_level = 'high'").groupBy("digest_date").agg(
+        F.array_sort(F.collect_list(F.struct("importance_rank", X.escape_markdown("title").alias("title")))).alias("posts")
+    )
+    lines = F.array_join(F.transform("posts", lambda p: F.concat(F.lit("- "), p["title"], F.lit("\n"))), "")
+    contradictions = heated.select("digest_date", F.concat(F.lit("## Contradictions\n\n"), lines, F.lit("\n")).alias("markdown"))
+    return DG.digest_fragments(ranked, B.claims(spark, d), themes=themes, contradictions=contradictions)
+
+
+@query("m02_digest_documents", with_tables("summary claim", QD._RANKED + _MORE + "," + _TOLD + " SELECT digest_date, place, markdown FROM doc"))
 def m02_documents(spark, d):
-    """Every fragment of every digest in document order."""
-    return DG.numbered_fragments(DG.digest_fragments(_ranked(spark, d), B.claims(spark, d)))
+    """Every fragment of every digest in document order, all sections included."""
+    return DG.numbered_fragments(_whole_digests(spark, d))
+
+
+@query("a05_written_digests", with_tables("summary claim", QD._RANKED + _MORE + "," + _TOLD + """,
+lines AS (SELECT digest_date, place, generate_subscripts(l, 1) AS k, unnest(l) AS line FROM (SELECT digest_date, place, string_split(regexp_replace(markdown, '\n$', ''), chr(10)) AS l FROM doc))
+SELECT digest_date, row_number() OVER (PARTITION BY digest_date ORDER BY place, k) AS line_no, line FROM lines"""))
+def a05(spark, d):
+    """Digests published twice, the second time whole, and the lines of what readers then find."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/digests-{uuid.uuid4().hex}"
+    fragments = materialize(_whole_digests(spark, d))
+    SD.publish_digests(fragments.where(F.col("section") == DG.HEADER), path, "run1")
+    SD.publish_digests(fragments, path, "run2")
+    return SD.read_digests(spark, path)
 
 
 @query("a06_digest_range", with_tables("summary", """

@@ -7,7 +7,9 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.session import shuffle_partitions
+from colloquy.operators.ordered import row_numbers
+from colloquy.operators.upsert import current_run, finish_version
+from colloquy.session import materialize, shuffle_partitions
 
 ORDER = ["section", "grp", "ord", "part"]
 
@@ -25,8 +27,32 @@ def write_digests(fragments: DataFrame, path: str) -> None:
 
     Fragments are range-partitioned and sorted, so a date of any size is written by as many tasks
     as it needs and nothing is collected. The line end of a fragment is left to the text sink.
+    `publish_digests` writes them as a version that readers see whole or not at all.
     """
     keys = ["digest_date", *ORDER]
     ordered = fragments.repartitionByRange(shuffle_partitions(fragments.sparkSession), *keys).sortWithinPartitions(*keys)
     line = F.regexp_replace("markdown", r"\n\z", "")
     ordered.select("digest_date", line.alias("value")).write.mode("overwrite").partitionBy("digest_date").text(path)
+
+
+def publish_digests(fragments: DataFrame, path: str, run_id: str) -> None:
+    """Writes the documents as the version `run_id` and then points to it.
+
+    Readers keep the version before until the pointer stands, so a failed run leaves nothing half written
+    in sight; a repeated run writes its own folder again.
+    """
+    write_digests(fragments, f"{path}/run_id={run_id}")
+    finish_version(fragments.sparkSession, path, run_id)
+
+
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the published documents: (digest_date, line_no, line), from 1 on."""
+    folder = f"{path}/run_id={current_run(spark, path)}"
+    lines = spark.read.option("lineSep", "\n").text(folder).select(
+        F.col("digest_date").cast("date").alias("digest_date"), F.col("value").alias("line"),
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        # Rises along a block, which one task reads from its start to its end.
+        F.monotonically_increasing_id().alias("place"),
+    )
+    numbered = row_numbers(materialize(lines), ["digest_date"], [F.col("file"), F.col("block"), F.col("place")], "line_no")
+    return numbered.select("digest_date", "line_no", "line")
