@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.text import excerpt
 from colloquy.operators.ordered import first_rows, running_total
-from colloquy.session import materialize
+from colloquy.session import discard, materialize
 
 
 def parent_key(parent_id: Column) -> Column:
@@ -34,10 +34,10 @@ def build_forest(comments: DataFrame) -> DataFrame:
     """Adds per comment: parent, root_id, depth (root 0), total_score, reply_count, height.
 
     `total_score` and `reply_count` cover the whole subtree; `height` counts its levels. Comments
-    on a parent cycle belong to no thread and are left out.
+    on a parent cycle belong to no thread and are left out. The forest is a written table without the
+    bodies; who needs those joins them to the few comments that are shown.
     """
-    # Written once: the state, and every reader of the forest, start from it.
-    nodes = materialize(_linked(comments))
+    nodes = materialize(_linked(comments.drop("body")))
     state = materialize(nodes.select(
         F.col("comment_id").alias("id"),
         F.coalesce("parent", "comment_id").alias("up"),
@@ -55,6 +55,7 @@ def build_forest(comments: DataFrame) -> DataFrame:
             F.max(F.col("height") + reach).alias("_height"),
         )
         jump = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("hops").alias("_hops"))
+        past = state
         state = materialize(
             state.join(passed, "id", "left").join(jump, "up", "left").select(
                 "id",
@@ -65,6 +66,7 @@ def build_forest(comments: DataFrame) -> DataFrame:
                 F.greatest("height", F.coalesce("_height", F.lit(0))).alias("height"),
             )
         )
+        discard(past)
         reach *= 2
         unfinished = state.where(F.col("hops") == reach).agg(F.count(F.lit(1)).alias("n")).head()["n"]
         if unfinished == 0:
@@ -77,7 +79,9 @@ def build_forest(comments: DataFrame) -> DataFrame:
         F.col("id").alias("comment_id"), F.col("up").alias("root_id"), F.col("hops").alias("depth"),
         "total_score", "reply_count", "height",
     )
-    return nodes.join(settled, "comment_id")
+    forest = materialize(nodes.join(settled, "comment_id"))
+    discard(nodes)
+    return forest
 
 
 def _row_count(state: DataFrame) -> int:
@@ -129,27 +133,29 @@ def thread_participants(forest: DataFrame) -> DataFrame:
     )
 
 
-def rendered_threads(forest: DataFrame, max_depth: int = 4, max_length: int = 300, max_replies: int = 3) -> DataFrame:
+def rendered_threads(forest: DataFrame, comments: DataFrame, max_depth: int = 4, max_length: int = 300, max_replies: int = 3) -> DataFrame:
     """Text of each thread: at most three best replies per level down to the given depth.
 
     Only rows that survive at every level are carried down, so a thread keeps at most
-    1 + 3 + 9 + 27 + 81 lines whatever its size, and one bounded array per thread is assembled.
+    1 + 3 + 9 + 27 + 81 lines whatever its size, and one bounded array per thread is assembled. Bodies are
+    joined to those lines only.
     """
     shallow = forest.where(F.col("depth") <= max_depth).select(
-        "comment_id", "post_id", "parent", "root_id", "depth", "author", "score", "body"
+        "comment_id", "post_id", "parent", "root_id", "depth", "author", "score"
     )
     ranked = first_rows(shallow.where("depth > 0"), ["parent"], [F.desc("score"), F.asc("comment_id")], max_replies, "place")
-    level = shallow.where("depth = 0").select("comment_id", "post_id", "root_id", "depth", "author", "score", "body",
+    level = shallow.where("depth = 0").select("comment_id", "post_id", "root_id", "depth", "author", "score",
                                               F.array().cast("array<int>").alias("path"))
     ranked = materialize(ranked)
     lines = level
     for depth in range(1, max_depth + 1):
         above = level.select(F.col("comment_id").alias("parent"), F.col("path").alias("_path"))
         level = ranked.where(F.col("depth") == depth).join(above, "parent").select(
-            "comment_id", "post_id", "root_id", "depth", "author", "score", "body",
+            "comment_id", "post_id", "root_id", "depth", "author", "score",
             F.concat("_path", F.array("place")).alias("path"),
         )
         lines = lines.unionByName(level)
+    lines = lines.join(comments.select("comment_id", "body"), "comment_id")
     signed = F.when(F.col("score") >= 0, F.concat(F.lit("+"), F.col("score").cast("string"))).otherwise(
         F.col("score").cast("string")
     )

@@ -70,7 +70,7 @@ kept AS (SELECT c.comment_id, c.post_id, c.comment_id AS root_id, 0 AS depth, c.
 SELECT post_id, root_id, string_agg(repeat('  ', depth) || CASE WHEN depth = 0 THEN '[Parent]' ELSE '[Reply]' END || ' u/' || author || ' (' || CASE WHEN score >= 0 THEN '+' ELSE '' END || score
   || '): "' || substr(body, 1, 300) || CASE WHEN length(body) > 300 THEN '...' ELSE '' END || '"', chr(10) ORDER BY ranks) AS thread_text, count(*) AS lines FROM kept GROUP BY 1, 2"""))
 def j05(spark, d):
-    return J.rendered_threads(_forest(spark, d))
+    return J.rendered_threads(_forest(spark, d), B.comments(spark, d))
 
 
 @query("j06_flattened_threads", with_tables("tree", """RECURSIVE

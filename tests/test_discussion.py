@@ -69,7 +69,8 @@ def test_deep_and_wide_forest(spark):
 
 def test_rendered_thread(spark):
     rows = [("1", None, 3), ("a", "1", 1), ("b", "1", 9), ("c", "1", 5), ("d", "1", 0), ("e", "b", -4)]
-    text = J.rendered_threads(J.build_forest(comments(spark, rows))).head()["thread_text"].split("\n")
+    table = comments(spark, rows)
+    text = J.rendered_threads(J.build_forest(table), table).head()["thread_text"].split("\n")
     assert [t.split(" u/")[0] for t in text] == ["[Parent]", "  [Reply]", "    [Reply]", "  [Reply]", "  [Reply]"]
     assert "(+9)" in text[1] and "(-4)" in text[2] and "(+5)" in text[3] and "(+1)" in text[4]
 
