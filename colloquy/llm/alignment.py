@@ -11,6 +11,7 @@ shuffle. So what is broadcast is bounded whatever the corpus holds, and most lin
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -194,6 +195,8 @@ def alignments(
         encode_b, bytes_b = piece_coder(piece_path)
         sizes_a, sizes_b = np.array([len(s) for s in bytes_a]), np.array([len(s) for s in bytes_b])
         names = _Spelled()
+        # The vocabularies stay as long as the worker; the collector need not walk them again and again.
+        gc.freeze()
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for start, stop in chunks([len(t) for t in texts], TOKEN_BYTES):
