@@ -16,15 +16,19 @@ l AS (
 f AS (SELECT arg_min(level, weight_through) AS final FROM l WHERE level * weight <= cap),
 t AS (
   SELECT source, place, source_size, least(cap::DOUBLE, coalesce(final * weight, cap::DOUBLE)) AS target FROM l, f),
-u AS (SELECT *, sum(target) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM t),
+v AS (SELECT *, greatest(ceil(whole / 200000)::BIGINT, 1) AS tokens FROM (SELECT *, sum(target) OVER () AS whole FROM t) WHERE whole > 0),
+z AS (SELECT *, tokens > 1 AND target < tokens * 256 AS fine FROM v),
+u AS (SELECT *, sum(CASE WHEN fine THEN 0 ELSE target END) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM z),
+y AS (SELECT *, ceil(CASE WHEN total > 0 THEN total ELSE whole END / tokens)::BIGINT AS slots FROM (SELECT *, max(upto) OVER () AS total FROM u)),
 a AS (
-  SELECT place, coalesce(lag(high) OVER (ORDER BY place), 0) AS low, high, tokens, ceil(total / tokens)::BIGINT AS slots
-  FROM (SELECT *, floor(upto / total * 4294967296)::BIGINT AS high, greatest(ceil(total / 200000)::BIGINT, 1) AS tokens
-        FROM (SELECT *, max(upto) OVER () AS total FROM u) WHERE total > 0)),
+  SELECT place, coalesce(lag(high) OVER (ORDER BY place), 0) AS low, high, tokens, slots
+  FROM (SELECT *, floor(upto / total * 4294967296)::BIGINT AS high FROM y WHERE total > 0)),
 k AS (
   SELECT place, count(*) * any_value(tokens) AS reach
   FROM a JOIN (SELECT range AS slot, (range * 2654435769) % 4294967296 AS point FROM range(200000)) r
-    ON point >= low AND point < high AND slot < slots GROUP BY 1),
+    ON point >= low AND point < high AND slot < slots GROUP BY 1
+  UNION ALL
+  SELECT place, (round(target / ceil(target / 256.0)) * ceil(target / 256.0))::BIGINT FROM y WHERE fine AND target > 0),
 x AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(k.reach, 0) AS reach,
     coalesce(sum(d.size) OVER (PARTITION BY t.place ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start

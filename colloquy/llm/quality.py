@@ -4,6 +4,10 @@ Trusted positives are labelled good texts; unlabelled texts are web texts of unk
 class prior p, the risk of a scorer g over all text is p*E+[l(g)] + E_u[l(-g)] - p*E+[l(-g)]; the last
 two terms estimate the risk of bad text and cannot be negative, so the non-negative estimator steps
 back whenever a batch makes them so. The scorer is a linear model on standardised features.
+
+The class prior comes from the same two samples: above any score there are at least as many unlabelled texts
+as the positives among them make up, so the least ratio of the two shares bounds the prior from above, and
+comes close to it where some scores are reached by positives alone. Labels of bad texts are never used.
 """
 
 from __future__ import annotations
@@ -114,6 +118,33 @@ def fit(
     return QualityModel(mean, scale, theta[:-1], float(theta[-1]), prior)
 
 
+def estimate_prior(positives: np.ndarray, unlabelled: np.ndarray, least: float = 0.2) -> float:
+    """Share of positives among the unlabelled: the least ratio of shares above a score, within [0.05, 0.95].
+
+    One half of the samples trains the scorer, the other half is counted. To each ratio its standard error is
+    added, lest the least of many be the roughest, and scores that fewer than `least` of the positives reach
+    are left out. Without samples it is 0.5.
+    """
+    if len(positives) < 2 or len(unlabelled) < 2:
+        return 0.5
+    model = fit(positives[0::2], unlabelled[0::2], 0.5)
+    good, any_ = np.sort(model.score(positives[1::2])), np.sort(model.score(unlabelled[1::2]))
+    at = np.unique(good)
+    reach_good = 1 - np.searchsorted(good, at) / len(good)
+    reach_any = 1 - np.searchsorted(any_, at) / len(any_)
+    kept = reach_good >= least
+    p, u = reach_good[kept], reach_any[kept]
+    error = np.sqrt(u * (1 - u) / len(any_)) / p + u / p ** 2 * np.sqrt(p * (1 - p) / len(good))
+    return float(min(max((u / p + error).min(), 0.05), 0.95))
+
+
+def risk(model: QualityModel, positives: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The non-negative risk of a scorer on both samples, with the logistic loss."""
+    z_good, z_any = (-np.log(1 / np.clip(model.score(x), 1e-12, 1 - 1e-12) - 1) for x in (positives, unlabelled))
+    bad = np.logaddexp(0, z_any).mean() - model.prior * np.logaddexp(0, z_good).mean()
+    return float(model.prior * np.logaddexp(0, -z_good).mean() + max(bad, 0.0))
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that never teach: crc32 of the id's text is divisible by 5."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
@@ -134,25 +165,33 @@ def _matrix(docs: DataFrame) -> np.ndarray:
     return np.array(rows, dtype=float).reshape(-1, len(FEATURES))
 
 
+def _shuffled(rows: np.ndarray) -> np.ndarray:
+    """The rows, which come sorted, in a fixed random order."""
+    return rows[np.random.default_rng(5).permutation(len(rows))]
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVES, unlabelled: int = MAX_UNLABELLED) -> QualityModel:
     """Fits on bounded samples of rows that are not held out, chosen by a hash of the id.
 
-    Trusted positives are labelled 1; unlabelled texts are any of docs, their labels unseen. The prior
-    is the share of 1 among all labels that are not held out, within [0.05, 0.95].
+    Trusted positives are labelled 1; unlabelled texts are any of docs, their labels unseen. The prior is
+    estimated from both. Of rows that repeat an id the text with the smallest hash is taken, so the bounds
+    hold for rows as well.
     """
     bound_batches(docs.sparkSession)
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
-    share = usable.agg(F.avg((F.col("quality") == 1).cast("double")).alias("p")).head()["p"]
-    prior = min(max(share if share is not None else 0.5, 0.05), 0.95)
+    trusted = labels.where(F.col("doc_id").isNotNull() & (F.col("quality") == 1) & ~held_out())
 
     def sample(ids: DataFrame, most: int) -> DataFrame:
         key = F.xxhash64(F.col("doc_id"), F.lit(5))
         return F.broadcast(ids.select(F.col("doc_id").cast("long")).distinct().orderBy(key, "doc_id").limit(most))
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    good = texts.join(sample(usable.where("quality = 1"), positives), "doc_id", "left_semi")
-    other = texts.join(sample(docs.where(F.col("doc_id").isNotNull() & ~held_out()), unlabelled), "doc_id", "left_semi")
-    return fit(_matrix(good), _matrix(other), prior)
+    def rows(ids: DataFrame, most: int) -> np.ndarray:
+        found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+        found = found.join(sample(ids, most), "doc_id", "left_semi")
+        return _matrix(found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+
+    good = rows(trusted, positives)
+    other = rows(docs.where(F.col("doc_id").isNotNull() & ~held_out()), unlabelled)
+    return fit(good, other, estimate_prior(_shuffled(good), _shuffled(other)))
 
 
 def score(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFrame:

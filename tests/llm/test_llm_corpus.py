@@ -139,6 +139,69 @@ def test_quality_on_held_out_labels(spark):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
 
 
+def _samples(seed, n_good, n_any, prior, shift):
+    import numpy as np
+
+    random_ = np.random.default_rng(seed)
+    width = len(quality.FEATURES)
+
+    def rows(n, good):
+        return random_.normal(size=(n, width)) + np.where(good[:, None], shift, -shift)
+
+    good = rows(n_good, np.ones(n_good, dtype=bool))
+    truth = random_.random(n_any) < prior
+    return good, rows(n_any, truth), truth
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
+def test_class_prior_from_positives_and_unlabelled(prior):
+    good, other, truth = _samples(3, 1500, 4000, prior, 0.6)
+    found = quality.estimate_prior(good, other)
+    assert abs(found - truth.mean()) < 0.06
+    model = quality.fit(good, other, found)
+    assert ((model.score(other) > 0.5) == truth).mean() > 0.95
+    assert quality.estimate_prior(good[:1], other) == 0.5
+
+
+def test_fitted_scorer_has_the_least_risk_of_many():
+    """The risk written out term by term, of the fitted scorer and of scorers drawn around it."""
+    import math
+
+    import numpy as np
+
+    good, other, _ = _samples(8, 60, 150, 0.4, 0.4)
+    model = quality.fit(good, other, 0.4)
+
+    def plain(m):
+        def z(row):
+            s = min(max(float(m.score(row[None, :])[0]), 1e-12), 1 - 1e-12)
+            return math.log(s / (1 - s))
+
+        loss = lambda x: math.log1p(math.exp(-x))
+        zs_good, zs_any = [z(r) for r in good], [z(r) for r in other]
+        bad = sum(loss(-x) for x in zs_any) / len(other) - 0.4 * sum(loss(-x) for x in zs_good) / len(good)
+        return 0.4 * sum(loss(x) for x in zs_good) / len(good) + max(bad, 0.0)
+
+    assert quality.risk(model, good, other) == pytest.approx(plain(model), abs=1e-9)
+    random_ = np.random.default_rng(1)
+    least = min(
+        plain(quality.QualityModel(model.mean, model.scale, model.weights + random_.normal(scale=s, size=len(model.weights)), model.bias + random_.normal(scale=s), 0.4))
+        for s in (0.3, 1.0, 3.0) for _ in range(15)
+    )
+    assert plain(model) <= least + 0.02
+
+
+def test_sample_bounds_hold_for_rows_of_one_id(spark, documents):
+    rows = [(1, f"Some words, number {i}.", "a") for i in range(300)] + [(2, "Other words.", "a"), (3, "More words here.", "a")]
+    seen, real = [], quality._matrix
+    quality._matrix = lambda df: seen.append(real(df)) or seen[-1]
+    try:
+        quality.train(documents(rows), spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int"))
+    finally:
+        quality._matrix = real
+    assert all(len(m) <= 3 for m in seen)
+
+
 def test_quality_of_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (7, 0), (7, 1), (9, 1)], "doc_id long, quality int")
     for table in (labels, labels.where("false")):
@@ -215,6 +278,26 @@ def test_small_sources_reach_their_targets_beside_large_ones(documents):
     assert all(r["taken"] > 0 for r in mixed if r["source"] in ("small", "tiny"))
 
 
+@pytest.mark.parametrize("big", [0, 300])
+def test_small_sources_are_in_the_sql_too(documents, big):
+    """Slots of several words, where small sources have finer ones, and slots of one word, where none has."""
+    import duckdb
+
+    random_ = random.Random(big)
+    rows = [(i, " ".join(f"w{random_.randrange(999)}" for _ in range(1500)), f"large{i % 2}") for i in range(big)]
+    rows += [(1000 + i, " ".join(f"x{random_.randrange(99)}" for _ in range(40 + i)), f"small{i % 3}") for i in range(30)]
+    rows += [(2000, "one", None), (2001, None, "empty"), (2002, "two words", "a")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    expected = {r[0]: r[1:] for r in con.execute(ORACLES["op6_mix_sources"]).fetchall()}
+    found = mixing.mix(documents(rows)).collect()
+    assert len(found) == len(expected)
+    for r in found:
+        size, source_size, target, taken = expected[r["doc_id"]]
+        assert (r["size"], r["source_size"], r["taken"]) == (size, source_size, taken) and r["target"] == pytest.approx(target)
+
+
 def test_fine_slots_are_spread_and_ranked(spark):
     targets = spark.createDataFrame([("a", 0, 900000, 900000.0), ("b", 1, 300, 600.0)], "source string, place int, source_size long, target double")
     slots = mixing.schedule(targets, slots=1000).collect()
