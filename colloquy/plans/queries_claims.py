@@ -185,6 +185,15 @@ def c01(spark, d):
     return C.browse(B.claims(spark, d), B.stances(spark, d), q, limit=50, offset=10)
 
 
+@query("f01_keyset_page", with_tables("claim stance", _PAGE.format(
+    where="predicate = 'has' AND (extracted_at < TIMESTAMP '1999-06-01' OR (extracted_at = TIMESTAMP '1999-06-01' AND claim_id > 'claim:2'))",
+    limit=50, offset=0)))
+def f01_keyset(spark, d):
+    """The page behind a row that the reader has seen, by its time and id."""
+    q = C.ClaimQuery(predicate="has")
+    return C.browse_after(B.claims(spark, d), B.stances(spark, d), q, 50, datetime(1999, 6, 1), "claim:2")
+
+
 @query("c02_claim_search", with_tables("claim", """
 SELECT claim_id, subject, predicate, object, confidence, extracted_at FROM claim
 WHERE extracted_at >= TIMESTAMP '2001-11-04' - INTERVAL 900 DAY AND contains(subject,'Brand') AND predicate = 'has' AND contains(object,'lacks')

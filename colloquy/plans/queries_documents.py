@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from colloquy.functions import markdown as M
@@ -90,7 +92,7 @@ _DECODED = "replace(replace(replace(replace(replace({}, '&lt;','<'),'&gt;','>'),
 @query("k08_page_titles", f"""
 SELECT page_id, trim({_DECODED.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title FROM pages""")
 def k08(spark, d):
-    return pages.with_article(B.read_table(spark, d, "pages", spread=True)).select("page_id", "title")
+    return pages.with_title(B.read_table(spark, d, "pages", spread=True)).select("page_id", "title")
 
 
 _PLAIN = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
@@ -107,6 +109,36 @@ def k11(spark, d):
     return pages.with_article(B.read_table(spark, d, "pages", spread=True)).select("page_id", "title", "content", "excerpt")
 
 
+@query("k10_domain_articles", "WITH " + _ARTICLE + """
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'own words.' WHEN 4 THEN content ELSE content || ' more.' END AS content FROM art""")
+def k10(spark, d):
+    """The given pages as they would stand on domains with rules of their own, with parts that the rules drop."""
+    n = F.col("page_id") % 5
+    # Domains with a container of their own, a container named by id, several containers, and none.
+    wrapped = (
+        F.when(n == 1, F.concat(F.lit('<div class="readme"><span class="octicon">x</span>'), "inside", F.lit("<p> more.</p></div>")))
+        .when(n == 2, F.concat(F.lit('<div id="article-body">'), "inside", F.lit('<p> more.</p></div><div class="crayons-article__body">later</div>')))
+        .when(n == 3, F.concat(F.lit('<article><div class="metabar">bar</div>'), "inside", F.lit('<p> more.</p><p class="postActions">act</p></article>')))
+        .when(n == 0, F.concat(F.lit('<div class="post-content">own words.</div><article>'), "inside", F.lit("</article>")))
+        .otherwise(F.concat(F.lit("<article>"), "inside", F.lit("</article>")))
+    )
+    domain = F.element_at(F.array(*[F.lit(x) for x in ("news.substack.com", "github.com", "dev.to", "medium.com", "")]), (n + 1).cast("int"))
+    rows = B.read_table(spark, d, "pages", spread=True).select(
+        "page_id", F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1).alias("inside")
+    ).select("page_id", domain.alias("domain"), F.concat(F.lit("<html><body><p>x</p>"), wrapped, F.lit("</body></html>")).alias("html"))
+    return pages.with_article(rows, F.col("domain")).select("page_id", "content")
+
+
+@query("k12_allowed_links", with_tables("link", """
+SELECT post_id, domain, CASE WHEN h LIKE '169.254.%' OR h LIKE '10.0.0.%' THEN 'Blocked: private or internal host'
+  WHEN NOT contains(domain, 'example.org') THEN 'Domain ' || domain || ' is blocked' END AS error
+FROM (SELECT *, regexp_replace(h, '^www\\.', '') AS domain FROM (SELECT *, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS h FROM link))"""))
+def k12_allowed(spark, d):
+    """Only one domain and its subdomains may be read."""
+    found = pages.link_contents(B.links(spark, d), blocked=(), allowed=("example.org",))
+    return found.select("post_id", "domain", "error")
+
+
 @query("k12_link_policy", with_tables("link", """
 SELECT post_id, domain, CASE WHEN h LIKE '169.254.%' OR h LIKE '10.0.0.%' THEN 'Blocked: private or internal host'
   WHEN contains(domain,'twitter.com') OR contains(domain,'x.com') THEN 'Domain ' || domain || ' is blocked' END AS error
@@ -162,15 +194,41 @@ def a08(spark, d):
     return embedded.select("claim_id", "cached")
 
 
+def _md5_vectors(texts):
+    """Unit vectors of word counts; a word's place comes from its MD5."""
+    out = np.zeros((len(texts), 16), dtype="float64")
+    for row, text in zip(out, texts):
+        for word in text.lower().split(" "):
+            row[int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % 16] += 1
+    return out / np.sqrt((out**2).sum(axis=1, keepdims=True))
+
+
+@query("n01_embedded_claims", with_tables("claim", """
+w AS (SELECT claim_id, unnest(string_split(lower(subject || ' ' || replace(predicate, '-', ' ') || ' ' || object), ' ')) AS word FROM claim WHERE NOT has_embedding AND is_canonical),
+n AS (SELECT claim_id, ('0x' || left(md5(word), 8))::BIGINT % 16 AS place, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT claim_id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY claim_id)), 5) AS value, 'md5' AS model FROM n"""))
+def n01_embedded(spark, d):
+    """The places and values that a pluggable embedder gives to every claim without a vector."""
+    found = E.backfill_embeddings(B.claims(spark, d), E.Embedder("md5", 16, _md5_vectors))
+    parts = found.where("error is null").select("claim_id", "embedding_model", F.posexplode("embedding").alias("place", "value"))
+    return parts.where("value > 0").select(
+        "claim_id", F.col("place").cast("long").alias("place"), F.round(F.col("value").cast("double"), 5).alias("value"),
+        F.col("embedding_model").alias("model"),
+    )
+
+
 # -- prompts and responses --------------------------------------------------------------------------------------------
 
 
 @query("b21_claim_prompts", with_tables("summary", f"""
 SELECT post_id, prompt, CAST(ceil(length(prompt)/4) AS BIGINT) AS input_tokens FROM (SELECT post_id,
  'Find the claims made in the text below.' || chr(10) || chr(10) || 'Title: ' || title || chr(10) || 'Summary: ' || summary || chr(10) || 'Key Topics: ' || array_to_string(key_topics, ', ')
- || chr(10) || 'Sentiment: ' || sentiment || chr(10) || chr(10) || 'Notable Comments:' || chr(10) || chr(10) || chr(10) || '{PR.CLAIMS_REQUEST}' AS prompt FROM summary)"""))
+ || chr(10) || 'Sentiment: ' || sentiment || chr(10) || chr(10) || 'Notable Comments:' || chr(10) || CASE post_no % 3 WHEN 1 THEN '' WHEN 2 THEN title ELSE 'On ' || subreddit || chr(10) || title END || chr(10) || chr(10) || '{PR.CLAIMS_REQUEST}' AS prompt FROM summary)"""))
 def b21_claims(spark, d):
-    rows = B.summaries(spark, d).withColumn("notable_comments", F.lit(None).cast("array<string>"))
+    """Posts without notable comments, with one and with two."""
+    n = F.col("post_no") % 3
+    notable = F.when(n == 2, F.array("title")).when(n == 0, F.array(F.concat(F.lit("On "), "subreddit"), F.col("title")))
+    rows = B.summaries(spark, d).withColumn("notable_comments", notable)
     return PR.claim_prompts(rows)
 
 

@@ -15,6 +15,7 @@ from colloquy.operators.similarity import duplicate_pairs, unit_vectors
 from colloquy.plans import bindings as B
 from colloquy.plans.oracle import with_tables
 from colloquy.plans.registry import query
+from colloquy.session import materialize
 
 # The fixture vectors are nearly orthogonal, so thresholds are lower than the defaults.
 DUPLICATE, RELATED, SEARCH, CONTRADICT = 0.40, 0.30, 0.20, 0.10
@@ -381,6 +382,33 @@ def by_label(spark, d):
     )
 
 
+@query("h01_kmeans_facts", with_tables("vec", """
+SELECT count(*) AS points, ceil(sqrt(count(*) / 2.0))::BIGINT AS k, count(*) AS assigned, true AS within_k, true AS near_own_center, true AS closer_than_labels FROM vec"""))
+def h01_facts(spark, d):
+    """What must hold of any k-means result: every point assigned, at most k clusters, points with the nearest
+    center but for the last step's few, and members closer to their centers than those of the given labels."""
+    claims = B.claim_vectors(spark, d)
+    n = claims.count()
+    found = materialize(H.kmeans_clusters(claims))
+    centers = materialize(H.centroids(claims, found))
+    mine = H.memberships(claims, found, centers)
+    best = G.search_themes(
+        centers.select(F.col("cluster").alias("theme_id"), "centroid", F.lit(True).alias("is_active"), F.lit("").alias("name"), "claim_count"),
+        _queries(claims), 1, -1.0,
+    ).select(F.col("query_id").alias("claim_id"), F.col("similarity").alias("best"))
+    labelled = by_label(spark, d)
+    other = H.memberships(claims, labelled, H.centroids(claims, labelled)).agg(F.avg("membership_score").alias("theirs"))
+    told = mine.join(best, "claim_id").agg(
+        F.count(F.lit(1)).alias("assigned"), F.count_distinct("cluster").alias("clusters"), F.avg("membership_score").alias("ours"),
+        F.avg((F.col("best") - F.col("membership_score") > 1e-6).cast("double")).alias("elsewhere"),
+    )
+    return told.crossJoin(other).select(
+        F.lit(n).cast("long").alias("points"), F.lit(H.automatic_k(n)).cast("long").alias("k"), "assigned",
+        (F.col("clusters") <= H.automatic_k(n)).alias("within_k"), (F.col("elsewhere") <= 0.05).alias("near_own_center"),
+        (F.col("ours") > F.col("theirs")).alias("closer_than_labels"),
+    )
+
+
 @query("h01_kmeans")
 def h01(spark, d):
     return H.kmeans_clusters(B.claim_vectors(spark, d))

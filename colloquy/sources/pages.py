@@ -32,10 +32,20 @@ def _article(html: pd.Series, domain: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"title": titles, "content": contents})
 
 
+@F.pandas_udf(T.StringType())
+def _title(html: pd.Series) -> pd.Series:
+    return pd.Series([page_title(parse(source)) if source else "" for source in html], dtype=object)
+
+
 # A filter on a deterministic function's result would be pushed below it and parse every page twice.
 _article = _article.asNondeterministic()
 
 
+def with_title(pages: DataFrame) -> DataFrame:
+    """Adds the title alone; the article is not looked for."""
+    return pages.withColumn("title", _title(F.col("html")))
+
+
 def with_article(pages: DataFrame, domain: Column | None = None) -> DataFrame:
     """Adds title, content and a 300-character excerpt; domain rules apply where a domain is given."""
     host = domain if domain is not None else F.lit("")
