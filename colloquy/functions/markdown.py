@@ -40,10 +40,6 @@ def digest_header(title: str, day: Column, posts: Column, subreddits: Column, cl
     )
 
 
-WHAT_MATTERS_HEAD = "## What Matters\n\n| Topic | Impact | Status |\n|-------|--------|--------|\n"
-WHAT_MATTERS_TAIL = "\n**Note:** 🔴 Urgent • 🟡 Developing • 🟢 Informational\n\n---\n\n"
-
-
 def what_matters_row(priority: Column, topic: Column, impact: Column, status: Column) -> Column:
     return F.concat(
         F.lit("| "), priority_icon(priority), F.lit(" **"), escape_markdown(topic), F.lit("** | "), escape_markdown(impact),
@@ -65,13 +61,13 @@ def discussion_header(title: Column, url: Column, subreddit: Column, score: Colu
 
 def story_block(narrative: Column) -> Column:
     told = trim_ws(F.coalesce(narrative, F.lit("")))
-    return F.when(told != "", F.concat(F.lit("**The Story:**\n"), escape_markdown(told), F.lit("\n\n"))).otherwise("")
+    return F.when(told != "", F.concat(F.lit(vocab.THE_STORY + "\n"), escape_markdown(told), F.lit("\n\n"))).otherwise("")
 
 
 def threads_block(threads: Column) -> Column:
     """Array of struct(type, insight)."""
     line = lambda t: F.concat(F.lit("- "), _icon(t["type"], vocab.DISCUSSION_THREAD_ICONS, "•"), F.lit(" "), escape_markdown(t["insight"]))
-    return _when_any(threads, F.concat(F.lit("**Notable Threads:**\n"), _lines(threads, line), F.lit("\n")))
+    return _when_any(threads, F.concat(F.lit(vocab.NOTABLE_THREADS + "\n"), _lines(threads, line), F.lit("\n")))
 
 
 def claims_block(claims: Column) -> Column:
@@ -79,21 +75,21 @@ def claims_block(claims: Column) -> Column:
     line = lambda c: F.concat(
         F.lit("- "), F.when(c["is_verified"], "✓").otherwise("?"), F.lit(" "), escape_markdown(c["text"]), F.lit(" ("), _pct(c["confidence"]), F.lit("%)")
     )
-    return _when_any(claims, F.concat(F.lit("**High-Confidence Claims:**\n"), _lines(claims, line), F.lit("\n")))
+    return _when_any(claims, F.concat(F.lit(vocab.HIGH_CONFIDENCE_CLAIMS), _lines(claims, line), F.lit("\n")))
 
 
 def post_section(
     title: Column, url: Column, score: Column, comments: Column, confidence: Column, level: Column, narrative: Column,
     hook: Column, summary: Column, missing_context: Column, threads: Column, claims: Column,
 ) -> Column:
-    mark = F.when(level == "high", " • ⚠️ **Controversial**").when(level == "medium", " • ⚡ Debate").otherwise("")
+    mark = F.when(level == "high", vocab.CONTROVERSIAL_MARK).when(level == "medium", vocab.DEBATE_MARK).otherwise("")
     has_hook = F.coalesce(hook, F.lit("")) != ""
     story = F.when(F.coalesce(narrative, F.lit("")) == "", "").when(
-        has_hook, F.concat(F.lit("**The Story:** *"), escape_markdown(hook), F.lit("*\n\n"), escape_markdown(narrative), F.lit("\n\n"))
-    ).otherwise(F.concat(F.lit("**The Story:** "), escape_markdown(narrative), F.lit("\n\n")))
+        has_hook, F.concat(F.lit(vocab.THE_STORY + " *"), escape_markdown(hook), F.lit("*\n\n"), escape_markdown(narrative), F.lit("\n\n"))
+    ).otherwise(F.concat(F.lit(vocab.THE_STORY + " "), escape_markdown(narrative), F.lit("\n\n")))
     context = F.array_join(F.transform(F.slice(missing_context, 1, 2), escape_markdown), ", ")
     warning = F.when(
-        (confidence < 0.75) & (F.size(missing_context) > 0), F.concat(F.lit("> ⚠️ **Missing context:** "), context, F.lit("\n\n"))
+        (confidence < 0.75) & (F.size(missing_context) > 0), F.concat(F.lit(vocab.MISSING_CONTEXT), context, F.lit("\n\n"))
     ).otherwise("")
     return F.concat(
         F.lit("### ["), escape_markdown(title), F.lit("]("), url, F.lit(") {#"), slug(title), F.lit("}\n\n**"), score.cast("string"),
@@ -106,10 +102,7 @@ def low_activity_head(posts: Column) -> Column:
     told = F.when(posts == 1, F.lit("1 post with limited discussion")).otherwise(
         F.concat(posts.cast("string"), F.lit(" posts with limited discussion"))
     )
-    return F.concat(F.lit("## Low-Activity Posts\n\n<details>\n<summary>"), told, F.lit("</summary>\n\n"))
-
-
-LOW_ACTIVITY_TAIL = "</details>\n\n"
+    return F.concat(F.lit(vocab.LOW_ACTIVITY_HEAD), told, F.lit("</summary>\n\n"))
 
 
 def low_activity_row(title: Column, url: Column, subreddit: Column, score: Column, warning: Column, description: Column) -> Column:
@@ -127,7 +120,7 @@ def theme_synthesis(themes: Column, conflicts: Column, trends: Column) -> Column
     """Recurring themes, conflicting viewpoints and emerging patterns; empty blocks vanish."""
     esc_all = lambda items, sep: F.array_join(F.transform(items, escape_markdown), sep)
     theme = lambda t: F.concat(
-        F.lit("### "), escape_markdown(t["theme"]), F.lit("\n\n"), escape_markdown(t["summary"]), F.lit("\n\n**Discussed in:**\n"),
+        F.lit("### "), escape_markdown(t["theme"]), F.lit("\n\n"), escape_markdown(t["summary"]), F.lit("\n\n" + vocab.DISCUSSED_IN),
         _lines(t["posts"], lambda p: F.concat(F.lit("- "), escape_markdown(p))),
     )
     row = lambda c: F.concat(
@@ -143,12 +136,11 @@ def theme_synthesis(themes: Column, conflicts: Column, trends: Column) -> Column
         esc_all(t["evidence"], "; "),
     )
     blocks = [
-        _when_any(themes, F.concat(F.lit("## Today's Themes\n\n"), _lines(themes, theme))),
+        _when_any(themes, F.concat(F.lit(vocab.TODAYS_THEMES), _lines(themes, theme))),
         _when_any(conflicts, F.concat(
-            F.lit("## Conflicting Viewpoints\n\n*Opposing stances on the same topics, sourced from different posts:*\n\n"
-                  "| Topic | View A | View B |\n|-------|--------|--------|\n"),
-            _lines(conflicts, row), F.lit("\n**Sources:**\n"), _lines(conflicts, source), F.lit("\n"))),
-        _when_any(trends, F.concat(F.lit("## Emerging Patterns\n\n"), _lines(trends, trend), F.lit("\n"))),
+            F.lit(vocab.CONFLICTING_VIEWPOINTS + vocab.VIEWPOINT_TABLE),
+            _lines(conflicts, row), F.lit(vocab.VIEWPOINT_SOURCES), _lines(conflicts, source), F.lit("\n"))),
+        _when_any(trends, F.concat(F.lit(vocab.EMERGING_PATTERNS), _lines(trends, trend), F.lit("\n"))),
     ]
     # The blocks are joined lines, so the very last line carries no line end.
     return F.regexp_replace(F.concat(*blocks), r"\n\z", "")
@@ -162,10 +154,10 @@ def controversy_analysis(a: Column) -> Column:
     split = a["community_split"]
     nuances = a["nuances"]
     text = F.concat(
-        F.lit("**Main Claim:** "), a["main_claim"], F.lit("\n\n"), points(a["supporting_points"], "Supporting Arguments"),
+        F.lit(vocab.MAIN_CLAIM), a["main_claim"], F.lit("\n\n"), points(a["supporting_points"], "Supporting Arguments"),
         points(a["opposing_points"], "Opposing Arguments"),
-        _when_any(split, F.concat(F.lit("**Community Split:**\n"), _lines(split, camp), F.lit("\n"))),
-        _when_any(nuances, F.concat(F.lit("**Nuances:**\n"), _lines(nuances, lambda p: F.concat(F.lit("- "), p)))),
+        _when_any(split, F.concat(F.lit(vocab.COMMUNITY_SPLIT), _lines(split, camp), F.lit("\n"))),
+        _when_any(nuances, F.concat(F.lit(vocab.NUANCES), _lines(nuances, lambda p: F.concat(F.lit("- "), p)))),
     )
     return F.regexp_replace(text, r"\n\z", "")
 
@@ -177,15 +169,15 @@ def number(value: Column) -> Column:
 
 def story(narrative: Column, hook: Column) -> Column:
     return F.when(
-        F.coalesce(hook, F.lit("")) != "", F.concat(F.lit("**The Story:** *"), hook, F.lit("*\n\n"), narrative)
-    ).otherwise(F.concat(F.lit("**The Story:** "), narrative))
+        F.coalesce(hook, F.lit("")) != "", F.concat(F.lit(vocab.THE_STORY + " *"), hook, F.lit("*\n\n"), narrative)
+    ).otherwise(F.concat(F.lit(vocab.THE_STORY + " "), narrative))
 
 
 def notable_threads(threads: Column, icons: bool = True) -> Column:
     icon = lambda t: F.concat(_icon(t["thread_type"], vocab.NOTABLE_THREAD_ICONS, ""), F.lit(" ")) if icons else F.lit("")
     signal = lambda t: F.when(F.coalesce(t["engagement_signal"], F.lit("")) != "", F.concat(F.lit(" *("), t["engagement_signal"], F.lit(")*"))).otherwise("")
     line = lambda t: F.concat(F.lit("\n- "), icon(t), t["insight"], signal(t))
-    return _when_any(threads, F.concat(F.lit("**Notable Threads:**"), F.array_join(F.transform(threads, line), "")))
+    return _when_any(threads, F.concat(F.lit(vocab.NOTABLE_THREADS), F.array_join(F.transform(threads, line), "")))
 
 
 def what_matters(items: Column) -> Column:
@@ -199,8 +191,8 @@ def what_matters(items: Column) -> Column:
         )
 
     return _when_any(items, F.concat(
-        F.lit("## What Matters Today\n\n| Priority | Topic | Impact | Status |\n|:--------:|-------|--------|--------|\n"),
-        _lines(items, row), F.lit("\n**Priority**: 🔴 Urgent · 🟡 Developing · 🟢 Informational\n"),
+        F.lit(vocab.MATTERS_TODAY_HEAD),
+        _lines(items, row), F.lit(vocab.MATTERS_TODAY_TAIL),
     ))
 
 
@@ -210,5 +202,5 @@ def thread_summaries(summary: Column, threads: Column) -> Column:
         F.lit("- *u/"), t["author"], F.lit("* ("), t["participants"].cast("string"), F.lit(" participants): "), t["summary"]
     )
     return F.when(
-        F.size(threads) > 0, F.concat(summary, F.lit("\n\n**Key Discussion Threads:**\n"), _lines(threads, line))
+        F.size(threads) > 0, F.concat(summary, F.lit("\n\n" + vocab.KEY_THREADS), _lines(threads, line))
     ).otherwise(summary)

@@ -274,11 +274,11 @@ def link_prompt(
     t, c, d, e = _c(title), _c(content), _c(domain), _c(error)
     heading = F.when(F.coalesce(t, F.lit("")) != "", F.concat(F.lit('Linked Article: "'), t, F.lit('"\n'))).otherwise("")
     return (
-        F.when(d.isNull(), F.lit("(Link post - external content could not be fetched)"))
-        .when(F.coalesce(e, F.lit("")) != "", F.concat(F.lit("(Link post - "), e, F.lit(")")))
+        F.when(d.isNull(), F.lit(vocab.LINK_NOT_FETCHED))
+        .when(F.coalesce(e, F.lit("")) != "", F.concat(F.lit(vocab.LINK_ERROR[0]), e, F.lit(vocab.LINK_ERROR[1])))
         .when(
             F.length(F.coalesce(c, F.lit(""))) < 50,
-            F.concat(F.lit("(Link post to "), d, F.lit(" - content extraction failed)")),
+            F.concat(F.lit(vocab.LINK_NOT_EXTRACTED[0]), d, F.lit(vocab.LINK_NOT_EXTRACTED[1])),
         )
         .otherwise(F.concat(heading, F.lit("Source: "), d, F.lit("\n\n"), excerpt(c, limit)))
     )

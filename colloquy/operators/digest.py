@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy import vocab
 from colloquy.functions import markdown as M
 from colloquy.functions.text import claim_sentence, impact_line, verification
 from colloquy.operators.ordered import row_numbers
@@ -91,12 +92,12 @@ def digest_fragments(
         digest_counts(listed, claims).join(seen, "digest_date"),
         _fragment(HEADER, none, F.lit(0), BODY, M.digest_header(
             title, col("digest_date"), col("post_count"), col("subreddit_count"), col("claim_count"))),
-        F.when(col("busy") > 0, _fragment(MATTERS, none, first, HEAD, F.lit(M.WHAT_MATTERS_HEAD))),
-        F.when(col("busy") > 0, _fragment(MATTERS, behind, last, TAIL, F.lit(M.WHAT_MATTERS_TAIL))),
+        F.when(col("busy") > 0, _fragment(MATTERS, none, first, HEAD, F.lit(vocab.WHAT_MATTERS_HEAD))),
+        F.when(col("busy") > 0, _fragment(MATTERS, behind, last, TAIL, F.lit(vocab.WHAT_MATTERS_TAIL))),
         _fragment(BREAK, none, F.lit(0), BODY, F.lit("---\n\n")),
-        F.when(col("top") > 0, _fragment(DISCUSSIONS, none, first, HEAD, F.lit("## Top Discussions\n\n"))),
+        F.when(col("top") > 0, _fragment(DISCUSSIONS, none, first, HEAD, F.lit(vocab.TOP_DISCUSSIONS))),
         F.when(col("low") > 0, _fragment(LOW, none, first, HEAD, M.low_activity_head(col("low")))),
-        F.when(col("low") > 0, _fragment(LOW, behind, last, TAIL, F.lit(M.LOW_ACTIVITY_TAIL))),
+        F.when(col("low") > 0, _fragment(LOW, behind, last, TAIL, F.lit(vocab.LOW_ACTIVITY_TAIL))),
     )
     result = dates.unionByName(matters).unionByName(groups).unionByName(posts)
     for section, table in ((THEMES, themes), (CONTRADICTIONS, contradictions)):

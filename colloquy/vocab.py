@@ -220,3 +220,33 @@ INJECTION_PATTERNS = [
     r"\bsystem\s*:",
     r"\binstruction\s*:",
 ]
+
+# ---- fixed values: headings, table heads and notes of the rendered documents ---------------------------
+WHAT_MATTERS_HEAD = "## What Matters\n\n| Topic | Impact | Status |\n|-------|--------|--------|\n"
+WHAT_MATTERS_TAIL = "\n**Note:** 🔴 Urgent • 🟡 Developing • 🟢 Informational\n\n---\n\n"
+TOP_DISCUSSIONS = "## Top Discussions\n\n"
+THE_STORY = "**The Story:**"
+NOTABLE_THREADS = "**Notable Threads:**"
+HIGH_CONFIDENCE_CLAIMS = "**High-Confidence Claims:**\n"
+MISSING_CONTEXT = "> ⚠️ **Missing context:** "
+CONTROVERSIAL_MARK = " • ⚠️ **Controversial**"
+DEBATE_MARK = " • ⚡ Debate"
+LOW_ACTIVITY_HEAD = "## Low-Activity Posts\n\n<details>\n<summary>"
+LOW_ACTIVITY_TAIL = "</details>\n\n"
+TODAYS_THEMES = "## Today's Themes\n\n"
+DISCUSSED_IN = "**Discussed in:**\n"
+CONFLICTING_VIEWPOINTS = "## Conflicting Viewpoints\n\n*Opposing stances on the same topics, sourced from different posts:*\n\n"
+VIEWPOINT_TABLE = "| Topic | View A | View B |\n|-------|--------|--------|\n"
+VIEWPOINT_SOURCES = "\n**Sources:**\n"
+EMERGING_PATTERNS = "## Emerging Patterns\n\n"
+MAIN_CLAIM = "**Main Claim:** "
+COMMUNITY_SPLIT = "**Community Split:**\n"
+NUANCES = "**Nuances:**\n"
+MATTERS_TODAY_HEAD = "## What Matters Today\n\n| Priority | Topic | Impact | Status |\n|:--------:|-------|--------|--------|\n"
+MATTERS_TODAY_TAIL = "\n**Priority**: 🔴 Urgent · 🟡 Developing · 🟢 Informational\n"
+KEY_THREADS = "**Key Discussion Threads:**\n"
+
+# ---- fixed values: what stands for a link that gives no text ----------------------------------------------
+LINK_NOT_FETCHED = "(Link post - external content could not be fetched)"
+LINK_ERROR = ("(Link post - ", ")")
+LINK_NOT_EXTRACTED = ("(Link post to ", " - content extraction failed)")
