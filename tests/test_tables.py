@@ -144,3 +144,16 @@ def test_text_search_equals_all_pairs(spark, plan, threshold, limit):
         assert [m[0] for m in found.get(i, [])] == [m[0] for m in best[:limit]]
     with pytest.raises(ValueError):
         TS.search_texts(left, right, 3, 0.0)
+
+
+def test_an_upsert_moves_each_row_once_and_whole(spark):
+    """Aggregates that carry whole rows for each column, and a second shuffle for the join, fill the disks."""
+    kind = "comment_id string, body string, score long"
+    old = [("a", "x", 1), ("a", "y", 2), ("b", "x", 3), (None, "n", 4), ("e", "e", 9)]
+    new = [("a", "z", 7), ("a", "w", 8), ("c", "q", 5), ("c", "p", 6), ("c", "p", 4), (None, "m", 1), (None, "l", 2), ("d", None, None)]
+    merged = U.upsert_comments(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind))
+    # The updated column of the last row by (body, score), the others of the first; a null key equals none.
+    expected = [("a", "x", 7), ("a", "y", 7), ("b", "x", 3), (None, "n", 4), ("e", "e", 9), ("c", "p", 5), (None, "l", 1), ("d", None, None)]
+    assert sorted(map(tuple, merged.collect()), key=repr) == sorted(expected, key=repr)
+    plan = merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
