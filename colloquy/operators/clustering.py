@@ -89,7 +89,8 @@ def dbscan_clusters(
         i, j = np.nonzero(dots >= similarity)
         return pd.DataFrame({"id": lpdf["id"].to_numpy()[i], "core_id": rpdf["id"].to_numpy()[j]})
 
-    near = block_join(border, core, similarity, touching, f"id {kind}, core_id {kind}", plan)
+    # A border point touches fewer than `min_points` core points.
+    near = block_join(border, core, similarity, touching, f"id {kind}, core_id {kind}", plan, lambda found: found)
     joined = near.join(labels.select(F.col("id").alias("core_id"), "cluster"), "core_id")
     edge_labels = joined.groupBy("id").agg(F.min("cluster").alias("cluster"))
     every = labels.withColumn("is_core", F.lit(True)).unionByName(edge_labels.withColumn("is_core", F.lit(False)))

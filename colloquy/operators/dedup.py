@@ -28,7 +28,7 @@ def _near(left: DataFrame, right: DataFrame, threshold: float, plan: BlockPlan)
         earlier = rpdf["ord"].to_numpy()[j] < lpdf["ord"].to_numpy()[i]
         return pd.DataFrame({"id": lpdf["id"].to_numpy()[np.unique(i[earlier])]})
 
-    return block_join(left, right, threshold, block, f"id {kind}", plan).distinct()
+    return block_join(left, right, threshold, block, f"id {kind}", plan, lambda found: found.drop_duplicates()).distinct()
 
 
 def _settled(groups: DataFrame, threshold: float) -> DataFrame:
@@ -185,11 +185,14 @@ def _top_earlier(
             "query_id": lpdf["id"].to_numpy()[i], "match_id": rpdf["id"].to_numpy()[j],
             "similarity": dots[i, j], "match_ord": rpdf["ord"].to_numpy()[j],
         })
+        return best(found)
+
+    def best(found: pd.DataFrame) -> pd.DataFrame:
         found = found.sort_values(["query_id", "similarity", "match_ord", "match_id"], ascending=[True, False, True, True])
         return found.groupby("query_id", sort=False).head(k)
 
     schema = f"query_id {kind}, match_id {kind}, similarity double, match_ord string"
-    found = block_join(left, right, low, block, schema, plan)
+    found = block_join(left, right, low, block, schema, plan, best)
     return first_rows(found, ["query_id"], [F.desc("similarity"), F.asc("match_ord"), F.asc("match_id")], k, "rank")
 
 

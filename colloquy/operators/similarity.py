@@ -5,9 +5,11 @@ Vectors have length at most 1, so `dot >= t` implies a Euclidean distance of at
 many, the rows of each cell are split again by pivots of their own. The right side lives in the cell
 of its nearest pivot; the left side visits only the cells the triangle inequality cannot rule out: for
 a threshold all rows with one radius, for the k best each row with its own, which its home cell tells.
-Cells that hold many rows are cut into chunks on both sides, so every task sees at most two blocks of
-`block_rows` vectors whatever the skew, multiplies them with NumPy and emits only what the caller's
-block function keeps. Nothing is approximated and no pair is capped.
+Cells that hold many rows are cut into blocks on both sides, and blocks into chunks of a bounded size: a
+task gets two chunks whatever the skew, multiplies their blocks of `block_rows` vectors one pair after the
+other with NumPy and emits only what the caller's block function keeps. There are as many chunks as keep
+the cores busy, not more, so that a row is sent to few tasks however many rows there are. Nothing is
+approximated and no pair is capped.
 """
 
 from __future__ import annotations
@@ -27,8 +29,17 @@ from colloquy.session import materialize
 
 # A block function receives (left rows, right rows, dot products) and returns a frame.
 BlockFunction = Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame]
+# Folds the results of one left block with many right ones to about as many rows as the blocks have.
+Fold = Callable[[pd.DataFrame], pd.DataFrame]
 
 BLOCK_ROWS = 2048
+#: Rows, and bytes of vectors, that a task holds of each side.
+CHUNK_ROWS = 65_536
+CHUNK_BYTES = 64 * 1024 * 1024
+#: Pairs of chunks for each core, where there are blocks enough.
+PAIRS_PER_CORE = 8
+#: Result rows after which a task leaves its other pairs of blocks to tasks of their own.
+RESULT_ROWS = 4_000_000
 CELL_ROWS = 65_536
 MAX_PIVOTS = 4096
 PIVOT_BYTES = 32 * 1024 * 1024
@@ -43,6 +54,8 @@ class BlockPlan:
     cell_rows: int = CELL_ROWS
     #: Pivots of the first level, and of the second level within one cell of the first.
     pivots: int = MAX_PIVOTS
+    chunk_rows: int = CHUNK_ROWS
+    result_rows: int = RESULT_ROWS
 
 
 DEFAULT_PLAN = BlockPlan()
@@ -153,7 +166,10 @@ class CellIndex:
         return placed if keep_reach else placed.drop("reach")
 
     def visits(self, df: DataFrame) -> DataFrame:
-        """One row for each cell that can hold a row within `radius` of a row: adds `cell`."""
+        """One row for each cell that can hold a row within `radius` of a row: adds `cell`.
+
+        What is written down is one row with its list of cells.
+        """
         shared = df.sparkSession.sparkContext.broadcast((self.top, self.low, self.high))
 
         def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,9 +180,9 @@ class CellIndex:
                     yield batch
 
         seen = df.mapInPandas(tops, schema=f"{_fields(df)}, tops array<long>")
-        seen = seen.withColumn("top", F.explode("tops")).drop("tops")
         if self.inner is None:
-            return seen.withColumn("cell", F.col("top")).drop("top")
+            return materialize(seen).withColumn("cell", F.explode("tops")).drop("tops")
+        seen = seen.withColumn("top", F.explode("tops")).drop("tops")
 
         columns = [*df.columns, "cells"]
 
@@ -182,7 +198,7 @@ class CellIndex:
             return batch[columns]
 
         met = _beside_inner(seen, self.inner, self.plan, cells, f"{_fields(df)}, cells array<long>")
-        return met.withColumn("cell", F.explode("cells")).drop("cells")
+        return materialize(met).withColumn("cell", F.explode("cells")).drop("cells")
 
 
 def _top_placed(df: DataFrame, top: np.ndarray) -> DataFrame:
@@ -254,6 +270,8 @@ def block_join(
     block: BlockFunction,
     schema: str,
     plan: BlockPlan = DEFAULT_PLAN,
+    fold: Fold | None = None,
+    defers: bool = False,
 ) -> DataFrame:
     """Applies `block` to every pair of blocks that can hold a pair with `dot >= threshold`.
 
@@ -271,9 +289,9 @@ def block_join(
         seekers = index.rows if mirrored else left.withColumn("home", F.lit(-1).cast("long"))
         visiting = index.visits(seekers.withColumn("radius", F.lit(_radius(threshold)))).drop("radius")
         # Two cells of one table meet once, from the smaller number.
-        lefts = materialize(visiting.where("cell >= home") if mirrored else visiting)
+        lefts = visiting.where("cell >= home") if mirrored else visiting
         rights = _renewed(index.rows).withColumnRenamed("home", "cell")
-    return join_chunks(lefts, rights, block, schema, plan)
+    return join_chunks(lefts, rights, block, schema, plan, fold=fold, defers=defers)
 
 
 def _radius(threshold: float) -> float:
@@ -301,56 +319,120 @@ def same_key(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> np.ndarray:
     return codes[: len(lpdf), None] == codes[None, len(lpdf):]
 
 
+def chunk_sizes(lefts: DataFrame, rights: DataFrame, plan: BlockPlan, grouped: bool) -> DataFrame:
+    """Per cell that both sides share the numbers of its blocks and chunks: (cell, l_blocks, l_chunks, r_blocks, r_chunks).
+
+    `grouped` puts blocks together in chunks; else each block is a chunk.
+    """
+    def counted(df: DataFrame, side: str) -> DataFrame:
+        wide = F.max(F.size("vec")) if grouped else F.lit(0)
+        return df.groupBy("cell").agg(F.count(F.lit(1)).alias(f"{side}_rows"), wide.alias(f"{side}_wide"))
+
+    sizes = counted(lefts, "l").join(counted(rights, "r"), "cell")
+    blocks = [F.ceil(F.col(f"{x}_rows") / plan.block_rows).cast("int").alias(f"{x}_blocks") for x in "lr"]
+    if not grouped:
+        return sizes.select("cell", *blocks).withColumns({"l_chunks": F.col("l_blocks"), "r_chunks": F.col("r_blocks")})
+    held = F.floor(CHUNK_BYTES / (8 * F.greatest("l_wide", "r_wide", F.lit(1))))
+    held = F.greatest(F.lit(plan.block_rows), F.least(F.lit(plan.chunk_rows), held))
+    least = [F.ceil(F.col(f"{x}_rows") / held).cast("int").alias(f"{x}_least") for x in "lr"]
+    sizes = materialize(sizes.select("cell", *blocks, *least))
+    pairs = sizes.agg(F.sum(F.col("l_least").cast("double") * F.col("r_least")).alias("n")).head()["n"] or 1.0
+    more = math.sqrt(max(1.0, PAIRS_PER_CORE * lefts.sparkSession.sparkContext.defaultParallelism / pairs))
+    return sizes.select("cell", "l_blocks", "r_blocks", *[
+        F.least(F.col(f"{x}_blocks"), F.ceil(F.col(f"{x}_least") * more).cast("int")).alias(f"{x}_chunks") for x in "lr"
+    ])
+
+
+def _blocks_of(rows: pd.DataFrame, column: str) -> list[pd.DataFrame]:
+    ordered = rows.sort_values(column, kind="stable")
+    starts = np.flatnonzero(np.diff(ordered[column].to_numpy(), prepend=-1))
+    return [ordered.iloc[a:b].reset_index(drop=True) for a, b in zip(starts, [*starts[1:], len(ordered)])]
+
+
 def join_chunks(
     lefts: DataFrame, rights: DataFrame, block: BlockFunction, schema: str, plan: BlockPlan, bans: DataFrame | None = None,
-    products: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None,
+    products: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None, fold: Fold | None = None, defers: bool = False,
 ) -> DataFrame:
-    """Cuts crowded cells into chunks on both sides and applies `block` to every pair of chunks.
+    """Cuts crowded cells into blocks on both sides and applies `block` to every pair of blocks.
 
     `bans` (cell, id of a right row, `banned` id of a left row) are pairs that do not count. Each goes to the
     one task where its rows meet, so neither row has a list that grows. `products` gives the dot products
     of two blocks that do not carry dense vectors.
+
+    A task takes one pair of blocks, or with `fold` or `defers` one pair of chunks of many blocks: where
+    `fold` keeps the results small, or the task `defers` the pairs of blocks that it has not got to after
+    `plan.result_rows` results, which then are tasks of their own.
     """
-    chunks = lambda side, name: side.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / plan.block_rows).cast("int").alias(name)
-    )
-    sizes = chunks(lefts, "n_l").join(chunks(rights, "n_r"), "cell")
-    number = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    sizes = chunk_sizes(lefts, rights, plan, fold is not None or defers)
+    number = lambda n, of="id": F.pmod(F.xxhash64(of), F.col(n)).cast("int")
+    chunk = lambda x, number: F.floor(number.cast("long") * F.col(f"{x}_chunks") / F.col(f"{x}_blocks")).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = ["cell", "l_chunk", "r_chunk"]
-    lefts = lefts.join(sizes, "cell").withColumn("l_chunk", number("n_l")).withColumn("r_chunk", spread("n_r"))
-    rights = rights.join(sizes, "cell").withColumn("r_chunk", number("n_r")).withColumn("l_chunk", spread("n_l"))
+    keys, counts = ["cell", "l_chunk", "r_chunk"], ["l_blocks", "r_blocks", "l_chunks", "r_chunks"]
+    l_rows = lefts.join(sizes, "cell").withColumn("l_block", number("l_blocks"))
+    r_rows = rights.join(sizes, "cell").withColumn("r_block", number("r_blocks"))
+    l_sent = l_rows.withColumn("l_chunk", chunk("l", F.col("l_block"))).withColumn("r_chunk", spread("r_chunks"))
+    r_sent = r_rows.withColumn("r_chunk", chunk("r", F.col("r_block"))).withColumn("l_chunk", spread("l_chunks"))
 
     if bans is not None:
         kind = f"array<{_type_of(bans, 'banned')}>"
         met = bans.join(sizes, "cell").select(
-            "id", "cell", F.pmod(F.xxhash64("banned"), F.col("n_l")).cast("int").alias("l_chunk"),
-            number("n_r").alias("r_chunk"), F.array("banned").alias("banned"),
+            "id", "cell", chunk("l", number("l_blocks", "banned")).alias("l_chunk"),
+            chunk("r", number("r_blocks")).alias("r_chunk"), F.array("banned").alias("banned"),
         )
-        rights = rights.withColumn("banned", F.array().cast(kind)).unionByName(met, allowMissingColumns=True)
+        r_sent = r_sent.withColumn("banned", F.array().cast(kind)).unionByName(met, allowMissingColumns=True)
 
     empty = [f.split()[0].strip("` ") for f in schema.split(",")]
+    late = ["late_cell", "late_l", "late_r"]
 
-    def run(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+    def blocks_met(lpdf: pd.DataFrame, rpdf: pd.DataFrame, most: int | None) -> pd.DataFrame:
         banned = None
         if "banned" in rpdf:
             real = rpdf["banned"].map(len) == 0
             banned, rpdf = rpdf[~real], rpdf[real].reset_index(drop=True)
+        names = empty if most is None else [*empty, *late]
         if len(lpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame(columns=empty)
-        dots = products(lpdf, rpdf) if products else stack(lpdf["vec"]) @ stack(rpdf["vec"]).T
-        if banned is not None and len(banned):
-            pairs = pd.DataFrame({"left": [b[0] for b in banned["banned"]], "right": banned["id"].to_numpy()})
-            for side, ids in (("left", lpdf["id"]), ("right", rpdf["id"])):
-                pairs = pairs.merge(pd.DataFrame({side: ids.to_numpy(), f"{side}_at": np.arange(len(ids))}), on=side)
-            dots[pairs["left_at"].to_numpy(dtype=int), pairs["right_at"].to_numpy(dtype=int)] = -np.inf
-        return block(lpdf, rpdf, dots)
-
-    return (
-        lefts.drop("n_l", "n_r").groupBy(*keys)
-        .cogroup(rights.drop("n_l", "n_r").groupBy(*keys))
-        .applyInPandas(run, schema=schema)
-    )
+            return pd.DataFrame(columns=names)
+        others = [(b, None if products else stack(b["vec"])) for b in _blocks_of(rpdf, "r_block")]
+        found, rows, left_over = [], 0, []
+        for mine in _blocks_of(lpdf, "l_block"):
+            vectors, met = None if products else stack(mine["vec"]), []
+            for other, matrix in others:
+                if most is not None and rows > most:
+                    left_over.append((mine["cell"].iloc[0], mine["l_block"].iloc[0], other["r_block"].iloc[0]))
+                    continue
+                dots = products(mine, other) if products else vectors @ matrix.T
+                if banned is not None and len(banned):
+                    pairs = pd.DataFrame({"left": [b[0] for b in banned["banned"]], "right": banned["id"].to_numpy()})
+                    for side, ids in (("left", mine["id"]), ("right", other["id"])):
+                        pairs = pairs.merge(pd.DataFrame({side: ids.to_numpy(), f"{side}_at": np.arange(len(ids))}), on=side)
+                    dots[pairs["left_at"].to_numpy(dtype=int), pairs["right_at"].to_numpy(dtype=int)] = -np.inf
+                told = block(mine, other, dots)
+                if len(told):
+                    met.append(told)
+                    rows += len(told)
+            if met:
+                found.append(fold(pd.concat(met, ignore_index=True)) if fold and len(met) > 1 else pd.concat(met, ignore_index=True))
+        if left_over:
+            found.append(pd.DataFrame(left_over, columns=late))
+        return pd.concat(found, ignore_index=True).reindex(columns=names) if found else pd.DataFrame(columns=names)
+
+    def run(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        return blocks_met(lpdf, rpdf, None)
+
+    def begin(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        return blocks_met(lpdf, rpdf, plan.result_rows)
+
+    sent = l_sent.drop(*counts).groupBy(*keys).cogroup(r_sent.drop(*counts).groupBy(*keys))
+    if not defers:
+        return sent.applyInPandas(run, schema=schema)
+    told = materialize(sent.applyInPandas(begin, schema=f"{schema}, late_cell long, late_l int, late_r int"))
+    whole = told.where("late_cell is null").drop(*late)
+    pairs = told.where("late_cell is not null").select(*[F.col(a).alias(b) for a, b in zip(late, ("cell", "l_block", "r_block"))])
+    if pairs.isEmpty():
+        return whole
+    keys = ["cell", "l_block", "r_block"]
+    alone = [side.drop(*counts).join(pairs, ["cell", own]).groupBy(*keys) for side, own in ((l_rows, "l_block"), (r_rows, "r_block"))]
+    return whole.unionByName(alone[0].cogroup(alone[1]).applyInPandas(run, schema=schema))
 
 
 def _renewed(df: DataFrame) -> DataFrame:
@@ -414,6 +496,9 @@ def top_matches(
             "match_id": rpdf["id"].to_numpy()[j],
             "similarity": dots[i, j],
         })
+        return best(found)
+
+    def best(found: pd.DataFrame) -> pd.DataFrame:
         found = found.sort_values(["query_id", "similarity", "match_id"], ascending=[True, False, True])
         return found.groupby("query_id", sort=False).head(k)
 
@@ -429,12 +514,12 @@ def top_matches(
         pairs = excluded.select(F.col("match_id").alias("id"), F.col("query_id").alias("banned")).distinct()
         bans = materialize(pairs.join(rights.select("id", "cell"), "id").select("id", "cell", "banned"))
     if index is None:
-        return ranked(join_chunks(seekers.withColumn("cell", F.lit(0)), rights, block, schema, plan, bans))
+        return ranked(join_chunks(seekers.withColumn("cell", F.lit(0)), rights, block, schema, plan, bans, fold=best))
     placed = materialize(index.place(seekers))
-    at_home = join_chunks(placed.withColumn("cell", F.col("home")), rights, block, schema, plan, bans)
+    at_home = join_chunks(placed.withColumn("cell", F.col("home")), rights, block, schema, plan, bans, fold=best)
     first = materialize(ranked(at_home).drop("rank"))
-    others = materialize(index.visits(narrowed(placed, first, k)).where("cell <> home").drop("home", "radius"))
-    return ranked(first.unionByName(join_chunks(others, rights, block, schema, plan, bans)))
+    others = index.visits(narrowed(placed, first, k)).where("cell <> home").drop("home", "radius")
+    return ranked(first.unionByName(join_chunks(others, rights, block, schema, plan, bans, fold=best)))
 
 
 def narrowed(placed: DataFrame, first: DataFrame, k: int) -> DataFrame:
@@ -464,7 +549,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, plan: BlockPlan = DEFAUL
         })
 
     kind = _type_of(vectors, "id")
-    return block_join(vectors, None, threshold, block, f"id_a {kind}, id_b {kind}, similarity double", plan)
+    return block_join(vectors, None, threshold, block, f"id_a {kind}, id_b {kind}, similarity double", plan, defers=True)
 
 
 def copy_code(vec: Column, own: Column) -> Column:
@@ -544,7 +629,8 @@ def neighbour_counts(vectors: DataFrame, threshold: float, plan: BlockPlan = DEF
         return pd.DataFrame({"id": ids[hit], "neighbours": seen[hit].astype("int64")})
 
     schema = f"id {_type_of(vectors, 'id')}, neighbours bigint"
-    partial = block_join(vectors, None, threshold, block, schema, plan)
+    together = lambda found: found.groupby("id", as_index=False).sum()
+    partial = block_join(vectors, None, threshold, block, schema, plan, together)
     return partial.groupBy("id").agg(F.sum("neighbours").alias("neighbours"))
 
 
@@ -582,4 +668,5 @@ def spanning_edges(vectors: DataFrame, threshold: float, plan: BlockPlan = DEFAU
         return edges[edges["id_a"] != edges["id_b"]]
 
     kind = _type_of(vectors, "id")
-    return block_join(vectors, None, threshold, block, f"id_a {kind}, id_b {kind}", plan).distinct()
+    once = lambda found: found.drop_duplicates()
+    return block_join(vectors, None, threshold, block, f"id_a {kind}, id_b {kind}", plan, once).distinct()

@@ -183,3 +183,22 @@ def test_exclusions_by_tags(spark):
     found = S.top_matches(asked, told, 30, -2.0).select("query_id", "match_id").collect()
     assert all(r["match_id"] not in (r["query_id"], 3) for r in found)
     assert len(found) == sum(len({0, *range(20)} - {i, 3}) for i in range(20))
+
+
+def test_chunks_do_not_grow_in_number_with_the_rows(spark):
+    plan = S.BlockPlan(block_rows=4)
+    most = S.PAIRS_PER_CORE * spark.sparkContext.defaultParallelism
+    for n in (1000, 4000):
+        side = spark.range(n).select("id", F.lit(0).alias("cell"), F.array(F.lit(1.0)).alias("vec"))
+        size = S.chunk_sizes(side, side.select("*"), plan, True).collect()[0]
+        assert size["l_blocks"] == n // 4 and size["l_chunks"] * size["r_chunks"] <= most
+    # A chunk holds no more rows than a task may.
+    size = S.chunk_sizes(side, side.select("*"), S.BlockPlan(block_rows=4, chunk_rows=40), True).collect()[0]
+    assert size["l_chunks"] == size["r_chunks"] == 100
+
+
+@pytest.mark.parametrize("plan", [S.BlockPlan(block_rows=8, result_rows=5), S.BlockPlan(block_rows=8, cell_rows=40, result_rows=5)])
+def test_pairs_of_blocks_left_to_later_tasks_are_whole(spark, plan):
+    rows = vectors(3, hot=True)
+    found = [(r["id_a"], r["id_b"]) for r in S.similar_pairs(frame(spark, rows), 0.6, plan).collect()]
+    assert len(found) == len(set(found)) and set(found) == brute_pairs(rows, 0.6)
