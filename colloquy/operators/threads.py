@@ -137,8 +137,8 @@ def rendered_threads(forest: DataFrame, comments: DataFrame, max_depth: int = 4,
     """Text of each thread: at most three best replies per level down to the given depth.
 
     Only rows that survive at every level are carried down, so a thread keeps at most
-    1 + 3 + 9 + 27 + 81 lines whatever its size, and one bounded array per thread is assembled. Bodies are
-    joined to those lines only.
+    1 + 3 + 9 + 27 + 81 lines whatever its size, and one bounded array per thread is assembled. What is shown
+    of the bodies, never a whole one, is joined to those lines only.
     """
     shallow = forest.where(F.col("depth") <= max_depth).select(
         "comment_id", "post_id", "parent", "root_id", "depth", "author", "score"
@@ -155,14 +155,14 @@ def rendered_threads(forest: DataFrame, comments: DataFrame, max_depth: int = 4,
             F.concat("_path", F.array("place")).alias("path"),
         )
         lines = lines.unionByName(level)
-    lines = lines.join(comments.select("comment_id", "body"), "comment_id")
+    lines = lines.join(comments.select("comment_id", excerpt("body", max_length).alias("shown")), "comment_id")
     signed = F.when(F.col("score") >= 0, F.concat(F.lit("+"), F.col("score").cast("string"))).otherwise(
         F.col("score").cast("string")
     )
     text = F.concat(
         F.repeat(F.lit("  "), F.col("depth").cast("int")),
         F.when(F.col("depth") == 0, "[Parent]").otherwise("[Reply]"),
-        F.lit(" u/"), F.col("author"), F.lit(" ("), signed, F.lit('): "'), excerpt("body", max_length), F.lit('"'),
+        F.lit(" u/"), F.col("author"), F.lit(" ("), signed, F.lit('): "'), F.col("shown"), F.lit('"'),
     )
     ordered = F.array_sort(F.collect_list(F.struct("path", text.alias("text"))))
     return lines.groupBy("post_id", "root_id").agg(

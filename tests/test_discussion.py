@@ -186,3 +186,19 @@ def test_stance_events(spark):
     assert [(r["subject"], r["object"], r["confidence"]) for r in added.collect()] == [("Go", "gc", 1.0)]
     rows = {r["claim_id"]: (r["content_author_stance"], r["user_stance"], r["user_note"]) for r in table.collect()}
     assert rows["k1"] == ("agrees", "disagrees", "hm") and len(rows) == 2
+
+
+def test_no_body_is_joined(spark, monkeypatch):
+    """Joins of comments carry what is asked of a body, not the body."""
+    kind = "comment_id string, post_id string, parent_id string, author string, body string, score long, created_at timestamp"
+    rows = [(f"c{i}", "p1", f"t1_c{i // 2}" if i > 3 else "t3_p1", "u", f"{i} " + "wrong " * 90, i, None) for i in range(40)]
+    comments = spark.createDataFrame(rows, kind)
+    seen = []
+    counted = S.reply_counts
+    monkeypatch.setattr(S, "reply_counts", lambda df: seen.extend(df.columns) or counted(df))
+    assert S.diverse_comments(comments, 10).count() == 10
+    assert "post_id" in seen and not {"body", "lowered"} & set(seen)
+    shown = J.rendered_threads(J.build_forest(comments), comments)
+    assert all("..." in r["thread_text"] for r in shown.collect())
+    plan = shown._jdf.queryExecution().optimizedPlan().toString()
+    assert "shown#" in plan
