@@ -57,12 +57,14 @@ def diverse_comments(
     n_replied = math.ceil(count * replied_weight)
     n_controversial = math.ceil(count * controversial_weight)
 
-    rows = reply_counts(comments.withColumn("lowered", F.lower("body"))).select(
-        "post_id", "comment_id", "score", "created_at", "replies",
+    # What is asked of a body is told before the shuffles, which then carry none.
+    told = comments.withColumn("lowered", F.lower("body")).select(
+        "post_id", "comment_id", "parent_id", "score", "created_at",
         F.length("body").alias("length"),
         substantive(min_length).alias("good"),
         S.has_controversial_words(F.col("lowered")).alias("debated"),
     )
+    rows = reply_counts(told).drop("parent_id")
     stats = rows.groupBy("post_id").agg(
         F.count_if("good").alias("n_good"), F.avg(F.when(F.col("good"), F.col("score"))).alias("avg_score")
     )
