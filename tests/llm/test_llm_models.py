@@ -253,6 +253,22 @@ def test_language_of_odd_rows(odd, nothing):
     assert language_id.predict(nothing, model).collect() == []
 
 
+def test_no_language_is_left_out(documents, monkeypatch):
+    """More languages than share a table are learned and predicted as by one table."""
+    words = ["abc", "ghi", "mno", "stu", "xyz"]
+    table = documents([(i, f"{words[i % 5]} " * (3 + i), None) for i in range(10)]).withColumn(
+        "lang", F.concat(F.lit("l"), (F.col("doc_id") % 5).cast("string"))
+    )
+    told = lambda model: sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in language_id.predict(table, model).collect())
+    whole = told(language_id.train(table))
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    model = language_id.train(table)
+    assert model.languages == ["l0", "l1", "l2", "l3", "l4"] and len(model.others) == 2
+    found = told(model)
+    assert [r[:2] for r in found] == [(i, f"l{i % 5}") for i in range(10)]
+    assert found == [(i, lang, pytest.approx(score)) for i, lang, score in whole]
+
+
 # Resampling
 
 
