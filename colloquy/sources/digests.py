@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.operators.ordered import row_numbers
+from colloquy.operators.ordered import running_total
 from colloquy.operators.upsert import current_run, finish_version
 from colloquy.session import materialize, shuffle_partitions
 
@@ -46,13 +46,20 @@ def publish_digests(fragments: DataFrame, path: str, run_id: str) -> None:
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the published documents: (digest_date, line_no, line), from 1 on."""
+    """Lines of the published documents: (digest_date, line_no, line), from 1 on.
+
+    One task reads a block of a file from its start to its end, so the number of a line is its place in the
+    block behind the lines of the blocks before; only the blocks are put in order, and no line is moved.
+    """
     folder = f"{path}/run_id={current_run(spark, path)}"
     lines = spark.read.option("lineSep", "\n").text(folder).select(
         F.col("digest_date").cast("date").alias("digest_date"), F.col("value").alias("line"),
         F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        # Rises along a block, which one task reads from its start to its end.
+        # Rises by one from line to line of a block.
         F.monotonically_increasing_id().alias("place"),
     )
-    numbered = row_numbers(materialize(lines), ["digest_date"], [F.col("file"), F.col("block"), F.col("place")], "line_no")
-    return numbered.select("digest_date", "line_no", "line")
+    lines, block = materialize(lines), ["digest_date", "file", "block"]
+    blocks = lines.groupBy(*block).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("lines"))
+    blocks = running_total(blocks, ["digest_date"], [F.col("file"), F.col("block")], F.col("lines"), "before")
+    found = lines.join(F.broadcast(blocks.select(*block, "first", "before")), block)
+    return found.select("digest_date", (F.col("before") + F.col("place") - F.col("first") + 1).alias("line_no"), "line")
