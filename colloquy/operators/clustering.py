@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -42,9 +43,11 @@ def automatic_k(n: int) -> int:
 
 
 def kmeans_clusters(claims: DataFrame, k: int | None = None, max_iterations: int = 100, seed: int = 42) -> DataFrame:
-    """Cosine k-means by MLlib. With fewer points than clusters every point is its own cluster.
+    """Cosine k-means. With fewer points than clusters every point is its own cluster.
 
-    Zero vectors have no direction; they are left as noise.
+    MLlib draws the first centers (k-means||). Its steps would send the distances of all pairs of centers to the
+    driver, as many as there are points; here a step sends the moved centers only. A step ends the search when
+    no center moves by more than MLlib's tolerance. Zero vectors have no direction; they are left as noise.
     """
     rows = materialize(_ready(claims))
     n = rows.count()
@@ -52,9 +55,76 @@ def kmeans_clusters(claims: DataFrame, k: int | None = None, max_iterations: int
     if n < k:
         return rows.select("id", F.col("id").cast("string").alias("cluster"))
     usable = rows.where(dot(F.col("vec"), F.col("vec")) > 0).withColumn("features", array_to_vector("vec"))
-    model = KMeans(k=k, maxIter=max_iterations, seed=seed, distanceMeasure="cosine").fit(usable)
-    assigned = model.transform(usable).select("id", F.col("prediction").cast("string").alias("cluster"))
-    return rows.select("id").join(assigned, "id", "left")
+    drawn = KMeans(k=k, maxIter=0, seed=seed, distanceMeasure="cosine").fit(usable)
+    centers = _scaled(np.array(drawn.clusterCenters()))
+    # Written without the zero vectors, which every step would look for again.
+    points = materialize(usable.select("id", "vec"))
+    for _ in range(max_iterations):
+        moved = _moved_centers(points, centers)
+        settled = (1 - (moved * centers).sum(axis=1) <= CENTER_TOLERANCE).all()
+        centers = moved
+        if settled:
+            break
+    return rows.select("id").join(_nearest_center(points, centers), "id", "left")
+
+
+#: Cosine distance that a center may still move in the last step; MLlib's default.
+CENTER_TOLERANCE = 1e-4
+#: Similarities of points and centers that a task holds at a time.
+_SIMILARITIES = 1 << 21
+
+
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def _nearest(batch: pa.RecordBatch, centers: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Unit vectors of a batch with the number of the most similar center, the first of equals; by stretches of rows."""
+    column = batch.column(batch.schema.get_field_index("vec"))
+    vectors = column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    step = max(1, _SIMILARITIES // len(centers))
+    for start in range(0, batch.num_rows, step):
+        unit = _scaled(vectors[start:start + step])
+        yield start, unit, (unit @ centers.T).argmax(axis=1)
+
+
+def _moved_centers(points: DataFrame, centers: np.ndarray) -> np.ndarray:
+    """Unit-length mean of the points of each center. One without points, or whose points cancel out, stays."""
+    shared = points.sparkSession.sparkContext.broadcast(centers)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, counts = np.zeros(shared.value.shape), np.zeros(len(shared.value), dtype=np.int64)
+        for batch in batches:
+            for _, unit, nearest in _nearest(batch, shared.value):
+                order = np.argsort(nearest, kind="stable")
+                used, first = np.unique(nearest[order], return_index=True)
+                totals[used] += np.add.reduceat(unit[order], first)
+                counts[used] += np.diff(np.append(first, len(order)))
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"center": pa.array(used, pa.int32()), "total": pa.array(
+            list(totals[used]), pa.list_(pa.float64()))})
+
+    parts = points.mapInArrow(sums, "center int, total array<double>")
+    united = parts.groupBy("center").agg(Summarizer.sum(array_to_vector("total")).alias("total"))
+    found = united.select("center", vector_to_array("total").alias("total")).collect()
+    shared.unpersist()
+    moved = centers.copy()
+    for row in found:
+        total = np.array(row["total"])
+        if total.any():
+            moved[row["center"]] = total / np.linalg.norm(total)
+    return moved
+
+
+def _nearest_center(points: DataFrame, centers: np.ndarray) -> DataFrame:
+    shared = points.sparkSession.sparkContext.broadcast(centers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = [str(c) for _, _, nearest in _nearest(batch, shared.value) for c in nearest.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.string())], names=["id", "cluster"])
+
+    return points.mapInArrow(run, f"id {points.schema['id'].dataType.simpleString()}, cluster string")
 
 
 # -- density ------------------------------------------------------------------------------------------------

@@ -114,6 +114,34 @@ def test_kmeans(spark):
     assert len({r["cluster"] for r in few}) == 2
 
 
+def test_kmeans_sends_centers_only_and_equals_mllib(spark, monkeypatch):
+    rows = vectors(np.random.default_rng(5), 300, 6)
+    asked, mllib = [], H.KMeans
+
+    def drawing(**settings):
+        asked.append(settings["maxIter"])
+        return mllib(**settings)
+
+    monkeypatch.setattr(H, "KMeans", drawing)
+    table = claims(spark, rows).orderBy("claim_id").coalesce(1)
+    got = {r["id"]: r["cluster"] for r in H.kmeans_clusters(table, 12).collect()}
+    # MLlib's own steps collect the distances of all pairs of centers.
+    assert asked == [0]
+    ready = H.materialize(H._ready(table)).withColumn("features", H.array_to_vector("vec"))
+    model = mllib(k=12, maxIter=100, seed=42, distanceMeasure="cosine").fit(ready)
+    assert got == {r["id"]: str(r["prediction"]) for r in model.transform(ready).collect()}
+
+
+def test_kmeans_leaves_zero_vectors_and_keeps_empty_centers(spark):
+    rows = np.array([[1.0, 0, 0], [0, 0, 0], [0, 1, 0], [1, 0, 0]])
+    got = {r["id"]: r["cluster"] for r in H.kmeans_clusters(claims(spark, rows), 2).collect()}
+    assert got[1] is None and got[0] == got[3] != got[2] and got[2] is not None
+    centers = np.array([[1.0, 0], [0, 1], [-1, 0]])
+    points = claims(spark, np.array([[1.0, 0], [0.6, 0.8], [0.8, 0.6], [0.0, -1]])).selectExpr("claim_id id", "embedding vec")
+    moved = H._moved_centers(points, centers)
+    assert np.allclose(moved, [[1.8 / np.hypot(1.8, 0.4), -0.4 / np.hypot(1.8, 0.4)], [0.6, 0.8], [-1, 0]])
+
+
 def test_silhouette_of_coincident_points_and_single_cluster(spark):
     rows = np.array([[1.0, 0], [1, 0], [0, 1], [0, 1]])
     clusters = spark.createDataFrame([(0, "a"), (1, "a"), (2, "b"), (3, "b")], "id long, cluster string")
