@@ -3,40 +3,96 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Callable
+from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from colloquy import vocab
 from colloquy.functions.text import contains_any
 
 
-def _bitmask(flags: list[Column]) -> Column:
-    bits = [F.when(flag, F.lit(1 << i)).otherwise(0) for i, flag in enumerate(flags)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits).cast("bigint")
+def _camp_word(pattern: str) -> str:
+    """The literal a camp pattern starts with."""
+    return re.match(r"[a-z]+", pattern)[0].removesuffix("s" if "s?" in pattern else "\0")
+
+
+#: Words that one scan of Arrow looks for at once; only texts with one of them are asked for each word.
+_GROUP = 11
+
+
+def _lowered(text: bytes) -> bytes:
+    """Lower case as far as ASCII words can tell: two other letters have a lower case that begins with one."""
+    low = text.lower()
+    return low if low.isascii() else low.replace(b"\xe2\x84\xaa", b"k").replace(b"\xc4\xb0", b"i\xcc\x87")
+
+
+@cache
+def _searches() -> list[tuple[str, list[tuple[bytes, int, Callable | None]]]]:
+    """Groups of words with the pattern that finds any of them: (word, bit, regex that must match as well)."""
+    camps = [(_camp_word(p).encode(), re.compile(p.encode(), re.IGNORECASE).search) for p, _ in vocab.CAMP_PATTERNS]
+    words = [
+        *((k.encode(), 1 << i, None) for i, k in enumerate(vocab.CONTROVERSY_KEYWORDS)),
+        *((word, 1 << _CAMPS + i, search) for i, (word, search) in enumerate(camps)),
+        *((w.encode(), 1 << _POSITIVE, None) for w in vocab.POSITIVE_WORDS),
+        *((w.encode(), 1 << _NEGATIVE, None) for w in vocab.NEGATIVE_WORDS),
+    ]
+    groups = [words[i:i + _GROUP] for i in range(0, len(words), _GROUP)]
+    return [("|".join(re.escape(word.decode()) for word, _, _ in group), group) for group in groups]
+
+
+_CAMPS = len(vocab.CONTROVERSY_KEYWORDS)
+_POSITIVE = _CAMPS + len(vocab.CAMP_PATTERNS)
+_NEGATIVE = _POSITIVE + 1
 
 
-def keyword_mask(lowered: Column) -> Column:
-    """Bit i is set when controversy keyword i occurs; `bit_or` unites the texts of a post.
+@F.arrow_udf(LongType())
+def _found_in(texts: pa.Array) -> pa.Array:
+    raw = [t or b"" for t in texts.to_pylist()]
+    lowered = [_lowered(t) for t in raw]
+    table, found = pa.array(lowered, pa.large_binary()), [0] * len(raw)
+    for pattern, group in _searches():
+        for i in np.flatnonzero(pc.match_substring_regex(table, pattern).to_numpy(zero_copy_only=False)):
+            for word, bit, search in group:
+                if word in lowered[i] and (search is None or search(raw[i])):
+                    found[i] |= bit
+    return pa.array(found, pa.int64())
 
-    Takes lowered text: lowering belongs in its own projection, once per row.
+
+def text_signals(text: Column) -> Column:
+    """All signals of one text as bits: `keyword_mask`, `camp_mask`, `is_positive_text`, `is_negative_text` read them.
+
+    The text is gone over a few times, not once for every word; the cases of letters are ASCII's. Null has no signals.
+    `bit_or` unites the texts of a post.
     """
-    return _bitmask([F.contains(lowered, F.lit(k)) for k in vocab.CONTROVERSY_KEYWORDS])
+    return _found_in(text.cast("binary"))
 
 
-def _camp_word(pattern: str) -> str:
-    """The literal a camp pattern starts with."""
-    return re.match(r"[a-z]+", pattern)[0].removesuffix("s" if "s?" in pattern else "\0")
+def _bits(signals: Column, first: int, stop: int) -> Column:
+    return F.shiftright(signals, first).bitwiseAND(F.lit((1 << stop - first) - 1))
 
 
-def camp_mask(text: Column, lowered: Column) -> Column:
-    """Bit i is set when camp pattern i matches; the regex runs only where its word occurs."""
-    flags = [
-        F.contains(lowered, F.lit(_camp_word(pattern))) & text.rlike("(?i)" + pattern)
-        for pattern, _ in vocab.CAMP_PATTERNS
-    ]
-    return _bitmask(flags)
+def keyword_mask(signals: Column) -> Column:
+    """Bit i is set when controversy keyword i occurs."""
+    return _bits(signals, 0, _CAMPS)
+
+
+def camp_mask(signals: Column) -> Column:
+    """Bit i is set when camp pattern i matches."""
+    return _bits(signals, _CAMPS, _POSITIVE)
+
+
+def is_positive_text(signals: Column) -> Column:
+    return _bits(signals, _POSITIVE, _NEGATIVE) != 0
+
+
+def is_negative_text(signals: Column) -> Column:
+    return _bits(signals, _NEGATIVE, _NEGATIVE + 1) != 0
 
 
 def mask_names(mask: Column, names: list[str]) -> Column:

@@ -7,31 +7,24 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import signals as S
 from colloquy.functions.text import percent
+from colloquy.session import bound_batches
 
 
 def comment_signals(comments: DataFrame) -> DataFrame:
     """One combinable aggregate per post; masks unite by bit-or, so no text is collected.
 
     Each body gets the space that would follow it in the joined text, so a keyword that ends in a
-    space also matches at the end of a body. The text tests are projected before the aggregation:
-    inside it they would make one generated method too large to be compiled.
+    space also matches at the end of a body.
     """
-    rows = comments.select("post_id", "score", F.concat("body", F.lit(" ")).alias("text")).withColumn(
-        "lowered", F.lower("text")
-    )
-    text, lowered = F.col("text"), F.col("lowered")
-    told = rows.select(
-        "post_id", "score", S.keyword_mask(lowered).alias("keywords"), S.camp_mask(text, lowered).alias("camps"),
-        S.is_positive(lowered).alias("positive"), S.is_negative(lowered).alias("negative"),
-    )
+    bound_batches(comments.sparkSession)
+    told = comments.select("post_id", "score", S.text_signals(F.concat("body", F.lit(" "))).alias("signals"))
     return told.groupBy("post_id").agg(
         F.count(F.lit(1)).alias("comment_count"),
         F.stddev_pop("score").alias("score_stddev"),
         F.avg(F.when(F.col("score") < 0, 1.0).otherwise(0.0)).alias("negative_ratio"),
-        F.bit_or("keywords").alias("keyword_mask"),
-        F.bit_or("camps").alias("camp_mask"),
-        F.count_if("positive").alias("positive_comments"),
-        F.count_if("negative").alias("negative_comments"),
+        F.bit_or("signals").alias("signals"),
+        F.count_if(S.is_positive_text(F.col("signals"))).alias("positive_comments"),
+        F.count_if(S.is_negative_text(F.col("signals"))).alias("negative_comments"),
     )
 
 
@@ -41,21 +34,20 @@ def reply_depths(forest: DataFrame) -> DataFrame:
 
 def detect_controversy(posts: DataFrame, comments: DataFrame, forest: DataFrame) -> DataFrame:
     """Signals, score (0..1) and flag per post; posts without comments score on their own text."""
-    joined = posts.join(comment_signals(comments), "post_id", "left").join(reply_depths(forest), "post_id", "left")
-    joined = joined.withColumn("own", F.concat("title", F.lit(" "), F.coalesce("content", F.lit("")), F.lit(" ")))
-    joined = joined.withColumn("own_lowered", F.lower("own"))
-    own, lowered = F.col("own"), F.col("own_lowered")
-    keyword_mask = F.coalesce("keyword_mask", F.lit(0)).bitwiseOR(S.keyword_mask(lowered))
-    camp_mask = F.coalesce("camp_mask", F.lit(0)).bitwiseOR(S.camp_mask(own, lowered))
-    joined = joined.withColumn("all_keywords", keyword_mask).withColumn("all_camps", camp_mask)
+    bound_batches(posts.sparkSession)
+    text = F.concat("title", F.lit(" "), F.coalesce("content", F.lit("")), F.lit(" "))
+    # The texts of the posts are asked before the joins, which then carry none.
+    own = posts.select("post_id", S.text_signals(text).alias("own"))
+    joined = own.join(comment_signals(comments), "post_id", "left").join(reply_depths(forest), "post_id", "left")
+    joined = joined.withColumn("found", F.coalesce("signals", F.lit(0)).bitwiseOR(F.col("own")))
     signals = joined.select(
         "post_id",
         F.coalesce("score_stddev", F.lit(0.0)).alias("score_stddev"),
         F.coalesce("negative_ratio", F.lit(0.0)).alias("negative_ratio"),
         F.coalesce("reply_depth", F.lit(0)).alias("reply_depth"),
         F.coalesce("comment_count", F.lit(0)).alias("comment_count"),
-        S.keyword_names(F.col("all_keywords")).alias("keyword_hits"),
-        S.camp_names(F.col("all_camps")).alias("camps"),
+        S.keyword_names(S.keyword_mask(F.col("found"))).alias("keyword_hits"),
+        S.camp_names(S.camp_mask(F.col("found"))).alias("camps"),
         F.coalesce((F.col("positive_comments") >= 2) & (F.col("negative_comments") >= 2), F.lit(False)).alias("sentiment_mix"),
     )
     score = controversy_score()

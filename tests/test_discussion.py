@@ -1,11 +1,14 @@
 """Threads, selection, limits and ordered totals against plain models, with hot keys."""
 
 import random
+import re
 from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy import vocab
+from colloquy.functions import signals as Signals
 from colloquy.operators import controversy as K
 from colloquy.operators import selection as S
 from colloquy.operators import threads as J
@@ -152,6 +155,40 @@ def test_rate_limit(spark):
     assert not all(expected.values())
 
 
+def _scanned(text):
+    """Names of the keywords and camps, and the moods, by one search for each word."""
+    low = text.lower()
+    mood = [any(w in low for w in words) for words in (vocab.POSITIVE_WORDS, vocab.NEGATIVE_WORDS)]
+    camps = [c for p, c in vocab.CAMP_PATTERNS if re.search(p, text, re.IGNORECASE | re.ASCII)]
+    return [k for k in vocab.CONTROVERSY_KEYWORDS if k in low], camps, *mood
+
+
+def test_text_signals_equal_a_search_for_each_word(spark):
+    random_ = random.Random(3)
+    pieces = [*vocab.CONTROVERSY_KEYWORDS, *vocab.POSITIVE_WORDS, *vocab.NEGATIVE_WORDS, "Rust IS", "golang\n vs", "Mac\xa0is", "macOS\tis",
+              "microservices are", "microservice is", "VIM vs", "w\u0130ndows", "ta\u212ae", "\u212a", "\u0130", "na\xefve", "that's not true",
+              "ta\u212ae hot ta\u212ae", "l\u0130nux is", "bu", "t "]
+    texts = ["", " ", *pieces, *(p.upper() for p in pieces), "hot ta\u212ae", "unpopular op\u0130nion", "x" * 100_000 + " HOWEVER"]
+    texts += ["".join(random_.choices(pieces, k=4)) + " ".join(random_.choices(pieces, k=3)) for _ in range(200)]
+    # No letter but these two has a lower case with an ASCII letter in it.
+    assert [c for c in range(128, 0x110000) if any(x < "\x80" for x in chr(c).lower())] == [0x130, 0x212A]
+    table = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, text string").withColumn("s", Signals.text_signals(F.col("text")))
+    s = F.col("s")
+    got = table.select(
+        "i", Signals.keyword_names(Signals.keyword_mask(s)), Signals.camp_names(Signals.camp_mask(s)),
+        Signals.is_positive_text(s), Signals.is_negative_text(s), "s",
+    ).orderBy("i").collect()
+    assert got[0]["s"] == 0
+    for row, text in zip(got[1:], texts):
+        assert tuple(row)[1:5] == _scanned(text), repr(text)
+
+
+def test_bodies_are_not_searched_once_for_every_word(spark):
+    rows = comments(spark, [("1", None, 5), ("2", "1", -2)])
+    plan = K.comment_signals(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(") + plan.count("RLIKE") == 0 and plan.count("_found_in(") >= 1
+
+
 def test_controversy_score_of_a_quiet_post(spark):
     posts = spark.createDataFrame([("p", "Plain title", "nothing here")], "post_id string, title string, content string")
     rows = comments(spark, [("1", None, 3), ("2", None, 4)])
