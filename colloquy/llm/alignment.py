@@ -1,8 +1,8 @@
 """Alignment of two tokenizers by the byte offsets at which both end a token.
 
-A dictionary leads from each cumulative end to the index behind its token, one per tokenizer; the ends both
-have are the intersection of the keys. Sorted, they slice both lists of ids into groups that spell the same
-bytes. Within a slice the tokens whose bytes overlap are linked.
+A dictionary leads from each cumulative end of the first tokenizer to the index behind its token; the ends of the
+second are looked up in it, in their order. The ends both have slice both lists of ids into groups that spell the
+same bytes. Within a slice the tokens whose bytes overlap are linked.
 
 Counts of linked id pairs over all documents come from the written alignments. The most frequent pairs, up to
 a fixed number, go to every task to look up links in place; links of rarer pairs meet their counts in a
@@ -18,6 +18,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -110,26 +111,21 @@ def piece_coder(path: str) -> Coder:
     return lambda texts: [model.encode(t) for t in texts], spelled
 
 
-def link_slice(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int]]:
-    """Pairs of ids whose bytes overlap, in a slice of both lists that spells the same bytes.
+class _Ids(dict):
+    """Decimal ids, as they are asked for; no more than a vocabulary has."""
 
-    `ends_a`, `ends_b` are the ends of the tokens. No end lies within the slice in both, so a pair is linked
-    and then the token that ends first is left behind.
-    """
-    i = j = 0
-    while i < len(a) and j < len(b):
-        yield a[i], b[j]
-        if ends_a[i] < ends_b[j]:
-            i += 1
-        elif ends_a[i] > ends_b[j]:
-            j += 1
-        else:
-            return
+    def __missing__(self, token: int) -> str:
+        self[token] = shown = str(token)
+        return shown
 
 
 class _Spelled(dict):
     """`a|b` of id pairs (a << 32 | b), as they are asked for; forgotten beyond a number of pairs."""
 
+    def __init__(self) -> None:
+        super().__init__()
+        self.ids = _Ids()
+
     def __missing__(self, pair: int) -> str:
         if len(self) >= BROADCAST_ROWS:
             self.clear()
@@ -138,36 +134,37 @@ class _Spelled(dict):
 
 
 def align_ids(
-    a: list[int], b: list[int], sizes_a: np.ndarray, sizes_b: np.ndarray, names: dict[int, str]
+    a: np.ndarray | list[int], b: np.ndarray | list[int], sizes_a: np.ndarray, sizes_b: np.ndarray, names: _Spelled
 ) -> tuple[list[str], np.ndarray]:
     """Groups as `a1,a2|b1`, and the id pairs of all links (a << 32 | b).
 
     `sizes_a`, `sizes_b` give the bytes of every id, `names` spells pairs; both lists spell the same bytes.
     """
-    of_a, of_b = np.array(a), np.array(b)
-    ends_a, ends_b = np.cumsum(sizes_a[of_a]).tolist(), np.cumsum(sizes_b[of_b]).tolist()
-    index_a = dict(zip(ends_a, range(1, len(a) + 1)))
-    index_b = dict(zip(ends_b, range(1, len(b) + 1)))
-    common = sorted(index_a.keys() & index_b.keys())
-    to_a = np.fromiter(map(index_a.__getitem__, common), np.int64, len(common))
-    to_b = np.fromiter(map(index_b.__getitem__, common), np.int64, len(common))
+    of_a, of_b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
+    a, b = of_a.tolist(), of_b.tolist()
+    ends_a, ends_b = np.cumsum(sizes_a[of_a]), np.cumsum(sizes_b[of_b])
+    index_a = dict(zip(ends_a.tolist(), range(1, len(a) + 1)))
+    # Looked up in their order, the ends of the second need no sorting; of equal ends the last counts.
+    behind = np.fromiter(map(index_a.get, ends_b.tolist(), repeat(0)), np.int64, len(b))
+    to_b = np.flatnonzero((behind > 0) & np.append(ends_b[1:] != ends_b[:-1], True)[:len(b)]) + 1
+    to_a = behind[to_b - 1]
     from_a, from_b = np.append(0, to_a[:-1]), np.append(0, to_b[:-1])
-    # Most slices hold one token of either side: one link each. The others are expanded one by one.
+    # The last tokens of a slice overlap. Every other end lies within one token of the other side: one link each.
+    inner_a, inner_b = np.ones(len(a), dtype=bool), np.ones(len(b), dtype=bool)
+    inner_a[to_a - 1] = inner_b[to_b - 1] = False
+    inner_a, inner_b = np.flatnonzero(inner_a), np.flatnonzero(inner_b)
     links = of_a[to_a - 1] << _SHIFT | of_b[to_b - 1]
     groups = list(map(names.__getitem__, links.tolist()))
-    single = (to_a - from_a == 1) & (to_b - from_b == 1)
-    several = np.flatnonzero(~single)
-    others = []
+    # Most slices hold one token of either side. The others are spelled one by one.
+    several = np.flatnonzero((to_a - from_a > 1) | (to_b - from_b > 1))
+    shown = names.ids.__getitem__
     for at, i, k, j, m in zip(*(x.tolist() for x in (several, from_a[several], to_a[several], from_b[several], to_b[several]))):
-        x, y = a[i:k], b[j:m]
-        groups[at] = f"{','.join(map(str, x))}|{','.join(map(str, y))}"
-        if k - i == 1:
-            others += [x[0] << _SHIFT | z for z in y]
-        elif m - j == 1:
-            others += [z << _SHIFT | y[0] for z in x]
-        else:
-            others += [z << _SHIFT | w for z, w in link_slice(x, y, ends_a[i:k], ends_b[j:m])]
-    return groups, np.concatenate([links[single], np.array(others, dtype=np.int64)])
+        groups[at] = ",".join(map(shown, a[i:k])) + "|" + ",".join(map(shown, b[j:m]))
+    return groups, np.concatenate([
+        links,
+        of_a[inner_a] << _SHIFT | of_b[np.searchsorted(ends_b, ends_a[inner_a])],
+        of_a[np.searchsorted(ends_a, ends_b[inner_b])] << _SHIFT | of_b[inner_b],
+    ])
 
 
 _ALIGNED = pa.schema([
@@ -194,6 +191,7 @@ def alignments(
         encode_a, bytes_a = byte_level_coder(byte_level_path)
         encode_b, bytes_b = piece_coder(piece_path)
         sizes_a, sizes_b = np.array([len(s) for s in bytes_a]), np.array([len(s) for s in bytes_b])
+        spelled_a, spelled_b = np.array(bytes_a, dtype=object), np.array(bytes_b, dtype=object)
         names = _Spelled()
         # The vocabularies stay as long as the worker; the collector need not walk them again and again.
         gc.freeze()
@@ -204,8 +202,8 @@ def alignments(
                 rows, pairs, times, offsets = [], [], [], [0]
                 for t, a, b in zip(part, encode_a([" " + t for t in part]), encode_b(part)):
                     whole = b" " + t.encode("utf-8")
-                    spells = t and whole == b"".join(map(bytes_a.__getitem__, a)) == b"".join(map(bytes_b.__getitem__, b))
-                    if spells:
+                    a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+                    if t and whole == b"".join(spelled_a[a]) == b"".join(spelled_b[b]):
                         groups, links = align_ids(a, b, sizes_a, sizes_b, names)
                         shown = ";".join(groups)
                         digest = hashlib.sha256(shown.encode("ascii")).hexdigest()

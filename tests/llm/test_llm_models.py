@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -117,6 +118,19 @@ def test_rare_pairs_meet_their_counts_in_a_shuffle(spark, base, documents):
         assert sorted(map(tuple, alignment.link_scores(aligned, counts, rows=rows).collect())) == everywhere
 
 
+def test_links_take_no_python_call_each():
+    n = 1000
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        groups, links = alignment.align_ids([0, 1] * n, [0, 1] * n, np.array([1, 2]), np.array([2, 1]), alignment._Spelled())
+    finally:
+        sys.setprofile(None)
+    assert groups == ["0,1|0,1"] * n
+    assert Counter(links.tolist()) == {0: n, 1 << 32: n, 1 << 32 | 1: n}
+    assert len(calls) < 100
+
+
 def test_slices_without_common_ends_are_linked_by_overlap():
     random_ = random.Random(1)
     for _ in range(300):
