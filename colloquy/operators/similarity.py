@@ -572,15 +572,23 @@ def fold_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return payload, copies
 
 
-def duplicate_pairs(vectors: DataFrame, threshold: float, plan: BlockPlan = DEFAULT_PLAN) -> DataFrame:
+def duplicate_pairs(
+    vectors: DataFrame, threshold: float, plan: BlockPlan = DEFAULT_PLAN, folded: bool = True
+) -> DataFrame:
     """Similar pairs in whole: (id_a, id_b, similarity, kind), linear in the copies of a vector.
 
     Kind `similar` pairs representatives (the smallest id of equal vectors); kind `copy` ties every
     further copy (id_b) to its representative (id_a). Together they stand for all pairs of similar
     rows: any two members of two similar groups, and any two of one group; `expand_pairs` writes
     them out.
+
+    Without `folded` every pair of similar rows is a row of its own, copies among them, all of kind `similar`;
+    rows of one id are no pair.
     """
     vectors = materialize(vectors.select("id", "vec"))
+    if not folded:
+        every = similar_pairs(vectors.where("id is not null"), threshold, plan)
+        return every.where("id_a < id_b").withColumn("kind", F.lit("similar"))
     reps, copies = fold_copies(vectors)
     links = copies.where(F.col("id") != F.col("rep_id")).select(
         F.col("rep_id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"), F.lit("copy").alias("kind")

@@ -83,7 +83,7 @@ SELECT a.claim_id AS id_a, b.claim_id AS id_b, round({_SIM}, 6) AS similarity, '
 FROM canon a JOIN canon b ON a.claim_id < b.claim_id AND {_SIM} >= {DUPLICATE}"""))
 def g02(spark, d):
     rows = unit_vectors(C.canonical_embedded(B.claim_vectors(spark, d)).withColumn("id", F.col("claim_id")))
-    return duplicate_pairs(rows, DUPLICATE).withColumn("similarity", F.round("similarity", 6))
+    return duplicate_pairs(rows, DUPLICATE, folded=False).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("g02_pairs_with_copies", with_tables("cvec", f"""

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from colloquy.operators import similarity as S
 from colloquy.operators.graph import connected_components
 
@@ -123,6 +124,29 @@ def test_copies_expand_to_all_pairs(spark):
         assert pairs.where("kind = 'copy'").count() == 4 + 9
 
 
+def test_pairs_of_copies_are_rows_of_their_own(spark):
+    """Every row of a hot group of copies pairs with each other one and with all that is similar to it."""
+    base = vectors(7, n=12)
+    rows = np.vstack([base, base[:4], np.tile(base[5], (9, 1)), np.zeros((3, base.shape[1]))])
+    dots = rows @ rows.T
+    expected = sorted((i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if dots[i, j] >= 0.6 - 1e-12)
+    for plan in PLANS:
+        found = S.duplicate_pairs(frame(spark, rows), 0.6, plan, folded=False).collect()
+        assert sorted((r["id_a"], r["id_b"]) for r in found) == expected
+        assert {r["kind"] for r in found} == {"similar"}
+        assert all(abs(r["similarity"] - dots[r["id_a"], r["id_b"]]) < 1e-9 for r in found)
+
+
+def test_g02_pairs_equal_claims_too(spark, tmp_path):
+    v = [0.6, 0.8, 0.0]
+    rows = [(0, v, 1), (1, v, 1), (2, [0.8, 0.6, 0.0], 1), (3, v, 1), (3, v, 1), (4, [0.0, 0.0, 1.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = entry.queries()["g02_similar_pairs"](spark, str(tmp_path)).collect()
+    pairs = sorted((r["id_a"], r["id_b"], r["similarity"], r["kind"]) for r in found)
+    near = [(a, b, 1.0 if 2 not in (a, b) else 0.96, "similar") for a, b in [(0, 1), (0, 2), (0, 3), (0, 3), (1, 2), (1, 3), (1, 3), (2, 3), (2, 3)]]
+    assert pairs == near
+
+
 def clustered(clusters, each, dim=24, seed=9):
     rng = np.random.default_rng(seed)
     centers = rng.normal(size=(clusters, dim))
