@@ -146,6 +146,27 @@ def test_text_search_equals_all_pairs(spark, plan, threshold, limit):
         TS.search_texts(left, right, 3, 0.0)
 
 
+def test_texts_of_one_bag_are_searched_once(spark, monkeypatch):
+    """600 copies in any order of words, asked for by 40 queries: the join gets a row per prefix word, not per text and query."""
+    words = ["go", "rust", "has", "slow", "builds"]
+    corpus = [(f"c{i:03}", " ".join(words[i % 5:] + words[: i % 5])) for i in range(600)] + [("d", "go go rust"), (None, "go rust")]
+    # The texts of one id are one bag.
+    corpus += [("e", "go"), ("e", "rust  GO"), ("f", None)]
+    asked = [(i, "Rust go") for i in range(40)] + [(40, "haskell"), (41, None), (42, "go"), (42, "rust")]
+    met, join = [], TS.keyed_block_join
+    monkeypatch.setattr(TS, "keyed_block_join", lambda left, right, *args: met.append((left.count(), right.count())) or join(left, right, *args))
+    found = TS.search_texts(
+        spark.createDataFrame(corpus, "id string, text string"), spark.createDataFrame(asked, "id long, text string"), 7, 0.5
+    ).collect()
+    assert met[0][0] <= 3 and met[0][1] <= 8
+    best = [(None, 1.0), ("d", round(3 / math.sqrt(10), 12)), ("e", round(3 / math.sqrt(10), 12))]
+    best += [(f"c{i:03}", round(2 / math.sqrt(10), 12)) for i in range(4)]
+    for query in [*range(40), 42]:
+        rows = sorted((r["rank"], r["match_id"], r["similarity"]) for r in found if r["query_id"] == query)
+        assert [r[1:] for r in rows] == best
+    assert len(found) == 41 * 7
+
+
 def test_an_upsert_moves_each_row_once_and_whole(spark):
     """Aggregates that carry whole rows for each column, and a second shuffle for the join, fill the disks."""
     kind = "comment_id string, body string, score long"
