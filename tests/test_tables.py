@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy.operators import bucket_table as BT
 from colloquy.operators import clustering as H
 from colloquy.operators import contradictions as I
 from colloquy.operators import text_search as TS
@@ -178,3 +179,19 @@ def test_an_upsert_moves_each_row_once_and_whole(spark):
     assert sorted(map(tuple, merged.collect()), key=repr) == sorted(expected, key=repr)
     plan = merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_a_large_feed_is_merged_a_few_buckets_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(BT, "TURN_ROWS", 30)
+    folded, at_once = [], U.upsert_at_once
+    monkeypatch.setattr(U, "upsert_at_once", lambda old, new, *args: folded.append((old.count(), new.count())) or at_once(old, new, *args))
+    table = BucketTable(str(tmp_path), ["post_id"], 8)
+    rows = [(f"p{i}", f"t{i}", i, 1) for i in range(100)] + [(None, "n", 0, 1)]
+    U.merge_posts(table, _posts(spark, rows))
+    U.merge_posts(table, _posts(spark, [(f"p{i}", "ignored", 2 * i, 2) for i in range(90)] + [("q", "t", 1, 1)]))
+    assert [sum(n for _, n in part) for part in (folded[:4], folded[4:])] == [101, 91] and len(folded) == 4 + 4
+    assert max(new for _, new in folded) < 50 and sum(old for old, _ in folded) == 101
+    expected = [(f"p{i}", f"t{i}", 2 * i if i < 90 else i, 2 if i < 90 else 1) for i in range(100)] + [(None, "n", 0, 1), ("q", "t", 1, 1)]
+    assert sorted(map(tuple, table.read(spark).collect()), key=repr) == sorted(expected, key=repr)
+    assert sorted(map(tuple, table.read(spark, before=2).collect()), key=repr) == sorted(rows, key=repr)
+    assert set(table.read(spark).columns) == {"post_id", "title", "score", "fetched_at"}
