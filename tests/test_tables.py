@@ -15,6 +15,7 @@ from colloquy.operators import text_search as TS
 from colloquy.operators import upsert as U
 from colloquy.operators.bucket_table import BUCKET, BucketTable
 from colloquy.operators.similarity import DEFAULT_PLAN, BlockPlan
+from colloquy.session import materialize
 
 
 def _files(path):
@@ -181,6 +182,25 @@ def test_an_upsert_moves_each_row_once_and_whole(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
 
+def test_a_large_upsert_takes_turns(spark, monkeypatch):
+    """Keys take turns, each a shuffle of its own that is gone when its rows are written; null keys come along whole."""
+    kind = "comment_id string, body string, score long"
+    old = [(f"c{i}", f"old {i}", i) for i in range(0, 200, 2)] + [(None, "n", 4), ("c0", "twice", 5)]
+    new = [(f"c{i}", f"new {i}", 1000 + i) for i in range(150)] + [(None, "m", 1), (None, "l", 2), ("c7", "again", 3)]
+    sides = spark.createDataFrame(old, kind), spark.createDataFrame(new, kind)
+    once = sorted(map(tuple, U.upsert_comments(*sides).collect()), key=repr)
+    written = []
+    monkeypatch.setattr(U, "materialize", lambda df, *args: written.append(df.count()) or materialize(df, *args))
+    assert sorted(map(tuple, U.upsert_comments(*sides).collect()), key=repr) == once and not written
+    monkeypatch.setattr(U, "TURN_ROWS", 80)
+    assert sorted(map(tuple, U.upsert_comments(*sides).collect()), key=repr) == once
+    assert len(written) == 4 and sum(written) == len(once) and max(written) < 0.5 * len(once)
+    # Rows that are drawn may be others each time they are read.
+    written.clear()
+    drawn = sides[0].withColumn("score", (F.rand() * 9).cast("long"))
+    assert U.upsert_comments(drawn, sides[1]).count() == len(once) and not written
+
+
 def test_a_large_feed_is_merged_a_few_buckets_at_a_time(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(BT, "TURN_ROWS", 30)
     folded, at_once = [], U.upsert_at_once
