@@ -78,6 +78,19 @@ def test_complete_linkage_of_a_dense_group_is_linear(spark):
         assert name == min(ids) and (rows[ids] @ rows[ids].T).min() >= 0.98 - 1e-12
 
 
+@pytest.mark.parametrize("kind,run,asks", [("average", H.average_linkage, "top_matches"), ("complete", H.complete_linkage, "complete_candidates")])
+def test_the_last_merges_of_linkage_are_made_by_one_task(spark, monkeypatch, kind, run, asks):
+    """Points whose clusters merge a pair at a time: the partners are asked for once, not in a round per merge."""
+    angles = np.cumsum(1.0 / np.arange(3, 12))
+    rows = np.vstack([np.column_stack([np.cos(angles), np.sin(angles), 0 * angles]), vectors(3, n=9, dim=3)])
+    df, expected, calls, ask = claims(spark, rows), naive_linkage(rows, 0.5, kind), [], getattr(H, asks)
+    monkeypatch.setattr(H, asks, lambda *args, **named: calls.append(1) or ask(*args, **named))
+    assert groups(run(df, 0.5)) == expected and len(calls) == 1
+    # Rounds of jobs, down to a few clusters, find the same.
+    monkeypatch.setattr(H, "SETTLED_ROWS", 6)
+    assert groups(run(df, 0.5, BlockPlan(block_rows=12, cell_rows=10**6))) == expected and len(calls) > 2
+
+
 @pytest.mark.parametrize("plan", PLANS)
 def test_dbscan(spark, plan):
     rows = np.vstack([vectors(8, n=60), np.tile(vectors(9, n=1), (6, 1))])
