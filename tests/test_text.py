@@ -205,3 +205,24 @@ def test_versioned_publishing(spark, tmp_path):
     publish_version(spark.range(2), path, "a")
     publish_version(spark.range(5), path, "b")
     assert read_current(spark, path).count() == 5
+
+
+def test_json_is_found_as_by_parsing_every_try(spark):
+    """A text is parsed only where it opens like an object, and a fenced block is looked for once."""
+    def strict(text):
+        variant = F.try_parse_json(text)
+        return F.when(variant.isNotNull() & F.schema_of_variant(variant).startswith("OBJECT"), text)
+
+    text = F.col("t")
+    fenced = F.regexp_extract(text, r"```(?:json)?\s*([\s\S]*?)```", 1)
+    widest = F.regexp_extract(text, r"\{[\s\S]*\}", 0)
+    tries = F.coalesce(
+        strict(text), strict(F.when(fenced != "", F.trim(fenced))), strict(F.when(widest != "", widest)), R._first_balanced(text)
+    )
+    inner = ['{"a": 1}', '{"a": {"b": "}"}}', "{}", "[1]", "null", "1", '"s"', "{a: 1}", '{"a": 1, "a": 2}', "{'a': 1}", '{"a": 1', "", " ", "{", "}"]
+    around = ["%s", " %s ", "\n\t%s\r\n", "\f%s", " %s", "﻿%s", "　%s", "x %s y", "x %s y } z", "```json\n%s\n```", "``` %s```", "```json\t%s", "{ %s", "```\n```%s", "/* c */ %s"]
+    rows = [(a.replace("%s", i),) for a in around for i in inner] + [(None,)]
+    found = spark.createDataFrame(rows, "t string").select(text, R.json_object(text).alias("now"), tries.alias("then"))
+    assert [r for r in found.collect() if r["now"] != r["then"]] == []
+    plan = spark.createDataFrame(rows, "t string").select(R.json_object(text).alias("found"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?:json)?") == 1
