@@ -91,6 +91,14 @@ def test_the_last_merges_of_linkage_are_made_by_one_task(spark, monkeypatch, kin
     assert groups(run(df, 0.5, BlockPlan(block_rows=12, cell_rows=10**6))) == expected and len(calls) > 2
 
 
+def test_linkage_of_claims_that_come_twice(spark):
+    rows = vectors(7, n=30)
+    df = claims(spark, rows)
+    for run in (H.average_linkage, H.complete_linkage):
+        found = [(r["id"], r["cluster"]) for r in run(df.unionByName(df.where("claim_id < 12")), 0.8).collect()]
+        assert sorted(i for i, _ in found) == sorted([*range(30), *range(12)]) and len(set(found)) == 30
+
+
 @pytest.mark.parametrize("plan", PLANS)
 def test_dbscan(spark, plan):
     rows = np.vstack([vectors(8, n=60), np.tile(vectors(9, n=1), (6, 1))])
